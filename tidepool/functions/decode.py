@@ -3,7 +3,7 @@ no Spark type. All are column expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -67,3 +67,13 @@ def address_of_topic(topics: Column, i: int) -> Column:
 def is_hex(data: Column, least: int = 10) -> Column:
     """starts with 0x and has at least `least` characters."""
     return data.startswith("0x") & (F.length(data) >= least)
+
+
+def decoded(df: DataFrame, data: str = "data") -> DataFrame:
+    """df with amount0, amount1, sqrt_price, liquidity and tick instead of data and any
+    columns of those names. The words are generated as one row, which the optimiser does
+    not inline, so they are decoded once however often they are used."""
+    d = F.col(data)
+    names = ("amount0", "amount1", "sqrt_price", "liquidity", "tick")
+    row = F.struct(*(f(d).alias(n) for n, f in zip(names, (amount0, amount1, sqrt_price, liquidity, tick))))
+    return df.select(*(c for c in df.columns if c not in (*names, data)), F.inline(F.array(row)))

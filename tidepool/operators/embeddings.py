@@ -4,6 +4,7 @@ runs over blocks, linear algebra over the d x d Gramian."""
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidepool.functions.numbers import cosine, distance, norm
+from tidepool.functions.numbers import cosine, norm
 
 
 def doubles(df: DataFrame, column: str = "embedding") -> DataFrame:
@@ -66,14 +67,41 @@ def class_geometry(df: DataFrame, label: str = "label", column: str = "embedding
     return pair.select("a", "b", cosine(F.col("x"), F.col("y")).alias("cos"))
 
 
+def _distance_sums(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Of two blocks: for each vector of either the sum and number of distances to the
+    vectors of each class of the other block; a block with itself counts once."""
+    empty = pd.DataFrame({"id": pd.Series([], dtype="int64"), "l": pd.Series([], dtype="int32"), "o": pd.Series([], dtype="int32"), "s": pd.Series([], dtype="float64"), "n": pd.Series([], dtype="int64")})
+    if not len(left) or not len(right):
+        return empty
+    a, b = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
+    # differences, not the expanded square: exact for close vectors; in slices of bounded size
+    d = np.concatenate([np.sqrt(((a[i : i + 64, None, :] - b[None, :, :]) ** 2).sum(2)) for i in range(0, len(a), 64)])
+    other = left["id"].to_numpy()[:, None] != right["id"].to_numpy()[None, :]
+    out = []
+    for own, far, dist, ok in ((left, right, d, other), (right, left, d.T, other.T))[: 1 if key[0] == key[1] else 2]:
+        for o in np.unique(far["l"]):
+            m = (far["l"] == o).to_numpy()
+            out.append(pd.DataFrame({"id": own["id"].to_numpy(), "l": own["l"].to_numpy(), "o": np.full(len(own), o, "int32"), "s": np.where(ok[:, m], dist[:, m], 0).sum(1), "n": ok[:, m].sum(1)}))
+    return pd.concat(out)
+
+
+#: Vectors of a block: bounds what a task of pairwise work holds.
+BLOCK_ROWS = 512
+
+
 def silhouette(df: DataFrame, id_col: str = "vec_id", label: str = "label", column: str = "embedding") -> DataFrame:
     """Exact silhouette of given labels, by vector: mean distances to the own and the
-    nearest other class, from one pass over blocked pairs."""
-    pairs = blocked_pairs(df, id_col).select(F.col(f"a.{id_col}").alias("a"), F.col(f"a.{label}").alias("la"), F.col(f"b.{id_col}").alias("b"), F.col(f"b.{label}").alias("lb"), distance(F.col(f"a.{column}"), F.col(f"b.{column}")).alias("d"))
-    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("la").alias("l"), F.col("lb").alias("o"), "d"), F.struct(F.col("b").alias("id"), F.col("lb").alias("l"), F.col("la").alias("o"), "d"))).alias("e")).select("e.*")
-    means = both.groupBy("id", "l", "o").agg(F.avg("d").alias("d"))
-    per = means.groupBy("id", "l").agg(F.max(F.when(F.col("l") == F.col("o"), F.col("d"))).alias("own"), F.min(F.when(F.col("l") != F.col("o"), F.col("d"))).alias("other"))
-    return per.select(F.col("id").alias(id_col), F.col("l").alias(label), F.coalesce((F.col("other") - F.col("own")) / F.greatest("own", "other"), F.lit(0.0)).alias("silhouette"))
+    nearest other class. Vectors are dealt in blocks of about BLOCK_ROWS; each pair of
+    blocks is a task that sends sums, not pairs."""
+    blocks = max(1, -(-df.count() // BLOCK_ROWS))
+    own = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("l"), F.col(column).alias("v"), own.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("k"))
+    left = rows.where("b <= k").select(F.col("b").alias("x"), F.col("k").alias("y"), "id", "l", "v").groupBy("x", "y")
+    right = rows.where("b >= k").select(F.col("k").alias("x"), F.col("b").alias("y"), "id", "l", "v").groupBy("x", "y")
+    sums = left.cogroup(right).applyInPandas(_distance_sums, "id long, l int, o int, s double, n long")
+    means = sums.groupBy("id", "l", "o").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("d"))
+    per = means.where("d is not null").groupBy("id", "l").agg(F.max(F.when(F.col("l") == F.col("o"), F.col("d"))).alias("own"), F.min(F.when(F.col("l") != F.col("o"), F.col("d"))).alias("other"))
+    return per.select(F.col("id").alias(id_col), F.col("l").alias(label), F.coalesce(F.try_divide(F.col("other") - F.col("own"), F.greatest("own", "other")), F.lit(0.0)).alias("silhouette"))
 
 
 def gramian(df: DataFrame, column: str = "embedding", centre: bool = True) -> tuple[np.ndarray, int]:

@@ -19,8 +19,10 @@ def direct_prices(swaps: DataFrame, numeraire: str) -> DataFrame:
     """One row for each swap with the numeraire, within the sanity bounds.
     swaps has amount0 and amount1 as doubles."""
     quote = direct_price(F.col("amount0"), F.col("amount1"), F.col("token0"), F.col("token1"), F.col("token0_decimals"), F.col("token1_decimals"), numeraire)
-    priced = swaps.withColumn("q", quote).where("q is not null")
-    return sane(priced.select(*ORDER, "pool", F.col("q.token").alias("token_address"), F.col("q.price").alias("price_in_usdc"), F.col("q.volume").alias("usdc_volume")))
+    # inline drops rows without a quote and keeps the quote from being worked out twice
+    quotes = F.when(quote.isNull(), F.array().cast("array<struct<token:string,price:double,volume:double>>")).otherwise(F.array(quote))
+    own = swaps.where((F.col("token0") == numeraire) | (F.col("token1") == numeraire))
+    return sane(own.select(*ORDER, "pool", F.inline(quotes).alias("token_address", "price_in_usdc", "usdc_volume")))
 
 
 def sane(prices: DataFrame) -> DataFrame:
@@ -117,6 +119,7 @@ def indirect_prices(swaps: DataFrame, numeraire: str, ttl_s: float = 3600.0) ->
     that occur in an indirect swap enter; the others have their direct prices already.
     """
     direct = direct_prices(swaps, numeraire)
+    # only the token columns are read for the graph
     cross = swaps.where((F.col("token0") != numeraire) & (F.col("token1") != numeraire))
     label = components(cross.select(F.col("token0").alias("a"), F.col("token1").alias("b")))
     own = lambda amount, dec: F.abs(F.col(amount)) / F.pow(F.lit(10.0), F.col(dec))

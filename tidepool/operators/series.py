@@ -45,23 +45,33 @@ def frac_diff(series: DataFrame, d: float, key: str = "token", order: tuple[str,
 def _tau(y: np.ndarray) -> float:
     """t-ratio of the lagged level in the augmented Dickey-Fuller regression with
     constant and trend; the number of lags by AIC on a common sample."""
+    y = (y - y.mean()) / (y.std() or 1.0)  # the ratio does not depend on scale
     dy = np.diff(y)
     n = len(y)
     most = max(0, min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 3))
 
-    def fit(lags: int, skip: int) -> tuple[float, float]:
+    def regressors(lags: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
         rows = np.arange(skip, len(dy))
-        x = np.column_stack([y[rows], *(dy[rows - i] for i in range(1, lags + 1)), np.ones(len(rows)), rows + 1.0])
-        beta, _, rank, _ = np.linalg.lstsq(x, dy[rows], rcond=None)
-        res = dy[rows] - x @ beta
-        ssr, free = float(res @ res), len(rows) - x.shape[1]
-        if rank < x.shape[1] or free <= 0 or ssr <= 0:
-            return 0.0, math.inf
-        cov = np.linalg.inv(x.T @ x) * ssr / free
-        return float(beta[0] / math.sqrt(cov[0, 0])), len(rows) * math.log(ssr / len(rows)) + 2 * x.shape[1]
-
-    best = min(range(most + 1), key=lambda k: fit(k, most)[1])
-    return fit(best, best)[0]
+        return np.column_stack([y[rows], np.ones(len(rows)), rows / len(dy) - 0.5, *(dy[rows - i] for i in range(1, lags + 1))]), dy[rows]
+
+    # the lag is chosen on one sample, so one product matrix serves all candidates
+    x, target = regressors(most, most)
+    products, with_target, total = x.T @ x, x.T @ target, float(target @ target)
+
+    def aic(lags: int) -> float:
+        k = 3 + lags
+        beta = np.linalg.lstsq(products[:k, :k], with_target[:k], rcond=None)[0]
+        ssr = total - float(beta @ with_target[:k])
+        return len(target) * math.log(max(ssr, 1e-300) / len(target)) + 2 * k
+
+    x, target = regressors(best := min(range(most + 1), key=aic), best)
+    beta, _, rank, _ = np.linalg.lstsq(x, target, rcond=None)
+    res = target - x @ beta
+    free = len(target) - x.shape[1]
+    if rank < x.shape[1] or free <= 0 or not res.any():
+        return 0.0
+    cov = np.linalg.inv(x.T @ x) * float(res @ res) / free
+    return float(beta[0] / math.sqrt(cov[0, 0]))
 
 
 #: Fixed value: the 5 % point of the unit-root distribution with constant and trend.

@@ -134,16 +134,12 @@ def s15_preview(t):  # noqa: ANN001, ANN201
 @query("""SELECT event_id, CAST(amount0 AS DOUBLE) AS amount0, CAST(amount1 AS DOUBLE) AS amount1, CAST(1000000 + event_id AS DOUBLE) AS sqrt_price, round(ln(1 + 500000 + cents), 6) AS log_liquidity,
 tick, CASE WHEN amount0 > 0 THEN 1 ELSE -1 END AS sign0 FROM fx_swaps""", "fx_swaps")
 def f1_decode_words(t):  # noqa: ANN001, ANN201
-    d = F.col("data")
-    return t("fx_swaps").select(
-        "event_id", decode.amount0(d).alias("amount0"), decode.amount1(d).alias("amount1"), decode.sqrt_price(d).alias("sqrt_price"), r6(F.log1p(decode.liquidity(d))).alias("log_liquidity"),
-        decode.tick(d).alias("tick"), decode.sign_of(decode.amount0(d)).alias("sign0"),
-    )
+    s = decode.decoded(t("fx_swaps").select("event_id", "data"))
+    return s.select("event_id", "amount0", "amount1", "sqrt_price", r6(F.log1p("liquidity")).alias("log_liquidity"), "tick", decode.sign_of(F.col("amount0")).alias("sign0"))
 
 
 def _decoded(t) -> DataFrame:  # noqa: ANN001
-    s = t("fx_swaps")
-    return s.withColumn("amount0", decode.amount0(F.col("data"))).withColumn("amount1", decode.amount1(F.col("data")))
+    return decode.decoded(t("fx_swaps"))
 
 
 DIRECT = """SELECT event_id, block_timestamp, block_number, pool, token_address, price_in_usdc, usdc_volume FROM (
