@@ -3,7 +3,7 @@
 import pytest
 
 from tests.compare import oracle, same
-from tidepool.plans import catalog
+from tidepool.plans import catalog, catalog_more  # noqa: F401
 
 # at sf0.001 the key columns of these are not unique, so ties are open in SQL
 BIGGER = "/root/testdata/sf0.01"
