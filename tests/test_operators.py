@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepool.functions import decode, numbers
-from tidepool.operators import bars, embeddings, folds, graph, pricing, quality, regimes, series
+from tidepool.operators import bars, embeddings, folds, graph, pricing, quality, ranges, regimes, series
 from tidepool.sources import readers
 
 T0 = dt.datetime(2024, 1, 1)
@@ -99,6 +99,24 @@ def test_bars_keep_state_over_batches(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_chunks_of_a_pool_give_the_same_bars(spark):
+    rng = random.Random(9)
+    for limit in (0, 1, 700, 5000, 10**9):
+        rows = [(f"p{i % 2}", at(i * 37 % 4000), i, rng.choice([0, 1, 10, 400, 2500]), limit, "x") for i in range(1500)]
+        df = spark.createDataFrame(rows, "pool string, ts timestamp, tie long, micro long, limit long, extra string")
+        want = sorted(map(tuple, bars.assign_bars(df).collect()))
+        assert sorted(map(tuple, bars.assign_bars_in_chunks(df, 300).collect())) == want
+
+
+@pytest.mark.parametrize("size", [25, 1000])
+def test_row_blocks_give_what_whole_keys_give(spark, size):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([("ab"[i % 7 == 0], at(i), float(x)) for i, x in enumerate(rng.normal(size=400))], "token string, ts timestamp, x double")
+    pair = lambda d, c: sorted((r.token, r.ts, None if r[c] is None else round(r[c], 9)) for r in d.collect())
+    assert pair(series.rolling_volatility(df, "x", "token", ("ts",), block=size), "vol") == pair(series.rolling_volatility(df, "x", "token", ("ts",)), "vol")
+    assert pair(series.frac_diff(df, 0.4, block=size), "frac") == pair(series.frac_diff(df, 0.4), "frac")
+
+
 def test_barrier_edges(spark):
     rng = np.random.default_rng(7)
     price = np.exp(np.cumsum(rng.normal(0, 0.01, 400)))
@@ -178,7 +196,11 @@ def test_gramian(spark):
 def test_numbering_does_not_depend_on_partitions(spark):
     df = spark.createDataFrame([(i * 37 % 101,) for i in range(101)], "x int")
     for n in (1, 7):
-        assert sorted((r.x, r.row) for r in folds.numbered(df.repartition(n), "x").collect()) == [(i, i) for i in range(101)]
+        assert sorted((r.x, r.row) for r in ranges.numbered(df.repartition(n), "x").collect()) == [(i, i) for i in range(101)]
+    big = spark.range(200_000).select((F.col("id") * 7919 % 200_003).alias("x"), (F.col("id") % 3).alias("k"))
+    assert ranges.numbered(big, "x").select((F.row_number().over(__import__("pyspark").sql.Window.orderBy("x")) - 1 - F.col("row")).alias("d")).where("d <> 0").count() == 0
+    per = ranges.numbered_in_key(big, "k", "x").groupBy("k").agg(F.countDistinct("r").alias("a"), F.max("r").alias("b"), F.max("n").alias("n")).collect()
+    assert all(r.a == r.b + 1 == r.n for r in per)
 
 
 def test_components_and_tokens(spark):

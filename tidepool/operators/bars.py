@@ -60,25 +60,118 @@ def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def assign_bars(rows: DataFrame) -> DataFrame:
-    """T2, first step: rows (pool, ts, tie, micro, limit, ...) get bar_no and closes. A
-    pool is a serial chain of constant state; its rows come sorted by Spark, so no pool
+    """T2, first step, serial form: rows (pool, ts, tie, micro, limit, ...) get bar_no and
+    closes. A pool is a chain of constant state; its rows come sorted by Spark, so no pool
     is held in memory. Volumes are whole micro-dollars, so sums do not depend on order."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", bar_no long, closes boolean"
     return rows.repartition("pool").sortWithinPartitions("pool", "ts", "tie").mapInArrow(_assign, schema)
 
 
-def dollar_bars(prices: DataFrame, thresholds: DataFrame) -> DataFrame:
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (pool, chunk, time): what a chunk does to the open volume it gets. A
+    row of the first bar of a chunk that starts empty is the first close if the open volume
+    is at least `need`; from there on all is known: bars closed and volume left open."""
+    key, volumes, limit = None, [], 0
+
+    def settle() -> tuple:
+        v = np.concatenate(volumes)
+        run = np.concatenate([[0], np.cumsum(v)])
+        n = len(v)
+        # the close after starting empty at each row, then the rest of the chunk from behind
+        close = np.maximum(np.searchsorted(run, run[:-1] + limit, "left"), np.arange(1, n + 1)) - 1
+        bars, left = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+        for i in range(n - 1, -1, -1):
+            j = close[i]
+            bars[i], left[i] = (1 + bars[j + 1], left[j + 1]) if j < n else (0, run[n] - run[i])
+        last = min(int(close[0]), n - 1)
+        need = limit - run[1 : last + 2]
+        return (*key, int(run[n]), need.tolist(), (1 + bars[1 : last + 2]).tolist(), left[1 : last + 2].tolist())
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["pool", "chunk", "total", "need", "bars", "left"])
+
+    for batch in batches:
+        pools, chunks = batch.column("pool").to_pylist(), batch.column("chunk").to_pylist()
+        micro, limits = batch.column("micro").to_numpy(), batch.column("limit").to_numpy()
+        keys = list(zip(pools, chunks))
+        cuts = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
+        done = []
+        for begin, end in zip([0, *cuts], [*cuts, len(keys)]):
+            if begin == end:
+                continue
+            if keys[begin] != key and volumes:
+                done.append(settle())
+                volumes = []
+            key, limit = keys[begin], int(limits[begin])
+            volumes.append(micro[begin:end])
+        if done:
+            yield batch_of(done)
+    if volumes:
+        yield batch_of([settle()])
+
+
+def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Summaries sorted by (pool, chunk): the bar number and open volume each chunk starts with."""
+    pool, bar, open_ = None, 0, 0
+    for batch in batches:
+        out = []
+        for p, chunk, total, need, bars, left in zip(*(batch.column(c).to_pylist() for c in ("pool", "chunk", "total", "need", "bars", "left"))):
+            if p != pool:
+                pool, bar, open_ = p, 0, 0
+            out.append((p, chunk, bar, open_))
+            hit = next((i for i, x in enumerate(need) if open_ >= x), None)
+            bar, open_ = (bar, open_ + total) if hit is None else (bar + bars[hit], left[hit])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 4, (pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["pool", "chunk", "_bar", "_open"])
+
+
+def _assign_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (pool, chunk, time) that carry what their chunk starts with."""
+    key, bar, open_ = None, 0, 0
+    for batch in batches:
+        keys = list(zip(batch.column("pool").to_pylist(), batch.column("chunk").to_pylist()))
+        micro, limits, bars, opens = (batch.column(c).to_pylist() for c in ("micro", "limit", "_bar", "_open"))
+        numbers, closed = [], []
+        for k, m, limit, b, o in zip(keys, micro, limits, bars, opens):
+            if k != key:
+                key, bar, open_ = k, b, o
+            open_ += m
+            numbers.append(bar)
+            closed.append(open_ >= limit)
+            if closed[-1]:
+                bar, open_ = bar + 1, 0
+        keep = [n for n in batch.schema.names if n not in ("chunk", "_bar", "_open")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(numbers, pa.int64()), pa.array(closed, pa.bool_())], [*keep, "bar_no", "closes"])
+
+
+def assign_bars_in_chunks(rows: DataFrame, seconds: int = 86_400) -> DataFrame:
+    """T2, first step, parallel inside a pool: the same result as assign_bars. Chunks of time
+    are summed up on their own; only the summaries, one small row a chunk, are chained by
+    pool; then all chunks are numbered on their own. For pools that hold a large share of
+    all rows."""
+    chunked = rows.withColumn("chunk", F.floor(F.unix_micros("ts") / (seconds * MICRO)).cast("long"))
+    own = chunked.select("pool", "chunk", "ts", "tie", "micro", "limit").repartition("pool", "chunk").sortWithinPartitions("pool", "chunk", "ts", "tie")
+    summaries = own.mapInArrow(_summaries, "pool string, chunk long, total long, need array<long>, bars array<long>, left array<long>")
+    starts = summaries.repartition("pool").sortWithinPartitions("pool", "chunk").mapInArrow(_chain, "pool string, chunk long, _bar long, _open long")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", bar_no long, closes boolean"
+    joined = chunked.hint("merge").join(starts.hint("merge"), ["pool", "chunk"])
+    return joined.repartition("pool", "chunk").sortWithinPartitions("pool", "chunk", "ts", "tie").select(*chunked.columns, "_bar", "_open").mapInArrow(_assign_chunk, schema)
+
+
+def dollar_bars(prices: DataFrame, thresholds: DataFrame, chunk_seconds: int | None = None) -> DataFrame:
     """Closed bars of each pool. prices: pool, block_timestamp,
     event_id, token_address, price_in_usdc, usdc_volume, flow_sign; thresholds: pool,
     token_a, token_b, threshold. A bar without a price of a side is left out, but counts
-    for the number of the next and its time delta."""
+    for the number of the next and its time delta. chunk_seconds: number the bars in parallel
+    chunks of a pool."""
     rows = prices.join(thresholds, "pool").select(
         "pool", F.col("block_timestamp").alias("ts"), F.col("event_id").alias("tie"), F.round(F.col("usdc_volume") * MICRO).cast("long").alias("micro"),
         F.round(F.col("threshold") * MICRO).cast("long").alias("limit"), "token_address", F.col("price_in_usdc").alias("price"), (F.col("flow_sign") * F.col("usdc_volume")).alias("flow"), "token_a", "token_b",
     )
     order = F.struct("ts", "tie")
     side = lambda t, e: F.when(F.col("token_address") == F.col(t), e)
-    bars = assign_bars(rows).groupBy("pool", "bar_no").agg(
+    assigned = assign_bars_in_chunks(rows, chunk_seconds) if chunk_seconds else assign_bars(rows)
+    bars = assigned.groupBy("pool", "bar_no").agg(
         F.max("closes").alias("closed"), F.max("ts").alias("bar_close_timestamp"), F.first("token_a").alias("token_a"), F.first("token_b").alias("token_b"),
         F.countDistinct("ts", "tie").alias("tick_count"), F.sum("micro").alias("volume_micro"),
         F.sum(side("token_a", F.col("flow"))).alias("flow_a"), F.sum(side("token_b", F.col("flow"))).alias("flow_b"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidepool.functions.numbers import kelly
+from tidepool.operators.ranges import numbered
 
 STOP, TAKE = -0.2, 2.0
 
@@ -30,16 +31,6 @@ def walk_forward(df: DataFrame, ts: str, train_days: int, open_hour: int = 9, cl
     return rows.withColumn("split", split).where("split is not null")
 
 
-def numbered(df: DataFrame, *order: str, out: str = "row") -> DataFrame:
-    """0-based row numbers in a global order. Rows are range-partitioned and counted
-    by partition; numbers are the partition's offset plus the place in it."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    counts = parts.groupBy("_p").agg(F.count("*").alias("_c"))
-    offsets = counts.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_o"))
-    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    return parts.withColumn("_i", own).join(F.broadcast(offsets), "_p").withColumn(out, (F.col("_o") + F.col("_i")).cast("long")).drop("_p", "_i", "_o")
-
-
 def temporal_split(df: DataFrame, *order: str, train: float = 0.7, val: float = 0.15) -> DataFrame:
     """Split by place in time: train, val, test."""
     n = df.agg(F.count("*").alias("_n"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidepool.functions.numbers import direct_price
+from tidepool.operators.ranges import numbered_in_key
 
 LEAST_PRICE, MOST_PRICE, MOST_VOLUME = 1e-9, 1e7, 1e9
 ORDER = ("block_timestamp", "block_number", "event_id")
@@ -30,11 +31,10 @@ def sane(prices: DataFrame) -> DataFrame:
 
 
 def nearest_quantile(df: DataFrame, key: str, value: str, qs: dict[str, float]) -> DataFrame:
-    """Quantiles by nearest rank, round(q * (n - 1)), for each key. Ranks need
-    sorted groups; all quantiles share one window."""
-    w = Window.partitionBy(key)
-    ranked = df.select(key, value, (F.row_number().over(w.orderBy(value)) - 1).alias("r"), (F.count("*").over(w) - 1).alias("m"))
-    pick = {n: F.max(F.when(F.col("r") == F.round(F.col("m") * F.lit(q)).cast("long"), F.col(value))).alias(n) for n, q in qs.items()}
+    """Quantiles by nearest rank, round(q * (n - 1)), for each key. Ranks come from
+    ranges of (key, value), so a key of any size is dealt over tasks."""
+    ranked = numbered_in_key(df.select(key, value), key, value)
+    pick = {n: F.max(F.when(F.col("r") == F.round((F.col("n") - 1) * F.lit(q)).cast("long"), F.col(value))).alias(n) for n, q in qs.items()}
     return ranked.groupBy(key).agg(*pick.values())
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tidepool.operators.ranges import BLOCK_ROWS, row_blocks
+
 CUT = 1e-3
 D_GRID = tuple(round(0.05 * i, 2) for i in range(21))
 LEAST_OBSERVATIONS = 20
@@ -32,10 +34,25 @@ def frac_weights(d: float, cut: float = CUT) -> list[float]:
     return w
 
 
-def frac_diff(series: DataFrame, d: float, key: str = "token", order: tuple[str, ...] = ("ts",), value: str = "x", out: str = "frac") -> DataFrame:
-    """Fixed-width fractional difference; null until the kernel is full."""
+def in_blocks(f, df: DataFrame, key: str, order: tuple[str, ...], before: int = 0, after: int = 0, size: int = BLOCK_ROWS) -> DataFrame:  # noqa: ANN001
+    """f(df, window, first) with windows over blocks of a key's rows instead of whole keys: for
+    keys that hold a large share of all rows. window is unframed; first is the number of
+    the row in its key, from 1."""
+    rows = row_blocks(df, key, *order, before=before, after=after, size=size)
+    out = f(rows, Window.partitionBy(key, "block").orderBy("r"), F.col("r") + 1)
+    return out.where("own").drop("own", "block", "r", "n")
+
+
+def frac_diff(series: DataFrame, d: float, key: str = "token", order: tuple[str, ...] = ("ts",), value: str = "x", out: str = "frac", block: int | None = None) -> DataFrame:
+    """Fixed-width fractional difference; null until the kernel is full. block: deal keys
+    in blocks of so many rows."""
     w = frac_weights(d)
-    frame = Window.partitionBy(key).orderBy(*order)
+    if block:
+        return in_blocks(lambda df, frame, _: _convolved(df, w, frame, value, out), series, key, order, before=len(w) - 1, size=block)
+    return _convolved(series, w, Window.partitionBy(key).orderBy(*order), value, out)
+
+
+def _convolved(series: DataFrame, w: list[float], frame, value: str, out: str) -> DataFrame:  # noqa: ANN001
     past = F.collect_list(value).over(frame.rowsBetween(-(len(w) - 1), 0))
     kernel = F.array(*(F.lit(x) for x in reversed(w)))
     dot = F.aggregate(F.zip_with("_past", kernel, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
@@ -109,10 +126,16 @@ def log_return(price: Column, w) -> Column:  # noqa: ANN001
     return F.coalesce(lp - F.lag(lp).over(w), F.lit(0.0))
 
 
-def rolling_volatility(df: DataFrame, value: str, key: str, order: tuple[str, ...], width: int = WINDOW, out: str = "vol") -> DataFrame:
-    """Sample deviation of the last `width` values, null until there are as many."""
+def rolling_volatility(df: DataFrame, value: str, key: str, order: tuple[str, ...], width: int = WINDOW, out: str = "vol", block: int | None = None) -> DataFrame:
+    """Sample deviation of the last `width` values, null until there are as many.
+    block: deal keys in blocks of so many rows."""
+    def rolled(rows: DataFrame, w, first) -> DataFrame:  # noqa: ANN001
+        return rows.withColumn(out, F.when(first >= width, F.stddev_samp(value).over(w.rowsBetween(-(width - 1), 0))))
+
+    if block:
+        return in_blocks(rolled, df, key, order, before=width - 1, size=block)
     w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn(out, F.when(F.row_number().over(w) >= width, F.stddev_samp(value).over(w.rowsBetween(-(width - 1), 0))))
+    return rolled(df, w, F.row_number().over(w))
 
 
 def vertical_barrier(series: DataFrame, fraction: float = 0.5, key: str = "token", ts: str = "ts", most: int = 1000) -> DataFrame:

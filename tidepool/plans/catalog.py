@@ -69,10 +69,10 @@ SELECT pool, CAST(bar_no AS BIGINT) AS bar_no, bar_close_timestamp, CASE WHEN ab
 FROM d WHERE price_a IS NOT NULL AND price_b IS NOT NULL"""
 
 
-def _bars(t) -> DataFrame:  # noqa: ANN001
+def _bars(t, chunk_seconds: int | None = None) -> DataFrame:  # noqa: ANN001
     prices = t("fx_prices")
     pools = prices.select("pool").distinct().select("pool", F.lit("click").alias("token_a"), F.lit("purchase").alias("token_b"))
-    return bars.dollar_bars(prices, bars.adaptive_thresholds(prices, pools, low=500.0))
+    return bars.dollar_bars(prices, bars.adaptive_thresholds(prices, pools, low=500.0), chunk_seconds)
 
 
 @query(BAR_SQL, "fx_prices")
@@ -80,6 +80,11 @@ def t2_dollar_bars(t):  # noqa: ANN001, ANN201
     return rounded(_bars(t))
 
 
+@query(BAR_SQL, "fx_prices")
+def t2_dollar_bars_in_chunks(t):  # noqa: ANN001, ANN201
+    return rounded(_bars(t, 2 * 86_400))
+
+
 @query("""SELECT token_address, round(avg(v), 6) AS daily_volume FROM (SELECT token_address, CAST(block_timestamp AS DATE) AS day, sum(usdc_volume) AS v FROM fx_prices GROUP BY 1, 2) GROUP BY 1""", "fx_prices")
 def a2_daily_volume(t):  # noqa: ANN001, ANN201
     return rounded(bars.daily_volume(t("fx_prices")))
@@ -413,6 +418,11 @@ def w5_rolling_volatility(t):  # noqa: ANN001, ANN201
     return series.rolling_volatility(t("fx_prices"), "price_in_usdc", "pool", ("block_timestamp", "event_id")).select("event_id", r6("vol").alias("vol"))
 
 
+@query("""SELECT event_id, CASE WHEN row_number() OVER w >= 20 THEN round(stddev_samp(price_in_usdc) OVER (PARTITION BY token_address ORDER BY block_timestamp, event_id ROWS 19 PRECEDING), 6) END AS vol FROM fx_prices WINDOW w AS (PARTITION BY token_address ORDER BY block_timestamp, event_id)""", "fx_prices")
+def w5_rolling_volatility_in_blocks(t):  # noqa: ANN001, ANN201
+    return series.rolling_volatility(t("fx_prices"), "price_in_usdc", "token_address", ("block_timestamp", "event_id"), block=500).select("event_id", r6("vol").alias("vol"))
+
+
 _KERNEL = ", ".join(f"({k}, {w!r})" for k, w in enumerate(series.frac_weights(0.4)))
 
 
