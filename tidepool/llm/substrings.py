@@ -142,15 +142,24 @@ def _id(data: bytes, *seed: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in parts, so that few texts are Python objects at a time."""
     for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            part = batch.slice(start, 256)
-            texts = part.column("text").to_pylist()
-            keys, dids = part.column("t").to_pylist(), part.column("did").to_pylist()
-            rows = list(anchors_of(texts))
-            cols = ([r[1] for r in rows], [_id(texts[i][lo : hi + LENGTH], p - lo, p - hi) for i, _, p, lo, hi in rows], [keys[r[0]] for r in rows], [len(texts[r[0]]) for r in rows], [dids[r[0]] for r in rows], [(p << 20) | ((p - lo) << 10) | (p - hi) for _, _, p, lo, hi in rows])
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "u", "t", "n", "did", "place"])
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts: a row for each anchor."""
+    for part in _slices(batches):
+        texts = part.column("text").to_pylist()
+        keys, dids = part.column("t").to_pylist(), part.column("did").to_pylist()
+        rows = list(anchors_of(texts))
+        cols = (
+            [r[1] for r in rows], [_id(texts[i][lo : hi + LENGTH], p - lo, p - hi) for i, _, p, lo, hi in rows], [keys[r[0]] for r in rows], [len(texts[r[0]]) for r in rows],
+            [dids[r[0]] for r in rows], [(p << 20) | ((p - lo) << 10) | (p - hi) for _, _, p, lo, hi in rows],
+        )
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "u", "t", "n", "did", "place"])
 
 
 CONTEXT = "key long, large boolean, t long, n long, p long, far long, near long, ctx binary"
@@ -166,7 +175,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with the members of contested buckets in them: the bytes of each run."""
-    for batch in batches:
+    for batch in _slices(batches):
         rows = []
         for text, t, members in zip(batch.column("text").to_pylist(), batch.column("t").to_pylist(), batch.column("members").to_pylist()):
             for m in members:
@@ -179,7 +188,7 @@ def _divided(size: int):  # noqa: ANN202
     """Contexts cut in cells of `size` offsets, with the identifier of the core as key."""
 
     def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 2048):
             rows = []
             for r in batch.to_pylist():
                 key, p, far, near, ctx = r["key"], r["p"], r["far"], r["near"], r["ctx"]
@@ -243,7 +252,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         sizes, removed, spans, digests = [], [], [], []
         for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist()):
             runs = removed_runs([(r["start"], r["end"]) for r in ranges or ()])
