@@ -77,6 +77,42 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
        CAST(sum(24 + length(replace(replace(role, '<~', '<~~'), '<|', '<~|')) + length(replace(replace(text, '<~', '<~~'), '<|', '<~|'))) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id""",
+    "op5_extract": r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)(</article>|$)', 1), '<[a-zA-Z/][^>]*$', '') AS h FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split_regex(h, '</?(?:p|h1)>'),
+  lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(x, '<br>', ' '), '</?b>', '', 'g'),
+    '&quot;?', '"', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS x FROM a),
+c AS (SELECT page_id, url, array_to_string(list_filter(x, lambda t: t <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM c""",
+    "op8_secrets": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+p AS (SELECT unnest([1, 2, 3, 4]) AS kind, unnest([{assign}, 'AKIA[A-Z0-9]{{16,}}', '[0-9a-f]{{24,}}', '[A-Za-z0-9+/_=-]{{20,}}']) AS pattern),
+m AS (SELECT rid, kind, regexp_extract_all(text, pattern) AS hits, string_split_regex(text, pattern) AS gaps FROM d, p WHERE regexp_matches(text, pattern)),
+u AS (SELECT rid, kind, gaps, hits, unnest(range(1, len(hits) + 1)) AS i FROM m),
+s AS (SELECT rid, kind, hits[i] AS hit, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM u),
+cand AS (SELECT row_number() OVER () AS cid, rid, hit, start, least(length(hit), 20) AS w,
+           CASE WHEN regexp_matches(hit, '^[0-9a-fA-F]+$') THEN 2.8 WHEN regexp_matches(hit, '^[A-Za-z0-9]+$') THEN 3.4 ELSE 3.6 END AS bound
+         FROM s WHERE kind = 4 AND regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') AND NOT regexp_matches(hit, '(?i)example|placeholder|xxxx') AND NOT regexp_matches(hit, '^[a-z]+([-_/=][a-z0-9]{{1,12}})+$')
+           AND NOT regexp_matches(hit, '^[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}$')
+           AND len(list_filter(range(1, length(hit) - 6), lambda i: substr(hit, i, 8) = repeat(substr(hit, i, 1), 8))) = 0),
+win AS (SELECT cid, w, i, unnest(string_split(substr(hit, i, w), '')) AS ch FROM (SELECT cid, hit, w, unnest(range(1, length(hit) - w + 2)) AS i FROM cand)),
+ent AS (SELECT cid, i, -sum(n / w * log2(n / w)) AS h FROM (SELECT cid, i, CAST(w AS DOUBLE) AS w, ch, CAST(count(*) AS DOUBLE) AS n FROM win GROUP BY 1, 2, 3, 4) GROUP BY 1, 2),
+best AS (SELECT cid, max(h) AS h FROM ent GROUP BY 1),
+f AS (SELECT rid, kind, start, start + length(hit) AS stop FROM s WHERE kind IN (2, 3) OR kind = 1 AND length(regexp_extract(hit, {assign}, 2)) >= 6
+      UNION ALL SELECT rid, 4, start, start + length(hit) FROM cand JOIN best USING (cid) WHERE h >= bound - 1e-9),
+t AS (SELECT rid, kind, start, ['assign', 'access', 'hex', 'entropy'][kind] || ':' || start || ':' || stop AS span FROM f),
+g AS (SELECT rid, count(*) FILTER (WHERE kind = 1) AS n_assign, count(*) FILTER (WHERE kind = 2) AS n_access, count(*) FILTER (WHERE kind = 3) AS n_hex,
+        string_agg(span, ',' ORDER BY start, kind) FILTER (WHERE kind < 4) AS base, string_agg(span, ',' ORDER BY start, kind) AS spans FROM t GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (rid)""".format(assign="'" + secrets.ASSIGN.replace("'", "''") + "'"),
+    "op9_sharding": """
+WITH crc AS (SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(n))),
+d AS (SELECT row_number() OVER () AS n, doc_id, strlen(coalesce(text, '')) + 8 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes,
+        CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS h, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS g FROM documents),
+s AS (SELECT n, doc_id, size, h, g, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1])), 4294967295) AS text_crc32,
+        least(23, floor((sum(size) OVER (ORDER BY h, g, n) - size / 2.0::DOUBLE) * 24 / sum(size) OVER ())) AS shard FROM d, crc)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY h, g, n) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s""",
     "op10_decontaminate": r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id,

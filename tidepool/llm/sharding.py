@@ -37,6 +37,11 @@ def record_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
 
 
+def _key(value: Column) -> Column:
+    """The first 60 bits of the MD5 of a string; null is the empty string."""
+    return F.conv(F.substring(F.md5(F.coalesce(value, F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def range_number(key: tuple[Column, ...], splitters: list[tuple[int, ...]]) -> Column:
     """How many splitters (sorted) are <= key, by binary search in an array constant."""
     if not splitters:
@@ -70,7 +75,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
     records = written(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"), record_size(text).alias("size"),
-            F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).alias("text_crc32"), F.xxhash64(text).alias("h"), F.xxhash64(F.col(id_col)).alias("g"),
+            F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).alias("text_crc32"), _key(text).alias("h"), _key(F.col(id_col).cast("string")).alias("g"),
             F.monotonically_increasing_id().alias("n"),
         ),
         "records",
