@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: str | None = None
+#: Tables that written() made and nobody dropped yet, in order.
+_made: list[DataFrame] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +32,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._written_path = path
+    _made.append(back)
     return back
 
 
@@ -37,6 +40,20 @@ def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by written() that nothing reads any more."""
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_path)
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    _made[:] = [x for x in _made if x is not df]
+
+
+def made() -> int:
+    """A mark for clear(): how many tables there are so far."""
+    return len(_made)
+
+
+def clear(since: int = 0, but: DataFrame | None = None) -> None:
+    """Delete the tables made after a mark, all by default, except one. Call it when the
+    results that read them are saved: the operators can't know when that is."""
+    for df in _made[since:]:
+        if df is not but:
+            dropped(df)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
