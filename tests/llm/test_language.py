@@ -62,3 +62,5 @@ def test_edges(spark, edge_docs, empty_docs):
     assert language.identify(empty_docs, model).count() == 0
     kept = language.filter_known(edge_docs, model, 10.0)
     assert kept.columns == edge_docs.columns and {4, 5, 6}.isdisjoint(r.doc_id for r in kept.collect())
+    unlabelled = language.filter_known(edge_docs, none, 0.6).collect()
+    assert len(unlabelled) == len(edge_rows()) - 4

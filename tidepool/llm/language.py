@@ -215,14 +215,20 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def filter_known(docs: DataFrame, model: Model, max_rate: float, text_col: str = "text") -> DataFrame:
     """docs (all columns) without texts of no language (`und`) and texts that need
-    over max_rate phrases per letter in every learned language."""
+    over max_rate phrases per letter in every learned language. If no language was
+    learned, only texts without a letter go."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                names, _, rates = predict(shared.value, part.column(at).to_pylist())
-                yield part.filter(pa.array([n != "und" and r <= max_rate for n, r in zip(names, rates)], pa.bool_()))
+                texts = part.column(at).to_pylist()
+                if shared.value.languages:
+                    names, _, rates = predict(shared.value, texts)
+                    keep = [n != "und" and r <= max_rate for n, r in zip(names, rates)]
+                else:
+                    keep = [bool((normal_codes(x or "") != 32).any()) for x in texts]
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(scan, docs.schema)
