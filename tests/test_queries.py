@@ -15,8 +15,9 @@ def test_against_sql(spark, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
-def test_rows(spark, sf_dir, name):
-    assert catalog.QUERIES[name](spark, sf_dir).count() > 0
+def test_rows(spark, name):
+    # at sf0.001 every token is illiquid, so t9_bars_filtered is rightly empty there
+    assert catalog.QUERIES[name](spark, BIGGER).count() > 0
 
 
 def test_entry_point():
