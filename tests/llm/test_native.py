@@ -179,3 +179,30 @@ def test_mix(edge_docs, empty_docs, spark, sf_dir, monkeypatch):
     rows = mixing.report(docs).collect()
     assert len(rows) == docs.count() and all(0 < r.probability <= 1 for r in rows)
     assert {r.doc_id for r in rows if r.kept} == {r.doc_id for r in mixing.mix(docs).collect()}
+
+
+def test_bounded_raking_meets_the_marginals(spark):
+    """The small source's cells are kept whole and the others make up for them."""
+    cells = {("a", "en", "x"): 9000, ("a", "fr", "x"): 2000, ("a", "en", "y"): 3000, ("b", "en", "x"): 900, ("b", "fr", "x"): 1500, ("b", "fr", "y"): 2500, ("b", "en", "y"): 1500}
+    df = spark.createDataFrame([(*c, n) for c, n in cells.items()], "c_source string, c_lang string, c_topic string, tokens long")
+    total, keep = sum(cells.values()), 0.8
+    targets = {"source": {"a": 0.65, "b": 0.35}, "lang": {"en": 0.65, "fr": 0.35}, "topic": {"x": 0.62, "y": 0.38}}
+    free = {(r.c_source, r.c_lang, r.c_topic): r.w for r in mixing.rake(df, targets).collect()}
+    assert any(keep * free[c] > n for c, n in cells.items())
+    got = {(r.c_source, r.c_lang, r.c_topic): r.w for r in mixing.rake(df, targets, keep).collect()}
+    assert all(keep * got[c] <= n * (1 + 1e-9) for c, n in cells.items())
+    for i, d in enumerate(mixing.DIMENSIONS):
+        for v, share in targets[d].items():
+            assert abs(sum(w for c, w in got.items() if c[i] == v) / (share * total) - 1) < 1e-3
+
+
+def test_sample_has_its_rate_and_tells_what_is_missing(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = mixing.report(docs).collect()
+    total = sum(r.tokens for r in rows)
+    assert abs(sum(r.tokens * r.probability for r in rows) / total - mixing.KEEP) < 1e-3
+    told = mixing.marginals(docs).collect()
+    for r in told:
+        expected = sum(x.tokens * x.probability for x in rows if x[r.dimension] == r.value)
+        assert abs(expected - r.expected) <= 1e-6 * total and abs(r.target - r.expected - r.missing) < 1e-6 * total
+    assert any(r.missing > 1e-3 * r.target for r in told)
