@@ -1,7 +1,7 @@
 import hashlib
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tidepool.llm import substrings
 
@@ -26,20 +26,47 @@ def slow(texts, length=400):
     return out
 
 
-def rows(docs, bucket):
-    ranges = substrings.repeated_ranges(docs, bucket).groupBy("t", "n").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
-    joined = substrings._keyed(docs).select("doc_id", "text", "t", "n").join(ranges, ["t", "n"], "left")
-    out = joined.select("doc_id", "text", "ranges").mapInArrow(substrings._cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+def rows(docs, sizes):
+    out = substrings.dedup(docs, sizes).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     return sorted((tuple(r) for r in out.collect()), key=str)
 
 
-@pytest.mark.parametrize("bucket", [256, 1])
-def test_against_brute_force(spark, bucket):
+@pytest.mark.parametrize("sizes", [substrings.CELLS, (1,), (7, 3, 1)])
+def test_against_brute_force(spark, sizes):
     base, other = sentence(1, 200), sentence(2, 300)
     texts = [base, base[:900] + other, other[100:1500], base[500:] + base[500:], "q" * 1000, "pq" * 700, other[:399], other[:400], None, "", *(sentence(10 + i, 20) + base[300:760] + sentence(40 + i, 30) for i in range(6)), base[:450] + "!" + base[451:]]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = sorted(((i, *x) for i, x in enumerate(slow([(t or "").encode() for t in texts]))), key=str)
-    assert rows(docs, bucket) == want
+    assert rows(docs, sizes) == want
+
+
+def test_given_documents_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    want = sorted(((d, *x) for (d, _), x in zip(texts, slow([b for _, b in texts]))), key=str)
+    assert rows(docs, substrings.CELLS) == want and any(r[2] for r in want)
+
+
+def test_identifiers_are_made_of_those_at_later_offsets():
+    text = np.frombuffer(("ab" * 30 + sentence(3, 120) * 2).encode(), np.uint8)
+    levels = substrings.pointers(text)
+    assert len(levels) == 4
+    for k in range(1, 4):
+        later = substrings.GRAM << (k - 1)
+        below = levels[k - 1]
+        assert (levels[k] == substrings._pair(below[:-later], below[later:])).all()
+    for k, level in enumerate(levels):
+        named = {}
+        for i, x in enumerate(level.tolist()):
+            named.setdefault(x, set()).add(bytes(text[i : i + (substrings.GRAM << k)]))
+        assert all(len(v) == 1 for v in named.values()) and len(named) == len(set().union(*named.values()))
+
+
+def test_text_is_what_remains(spark):
+    base = "é" * 300
+    docs = spark.createDataFrame([(1, "xx" + base + "tail"), (2, base + "end"), (3, "short")], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in substrings.dedup(docs).collect()}
+    assert got == {1: ("xxtail", 600), 2: ("end", 600), 3: ("short", 0)}
 
 
 def test_edges(edge_docs, empty_docs):

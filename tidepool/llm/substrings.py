@@ -1,31 +1,36 @@
-"""Removal of repeated substrings by bucket refinement (operator 3).
+"""Removal of repeated substrings by bucket-pointer refinement (operator 3).
 
 Every byte that is covered by a LENGTH-byte string that starts anywhere else too, in
 the same document or another, goes. The method is that of suffix sorting by bucket
-pointers: suffixes start in buckets of equal q-grams, and buckets are refined by
-identifiers of the buckets at other offsets, which earlier rounds have made, until
-LENGTH bytes are told apart. Two things make it fit a cluster:
-
-* Not all suffixes are sorted. Each LENGTH-byte window has one anchor, the position of
-  its least q-gram hash (the last of equals). Equal windows have equal anchors at
-  equal offsets, so only anchors need buckets: about one for every 170 bytes.
-* An anchor stands for the run of windows whose anchor it is. Round 0 makes buckets of
-  equal anchors and drops those with one member. Round 1 refines by the whole stretch
-  that the run covers: members with an equal one are repeated as a whole, and one
-  stays to speak for them. Buckets that still differ are resolved, each in one task, if
-  they have at most BUCKET members. Larger ones are refined on and on: the offsets are
-  cut in cells of the sizes CELLS, and the bucket by the identifier of the core of the
-  cell, what all its windows have in common. At size 1 the core is the window itself,
-  and to share it is to be repeated, so a bucket of any size ends there.
-
-That a bucket is shared is told by counts or by its least and greatest member, so none
-over BUCKET is gathered anywhere. Identifiers are XXH64 of the bytes; with the
-anchor's own hash 128 bits agree wherever stretches are matched, and small buckets
-compare bytes. Texts are known by their hash and size, so copies share ranges.
+pointers: positions start in buckets of equal q-grams; a bucket is refined by the
+identifiers of the buckets at later offsets, and what a round has told apart is the key
+of the next one, until LENGTH bytes are told apart.
+
+* Identifiers (`pointers`). Level 0 is the bucket of the GRAM bytes at a position; level
+  k + 1 is the bucket of the pair (level k here, level k at GRAM * 2^k later), so each
+  round reuses the identifiers of the one before, and level 3 tells LENGTH bytes apart.
+  A string of any other size is named by two overlapping identifiers. A bucket's name is
+  a hash of the pair, not its rank, so every task finds the same one and nothing is
+  shuffled to look one up.
+* Anchors. Not all suffixes are dealt out. Each LENGTH-byte window has one anchor, the
+  position of its least q-gram hash (the last of equals). Equal windows have equal
+  anchors at equal offsets, so only anchors need buckets: about one for every 170 bytes.
+  An anchor stands for the run of windows whose anchor it is.
+* Rounds. Round 0 makes buckets of equal anchors and drops those with one member. In a
+  bucket, members whose whole stretch is equal are repeated as a whole, and one of them
+  stays to speak for them; only buckets that still differ go on. Their offsets are cut in
+  cells of the sizes CELLS; the new bucket is (old bucket, cell, identifier of the bytes
+  that all windows of the cell share). At size 1 these bytes are the window itself, and to
+  share them is to be repeated.
+
+A round is a count by bucket and joins with the counts, so no bucket, however large, is
+gathered anywhere, and no two members are compared. Members are matched on two
+independent 64-bit hashes. Texts are known by their hash and size, so copies share ranges.
 
 Defined cases: null text is empty; texts shorter than LENGTH lose nothing; repeated
 rows are documents of their own, so texts of LENGTH bytes or more go as a whole; null
-doc_id is kept; an empty table gives no rows; other columns are ignored.
+doc_id is kept; an empty table gives no rows; other columns are ignored. What stays may
+not be whole UTF-8; in `text` broken characters are U+FFFD, kept_sha256 has the bytes.
 """
 
 from __future__ import annotations
@@ -42,16 +47,19 @@ from pyspark.sql import functions as F
 from .shared import dropped, written
 
 LENGTH = 400
-Q = 64
-#: Members of a bucket that one task resolves; larger buckets are refined by cells of these sizes.
-BUCKET = 256
+#: Bytes of an anchor, and of the identifiers of level 0.
+Q, GRAM = 64, LENGTH // 8
+#: Offsets of a cell, round by round.
 CELLS = (48, 8, 1)
 #: Window starts taken at once: bounds memory, whatever the size of a text.
 CHUNK = 1 << 17
+#: Members whose bytes are taken at once.
+MEMBERS = 512
 _PLACE = np.uint64((1 << 20) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
-_BYTE = np.array([xxhash.xxh64_intdigest(bytes([x]), 42) for x in range(256)], np.uint64)
+#: Two independent numberings of the bytes.
+_BYTE, _OTHER = (np.array([xxhash.xxh64_intdigest(bytes([x]), seed) for x in range(256)], np.uint64) for seed in (42, 43))
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -62,7 +70,7 @@ def _powers(n: int, base: int) -> np.ndarray:
 _pow: list[np.ndarray] = []
 
 
-def gram_hashes(data: np.ndarray, q: int) -> np.ndarray:
+def gram_hashes(data: np.ndarray, q: int, numbers: np.ndarray = _BYTE) -> np.ndarray:
     """A hash of the q bytes at each position: polynomial, then mixed."""
     if not _pow:
         n = CHUNK + (1 << 20)
@@ -70,7 +78,7 @@ def gram_hashes(data: np.ndarray, q: int) -> np.ndarray:
     n = len(data)
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
-    np.cumsum(_BYTE[data] * _pow[0][:n], out=total[1:])
+    np.cumsum(numbers[data] * _pow[0][:n], out=total[1:])
     h = (total[q:] - total[:-q]) * _pow[1][: n - q + 1]
     h ^= h >> np.uint64(32)
     h *= _MIX
@@ -162,110 +170,98 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "u", "t", "n", "did", "place"])
 
 
-CONTEXT = "key long, large boolean, t long, n long, p long, far long, near long, ctx binary"
-RANGES = "t long, n long, start long, end long"
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The name of the pair (a, b)."""
+    h = (a ^ (a >> np.uint64(31))) * _MIX + (b ^ (b >> np.uint64(29))) * np.uint64(_BASE)
+    h ^= h >> np.uint64(32)
+    h *= _MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def pointers(data: np.ndarray, numbers: np.ndarray = _BYTE) -> list[np.ndarray]:
+    """Level k: the bucket of the GRAM * 2^k bytes at each position."""
+    levels = [gram_hashes(data, GRAM, numbers)]
+    while GRAM << len(levels) <= min(LENGTH, len(data)):
+        later = GRAM << (len(levels) - 1)
+        levels.append(_pair(levels[-1][:-later], levels[-1][later:]))
+    return levels
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    """Rows of CONTEXT."""
-    kinds = (pa.int64(), pa.bool_(), *[pa.int64()] * 5, pa.binary())
-    names = ("key", "large", "t", "n", "p", "far", "near", "ctx")
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 8, kinds)], list(names))
+def _named(levels: list[np.ndarray], at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """The name of the `size` bytes at each position, by two identifiers that overlap; all
+    sizes are within one level."""
+    k = min(len(levels) - 1, (int(np.min(size)) // GRAM).bit_length() - 1)
+    return _pair(levels[k][at], levels[k][at + size - (GRAM << k)]) + np.asarray(size, np.uint64)
+
+
+CELL = "key long, whole long, t long, n long, p long, far long, near long"
+CONTEXT = "t long, n long, p long, far0 long, ctx binary, cells array<struct<key:long,far:long,near:long>>"
+RANGES = "t long, n long, start long, end long"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with the members of contested buckets in them: the bytes of each run."""
+    """Texts with their members of contested buckets: the bytes of each run."""
+    kinds = (*[pa.int64()] * 4, pa.binary(), pa.list_(pa.struct([("key", pa.int64()), ("far", pa.int64()), ("near", pa.int64())])))
     for batch in _slices(batches):
-        rows = []
         for text, t, members in zip(batch.column("text").to_pylist(), batch.column("t").to_pylist(), batch.column("members").to_pylist()):
-            for m in members:
-                p, far, near = m["place"] >> 20, (m["place"] >> 10) & 1023, m["place"] & 1023
-                rows.append((m["a"], m["large"], t, len(text), p, far, near, text[p - far : p - near + LENGTH]))
-        yield _batch(rows)
-
-
-def _divided(size: int):  # noqa: ANN202
-    """Contexts cut in cells of `size` offsets, with the identifier of the core as key."""
-
-    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches, 2048):
-            rows = []
-            for r in batch.to_pylist():
-                key, p, far, near, ctx = r["key"], r["p"], r["far"], r["near"], r["ctx"]
-                for c in range(near // size, far // size + 1):
-                    low, high = c * size, c * size + size - 1
-                    begin = far - low  # of the core in ctx, whose first byte is at offset far
-                    core = _id(ctx[begin : begin + LENGTH - size + 1], key, c, size)
-                    own_far, own_near = min(far, high), max(near, low)
-                    rows.append((core, False, r["t"], r["n"], p, own_far, own_near, ctx[far - own_far : far - own_near + LENGTH]))
-            yield _batch(rows)
-
-    return divide
-
-
-def shared_starts(members: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
-    """(t, n, start, end) of bytes of windows that another member (t, n, p, far, near,
-    ctx) of the bucket has too. Members are aligned at their anchors; with L bytes in
-    common to the left and R from the anchor on, the windows of offsets LENGTH - R to L
-    are shared."""
-    widest = max(m[3] for m in members)
-    right = max(len(m[5]) - m[3] for m in members)
-    table = np.zeros((len(members), widest + right), np.uint8)
-    ok = np.zeros_like(table, bool)
-    for i, (*_, far, _, ctx) in enumerate(members):
-        at = widest - far
-        table[i, at : at + len(ctx)] = np.frombuffer(ctx, np.uint8)
-        ok[i, at : at + len(ctx)] = True
-    who = [m[:3] for m in members]
-    for i, (t, n, p, far, near, _) in enumerate(members):
-        same = (table == table[i]) & ok & ok[i]
-        left = same[:, :widest][:, ::-1]
-        reach_left = np.where(left.all(1), widest, left.argmin(1)) if widest else np.zeros(len(members), int)
-        rest = same[:, widest:]
-        reach_right = np.where(rest.all(1), right, rest.argmin(1))
-        high, low = np.minimum(reach_left, far), np.maximum(LENGTH - reach_right, near)
-        for j in np.flatnonzero(high >= low).tolist():
-            if who[j] != who[i]:
-                yield t, n, p - int(high[j]), p - int(low[j]) + LENGTH
-
-
-def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: the shared ranges of each bucket."""
-    key, members = None, []
-
-    def settle() -> pa.RecordBatch:
-        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for t, n, a, b in shared_starts(members) if len(members) > 1 else ():
-            found.setdefault((t, n), []).append((a, b))
-        rows = [(t, n, a, b) for (t, n), ranges in found.items() for a, b in removed_runs(ranges)]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * 4)], ["t", "n", "start", "end"])
+            for at in range(0, len(members), MEMBERS):
+                rows = []
+                for m in members[at : at + MEMBERS]:
+                    p, far, near = m["place"] >> 20, (m["place"] >> 10) & 1023, m["place"] & 1023
+                    rows.append((t, len(text), p, far, text[p - far : p - near + LENGTH], [{"key": m["a"], "far": far, "near": near}]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["t", "n", "p", "far0", "ctx", "cells"])
+
+
+def cells_of(data: np.ndarray, begin: np.ndarray, far0: np.ndarray, key: np.ndarray, far: np.ndarray, near: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Runs of offsets far to near cut in cells of `size`: (run, key, whole, far, near) of
+    each cell. The bytes of a run's member start at begin in data, with offset far0."""
+    per = far // size - near // size + 1
+    run = np.repeat(np.arange(len(per)), per)
+    cell = near[run] // size + np.arange(len(run)) - np.repeat(np.cumsum(per) - per, per)
+    low, zero = cell * size, begin[run] + far0[run]
+    levels = pointers(data)
+    core = _named(levels, zero - low, LENGTH - size + 1)
+    own_far, own_near = np.minimum(far[run], low + size - 1), np.maximum(near[run], low)
+    whole = _named(pointers(data, _OTHER), zero - own_far, LENGTH + own_far - own_near)
+    whole = _pair(whole, (own_far * 1024 + own_near).astype(np.uint64))
+    return run, _pair(_pair(key[run].view(np.uint64), core), cell.astype(np.uint64)), whole, own_far, own_near
+
+
+def _cells(size: int):  # noqa: ANN202
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches, MEMBERS):
+            ctx = batch.column("ctx").to_pylist()
+            if not ctx:
+                continue
+            lists = batch.column("cells")
+            of = np.repeat(np.arange(len(ctx)), np.diff(lists.offsets.to_numpy()))
+            cells = lists.flatten()
+            key, far, near = (cells.field(k).to_numpy() for k in range(3))
+            sizes = np.array(list(map(len, ctx)))
+            begin = np.cumsum(sizes) - sizes
+            own = {c: batch.column(c).to_numpy() for c in ("t", "n", "p", "far0")}
+            run, key, whole, far, near = cells_of(np.frombuffer(b"".join(ctx), np.uint8), begin[of], own["far0"][of], key, far, near, size)
+            who = of[run]
+            columns = [key.view(np.int64), whole.view(np.int64), own["t"][who], own["n"][who], own["p"][who], far, near]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["key", "whole", "t", "n", "p", "far", "near"])
 
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "t", "n", "p", "far", "near", "ctx"))):
-            if row[0] != key and members:
-                yield settle()
-                members = []
-            key = row[0]
-            members.append(row[1:])
-    if members:
-        yield settle()
+    return scan
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches):
-        sizes, removed, spans, digests = [], [], [], []
+        sizes, removed, spans, digests, left = [], [], [], [], []
         for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist()):
             runs = removed_runs([(r["start"], r["end"]) for r in ranges or ()])
-            kept, at = hashlib.sha256(), 0
-            for a, b in runs:
-                kept.update(text[at:a])
-                at = b
-            kept.update(text[at:])
+            cuts = [0, *(x for run in runs for x in run), len(text)]
+            kept = b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
             sizes.append(len(text))
             removed.append(sum(b - a for a, b in runs))
             spans.append(len(runs))
-            digests.append(kept.hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            digests.append(hashlib.sha256(kept).hexdigest())
+            left.append(kept.decode("utf-8", "replace"))
+        columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(left, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
 
 def removed_runs(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -283,57 +279,56 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"), F.octet_length(text).cast("long").alias("n"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("did"))
 
 
-def _resolved(contexts: DataFrame) -> DataFrame:
-    sorted_ = contexts.repartition("key").sortWithinPartitions("key").select("key", "t", "n", "p", "far", "near", "ctx")
-    return written(sorted_.mapInArrow(_resolve, RANGES), "ranges")
+def _refined(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A round over cells (CELL): the ranges of members that another one equals as a whole,
+    and one member for each stretch of the buckets that still differ."""
+    groups = written(cells.groupBy("key", "whole").agg(F.count("*").alias("c"), F.min(F.struct("t", "n", "p", "far", "near")).alias("m")), "groups")
+    repeated = groups.where("c > 1").select("key", "whole")
+    start, end = F.col("p") - F.col("far"), F.col("p") - F.col("near") + LENGTH
+    found = cells.hint("merge").join(repeated.hint("merge"), ["key", "whole"], "left_semi").select("t", "n", start.alias("start"), end.alias("end")).distinct()
+    differ = groups.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    contested = groups.hint("merge").join(differ.hint("merge"), "key", "left_semi").select("key", "m.*")
+    return found, contested
 
 
-def repeated_ranges(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(t, n, start, end): byte ranges of repeated windows, for each text, known by hash and size."""
+def repeated_ranges(docs: DataFrame, sizes: tuple[int, ...] = CELLS) -> DataFrame:
+    """(t, n, start, end): byte ranges of repeated windows, for each text, known by hash and
+    size. sizes: of the cells, round by round; the last is 1."""
     keyed = _keyed(docs)
     # round 0: buckets of equal anchors
     all_ = written(keyed.select("text", "t", "did").mapInArrow(_scan, "a long, u long, t long, n long, did long, place long"), "anchors")
     shared = written(all_.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a"), "buckets")
     anchors = written(all_.hint("merge").join(shared.hint("merge"), "a", "left_semi"), "members")
     dropped(all_)
-    # round 1: whole stretches
+    # whole stretches
     groups = anchors.groupBy("a", "u").agg(F.count("*").alias("c"), F.min(F.struct("did", "t", "n", "place")).alias("m"))
     groups = written(groups.select("a", "u", "c", "m.*"), "groups")
     whole = groups.where("c > 1").select("a", "u")
     start = F.shiftright("place", 20) - F.shiftright("place", 10).bitwiseAND(1023)
     end = F.shiftright("place", 20) - F.col("place").bitwiseAND(1023) + LENGTH
-    found = [anchors.hint("merge").join(whole.hint("merge"), ["a", "u"], "left_semi").select("t", "n", start.alias("start"), end.alias("end")).distinct()]
-    # buckets that still differ, one member for each stretch
-    differ = written(groups.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a", (F.col("c") > bucket).alias("large")), "differ")
-    contested = groups.hint("merge").join(differ.hint("merge"), "a")
-    per_text = written(contested.groupBy("did", "t", "n").agg(F.collect_list(F.struct("a", "large", "place")).alias("members")), "contested")
+    out = anchors.hint("merge").join(whole.hint("merge"), ["a", "u"], "left_semi").select("t", "n", start.alias("start"), end.alias("end")).distinct()
+    # buckets that still differ, one member for each stretch, with their bytes
+    differ = groups.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a")
+    contested = groups.hint("merge").join(differ.hint("merge"), "a", "left_semi")
+    per_text = written(contested.groupBy("did", "t", "n").agg(F.collect_list(F.struct("a", "place")).alias("members")), "contested")
     texts = keyed.select("did", "t", "n", "text")
     contexts = texts.join(per_text.hint("shuffle_hash"), ["did", "t", "n"]).select("text", "t", "members")
     contexts = written(contexts.mapInArrow(_contexts, CONTEXT), "contexts")
-    found.append(_resolved(contexts.where("not large")))
-    # large buckets: by the cores of smaller and smaller cells
-    large = contexts.where("large")
-    for size in CELLS:
-        cells = written(large.mapInArrow(_divided(size), CONTEXT), "cells")
-        who = F.xxhash64("t", "n", "p")
-        shared = cells.groupBy("key").agg(F.count("*").alias("c"), F.min(who).alias("x"), F.max(who).alias("y")).where("x <> y")
-        shared = written(shared.select("key", (F.col("c") > bucket).alias("over")), "shared")
-        cells = cells.drop("large").hint("merge").join(shared.hint("merge"), "key")
-        if size == 1:
-            found.append(cells.select("t", "n", (F.col("p") - F.col("far")).alias("start"), (F.col("p") - F.col("far") + LENGTH).alias("end")))
-            break
-        cells = written(cells.select("key", F.col("over").alias("large"), "t", "n", "p", "far", "near", "ctx"), "refined")
-        found.append(_resolved(cells.where("not large")))
-        large = cells.where("large")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    current = contexts
+    for size in sizes:
+        cells = written(current.mapInArrow(_cells(size), CELL), "cells")
+        found, left = _refined(cells)
+        out = out.unionByName(found)
+        if size > 1:
+            per_member = written(left.groupBy("t", "n", "p").agg(F.collect_list(F.struct("key", "far", "near")).alias("cells")), "left")
+            current = contexts.drop("cells").hint("merge").join(per_member.hint("merge"), ["t", "n", "p"])
     return out
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of docs."""
-    ranges = repeated_ranges(docs).groupBy("t", "n").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+def dedup(docs: DataFrame, sizes: tuple[int, ...] = CELLS) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text) of each row of docs; text
+    is what remains."""
+    ranges = repeated_ranges(docs, sizes).groupBy("t", "n").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     ranges = written(ranges, "ranges")
     joined = _keyed(docs).select("doc_id", "text", "t", "n").join(ranges.hint("shuffle_hash"), ["t", "n"], "left")
-    return joined.select("doc_id", "text", "ranges").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.select("doc_id", "text", "ranges").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
