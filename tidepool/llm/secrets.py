@@ -2,13 +2,14 @@
 
 Base kinds are patterns. The method adds kind `entropy`: candidate strings are runs
 of 20 or more token characters; each character class (hex, alphanumeric, base64) has
-a window and a least Shannon entropy. A window slides over the candidate; its counts
-change by one character out and one in, so n * H = n log n - sum c log c is kept by
-increments. A candidate whose best window passes is a secret unless an allow-list
-pattern matches it.
+an alphabet, a window and a least Shannon entropy. A window slides over the candidate
+with its count of each letter; a step changes the counts of the letter that leaves and
+the one that comes, and with them n * H = n log n - sum c log c. A candidate whose best
+window passes is a secret unless the allow list has it.
 
 Positions are code points, end exclusive. A pattern's matches and the pieces between
-them give all positions in one linear pass over the text.
+them give all positions in one pass over the text. Work is in proportion to the length
+of a candidate, and close to the number of matches (running sums are in blocks).
 
 Defined cases: null text is empty: no spans; repeated rows are scanned alike; an
 empty table gives no rows; other columns are ignored.
@@ -30,16 +31,47 @@ KINDS = ("assign", "access", "hex", "entropy")
 #: Candidates of the entropy scan, and what they need at least: a digit and a letter.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 NEEDS = (r"[0-9]", r"[A-Za-z]")
-#: (class, pattern of the whole candidate, window, least entropy in bits); the first class that fits counts.
-CLASSES = (("hex", r"^[0-9a-fA-F]+$", 20, 2.8), ("alnum", r"^[A-Za-z0-9]+$", 20, 3.4), ("base64", r"^[A-Za-z0-9+/_=-]+$", 20, 3.6))
-#: Strings that look random but aren't secrets: ids with dashes in fixed places, one
-#: character repeated, paths and names of lower-case words, samples that say so.
-ALLOWED = (
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(.)\1{7}",
-    r"^[a-z]+([-_/=][a-z0-9]{1,12})+$",
-    r"(?i)example|placeholder|xxxx",
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: (class, pattern of the whole candidate, alphabet, window, least entropy in bits); the first class that fits counts.
+CLASSES = (
+    ("hex", r"^[0-9a-fA-F]+$", _DIGITS + "abcdefABCDEF", 20, 2.8),
+    ("alnum", r"^[A-Za-z0-9]+$", _DIGITS + _LOWER + _UPPER, 20, 3.4),
+    ("base64", r"^[A-Za-z0-9+/_=-]+$", _DIGITS + _LOWER + _UPPER + "+/_=-", 20, 3.6),
 )
+#: Strings that look random but aren't secrets: ids with dashes in fixed places, one
+#: character repeated, samples that say so; and paths and names of lower-case words (`pathlike`).
+ALLOWED = (r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", r"(.)\1{7}", r"(?i)example|placeholder|xxxx")
+#: Running sums are taken in blocks of so many, and their totals likewise.
+BLOCK = 64
+
+
+def _let(value: Column, body) -> Column:  # noqa: ANN001
+    """body(value), with value worked out once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(numbers: Column, levels: int = 2) -> Column:
+    """The running sums of an array. A fold that appends copies what it has, so folds are
+    over blocks, and what comes before a block is a running sum of totals."""
+    if not levels:
+        return F.aggregate(
+            numbers, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")),
+            lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["ends"], F.array(acc["at"] + n)).alias("ends")),
+            lambda acc: acc["ends"],
+        )
+
+    def over(all_: Column) -> Column:
+        starts = F.when(F.size(all_) > 0, F.sequence(F.lit(1), F.size(all_), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+        own = F.transform(starts, lambda i: running(F.slice(all_, i, F.lit(BLOCK)), 0))
+
+        def shifted(blocks: Column) -> Column:
+            totals = running(F.transform(blocks, lambda x: F.element_at(x, -1)), levels - 1)
+            before = lambda sums, i: F.when(i == 0, 0).otherwise(F.get(sums, i - 1))
+            return F.flatten(_let(totals, lambda sums: F.transform(blocks, lambda x, i: _let(before(sums, i), lambda b: F.transform(x, lambda e: e + b)))))
+
+        return _let(own, shifted)
+
+    return _let(numbers, over)
 
 
 def located(hits: Column, text: Column, pattern: str) -> Column:
@@ -47,48 +79,61 @@ def located(hits: Column, text: Column, pattern: str) -> Column:
     points. The text is split again only where there are hits."""
     gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), F.length)
     sizes = F.zip_with(gaps, F.transform(hits, F.length), lambda g, n: g + n)
-    # running sums by a fold that appends
-    ends = F.aggregate(
-        sizes, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")),
-        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["ends"], F.array(acc["at"] + n)).alias("ends")),
-        lambda acc: acc["ends"],
-    )
+    ends = running(sizes)
     found = F.zip_with(ends, hits, lambda e, h: F.struct((e - F.length(h)).alias("start"), e.alias("end"), h.alias("hit")))
     return F.when(F.size(hits) > 0, found).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string>>"))
 
 
 def _c_log_c(c: Column) -> Column:
-    return F.when(c > 0, c * F.log2(c)).otherwise(F.lit(0.0))
+    return F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
 
 
-def _count(char: Column, window: Column) -> Column:
-    return (F.length(window) - F.length(F.replace(window, char, F.lit("")))).cast("double")
+def best_entropy(s: Column, alphabet: str, window: int, enough: float = math.inf) -> Column:
+    """The highest Shannon entropy (bits a character) of a window over s, by
+    incremental counts; of s itself if it is shorter. Counts are a string with a
+    character for each letter of the alphabet: code ZERO plus the letter's count. The
+    window stops where one has `enough`."""
+    zero = ord("0")
+    letters = F.lit(alphabet)
+    place = lambda c: F.instr(letters, c)
+    count = lambda counts, at: F.ascii(F.substring(counts, at, F.lit(1))) - zero
+    put = lambda counts, at, n: F.overlay(counts, F.char(n + zero), at, F.lit(1))
+    empty = F.struct(F.lit("0" * len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"))
 
+    def come(acc: Column, c: Column) -> Column:
+        return _let(place(c), lambda at: _let(count(acc["counts"], at), lambda n: F.struct(put(acc["counts"], at, n + 1).alias("counts"), (acc["sum"] - _c_log_c(n) + _c_log_c(n + 1)).alias("sum"))))
 
-def best_entropy(s: Column, window: int) -> Column:
-    """The highest Shannon entropy (bits a character) of a window over s, by
-    incremental counts; of s itself if it is shorter."""
-    w = F.least(F.length(s), F.lit(window))
-    first = F.substring(s, F.lit(1), w)
-    start = F.aggregate(F.array_distinct(F.split(first, "")), F.lit(0.0), lambda acc, c: acc + F.when(c == "", 0.0).otherwise(_c_log_c(_count(c, first))))
+    def gone(acc: Column, c: Column) -> Column:
+        return _let(place(c), lambda at: _let(count(acc["counts"], at), lambda n: F.struct(put(acc["counts"], at, n - 1).alias("counts"), (acc["sum"] - _c_log_c(n) + _c_log_c(n - 1)).alias("sum"))))
+
+    def over(chars: Column) -> Column:
+        w = F.least(F.size(chars), F.lit(window))
+
+        def slide(acc: Column, i: Column) -> Column:
+            moved = lambda new: F.struct(new["counts"].alias("counts"), new["sum"].alias("sum"), F.least(acc["low"], new["sum"]).alias("low"))
+            leaves, comes = F.get(chars, i - window), F.get(chars, i)
+            return F.when((leaves == comes) | (F.log2(w) - acc["low"] / w >= enough), acc).otherwise(_let(come(gone(acc, leaves), comes), moved))
+
+        first = F.aggregate(F.slice(chars, F.lit(1), w), empty, come)
+        steps = F.when(F.size(chars) > window, F.sequence(F.lit(window), F.size(chars) - 1)).otherwise(F.array().cast("array<int>"))
+        low = _let(first, lambda f: F.aggregate(steps, F.struct(f["counts"].alias("counts"), f["sum"].alias("sum"), f["sum"].alias("low")), slide, lambda acc: acc["low"]))
+        return F.log2(w) - low / w
+
+    return _let(F.filter(F.split(s, ""), lambda c: c != ""), over)
 
-    def slide(acc: Column, i: Column) -> Column:
-        rest = F.substring(acc["win"], F.lit(2), w)
-        gone, come = F.substring(acc["win"], F.lit(1), F.lit(1)), F.substring(s, i, F.lit(1))
-        out, into = _count(gone, rest), _count(come, rest)
-        total = acc["sum"] - _c_log_c(out + 1) + _c_log_c(out) - _c_log_c(into) + _c_log_c(into + 1)
-        return F.struct(F.concat(rest, come).alias("win"), total.alias("sum"), F.least(acc["low"], total).alias("low"))
 
-    positions = F.when(F.length(s) > window, F.sequence(F.lit(window + 1), F.length(s))).otherwise(F.array().cast("array<int>"))
-    low = F.aggregate(positions, F.struct(first.alias("win"), start.alias("sum"), start.alias("low")), slide, lambda acc: acc["low"])
-    return F.log2(w) - low / w
+def pathlike(hit: Column) -> Column:
+    """Lower-case words and short numbers with separators, a word first."""
+    parts = F.split(hit, "[-_/=]", -1)
+    return F.rlike(hit, F.lit("^[a-z]+[-_/=]")) & _let(parts, lambda p: F.forall(F.slice(p, F.lit(2), F.size(p)), lambda x: x.rlike("^[a-z0-9]{1,12}$")))
 
 
 def suspicious(hit: Column) -> Column:
     """Whether a candidate has a window of high entropy and is on no allow list."""
     high = F.lit(False)
-    for _, pattern, window, least in reversed(CLASSES):
-        high = F.when(hit.rlike(pattern), best_entropy(hit, window) >= least).otherwise(high)
+    for _, pattern, alphabet, window, least in reversed(CLASSES):
+        high = F.when(hit.rlike(pattern), best_entropy(hit, alphabet, window, least) >= least).otherwise(high)
+    high = F.when(pathlike(hit), F.lit(False)).otherwise(high)
     for allowed in ALLOWED:
         high = F.when(hit.rlike(allowed), F.lit(False)).otherwise(high)
     for needed in NEEDS:
