@@ -26,7 +26,8 @@ def test_against_brute_force(spark, monkeypatch):
     rows = [(i, [float(x) for x in v[i]]) for i in range(700)]
     rows += [(701, None), (750, [None, 1.0]), (800, [math.nan] * 16), (850, [math.inf] + [0.0] * 15), (None, [1.0] * 16), (900, [0.5] * 3), (901, []), (902, [1.0] * 20), rows[50], rows[7], rows[100]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", __import__("pyspark").sql.functions.lit("clash")).repartition(4)
-    monkeypatch.setattr(maxscore, "QUERY_BLOCK", 5)
+    for name, n in (("QUERY_BLOCK", 5), ("SHARD_ROWS", 130), ("SEED_ROWS", 60), ("BLOCK_ROWS", 40)):
+        monkeypatch.setattr(maxscore, name, n)
     assert sorted(map(tuple, maxscore.report(df).collect())) == slow(rows)
 
 
@@ -50,3 +51,33 @@ def test_huge_values_and_few_rows(spark):
 
 def test_empty(spark):
     assert maxscore.report(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_given_vectors_skip_terms_and_lose_nothing(spark, sf_dir):
+    rows = maxscore.quantised(spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/embeddings.parquet")).toPandas().drop_duplicates("vec_id")
+    x = np.stack(rows["v"]).astype(np.int64)
+    ids = rows["vec_id"].to_numpy()
+    own = np.flatnonzero(ids % maxscore.QUERY_STEP == 0)
+    seeds = np.arange(0, len(ids), 2)
+    floor = []
+    for i in own:
+        scores = x[seeds[seeds != i]] @ x[i]
+        floor.append(np.sort(scores)[-5])
+    block = maxscore.Block(ids[own], maxscore.pa.array([v.tolist() for v in x[own]], maxscore.pa.list_(maxscore.pa.int64())), np.array(floor, float), 5)
+    for at in range(0, len(ids), 100):
+        part = x[at : at + 100]
+        block.take(ids[at : at + 100], maxscore.pa.array(part.tolist(), maxscore.pa.list_(maxscore.pa.int64())))
+    searches, terms, essential = block.told.tolist()
+    assert searches == len(own) * -(-len(ids) // 100) and essential < 0.7 * terms
+    for i, got_ids, got in zip(own, block.best_ids, block.best):
+        scores = x @ x[i]
+        want = sorted((-int(s), int(v)) for s, v in zip(scores, ids) if v != ids[i])[:5]
+        assert [(-int(s), int(v)) for s, v in zip(got, got_ids)] == want
+
+
+def test_every_run_starts_with_a_threshold(spark, sf_dir, monkeypatch):
+    floors = []
+    met = maxscore._met
+    monkeypatch.setattr(maxscore, "_met", lambda rows, queries, *a: floors.append(queries.where("floor is null").count()) or met(rows, queries, *a))
+    out = maxscore.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    assert out.count() and floors[0] > 0 and floors[1] == 0
