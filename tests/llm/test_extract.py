@@ -36,3 +36,34 @@ def test_join_paths_agree(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(extract, "BROADCAST_ROWS", -1)
     assert sorted(map(tuple, extract.report(pages).collect())) == one
     assert extract.report(pages.limit(0)).count() == 0
+
+
+def test_given_pages_depend_on_the_counts(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/pages.parquet")
+    articles = {r.page_id: extract.Page(r.html or "").main_text() for r in pages.collect()}
+    assert {r.page_id: r.text for r in extract.report(pages).collect()} == articles
+    # without templates, menus and adverts of the larger hosts stay
+    off = {r.page_id: r.text for r in extract.report(pages, 10**9).collect()}
+    assert sum(off[k] != articles[k] for k in off) > 20
+
+
+def test_counts_decide_where_names_say_nothing(spark):
+    rows = []
+    for i in range(20):
+        extra = "<div class='comments'><p>I agree</p></div>" if i % 5 == 0 else ""
+        rows.append((i, f"http://big.example/{i}", f"<body><div class='q7'><i>word {i}</i></div><article><div><p>Story {i}</p></div>{extra}</article>loose {i}<section><p>more {i}</p></section></body>"))
+    rows.append((99, "http://small.example/", "<body><div class='q7'>x</div><article><p>Y</p><div class='comments'><p>c</p></div></article>loose</body>"))
+    got = {r.page_id: r.text for r in extract.report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: f"Story {i}" for i in range(20)}, 99: "Y"}
+
+
+def test_long_and_deep_pages(spark):
+    import time
+
+    deep = "<div>" * 50_000 + "<p>in</p>" + "<li>x" * 2_000 + "</b></span>" * 20_000
+    long = "<article>" + "<p>one &amp; two</p>" * 100_000 + "</article>"
+    start = time.time()
+    pages = spark.createDataFrame([(1, "http://a/", deep), (2, "http://a/", long)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract.report(pages).collect()}
+    assert got[1] == "in\n" + "\n".join("x" for _ in range(2_000)) and got[2].count("one & two") == 100_000
+    assert time.time() - start < 60

@@ -1,15 +1,24 @@
 """HTML main-text extraction with site template removal (operator 5).
 
-A page is parsed leniently into elements (unclosed and misnested ones included).
-Left out: elements that are never content by tag (scripts, styles, forms, nav,
-header, footer, aside, ...) and by a word of their class, id or role (menus,
-sidebars, notices, adverts, reader comments, ...). If a page has an article (else a
-main element), only that counts.
-
-Site templates: the subtrees of container elements are hashed, Spark counts for each
-host how many pages of different content hold the subtree, and subtrees on at least
-MIN_PAGES of them are deleted too. Headings and text blocks as such are no
-containers: a passage that many articles quote stays.
+A page is parsed once, leniently (unclosed and misnested elements included), into text
+blocks and container elements. Text that HTML itself never shows as text (scripts,
+styles, forms, embedded media, the head) is not read. What else is boilerplate is told by
+the host's pages:
+
+* Each container's subtree has two hashes, built bottom-up: `exact` (tag, attributes,
+  text, children) and `shape` (tag, class words and the set of its children's shapes;
+  no text). Spark counts on how many pages of different content a host has them.
+* On a host with at least HOST_PAGES such pages these subtrees are deleted: exact ones on
+  MIN_PAGES pages or more, wherever they are; shapes on LEAST_PAGES pages or more, if they
+  lie outside the content element (article, else main) or bear a name of boilerplate
+  (SKIP_WORDS, nav, footer, ...); and named shapes on MIN_PAGES pages of any hosts. Text
+  outside the content element and in no container goes by its tag likewise. An element
+  that holds the content element is never deleted.
+* On smaller hosts there is too little to count, and names decide: content element only,
+  without what is named.
+
+Headings and text blocks as such are no containers: a passage that many articles quote
+stays.
 
 Text: character references are decoded, white space inside a block becomes one space,
 blocks are trimmed and joined by one newline.
@@ -17,13 +26,14 @@ blocks are trimmed and joined by one newline.
 Defined cases: null html is empty; a null url has the empty host; repeated pages are
 extracted alike and are one page for the count; truncated pages are read as far as
 they go, an unfinished tag at the end is dropped; an empty table gives no rows; other
-columns are ignored.
+columns are ignored. Work is linear in the length of a page and the depth it nests to.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,14 +43,17 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-MIN_PAGES = 8
-#: Rows of templates a page may be joined with by broadcast; beyond, a sort-merge join.
-BROADCAST_ROWS = 50_000
+#: Pages of different content: of a host whose counts decide, that make an exact subtree a
+#: template, and that make a shape one.
+HOST_PAGES, MIN_PAGES, LEAST_PAGES = 12, 8, 3
+#: Templates that may be broadcast; beyond, a merge join on keys salted SALTS-fold.
+BROADCAST_ROWS, SALTS = 50_000, 16
 
 # Element names of the HTML standard and words of common site markup.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-NEVER = frozenset("head script style noscript template iframe object embed svg canvas math audio video map form button select option textarea input nav header footer aside menu dialog title xmp noembed noframes".split())
+HIDDEN = frozenset("head script style noscript template iframe object embed svg canvas math audio video map form button select option textarea input title xmp noembed noframes".split())
+NAMED = frozenset("nav header footer aside menu dialog".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br script style noscript template svg button select iframe object".split())
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr figcaption caption hr".split())
 CONTENT = ("article", "main")
@@ -54,26 +67,45 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?
 MARKS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 
 
-def _skips(tag: str, attributes: str) -> bool:
-    if tag in NEVER:
-        return True
-    if attributes and "=" in attributes:
-        for m in MARKS.finditer(attributes):
-            if not SKIP_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", m[1].lower())):
-                return True
-    return False
+def _marks(attributes: str) -> list[str]:
+    """The words of class, id and role."""
+    if not attributes or "=" not in attributes:
+        return []
+    return [w for m in MARKS.finditer(attributes) for w in re.split(r"[^a-z0-9]+", m[1].lower()) if w]
+
+
+def _hash(*parts) -> int:  # noqa: ANN002
+    """A signed 64-bit hash, never 0."""
+    return _signed(xxhash.xxh64_intdigest(repr(parts).encode("utf-8", "surrogatepass"))) or 1
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+class Container:
+    __slots__ = ("parent", "named", "inside", "holds", "text", "hasher", "exact", "shape")
+
+    def __init__(self, parent: int, named: bool, inside: frozenset[str], hasher) -> None:  # noqa: ANN001
+        self.parent, self.named, self.inside, self.hasher = parent, named, inside, hasher
+        self.holds: set[str] = set()
+        self.text = False
+        self.exact = self.shape = 0
 
 
 class Page:
-    """blocks: (text, content depth flags, open containers); subtrees: hash of each container."""
+    """blocks: [text, container or -1, content elements around it, under a name, tag]; containers."""
 
     def __init__(self, source: str) -> None:
-        self.blocks: list[tuple[str, frozenset[str], tuple[int, ...]]] = []
-        self.subtrees: list[int] = []
-        self._stack: list[tuple[str, bool, int, int]] = []  # tag, skips, container number or -1, start
-        self._skipping = 0
+        self.blocks: list[tuple[str, int, frozenset[str], bool, str]] = []
+        self.containers: list[Container] = []
+        # tag, hidden, named, container or -1, shapes of the children (None for inline elements), marks
+        self._stack: list[tuple[str, bool, bool, int, set[int] | None, tuple[str, ...]]] = []
+        self._outer = [set()]  # the sets of the open elements that are not inline
+        self._open_tags: Counter[str] = Counter()
+        self._at = [-1]  # open containers
+        self._hidden = self._named = 0
         self._buffer: list[str] = []
-        self._source = source
         at = 0
         while True:
             m = TOKEN.search(source, at)
@@ -88,136 +120,225 @@ class Page:
                 break  # an unfinished tag
             tag = m[2].lower()
             if m[1]:
-                self._close(tag, at)
+                self._close(tag)
                 continue
-            self._open(tag, m[3], m.start())
+            self._open(tag, m[3])
             if tag in RAW:
                 end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(source, at)
                 at = end.end() if end else len(source)
-                self._close(tag, at)
+                self._close(tag)
         while self._stack:
-            self._pop(len(source))
+            self._pop()
         self._flush()
 
     def _text(self, text: str) -> None:
-        if text and not self._skipping:
+        if text and not self._hidden:
             self._buffer.append(text)
 
+    def _inside(self) -> frozenset[str]:
+        return frozenset(t for t in CONTENT if self._open_tags[t])
+
     def _flush(self) -> None:
         if self._buffer:
             text = " ".join(entities.unescape("".join(self._buffer)).split())
             if text:
-                open_ = self._stack
-                self.blocks.append((text, frozenset(t for t, *_ in open_ if t in CONTENT), tuple(c for *_, c, _ in open_ if c >= 0)))
+                at = self._at[-1]
+                tag = next((x[0] for x in reversed(self._stack) if x[4] is not None), "")
+                self.blocks.append((text, at, self._inside(), self._named > 0, tag))
+                if at >= 0:
+                    self.containers[at].text = True
+                    self.containers[at].hasher.update(text.encode("utf-8", "surrogatepass") + b"\0")
             self._buffer = []
 
-    def _pop(self, at: int) -> None:
-        tag, skips, number, start = self._stack[-1]
-        if tag not in INLINE:
+    def _pop(self) -> None:
+        tag, hidden, named, number, children, marks = self._stack[-1]
+        if children is not None:
             self._flush()
         self._stack.pop()
-        self._skipping -= skips
+        self._open_tags[tag] -= 1
+        self._hidden -= hidden
+        self._named -= named
+        if children is None:
+            return
+        self._outer.pop()
+        shape = _hash(tag, marks, sorted(children))
+        self._outer[-1].add(shape)
         if number >= 0:
-            self.subtrees[number] = xxhash.xxh64_intdigest(self._source[start:at].encode("utf-8", "surrogatepass"))
-
-    def _open(self, tag: str, attributes: str, at: int) -> None:
-        if tag in CONTENT and not _skips(tag, attributes):
-            while self._skipping:  # content does not start inside an advert that was left open
-                self._pop(at)
+            self._at.pop()
+            own = self.containers[number]
+            own.exact, own.shape = _signed(own.hasher.intdigest()) or 1, shape
+            own.hasher = None
+            if own.parent >= 0:
+                above = self.containers[own.parent]
+                above.holds |= own.holds
+                above.text |= own.text
+                above.hasher.update(own.exact.to_bytes(8, "little", signed=True))
+        elif tag in CONTENT and not named and self._at[-1] >= 0:
+            self.containers[self._at[-1]].holds.add(tag)
+
+    def _open(self, tag: str, attributes: str) -> None:
+        marks = tuple(_marks(attributes))
+        hidden = tag in HIDDEN
+        named = tag in NAMED or not SKIP_WORDS.isdisjoint(marks)
+        if tag in CONTENT and not named:
+            while self._hidden or self._named:  # content does not start inside an advert that was left open
+                self._pop()
         if tag in ENDS:
-            ended, bounds = ENDS[tag]
-            self._end(ended, bounds, at)
+            self._end(*ENDS[tag])
         if tag not in INLINE:
-            self._end({"p"}, {"td", "th", "li", "div", "section", *CONTENT, "table", "blockquote", "body"}, at)
+            self._end({"p"}, {"td", "th", "li", "div", "section", *CONTENT, "table", "blockquote", "body"})
             self._flush()
         elif tag == "br":
             self._text(" ")
         if tag in VOID:
             return
-        skips = _skips(tag, attributes)
-        number = -1
-        if tag not in INLINE and tag not in TEXT_BLOCKS and tag not in CONTENT and tag not in ("html", "body", "head"):
-            number = len(self.subtrees)
-            self.subtrees.append(0)
-        self._stack.append((tag, skips, number, at))
-        self._skipping += skips
-
-    def _end(self, ended: set[str], bounds: set[str], at: int) -> None:
+        number, children = -1, None
+        if tag not in INLINE:
+            children = set()
+            self._outer.append(children)
+            if tag not in TEXT_BLOCKS and tag not in CONTENT and tag not in ("html", "body", "head"):
+                number = len(self.containers)
+                self.containers.append(Container(self._at[-1], named, self._inside(), xxhash.xxh64(f"{tag}{attributes}".encode("utf-8", "surrogatepass"))))
+                self._at.append(number)
+            elif self._at[-1] >= 0:
+                self.containers[self._at[-1]].hasher.update(f"<{tag}>".encode("utf-8", "surrogatepass"))
+        self._stack.append((tag, hidden, named, number, children, tuple(re.sub("[0-9]+", "0", w) for w in marks)))
+        self._open_tags[tag] += 1
+        self._hidden += hidden
+        self._named += named
+
+    def _end(self, ended: set[str], bounds: set[str]) -> None:
         """Close the nearest open element of `ended`, unless a bound is nearer."""
+        if not any(self._open_tags[t] for t in ended):
+            return
         for i in range(len(self._stack) - 1, -1, -1):
             if self._stack[i][0] in ended:
                 while len(self._stack) > i:
-                    self._pop(at)
+                    self._pop()
                 return
             if self._stack[i][0] in bounds:
                 return
 
-    def _close(self, tag: str, at: int) -> None:
-        if tag == "p" and not any(t == "p" for t, *_ in self._stack):
-            self._flush()
+    def _close(self, tag: str) -> None:
+        if not self._open_tags[tag]:
+            if tag == "p":
+                self._flush()
+            return
         for i in range(len(self._stack) - 1, -1, -1):
             if self._stack[i][0] == tag:
-                while len(self._stack) > i + 1:
-                    self._pop(at)
-                self._pop(at)
+                while len(self._stack) > i:
+                    self._pop()
                 return
             if self._stack[i][0] in CONTENT and tag in INLINE:
                 return
 
-    def content(self) -> list[tuple[str, tuple[int, ...]]]:
-        """Blocks that count: of articles, else of main elements, else all."""
-        for name in CONTENT:
-            if own := [(t, c) for t, inside, c in self.blocks if name in inside]:
-                return own
-        return [(t, c) for t, _, c in self.blocks]
-
-    def main_text(self, templates: set[int] = frozenset()) -> str:
-        return "\n".join(t for t, c in self.content() if not (templates and any(self.subtrees[i] in templates for i in c)))
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
-def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hosts, keys, hashes, mains, inside = [], [], [], [], []
-        for host, key, source in zip(batch.column("host").to_pylist(), batch.column("key").to_pylist(), batch.column("html").to_pylist()):
-            page = Page(source)
-            main = _signed(xxhash.xxh64_intdigest(page.main_text().encode("utf-8", "surrogatepass")))
-            used = {page.subtrees[i] for _, c in page.content() for i in c}
-            for h in set(page.subtrees):
-                hosts.append(host)
-                keys.append(key)
-                hashes.append(_signed(h))
-                mains.append(main)
-                inside.append(h in used)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(mains, pa.int64()), pa.array(inside, pa.bool_())], ["host", "key", "hash", "main", "inside"])
-
-
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [Page(source).main_text({x & ((1 << 64) - 1) for x in drop or ()}) for source, drop in zip(batch.column("html").to_pylist(), batch.column("drop").to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-
-def templates(subtrees: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, hash) of subtrees on at least min_pages pages of different content."""
-    return subtrees.select("host", "hash", "main").distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("host", "hash")
-
-
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    def content(self) -> str | None:
+        """The content element that counts: article, else main, if either has text."""
+        return next((c for c in CONTENT if any(c in inside and not named for _, _, inside, named, _ in self.blocks)), None)
+
+    def kept(self) -> list[bool]:
+        """Of each block whether names leave it in."""
+        content = self.content()
+        return [not named and (content is None or content in inside) for _, _, inside, named, _ in self.blocks]
+
+    def main_text(self) -> str:
+        return "\n".join(b[0] for b, keep in zip(self.blocks, self.kept()) if keep)
+
+    def marked(self) -> tuple[list[dict], list[dict]]:
+        """blocks and containers as rows. A hash is 0 where it may not decide."""
+        content = self.content()
+        blocks = [{"text": text, "at": at, "keep": keep, "stray": _hash("stray", tag) if content and at < 0 and content not in inside else 0} for (text, at, inside, _, tag), keep in zip(self.blocks, self.kept())]
+        containers = []
+        for c in self.containers:
+            free = c.text and not (c.holds and content in c.holds)
+            outside = content is not None and content not in c.inside
+            containers.append({"parent": c.parent, "exact": _hash("exact", c.exact) if free else 0, "shape": _hash("shape", c.shape) if free and (outside or c.named) else 0, "named": _hash("named", c.shape) if free and c.named else 0})
+        return blocks, containers
+
+
+#: Marks a page of a host in the counts.
+PAGE = 0
+PARSED = (
+    "row long, page_id long, url string, host string, main long, blocks array<struct<text:string,at:int,keep:boolean,stray:long>>, "
+    "containers array<struct<parent:int,exact:long,shape:long,named:long>>"
+)
+_BLOCK = pa.struct([("text", pa.string()), ("at", pa.int32()), ("keep", pa.bool_()), ("stray", pa.int64())])
+_CONTAINER = pa.struct([("parent", pa.int32()), ("exact", pa.int64()), ("shape", pa.int64()), ("named", pa.int64())])
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            mains, blocks, containers = [], [], []
+            for source in batch.column("html").to_pylist():
+                page = Page(source)
+                mains.append(_signed(xxhash.xxh64_intdigest(page.main_text().encode("utf-8", "surrogatepass"))))
+                b, c = page.marked()
+                blocks.append(b)
+                containers.append(c)
+            columns = [batch.column(c) for c in ("row", "page_id", "url", "host")] + [pa.array(mains, pa.int64()), pa.array(blocks, pa.list_(_BLOCK)), pa.array(containers, pa.list_(_CONTAINER))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "page_id", "url", "host", "main", "blocks", "containers"])
+
+
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            texts = [assembled(b, c, set(d or ())) for b, c, d in zip(*(batch.column(n).to_pylist() for n in ("blocks", "containers", "drop")))]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+
+def assembled(blocks: list[dict], containers: list[dict], drop: set[int]) -> str:
+    """The text of a page, given the hashes that recur on its host."""
+    if PAGE not in drop:
+        return "\n".join(b["text"] for b in blocks if b["keep"])
+    gone: list[bool] = []
+    for c in containers:  # parents come first
+        gone.append((c["parent"] >= 0 and gone[c["parent"]]) or any(c[k] and c[k] in drop for k in ("exact", "shape", "named")))
+    return "\n".join(b["text"] for b in blocks if not ((b["at"] >= 0 and gone[b["at"]]) or (b["stray"] and b["stray"] in drop)))
+
+
+def signatures(parsed: DataFrame) -> DataFrame:
+    """(row, host, hash, least, main): what each page shows, and on how many pages it
+    must be to count. Named shapes are there for any host (null) too."""
+    one = lambda host, hash_, least: F.struct(host.alias("host"), hash_.cast("long").alias("hash"), F.lit(least).alias("least"))
+    host, anywhere = F.col("host"), F.lit(None).cast("string")
+    of = lambda name, least, where=host: F.transform("containers", lambda c: one(where, c[name], least))
+    rows = F.concat(
+        of("exact", MIN_PAGES), of("shape", LEAST_PAGES), of("named", LEAST_PAGES), of("named", MIN_PAGES, anywhere),
+        F.transform("blocks", lambda b: one(host, b["stray"], LEAST_PAGES)),
+    )
+    rows = F.concat(F.filter(rows, lambda x: x["hash"] != 0), F.array(one(host, F.lit(PAGE), HOST_PAGES)))
+    return parsed.select("row", "main", F.explode(rows).alias("x")).select("row", "x.*", "main")
+
+
+def templates(shown: DataFrame, min_pages: int | None = None) -> DataFrame:
+    """(host, hash) of what recurs on enough pages of different content. min_pages: for all
+    but the count of a host's pages."""
+    pages = shown.groupBy("host", "hash", "least", "main").agg(F.lit(1).alias("one")).groupBy("host", "hash", "least").agg(F.count("*").alias("n"))
+    need = F.col("least") if min_pages is None else F.when(F.col("hash") == PAGE, F.col("least")).otherwise(F.lit(min_pages))
+    return pages.where(F.col("n") >= need).select("host", "hash").distinct()
+
+
+def extract(pages: DataFrame, min_pages: int | None = None) -> DataFrame:
     """(page_id, url, text) of each row of pages (page_id, url, html)."""
-    src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    src = src.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1))).withColumn("key", F.xxhash64("url", "html"))
-    subtrees = written(src.select("host", "key", "html").mapInArrow(_subtrees, "host string, key long, hash long, main long, inside boolean"), "subtrees")
-    recurring = written(templates(subtrees, min_pages), "templates")
-    hit = subtrees.where("inside").hint("merge").join(recurring.hint("merge"), ["host", "hash"])
-    drops = written(hit.groupBy("key").agg(F.collect_set("hash").alias("drop")), "drops")
-    small = drops.count() <= BROADCAST_ROWS
-    joined = src.join(F.broadcast(drops) if small else drops.hint("merge"), "key", "left")
-    return joined.select("page_id", "url", "html", "drop").mapInArrow(_extract, "page_id long, url string, text string")
-
-
-def report(pages: DataFrame) -> DataFrame:
-    return extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    src = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    src = src.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1)))
+    parsed = written(src.mapInArrow(_parse, PARSED), "parsed")
+    shown = written(signatures(parsed), "signatures")
+    recurring = written(templates(shown, min_pages), "templates")
+    shown = shown.select("row", F.coalesce("host", F.lit("*")).alias("host"), "hash").distinct()
+    recurring = recurring.select(F.coalesce("host", F.lit("*")).alias("host"), "hash")
+    if recurring.count() <= BROADCAST_ROWS:
+        hit = shown.join(F.broadcast(recurring), ["host", "hash"])
+    else:
+        salted = recurring.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        hit = shown.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).hint("merge").join(salted.hint("merge"), ["host", "hash", "salt"])
+    drops = written(hit.groupBy("row").agg(F.collect_set("hash").alias("drop")), "drops")
+    joined = parsed.hint("merge").join(drops.hint("merge"), "row", "left")
+    return joined.select("page_id", "url", "blocks", "containers", "drop").mapInArrow(_assemble, "page_id long, url string, text string")
+
+
+def report(pages: DataFrame, min_pages: int | None = None) -> DataFrame:
+    return extract(pages, min_pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
