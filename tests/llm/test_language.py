@@ -8,16 +8,14 @@ from tidepool.llm import language
 from .conftest import edge_rows
 
 
-def slow_phrases(sample, symbols, block=language.BLOCK):
-    n = 0
-    for at in range(0, len(symbols), block):
-        part, i = symbols[at : at + block], 0
-        while i < len(part):
-            k = 0
-            while i + k < len(part) and part[i : i + k + 1] in sample:
-                k += 1
-            i += max(k, 1)
-            n += 1
+def slow_phrases(sample, symbols):
+    n = i = 0
+    while i < len(symbols):
+        k = 0
+        while i + k < len(symbols) and symbols[i : i + k + 1] in sample:
+            k += 1
+        i += max(k, 1)
+        n += 1
     return n
 
 
@@ -38,6 +36,29 @@ def test_phrases_against_substring_search():
         assert (name, round(rate, 12), round(score, 12)) == (best, round(slow[best], 12), round(1 - slow[best] / other, 12))
 
 
+def test_state_is_carried_from_lane_to_lane(monkeypatch):
+    import random
+
+    r = random.Random(4)
+    sample = "".join(r.choice("ab c") for _ in range(3000)) + "日本語の文章です" * 30 + "".join(chr(0x4E00 + i) for i in range(2000))
+    model = language.Model({"x": [sample], "y": ["ba" * 400 + " " + sample[500:700]]})
+    joined = {"x": sample, "y": "ba" * 400 + " " + sample[500:700]}
+    joined = {k: "".join(map(chr, language.normal_codes(v + " "))) for k, v in joined.items()}
+    texts = [sample[100:2400], "ab" * 900, sample[10:90] * 15, "日本語" * 50 + "の文", "c", "".join(chr(0x4E00 + 17 * i % 2100) for i in range(700)), "q" * 300]
+    parts = [language.normal_codes(t) for t in texts]
+    want = [[slow_phrases(joined[k], "".join(map(chr, x))) for k in "xy"] for x in parts]
+    for block, lanes in ((256, 4096), (7, 4096), (7, 5), (1, 3)):
+        monkeypatch.setattr(language, "BLOCK", block)
+        monkeypatch.setattr(language, "LANES", lanes)
+        assert model.phrases([model.to_symbols(x) for x in parts]).tolist() == want
+
+
+def test_very_long_text():
+    model = language.Model({"x": ["the cat sat on the mat and the rat"], "y": ["der hund und die katze"]})
+    names, _, rates = language.predict(model, ["the cat " * 300_000, "the cat " * 32])
+    assert names == ["x", "x"] and abs(rates[0] - rates[1]) < 0.01
+
+
 def test_held_out_accuracy(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = language.identify(docs, language.learn(docs)).join(docs.select("doc_id", "lang"), "doc_id").where(language.held_out(F.col("doc_id"))).collect()
