@@ -29,10 +29,17 @@ from .shared import written
 
 SHARDS = 24
 RANGES = 384
+#: A range should not be larger than this: more bytes take more ranges, up to MOST_RANGES
+#: (a row of the table of splitters, which each task holds).
+RANGE_BYTES, MOST_RANGES = 256 << 20, 24 * 2048
 #: Sampled keys a range: their total bounds the one sort that is not distributed.
 PER_RANGE = 24
 
 
+def ranges_for(total: int) -> int:
+    return min(MOST_RANGES, max(RANGES, -(-total // RANGE_BYTES)))
+
+
 def record_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
 
@@ -53,9 +60,10 @@ def range_number(key: tuple[Column, ...], splitters: list[tuple[int, ...]]) -> C
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), higher)
 
 
-def sampled_splitters(records: DataFrame, ranges: int = RANGES) -> list[tuple[int, ...]]:
+def sampled_splitters(records: DataFrame, ranges: int | None = None) -> list[tuple[int, ...]]:
     """Quantile boundaries of a size-weighted sample of the keys (h, g, n)."""
     total = records.agg(F.sum("size")).first()[0] or 0
+    ranges = ranges_for(total) if ranges is None else ranges
     wanted = ranges * PER_RANGE
     chance = F.least(F.lit(1.0), F.col("size") * F.lit(wanted / max(total, 1)))
     drawn = F.shiftrightunsigned(F.xxhash64(F.lit("draw"), "g", "n"), 11).cast("double") / float(1 << 53)
@@ -71,12 +79,17 @@ def sampled_splitters(records: DataFrame, ranges: int = RANGES) -> list[tuple[in
 
 def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of each row of docs."""
+    return placed_rows(docs, F.monotonically_increasing_id(), shards, id_col, text_col).drop("n")
+
+
+def placed_rows(docs: DataFrame, number: Column, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As assign(), with n, the number that `number` gives each row."""
     text = F.col(text_col)
     records = written(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"), record_size(text).alias("size"),
             F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).alias("text_crc32"), _key(text).alias("h"), _key(F.col(id_col).cast("string")).alias("g"),
-            F.monotonically_increasing_id().alias("n"),
+            number.alias("n"),
         ),
         "records",
     )
@@ -99,7 +112,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
     counts = counts.select("shard", "range", (F.sum("rows").over(Window.partitionBy("shard").orderBy("range")) - F.col("rows")).alias("slot_base"))
     own = F.row_number().over(Window.partitionBy("shard", "range").orderBy("h", "g", "n")) - 1
     slotted = placed.withColumn("own", own)
-    return slotted.join(F.broadcast(counts), ["shard", "range"]).select("doc_id", "size", "text_crc32", "shard", (F.col("slot_base") + F.col("own")).cast("long").alias("slot"))
+    return slotted.join(F.broadcast(counts), ["shard", "range"]).select("n", "doc_id", "size", "text_crc32", "shard", (F.col("slot_base") + F.col("own")).cast("long").alias("slot"))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,12 +15,15 @@ _made: list[DataFrame] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, where that is
-    unset (tests on one machine), a fresh temporary folder."""
+    """The folder all executors share: spark.checkpoint.dir, or, where that is unset and
+    all runs in one process (tests), a fresh temporary folder. On a cluster a local folder
+    would keep each executor's rows from the others, so there the setting is required."""
     global _own_dir
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     return _own_dir
