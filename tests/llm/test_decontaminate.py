@@ -34,9 +34,12 @@ def test_automaton_against_brute_force(text, items, window):
 def test_blocks_give_the_same(spark, sf_dir, monkeypatch):
     docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     one = sorted(map(tuple, d.report(docs, items).collect()))
+    cut = sorted(map(tuple, d.remove_overlaps(docs, items).collect()), key=str)
     monkeypatch.setattr(d, "BLOCK_WORDS", 300)
-    assert len(d.automata(items)) > 2
+    monkeypatch.setattr(d, "PIECE_WORDS", 40)
+    assert len(d.item_blocks(items)) > 2
     assert sorted(map(tuple, d.report(docs, items).collect())) == one
+    assert sorted(map(tuple, d.remove_overlaps(docs, items).collect()), key=str) == cut and len(cut) < docs.count()
 
 
 def test_edges(spark, edge_docs, empty_docs):
