@@ -39,7 +39,8 @@ def test_blocks_give_the_same(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(d, "PIECE_WORDS", 40)
     assert len(d.item_blocks(items)) > 2
     assert sorted(map(tuple, d.report(docs, items).collect())) == one
-    assert sorted(map(tuple, d.remove_overlaps(docs, items).collect()), key=str) == cut and len(cut) < docs.count()
+    assert sorted(map(tuple, d.remove_overlaps(docs, items).collect()), key=str) == cut
+    assert any(a.text != b.text for a, b in zip(d.remove_overlaps(docs, items).orderBy("doc_id").collect(), docs.orderBy("doc_id").collect()))
 
 
 def test_edges(spark, edge_docs, empty_docs):

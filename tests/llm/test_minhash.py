@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline as p
-from tidepool.llm import minhash
+from tidepool.llm import simhash
 
 from .conftest import SCHEMA, sentence
 
@@ -65,11 +65,20 @@ def test_group_larger_than_the_lags(spark, sf_dir):
     assert sorted(r.doc_id for r in got.collect()) == slow_kept([r[:2] for r in rows])
 
 
-def test_across_gives_what_the_lags_left():
-    import pyarrow as pa
-
-    n = np.full(12, 100)
-    node, root = np.arange(12), np.array([0] * 11 + [11])
-    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(12, np.int64)), pa.array(n), pa.array(node), pa.array(root)], ["bucket", "n", "node", "root"])
-    got = {(a, b) for r in minhash._across([batch]) for a, b in zip(r.column("a").to_pylist(), r.column("b").to_pylist())}
-    assert got == {(i, 11) for i in range(11 - minhash.LAGS)}
+def test_dense_buckets_send_few_pairs_and_span():
+    rng = np.random.default_rng(6)
+    centre = rng.integers(0, 1 << 63, dtype=np.uint64)
+    f = np.array([centre ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, 5, replace=False).astype(np.uint64)) for _ in range(9000)])
+    i, j = simhash.candidates(f)
+    assert len(i) <= 2 * (len(f) + len(f) // simhash.CUT + 1)
+    root = np.arange(len(f))
+    for a, b in zip(i.tolist(), j.tolist()):
+        while root[a] != a:
+            a = root[a]
+        while root[b] != b:
+            b = root[b]
+        root[max(a, b)] = min(a, b)
+    for x in range(len(f)):
+        while root[x] != root[root[x]]:
+            root[x] = root[root[x]]
+    assert (root == 0).all()

@@ -49,7 +49,9 @@ def test_bucket_edges_connect_like_all_pairs():
     rng = np.random.default_rng(1)
     centre = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
     f = np.unique(np.concatenate([centre, *(c ^ (np.uint64(1) << rng.integers(0, 64, (80, 3), dtype=np.uint64)).sum(1) for c in centre)]))
-    for least in (simhash.bucket_edges(f), simhash._spanning(f, 4)):
+    for i, j in (simhash.bucket_edges(f), simhash._tree(f, 4, 3), simhash.bucket_edges(np.repeat(f, 30))):
+        whole = f if max(i.max(), j.max()) < len(f) else np.repeat(f, 30)
+        least = [(int(a), int(b)) for a, b in zip(whole[i], whole[j])]
         assert all((a ^ b).bit_count() <= 4 for a, b in least)
         label = {int(x): int(x) for x in f}
 
@@ -79,7 +81,8 @@ def test_large_bucket_is_cut_without_loss():
     rng = np.random.default_rng(2)
     f = np.unique(rng.integers(0, 1 << 40, 6000, dtype=np.uint64))
     f = np.unique(np.concatenate([f, f[:50] ^ np.uint64(0b1011)]))
-    pairs = {frozenset(p) for p in simhash.bucket_edges(f)}
+    i, j = simhash.bucket_edges(f)
+    pairs = {frozenset((int(a), int(b))) for a, b in zip(f[i], f[j])}
     have = {int(x) for p in pairs for x in p}
     for x in f[np.isin(f ^ np.uint64(0b1011), f)]:
         assert int(x) in have
