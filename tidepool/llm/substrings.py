@@ -55,6 +55,8 @@ CELLS = (48, 8, 1)
 CHUNK = 1 << 17
 #: Members whose bytes are taken at once.
 MEMBERS = 512
+#: Tasks that the members of one bucket are dealt over.
+SALTS = 16
 _PLACE = np.uint64((1 << 20) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -279,6 +281,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"), F.octet_length(text).cast("long").alias("n"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("did"))
 
 
+def _of_buckets(groups: DataFrame, key: str, stretch: str) -> DataFrame:
+    """The groups (one row for each stretch of a bucket) of buckets with several. The
+    members of a bucket are dealt over SALTS tasks."""
+    differ = groups.groupBy(key).agg(F.count("*").alias("c")).where("c > 1").select(key, F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    salted = groups.withColumn("salt", F.pmod(stretch, F.lit(SALTS)).cast("int"))
+    return salted.hint("merge").join(differ.hint("merge"), [key, "salt"], "left_semi").drop("salt")
+
+
 def _refined(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A round over cells (CELL): the ranges of members that another one equals as a whole,
     and one member for each stretch of the buckets that still differ."""
@@ -286,9 +296,7 @@ def _refined(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     repeated = groups.where("c > 1").select("key", "whole")
     start, end = F.col("p") - F.col("far"), F.col("p") - F.col("near") + LENGTH
     found = cells.hint("merge").join(repeated.hint("merge"), ["key", "whole"], "left_semi").select("t", "n", start.alias("start"), end.alias("end")).distinct()
-    differ = groups.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    contested = groups.hint("merge").join(differ.hint("merge"), "key", "left_semi").select("key", "m.*")
-    return found, contested
+    return found, _of_buckets(groups, "key", "whole").select("key", "m.*")
 
 
 def repeated_ranges(docs: DataFrame, sizes: tuple[int, ...] = CELLS) -> DataFrame:
@@ -308,8 +316,7 @@ def repeated_ranges(docs: DataFrame, sizes: tuple[int, ...] = CELLS) -> DataFram
     end = F.shiftright("place", 20) - F.col("place").bitwiseAND(1023) + LENGTH
     out = anchors.hint("merge").join(whole.hint("merge"), ["a", "u"], "left_semi").select("t", "n", start.alias("start"), end.alias("end")).distinct()
     # buckets that still differ, one member for each stretch, with their bytes
-    differ = groups.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a")
-    contested = groups.hint("merge").join(differ.hint("merge"), "a", "left_semi")
+    contested = _of_buckets(groups, "a", "u")
     per_text = written(contested.groupBy("did", "t", "n").agg(F.collect_list(F.struct("a", "place")).alias("members")), "contested")
     texts = keyed.select("did", "t", "n", "text")
     contexts = texts.join(per_text.hint("shuffle_hash"), ["did", "t", "n"]).select("text", "t", "members")
