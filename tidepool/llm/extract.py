@@ -1,9 +1,9 @@
 """HTML main-text extraction with site template removal (operator 5).
 
-A page is parsed once, leniently (unclosed and misnested elements included), into text
-blocks and container elements. Text that HTML itself never shows as text (scripts,
-styles, forms, embedded media, the head) is not read. What else is boilerplate is told by
-the host's pages:
+A page is parsed leniently (unclosed and misnested elements included) into text blocks and
+container elements. Text that HTML itself never shows as text (scripts, styles, forms,
+embedded media, the head) is not read. What else is boilerplate is told by the host's
+pages:
 
 * Each container's subtree has two hashes, built bottom-up: `exact` (tag, attributes,
   text, children) and `shape` (tag, class words and the set of its children's shapes;
@@ -32,12 +32,14 @@ columns are ignored. Work is linear in the length of a page and the depth it nes
 from __future__ import annotations
 
 import html as entities
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -244,73 +246,82 @@ class Page:
     def main_text(self) -> str:
         return "\n".join(b[0] for b, keep in zip(self.blocks, self.kept()) if keep)
 
-    def marked(self) -> tuple[list[dict], list[dict]]:
-        """blocks and containers as rows. A hash is 0 where it may not decide."""
+    def marked(self) -> tuple[list[list], list[list[int]]]:
+        """blocks (text, container, whether names leave it in, hash of a stray one) and
+        containers (parent, hashes exact, shape, named). A hash is 0 where it may not decide."""
         content = self.content()
-        blocks = [{"text": text, "at": at, "keep": keep, "stray": _hash("stray", tag) if content and at < 0 and content not in inside else 0} for (text, at, inside, _, tag), keep in zip(self.blocks, self.kept())]
+        blocks = [[text, at, keep, _hash("stray", tag) if content and at < 0 and content not in inside else 0] for (text, at, inside, _, tag), keep in zip(self.blocks, self.kept())]
         containers = []
         for c in self.containers:
             free = c.text and not (c.holds and content in c.holds)
             outside = content is not None and content not in c.inside
-            containers.append({"parent": c.parent, "exact": _hash("exact", c.exact) if free else 0, "shape": _hash("shape", c.shape) if free and (outside or c.named) else 0, "named": _hash("named", c.shape) if free and c.named else 0})
+            containers.append([c.parent, _hash("exact", c.exact) if free else 0, _hash("shape", c.shape) if free and (outside or c.named) else 0, _hash("named", c.shape) if free and c.named else 0])
         return blocks, containers
 
 
-#: Marks a page of a host in the counts.
-PAGE = 0
-PARSED = (
-    "row long, page_id long, url string, host string, main long, blocks array<struct<text:string,at:int,keep:boolean,stray:long>>, "
-    "containers array<struct<parent:int,exact:long,shape:long,named:long>>"
-)
-_BLOCK = pa.struct([("text", pa.string()), ("at", pa.int32()), ("keep", pa.bool_()), ("stray", pa.int64())])
-_CONTAINER = pa.struct([("parent", pa.int32()), ("exact", pa.int64()), ("shape", pa.int64()), ("named", pa.int64())])
+#: Marks a page of a host in the counts, and counts over all hosts.
+PAGE, ANYWHERE = 0, 0
+#: What a page shows: hashes of its containers and stray blocks, each once.
+SHOWN = "key long, host string, main long, exact array<long>, shape array<long>, named array<long>, stray array<long>"
+_HASHES = ("exact", "shape", "named", "stray")
+#: page: the blocks and containers, as compressed JSON.
+PARSED = "key long, page_id long, url string, page binary"
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[Page]]]:
     for whole in batches:
         for at in range(0, whole.num_rows, 256):
             batch = whole.slice(at, 256)
-            mains, blocks, containers = [], [], []
-            for source in batch.column("html").to_pylist():
-                page = Page(source)
-                mains.append(_signed(xxhash.xxh64_intdigest(page.main_text().encode("utf-8", "surrogatepass"))))
-                b, c = page.marked()
-                blocks.append(b)
-                containers.append(c)
-            columns = [batch.column(c) for c in ("row", "page_id", "url", "host")] + [pa.array(mains, pa.int64()), pa.array(blocks, pa.list_(_BLOCK)), pa.array(containers, pa.list_(_CONTAINER))]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "page_id", "url", "host", "main", "blocks", "containers"])
+            yield batch, [Page(source) for source in batch.column("html").to_pylist()]
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, pages in _pages(batches):
+        mains = [_signed(xxhash.xxh64_intdigest(page.main_text().encode("utf-8", "surrogatepass"))) for page in pages]
+        hashes: dict[str, list[list[int]]] = {k: [] for k in _HASHES}
+        for page in pages:
+            blocks, containers = page.marked()
+            for k, name in enumerate(_HASHES[:3], 1):
+                hashes[name].append(list({c[k] for c in containers if c[k]}))
+            hashes["stray"].append(list({b[3] for b in blocks if b[3]}))
+        columns = [batch.column("key"), batch.column("host"), pa.array(mains, pa.int64()), *(pa.array(hashes[k], pa.list_(pa.int64())) for k in _HASHES)]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "host", "main", *_HASHES])
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor()
+    for batch, pages in _pages(batches):
+        packed = [pack.compress(json.dumps(page.marked()).encode()) for page in pages]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "page_id", "url")), pa.array(packed, pa.binary())], ["key", "page_id", "url", "page"])
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
     for whole in batches:
         for at in range(0, whole.num_rows, 256):
             batch = whole.slice(at, 256)
-            texts = [assembled(b, c, set(d or ())) for b, c, d in zip(*(batch.column(n).to_pylist() for n in ("blocks", "containers", "drop")))]
+            texts = [assembled(*json.loads(unpack.decompress(page)), set(drop or ())) for page, drop in zip(batch.column("page").to_pylist(), batch.column("drop").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
-def assembled(blocks: list[dict], containers: list[dict], drop: set[int]) -> str:
+def assembled(blocks: list[list], containers: list[list[int]], drop: set[int]) -> str:
     """The text of a page, given the hashes that recur on its host."""
     if PAGE not in drop:
-        return "\n".join(b["text"] for b in blocks if b["keep"])
+        return "\n".join(text for text, _, keep, _ in blocks if keep)
     gone: list[bool] = []
-    for c in containers:  # parents come first
-        gone.append((c["parent"] >= 0 and gone[c["parent"]]) or any(c[k] and c[k] in drop for k in ("exact", "shape", "named")))
-    return "\n".join(b["text"] for b in blocks if not ((b["at"] >= 0 and gone[b["at"]]) or (b["stray"] and b["stray"] in drop)))
+    for parent, *hashes in containers:  # parents come first
+        gone.append((parent >= 0 and gone[parent]) or any(h and h in drop for h in hashes))
+    return "\n".join(text for text, at, _, stray in blocks if not ((at >= 0 and gone[at]) or (stray and stray in drop)))
 
 
-def signatures(parsed: DataFrame) -> DataFrame:
-    """(row, host, hash, least, main): what each page shows, and on how many pages it
-    must be to count. Named shapes are there for any host (null) too."""
-    one = lambda host, hash_, least: F.struct(host.alias("host"), hash_.cast("long").alias("hash"), F.lit(least).alias("least"))
-    host, anywhere = F.col("host"), F.lit(None).cast("string")
-    of = lambda name, least, where=host: F.transform("containers", lambda c: one(where, c[name], least))
-    rows = F.concat(
-        of("exact", MIN_PAGES), of("shape", LEAST_PAGES), of("named", LEAST_PAGES), of("named", MIN_PAGES, anywhere),
-        F.transform("blocks", lambda b: one(host, b["stray"], LEAST_PAGES)),
-    )
-    rows = F.concat(F.filter(rows, lambda x: x["hash"] != 0), F.array(one(host, F.lit(PAGE), HOST_PAGES)))
-    return parsed.select("row", "main", F.explode(rows).alias("x")).select("row", "x.*", "main")
+def signatures(marks: DataFrame) -> DataFrame:
+    """(key, host, hash, least, main): what each page shows, and on how many pages it
+    must be to count. host is a hash; named shapes are there for ANYWHERE too."""
+    one = lambda host, hash_, least: F.struct(host.alias("host"), hash_.cast("long").alias("hash"), F.lit(least).cast("byte").alias("least"))
+    host, anywhere = F.xxhash64("host"), F.lit(ANYWHERE).cast("long")
+    of = lambda name, least, where=host: F.transform(name, lambda h: one(where, h, least))
+    rows = F.concat(of("exact", MIN_PAGES), of("shape", LEAST_PAGES), of("named", LEAST_PAGES), of("named", MIN_PAGES, anywhere), of("stray", LEAST_PAGES), F.array(one(host, F.lit(PAGE), HOST_PAGES)))
+    return marks.select("key", "main", F.explode(rows).alias("x")).select("key", "x.*", "main")
 
 
 def templates(shown: DataFrame, min_pages: int | None = None) -> DataFrame:
@@ -323,21 +334,21 @@ def templates(shown: DataFrame, min_pages: int | None = None) -> DataFrame:
 
 def extract(pages: DataFrame, min_pages: int | None = None) -> DataFrame:
     """(page_id, url, text) of each row of pages (page_id, url, html)."""
-    src = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    src = src.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1)))
-    parsed = written(src.mapInArrow(_parse, PARSED), "parsed")
-    shown = written(signatures(parsed), "signatures")
+    src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    src = src.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1))).withColumn("key", F.xxhash64("url", "html"))
+    # pages are read again for their text: that takes less disk than to keep what was parsed
+    shown = signatures(written(src.select("key", "host", "html").mapInArrow(_mark, SHOWN), "marks"))
     recurring = written(templates(shown, min_pages), "templates")
-    shown = shown.select("row", F.coalesce("host", F.lit("*")).alias("host"), "hash").distinct()
-    recurring = recurring.select(F.coalesce("host", F.lit("*")).alias("host"), "hash")
+    own = shown.select("key", "host", "hash")
     if recurring.count() <= BROADCAST_ROWS:
-        hit = shown.join(F.broadcast(recurring), ["host", "hash"])
+        hit = own.join(F.broadcast(recurring), ["host", "hash"])
     else:
         salted = recurring.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-        hit = shown.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).hint("merge").join(salted.hint("merge"), ["host", "hash", "salt"])
-    drops = written(hit.groupBy("row").agg(F.collect_set("hash").alias("drop")), "drops")
-    joined = parsed.hint("merge").join(drops.hint("merge"), "row", "left")
-    return joined.select("page_id", "url", "blocks", "containers", "drop").mapInArrow(_assemble, "page_id long, url string, text string")
+        hit = own.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).hint("merge").join(salted.hint("merge"), ["host", "hash", "salt"])
+    drops = written(hit.groupBy("key").agg(F.collect_set("hash").alias("drop")), "drops")
+    parsed = src.select("key", "page_id", "url", "html").mapInArrow(_parse, PARSED)
+    joined = parsed.hint("merge").join(drops.hint("merge"), "key", "left")
+    return joined.select("page_id", "url", "page", "drop").mapInArrow(_assemble, "page_id long, url string, text string")
 
 
 def report(pages: DataFrame, min_pages: int | None = None) -> DataFrame:
