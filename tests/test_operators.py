@@ -210,6 +210,14 @@ def test_components_and_tokens(spark):
     assert {r.token: (r.pools, r.pool_count) for r in graph.tokens_from_pools(pools).collect()} == {"A": ([1, 2], 2), "B": ([1], 1), "C": ([2], 1)}
 
 
+def test_components_of_a_long_chain(spark):
+    names = [f"n{i:03d}" for i in range(90)]
+    rows = [(names[(7 * i) % 90], names[(7 * i + 7) % 90]) for i in range(89)] + [("z1", "z2"), ("q", "q")]
+    got = {r.token: r.component for r in pricing.components(spark.createDataFrame(rows, "a string, b string")).collect()}
+    assert got == {**dict.fromkeys(names, "n000"), "z1": "z1", "z2": "z1"}
+    assert pricing.components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
 def test_report_status(spark):
     df = spark.createDataFrame([(1.0,), (None,), (-3.0,)], "x double")
     got = {r.metric: (r.value, r.status) for r in quality.report(df, {("a", "nulls"): (F.count_if(F.col("x").isNull()), 0, 0), ("a", "least"): (F.min("x"), None, 5), ("a", "none"): (F.max(F.lit(None).cast("double")), 0, 1)}).collect()}

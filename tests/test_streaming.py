@@ -64,3 +64,18 @@ def test_hourly_mean(spark, tmp_path):
     # hours that can still change are not emitted yet
     assert got.items() <= want.items() and len(got) >= len(want) - 8
     spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_rows_behind_the_watermark_count_nowhere(spark, tmp_path):
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    schema = "pool string, ts timestamp, tie long, micro long, limit long"
+    src = tmp_path / "in"
+    for k, hours in enumerate(([20], [21], [9, 22])):
+        spark.createDataFrame([("p", T0 + dt.timedelta(hours=h), h, 600, 1000) for h in hours], schema).coalesce(1).write.mode("append").parquet(str(src))
+        time.sleep(1.1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+    q = stream_bars(stream, "1 hour").writeStream.format("memory").queryName("late_rows").outputMode("append").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    assert q.exception() is None
+    assert {r.tie: (r.bar_no, r.closes) for r in spark.table("late_rows").collect()} == {20: (0, False), 21: (0, True), 22: (1, False)}
+    spark.conf.set("spark.sql.shuffle.partitions", "8")

@@ -11,6 +11,7 @@ from pyspark.sql import Window
 
 from tidepool.functions.numbers import direct_price
 from tidepool.operators.ranges import numbered_in_key
+from tidepool.operators.tables import dropped, written
 
 LEAST_PRICE, MOST_PRICE, MOST_VOLUME = 1e-9, 1e7, 1e9
 ORDER = ("block_timestamp", "block_number", "event_id")
@@ -63,19 +64,26 @@ def last_known(events: DataFrame, lookups: DataFrame, key: str, ts: str, value:
     return both.withColumn("at", at).where("kind = 1").select("lookup_id", key, ts, F.when(fresh, F.col("at.v")).alias(value))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(token, component) of the token graph with edges (a, b). The graph has one
-    node a token, so a few least-neighbour rounds over a small table do."""
-    edges = edges.select("a", "b").distinct().where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b").distinct()).cache()
-    label = edges.select(F.col("a").alias("token")).distinct().withColumn("component", F.col("token")).cache()
-    for _ in range(rounds):
-        near = edges.join(label, edges.b == label.token).groupBy("a").agg(F.min("component").alias("m"))
-        new = label.join(near, label.token == near.a, "left").select("token", F.least("component", F.coalesce("m", "component")).alias("component"), (F.col("m") < F.col("component")).alias("moved")).cache()
-        moved = new.where("moved").limit(1).count()
-        label = new.drop("moved")
+def components(edges: DataFrame) -> DataFrame:
+    """(token, component) of the graph with edges (a, b); component is the least token
+    reachable. A round takes the least label of the neighbours and then the label of that
+    label, so a chain of n tokens takes about log n rounds; rounds go on until no label
+    moves. Each one is written, so plans stay short."""
+    ends = edges.select("a", "b").where("a <> b")
+    both = written(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    label = written(both.groupBy(F.col("a").alias("token")).agg(F.min("b").alias("m")).select("token", F.least("token", "m").alias("component")), "labels")
+    while True:
+        near = both.join(label, F.col("b") == F.col("token")).groupBy(F.col("a").alias("token")).agg(F.min("component").alias("m"))
+        near = written(label.join(near, "token").select("token", F.col("component").alias("old"), F.least("component", "m").alias("component")), "near")
+        up = near.select(F.col("token").alias("component"), F.col("component").alias("top"))
+        new = written(near.join(up, "component").select("token", "old", F.least("component", "top").alias("component")), "labels")
+        moved = new.where("component <> old").limit(1).count()
+        for old in (label, near):
+            dropped(old)
+        label = new
         if not moved:
-            break
-    return label
+            dropped(both)
+            return label.select("token", "component")
 
 
 def _infer(ttl_s: float):  # noqa: ANN202

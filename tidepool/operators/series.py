@@ -170,9 +170,9 @@ def triple_barrier(series: DataFrame, horizon: int, up: float = 2.0, low: float
         # a row looks at its own block and the next
         left = df.where("high is not null").select(F.col(key).alias("k"), F.col("r").alias("r0"), "high", "low", F.explode(F.array(block(F.col("r")), block(F.col("r")) + 1)).alias("b"))
         right = df.select(F.col(key).alias("k"), F.col("r").alias("r1"), F.col("lp").alias("x"), block(F.col("r")).alias("b"))
-        near = left.join(right, ["k", "b"]).where((F.col("r1") > F.col("r0")) & (F.col("r1") <= F.col("r0") + horizon) & ((F.col("x") >= F.col("high")) | (F.col("x") <= F.col("low"))))
+        near = left.hint("merge").join(right.hint("merge"), ["k", "b"]).where((F.col("r1") > F.col("r0")) & (F.col("r1") <= F.col("r0") + horizon) & ((F.col("x") >= F.col("high")) | (F.col("x") <= F.col("low"))))
         first = near.groupBy("k", "r0").agg(F.min_by(F.when(F.col("x") >= F.col("high"), F.col("r1") - F.col("r0")).otherwise(F.col("r0") - F.col("r1")), "r1").alias("_first"))
-        df = df.join(first, (df[key] == first.k) & (df.r == first.r0), "left").drop("k", "r0").withColumn("_hit", F.when(F.col("high").isNotNull(), F.coalesce("_first", F.lit(0)))).drop("_first")
+        df = df.hint("merge").join(first.hint("merge"), (df[key] == first.k) & (df.r == first.r0), "left").drop("k", "r0").withColumn("_hit", F.when(F.col("high").isNotNull(), F.coalesce("_first", F.lit(0)))).drop("_first")
     return df.withColumn("label", F.signum(F.col("_hit")).cast("int")).withColumn("touch", F.when(F.col("_hit") == 0, F.lit(horizon)).otherwise(F.abs("_hit")).cast("long")).drop("_hit", "high", "low", "lp", "ret", "n")
 
 
@@ -183,7 +183,17 @@ def concurrency_weights(labels: DataFrame, key: str = "token") -> DataFrame:
     spans = labels.where("touch is not null")
     ends = spans.select(key, F.explode(F.array(F.struct(F.col("r").alias("r"), F.lit(1).alias("step")), F.struct((F.col("r") + F.col("touch") + 1).alias("r"), F.lit(-1).alias("step")))).alias("e")).select(key, "e.r", "e.step")
     steps = ends.groupBy(key, "r").agg(F.sum("step").alias("step"))
-    joined = labels.join(steps, [key, "r"], "left")
+    joined = labels.hint("merge").join(steps.hint("merge"), [key, "r"], "left")
     # ends behind the last row of a key have no row and open nothing
     active = F.sum(F.coalesce("step", F.lit(0))).over(Window.partitionBy(key).orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
     return joined.withColumn("active", active).drop("step").withColumn("weight", F.when(F.col("touch").isNotNull(), 1.0 / F.col("active")))
+
+
+def with_labels(bars: DataFrame, labels: DataFrame) -> DataFrame:
+    """Bars with src_label, src_weight, dest_label and dest_weight, from labels (token, ts,
+    label, weight) at the close of the bar; null where a token has no label then."""
+    out = bars
+    for side in ("src", "dest"):
+        own = labels.where("label is not null").select(F.col("token").alias(f"{side}_token_id"), F.col("ts").alias("bar_close_timestamp"), F.col("label").alias(f"{side}_label"), F.col("weight").alias(f"{side}_weight"))
+        out = out.hint("merge").join(own.hint("merge"), [f"{side}_token_id", "bar_close_timestamp"], "left")
+    return out

@@ -231,10 +231,10 @@ def f14_text_checks(t):  # noqa: ANN001, ANN201
 # ---- joins and sets ----
 
 
-@query("""SELECT l_orderkey, l_partkey, pool_id, fee FROM fx_bars LEFT JOIN fx_pools ON pool_id = address WHERE tick_count = 7""", "fx_bars", "fx_pools")
+@query("""SELECT l_orderkey, l_partkey, pool_id, fee FROM fx_bars LEFT JOIN fx_pools ON pool_id = address""", "fx_bars", "fx_pools")
 def j1_pool_lookup(t):  # noqa: ANN001, ANN201
     p = t("fx_pools").select(F.col("address").alias("pool_id"), "fee")
-    return t("fx_bars").where("tick_count = 7").join(p, "pool_id", "left").select("l_orderkey", "l_partkey", "pool_id", "fee")
+    return t("fx_bars").join(p, "pool_id", "left").select("l_orderkey", "l_partkey", "pool_id", "fee")
 
 
 @query("""SELECT p.event_id, s.amount0, s.amount1, p.price_in_usdc FROM fx_prices p JOIN fx_swaps s ON p.event_id = s.event_id AND p.block_timestamp = s.block_timestamp WHERE p.flow_sign = 1""", "fx_prices", "fx_swaps")
@@ -502,6 +502,17 @@ def t4_concurrency_weights(t):  # noqa: ANN001, ANN201
     return series.concurrency_weights(labels).where("weight is not null").select("event_id", r6("weight").alias("weight"))
 
 
+@query(BARRIER.replace("SELECT pool AS tok, event_id,", "SELECT tok, ts,").replace("price_in_usdc", "price").replace("PARTITION BY pool", "PARTITION BY tok").replace("ORDER BY block_timestamp, event_id", "ORDER BY ts").replace("v.event_id", "v.ts").replace("{N}", "30").replace("FROM fx_prices", """FROM (SELECT tok, ts, avg(price) AS price FROM (SELECT src_token_id AS tok, bar_close_timestamp AS ts, src_price_usdc AS price FROM fx_bars UNION ALL SELECT dest_token_id, bar_close_timestamp, dest_price_usdc FROM fx_bars) GROUP BY 1, 2)""")
+    + """, w AS (SELECT a.tok, a.ts, any_value(a.label) AS label, 1.0 / count(b.r) AS weight FROM l a LEFT JOIN l b ON a.tok = b.tok AND b.r <= a.r AND b.r >= a.r - 30 AND b.r + b.touch >= a.r AND b.touch IS NOT NULL WHERE a.touch IS NOT NULL GROUP BY 1, 2)
+SELECT l_orderkey, l_partkey, pool_id, tick_count, CAST(s.label AS INTEGER) AS src_label, round(s.weight, 6) AS src_weight, CAST(d.label AS INTEGER) AS dest_label, round(d.weight, 6) AS dest_weight
+FROM fx_bars LEFT JOIN w s ON s.tok = src_token_id AND s.ts = bar_close_timestamp LEFT JOIN w d ON d.tok = dest_token_id AND d.ts = bar_close_timestamp""", "fx_bars")
+def j6_label_join(t):  # noqa: ANN001, ANN201
+    b = t("fx_bars")
+    labels = series.triple_barrier(series.token_series(b), 30, 0.5, 0.5)
+    out = series.with_labels(b, series.concurrency_weights(labels))
+    return rounded(out.select("l_orderkey", "l_partkey", "pool_id", "tick_count", "src_label", "src_weight", "dest_label", "dest_weight"))
+
+
 @query("""WITH p AS (SELECT pool, count(*) AS n, CAST(epoch_us(max(block_timestamp)) - epoch_us(min(block_timestamp)) AS DOUBLE) / 86400000000.0 AS d FROM fx_prices GROUP BY 1) SELECT pool AS token, n, CAST(CASE WHEN n < 2 OR d <= 0 THEN 1 ELSE greatest(1, least(1000, floor(n / d * 0.5))) END AS INTEGER) AS horizon FROM p""", "fx_prices")
 def t5_vertical_barrier(t):  # noqa: ANN001, ANN201
     return series.vertical_barrier(_pool_series(t))
@@ -568,10 +579,10 @@ def g1_token_edges(t):  # noqa: ANN001, ANN201
     return graph.token_edges(t("fx_bars")).groupBy("src", "dst").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
-@query("""SELECT l_orderkey, l_partkey, src_token_id AS node, src_flow_usdc AS flow, src_price_usdc AS price FROM fx_bars WHERE tick_count = 2 UNION ALL SELECT l_orderkey, l_partkey, dest_token_id, dest_flow_usdc, dest_price_usdc FROM fx_bars WHERE tick_count = 2""", "fx_bars")
+@query("""SELECT l_orderkey, l_partkey, src_token_id AS node, src_flow_usdc AS flow, src_price_usdc AS price FROM fx_bars UNION ALL SELECT l_orderkey, l_partkey, dest_token_id, dest_flow_usdc, dest_price_usdc FROM fx_bars""", "fx_bars")
 def g2_node_updates(t):  # noqa: ANN001, ANN201
     features = {"flow": ("src_flow_usdc", "dest_flow_usdc"), "price": ("src_price_usdc", "dest_price_usdc")}
-    return graph.node_updates(t("fx_bars").where("tick_count = 2"), features, "l_orderkey", "l_partkey")
+    return graph.node_updates(t("fx_bars"), features, "l_orderkey", "l_partkey")
 
 
 @query("""SELECT into_pool, count(*) AS n, round(sum(amount), 6) AS amount, round(sum(ticks), 6) AS ticks FROM (
@@ -632,9 +643,9 @@ def m2_walk_forward(t):  # noqa: ANN001, ANN201
     return folds.walk_forward(t("events"), "ts", 5).groupBy("fold", "split").agg(F.count("*").alias("n"))
 
 
-def _predictions(t) -> DataFrame:  # noqa: ANN001
+def _predictions(t, scale: int = 500) -> DataFrame:  # noqa: ANN001
     e = t("events")
-    return e.select(F.to_date("ts").alias("trade_date"), F.concat(F.lit("u"), (F.col("user_id") % 30).cast("string")).alias("token"), (F.col("value") / 500).alias("p_up"), ((F.col("event_id") % 100) / 150).alias("p_down"))
+    return e.select(F.to_date("ts").alias("trade_date"), F.concat(F.lit("u"), (F.col("user_id") % 30).cast("string")).alias("token"), (F.col("value") / scale).alias("p_up"), ((F.col("event_id") % 100) / 150).alias("p_down"))
 
 
 PREDICTIONS = "SELECT CAST(ts AS DATE) AS trade_date, 'u' || (user_id % 30) AS tok, value / 500 AS p_up, (event_id % 100) / 150.0::DOUBLE AS p_down FROM events"
@@ -646,11 +657,11 @@ def m4_top_signals(t):  # noqa: ANN001, ANN201
     return rounded(folds.top_signals(_predictions(t)))
 
 
-@query(f"""WITH s AS (SELECT trade_date, tok AS token, avg(p_up - p_down) AS signal, avg(p_up) AS u, avg(p_down) AS d FROM ({PREDICTIONS}) GROUP BY 1, 2),
+@query(f"""WITH s AS (SELECT trade_date, tok AS token, avg(p_up - p_down) AS signal, avg(p_up) AS u, avg(p_down) AS d FROM ({PREDICTIONS.replace('/ 500', '/ 100')}) GROUP BY 1, 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY signal DESC, token) AS rank FROM s WHERE signal > 0)
 SELECT trade_date, token, round(signal, 6) AS signal, CAST(rank AS INTEGER) AS rank, round(least((u - d) / 2, 0.5), 6) AS size FROM k WHERE rank <= 5 AND u - d >= 0.1""", dates="trade_date")
 def f17_kelly_signals(t):  # noqa: ANN001, ANN201
-    return rounded(folds.top_signals(_predictions(t), sizing="kelly"))
+    return rounded(folds.top_signals(_predictions(t, 100), sizing="kelly"))
 
 
 @query("""SELECT CAST(ts AS DATE) AS trade_date, round(sum((value - 49) / 5000 * 0.1), 6) AS on_capital, round(sum((value - 49) / 5000 * 0.1) / sum(0.1), 6) AS on_invested FROM events GROUP BY 1""", dates="trade_date")
@@ -738,7 +749,7 @@ def m23_metric_summary(t):  # noqa: ANN001, ANN201
 
 @query()
 def m12_cluster_sweep(t):  # noqa: ANN001, ANN201
-    return embeddings.cluster_sweep(embeddings.doubles(t("embeddings")), range(2, 6))
+    return embeddings.cluster_sweep(embeddings.doubles(t("embeddings")))
 
 
 @query()
@@ -807,11 +818,11 @@ def z4_volatility_rank(t):  # noqa: ANN001, ANN201
     return rounded(daily_volatility(t("fx_prices"), "token_address", "block_timestamp", "price_in_usdc"))
 
 
-@query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, unnest(range(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP), CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + INTERVAL 24 HOUR, INTERVAL 1 HOUR)) AS hour_at FROM orders WHERE o_orderkey % 50 = 0""", dates="day")
+@query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, unnest(range(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP), CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + INTERVAL 24 HOUR, INTERVAL 1 HOUR)) AS hour_at FROM orders""", dates="day")
 def z5_hourly(t):  # noqa: ANN001, ANN201
     from tidepool.operators.regimes import hourly
 
-    return hourly(t("orders").where("o_orderkey % 50 = 0").select("o_orderkey", F.to_date("o_orderdate").alias("day")), "day")
+    return hourly(t("orders").select("o_orderkey", F.to_date("o_orderdate").alias("day")), "day")
 
 
 @query("""WITH r AS (SELECT user_id, value AS price, first_value(value) OVER w AS e, max(value) OVER w AS p, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))

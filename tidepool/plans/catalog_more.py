@@ -31,9 +31,9 @@ def s4_chain_route(t):  # noqa: ANN001, ANN201
     return t("events").where(F.col("event_type").isin("click", "view")).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_type AS token_address, date_trunc('hour', ts) AS timestamp, round(avg(value), 6) AS price_usd FROM events WHERE event_id % 2 = 1 GROUP BY 1, 2")
+@query("SELECT event_type AS token_address, date_trunc('hour', ts) AS timestamp, round(avg(value), 6) AS price_usd FROM events GROUP BY 1, 2")
 def s12_reference_prices(t):  # noqa: ANN001, ANN201
-    e = t("events").where("event_id % 2 = 1")
+    e = t("events")
     return rounded(e.groupBy(F.col("event_type").alias("token_address"), F.date_trunc("hour", "ts").alias("timestamp")).agg(F.avg("value").alias("price_usd")))
 
 
@@ -68,9 +68,9 @@ def p8_valid_labels(t):  # noqa: ANN001, ANN201
     return b.select("l_orderkey", "l_partkey", (F.col("label").cast("int") + 1).alias("label"))
 
 
-@query("SELECT l_orderkey, l_partkey, greatest(src_price_usdc, dest_price_usdc) AS most, least(src_price_usdc, dest_price_usdc) AS least, least(CAST(tick_count * 200000 AS DOUBLE), 604800.0) AS capped FROM fx_bars WHERE tick_count > 3", "fx_bars")
+@query("SELECT l_orderkey, l_partkey, greatest(src_price_usdc, dest_price_usdc) AS most, least(src_price_usdc, dest_price_usdc) AS least, least(CAST(tick_count * 200000 AS DOUBLE), 604800.0) AS capped FROM fx_bars", "fx_bars")
 def p12_horizontal(t):  # noqa: ANN001, ANN201
-    b = t("fx_bars").where("tick_count > 3")
+    b = t("fx_bars")
     return b.select("l_orderkey", "l_partkey", F.greatest("src_price_usdc", "dest_price_usdc").alias("most"), F.least("src_price_usdc", "dest_price_usdc").alias("least"), F.least((F.col("tick_count") * 200000).cast("double"), F.lit(604800.0)).alias("capped"))
 
 
@@ -121,12 +121,12 @@ def j4_ratio_in_one_pass(t):  # noqa: ANN001, ANN201
 
 
 @query("""WITH s AS (SELECT tok, ts, avg(price) AS price FROM (SELECT src_token_id AS tok, bar_close_timestamp AS ts, src_price_usdc AS price FROM fx_bars UNION ALL SELECT dest_token_id, bar_close_timestamp, dest_price_usdc FROM fx_bars) GROUP BY 1, 2)
-SELECT l_orderkey, l_partkey, pool_id, tick_count, round(a.price, 6) AS src_x, round(b.price, 6) AS dest_x FROM fx_bars LEFT JOIN s a ON a.tok = src_token_id AND a.ts = bar_close_timestamp LEFT JOIN s b ON b.tok = dest_token_id AND b.ts = bar_close_timestamp WHERE tick_count = 5""", "fx_bars")
+SELECT l_orderkey, l_partkey, pool_id, tick_count, round(a.price, 6) AS src_x, round(b.price, 6) AS dest_x FROM fx_bars LEFT JOIN s a ON a.tok = src_token_id AND a.ts = bar_close_timestamp LEFT JOIN s b ON b.tok = dest_token_id AND b.ts = bar_close_timestamp""", "fx_bars")
 def j5_double_lookup(t):  # noqa: ANN001, ANN201
     b = t("fx_bars")
     s = series.token_series(b)
     side = lambda r: s.select(F.col("token").alias(f"{r}_token_id"), F.col("ts").alias("bar_close_timestamp"), F.col("price").alias(f"{r}_x"))
-    out = b.where("tick_count = 5").join(side("src"), ["src_token_id", "bar_close_timestamp"], "left").join(side("dest"), ["dest_token_id", "bar_close_timestamp"], "left")
+    out = b.join(side("src"), ["src_token_id", "bar_close_timestamp"], "left").join(side("dest"), ["dest_token_id", "bar_close_timestamp"], "left")
     return rounded(out.select("l_orderkey", "l_partkey", "pool_id", "tick_count", "src_x", "dest_x"))
 
 
@@ -156,10 +156,10 @@ def j16_local_edges(t):  # noqa: ANN001, ANN201
     return b.join(end("src_token_id", "src"), ["batch", "src_token_id"]).join(end("dest_token_id", "dst"), ["batch", "dest_token_id"]).groupBy("batch", "src", "dst").agg(F.count("*").alias("n"))
 
 
-@query("""WITH a AS (SELECT src_token_id AS tok, count(*) AS n FROM fx_bars WHERE tick_count = 7 AND l_tax > 0.07 GROUP BY 1), b AS (SELECT dest_token_id AS tok, count(*) AS n FROM fx_bars WHERE tick_count = 7 AND l_tax < 0.01 GROUP BY 1)
+@query("""WITH a AS (SELECT src_token_id AS tok, count(*) AS n FROM fx_bars WHERE l_tax > 0.07 GROUP BY 1), b AS (SELECT dest_token_id AS tok, count(*) AS n FROM fx_bars WHERE l_tax < 0.01 GROUP BY 1)
 SELECT coalesce(a.tok, b.tok) AS token, coalesce(a.n, 0) AS as_src, coalesce(b.n, 0) AS as_dest FROM a FULL JOIN b ON a.tok = b.tok""", "fx_bars")
 def j17_full_merge(t):  # noqa: ANN001, ANN201
-    b = t("fx_bars").where("tick_count = 7")
+    b = t("fx_bars")
     a = b.where("l_tax > 0.07").groupBy(F.col("src_token_id").alias("token")).agg(F.count("*").alias("as_src"))
     d = b.where("l_tax < 0.01").groupBy(F.col("dest_token_id").alias("token")).agg(F.count("*").alias("as_dest"))
     return a.join(d, "token", "full_outer").select("token", F.coalesce("as_src", F.lit(0)).alias("as_src"), F.coalesce("as_dest", F.lit(0)).alias("as_dest"))
@@ -230,10 +230,10 @@ def t9_bars_filtered(t):  # noqa: ANN001, ANN201
     return rounded(bars.filter_illiquid(_bars(t)))
 
 
-@query("SELECT l_orderkey, l_partkey, src_token_id AS token, round(ln(1 + abs(src_flow_usdc)), 6) AS f0, round(src_price_usdc, 6) AS f1, CAST(tick_count AS DOUBLE) AS f2 FROM fx_bars WHERE tick_count < 3", "fx_bars")
+@query("SELECT l_orderkey, l_partkey, src_token_id AS token, round(ln(1 + abs(src_flow_usdc)), 6) AS f0, round(src_price_usdc, 6) AS f1, CAST(tick_count AS DOUBLE) AS f2 FROM fx_bars", "fx_bars")
 def g9_event_features(t):  # noqa: ANN001, ANN201
     features = F.array(F.log1p(F.abs("src_flow_usdc")), F.col("src_price_usdc"), F.col("tick_count").cast("double"))
-    b = t("fx_bars").where("tick_count < 3").select("l_orderkey", "l_partkey", F.col("src_token_id").alias("token"), features.alias("f"))
+    b = t("fx_bars").select("l_orderkey", "l_partkey", F.col("src_token_id").alias("token"), features.alias("f"))
     return rounded(b.select("l_orderkey", "l_partkey", "token", *(F.col("f")[i].alias(f"f{i}") for i in range(3))))
 
 
@@ -301,7 +301,7 @@ def m15_linear_probe(t):  # noqa: ANN001, ANN201
 def m22_quality_score(t):  # noqa: ANN001, ANN201
     """One point for each of: spread of norms, a dominant subspace, clusters, dimension."""
     e = embeddings.doubles(t("embeddings"))
-    norms, best = embeddings.norm_stats(e), embeddings.cluster_sweep(e, range(2, 4)).agg(F.max("silhouette").alias("best"))
+    norms, best = embeddings.norm_stats(e), embeddings.cluster_sweep(e).agg(F.max("silhouette").alias("best"))
     share = embeddings.pca_report(e, 5).agg(F.max("running").alias("running"))
     dim = embeddings.effective_dimension(e)
     row = norms.crossJoin(F.broadcast(best)).crossJoin(F.broadcast(share)).withColumn("dimension", F.lit(dim))
@@ -354,7 +354,7 @@ def q7_daily_reference(t):  # noqa: ANN001, ANN201
 @query()
 def q8_stationarity_summary(t):  # noqa: ANN001, ANN201
     s = _pool_series(t).select("token", "ts", "price")
-    found = series.minimum_d(s, (0.0, 0.25, 0.5, 0.75, 1.0))
+    found = series.minimum_d(s)
     n = s.agg(F.countDistinct("token").alias("tokens"))
     return rounded(found.agg(F.count("*").alias("stationary"), F.avg("d").alias("mean_d"), F.median("d").alias("median_d")).crossJoin(F.broadcast(n)))
 
