@@ -103,13 +103,21 @@ def _test(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def minimum_d(series: DataFrame, grid: tuple[float, ...] = D_GRID) -> DataFrame:
     """(token, d): the least order of the grid whose difference of log prices is
-    stationary. One group for each token and order, so the search is parallel over both."""
-    logs = series.withColumn("x", F.log(F.greatest("price", F.lit(1e-18))))
-    all_ = None
-    for d in grid:
-        one = frac_diff(logs, d).select("token", "ts", F.lit(d).alias("d"), "frac")
-        all_ = one if all_ is None else all_.unionByName(one)
-    tests = all_.groupBy("token", "d").applyInPandas(_test, "token string, d double, stationary boolean, n long")
+    stationary. One window holds the longest kernel, and all orders are products with its
+    end. One group for each token and order, so the search is parallel over both; a group
+    holds the series of one token."""
+    kernels = {d: frac_weights(d) for d in grid}
+    longest = max(map(len, kernels.values()))
+    past = F.collect_list("x").over(Window.partitionBy("token").orderBy("ts").rowsBetween(-(longest - 1), 0))
+    logs = series.select("token", "ts", F.log(F.greatest("price", F.lit(1e-18))).alias("x")).withColumn("_past", past)
+
+    def frac(w: list[float]) -> Column:
+        kernel = F.array(*(F.lit(v) for v in reversed(w)))
+        own = F.slice("_past", F.lit(-len(w)), F.lit(len(w)))
+        return F.when(F.size("_past") >= len(w), F.aggregate(F.zip_with(own, kernel, lambda x, y: x * y), F.lit(0.0), lambda t, v: t + v))
+
+    orders = F.array(*(F.struct(F.lit(d).alias("d"), frac(w).alias("frac")) for d, w in kernels.items()))
+    tests = logs.select("token", "ts", F.inline(orders)).where("frac is not null").groupBy("token", "d").applyInPandas(_test, "token string, d double, stationary boolean, n long")
     return tests.where("stationary").groupBy("token").agg(F.min("d").alias("d"))
 
 
