@@ -193,6 +193,32 @@ def test_gramian(spark):
     assert embeddings.coding_rate(df) == pytest.approx(0.5 * np.linalg.slogdet(np.eye(4) + 4 / (50 * 0.25) * x.T @ x)[1])
 
 
+def test_coding_rates_by_cluster(spark):
+    x = np.random.default_rng(2).normal(size=(40, 3))
+    df = spark.createDataFrame([(i % 3 if i % 8 else None, [float(v) for v in r]) for i, r in enumerate(x)], "label int, embedding array<double>").repartition(3)
+    rate = lambda z: 0.5 * np.linalg.slogdet(np.eye(3) + 3 / (len(z) * 0.25) * z.T @ z)[1]
+    groups = [np.array([r for i, r in enumerate(x) if i % 8 and i % 3 == k]) for k in range(3)]
+    n = sum(map(len, groups))
+    got = embeddings.rate_reduction(df).first()
+    within = sum(len(g) / n * rate(g) for g in groups)
+    assert got.n == n and got.whole == pytest.approx(rate(np.concatenate(groups))) and got.within == pytest.approx(within) and got.reduction == pytest.approx(got.whole - within)
+    assert embeddings.rate_reduction(df.limit(0)).first() == (0, None, None, None)
+
+
+def test_cosines_and_components_of_vectors(spark):
+    x = np.random.default_rng(3).normal(size=(30, 5)) * [5, 3, 1, 1, 0.1]
+    rows = [[float(v) for v in r] for r in x] + [None, [0.0] * 5]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "vec_id long, embedding array<double>").repartition(4)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    cos = (u @ u.T)[np.triu_indices(30, 1)]
+    got = embeddings.cosine_stats(df).first()
+    assert got.pairs == len(cos) and got["mean"] == pytest.approx(cos.mean()) and got["std"] == pytest.approx(cos.std())
+    assert embeddings.cosine_stats(df.limit(0)).first().pairs == 0
+    values = np.linalg.eigvalsh(np.corrcoef(x.T))[::-1] / 5
+    report = embeddings.pca_report(df.where("vec_id < 30"), 3).orderBy("component").collect()
+    assert [r.share for r in report] == pytest.approx(values[:3].tolist()) and report[0].n_90 == int(np.argmax(np.cumsum(values) >= 0.9)) + 1
+
+
 def test_numbering_does_not_depend_on_partitions(spark):
     df = spark.createDataFrame([(i * 37 % 101,) for i in range(101)], "x int")
     for n in (1, 7):

@@ -3,8 +3,11 @@ runs over blocks, linear algebra over the d x d Gramian."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
@@ -26,6 +29,26 @@ def norm_stats(df: DataFrame, column: str = "embedding") -> DataFrame:
     return n.agg(F.count("*").alias("n"), F.avg("n").alias("mean"), F.stddev_pop("n").alias("std"), F.min("n").alias("least"), F.max("n").alias("most"))
 
 
+def units(df: DataFrame, column: str = "embedding") -> DataFrame:
+    """Vectors over their norms; those of norm 0 stay."""
+    n = norm(F.col(column))
+    return df.withColumn("_n", n).withColumn(column, F.when(F.col("_n") > 0, F.transform(column, lambda x: x / F.col("_n"))).otherwise(F.col(column))).drop("_n")
+
+
+def cosine_stats(df: DataFrame, column: str = "embedding") -> DataFrame:
+    """Number, mean and population deviation of the cosines of all pairs, without pairs:
+    with U of unit rows, the cosines of all ordered pairs sum up to the square of the summed
+    rows, and their squares to the squared entries of U'U. Vectors of norm 0 take no part."""
+    found = gramians(units(df, column).where(norm(F.col(column)) > 0), column).get(None)
+    row = (0, None, None)
+    if found is not None and found[2] > 1:
+        g, total, n = found
+        pairs = n * (n - 1)
+        mean = float(total @ total - n) / pairs
+        row = (pairs // 2, mean, float(np.sqrt(max(0.0, (float((g * g).sum()) - n) / pairs - mean**2))))
+    return df.sparkSession.createDataFrame([row], "pairs long, mean double, std double")
+
+
 def blocked_pairs(df: DataFrame, id_col: str = "vec_id", blocks: int = 8) -> DataFrame:
     """Pairs a < b by blocks: every row meets each pair of blocks it is in by
     equality, so work is dealt over blocks^2 / 2 keys. For pairwise statistics that are
@@ -61,18 +84,28 @@ def nearest_centroid(df: DataFrame, id_col: str = "vec_id", label: str = "label"
 
 
 def class_geometry(df: DataFrame, label: str = "label", column: str = "embedding") -> DataFrame:
-    """Cosine of the centroids of each pair of classes."""
+    """Cosine of the centroids of each pair of classes; give unit vectors for the
+    directions of classes. There is one row a class."""
     c = centroids(df, label, column)
     pair = c.select(F.col(label).alias("a"), F.col("centroid").alias("x")).join(c.select(F.col(label).alias("b"), F.col("centroid").alias("y")), F.col("a") < F.col("b"))
     return pair.select("a", "b", cosine(F.col("x"), F.col("y")).alias("cos"))
 
 
+def class_alignment(df: DataFrame, label: str = "label", column: str = "embedding") -> DataFrame:
+    """The mean cosine of the vectors of a class to the direction of the class, which is
+    the norm of the mean unit vector; null for a class of one."""
+    u = units(df, column)
+    n = u.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
+    return centroids(u, label, column).hint("merge").join(n.hint("merge"), label).select(label, "n", F.when(F.col("n") > 1, norm(F.col("centroid"))).alias("alignment"))
+
+
 def _distance_sums(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """Of two blocks: for each vector of either the sum and number of distances to the
     vectors of each class of the other block; a block with itself counts once."""
     empty = pd.DataFrame({"id": pd.Series([], dtype="int64"), "l": pd.Series([], dtype="int32"), "o": pd.Series([], dtype="int32"), "s": pd.Series([], dtype="float64"), "n": pd.Series([], dtype="int64")})
     if not len(left) or not len(right):
         return empty
+    right = right.rename(columns={"rid": "id", "rl": "l", "rv": "v"})
     a, b = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
     # differences, not the expanded square: exact for close vectors; in slices of bounded size
     d = np.concatenate([np.sqrt(((a[i : i + 64, None, :] - b[None, :, :]) ** 2).sum(2)) for i in range(0, len(a), 64)])
@@ -89,32 +122,71 @@ def _distance_sums(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.Da
 BLOCK_ROWS = 512
 
 
-def silhouette(df: DataFrame, id_col: str = "vec_id", label: str = "label", column: str = "embedding") -> DataFrame:
-    """Exact silhouette of given labels, by vector: mean distances to the own and the
-    nearest other class. Vectors are dealt in blocks of about BLOCK_ROWS; each pair of
-    blocks is a task that sends sums, not pairs."""
+def class_distances(df: DataFrame, id_col: str = "vec_id", label: str = "label", column: str = "embedding") -> DataFrame:
+    """(id, l, o, s, n): of each vector of class l the sum and number of distances to the
+    vectors of class o, in parts. Vectors are dealt in blocks of about BLOCK_ROWS; each pair
+    of blocks is a task that sends sums, not pairs."""
     blocks = max(1, -(-df.count() // BLOCK_ROWS))
     own = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("l"), F.col(column).alias("v"), own.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("k"))
     left = rows.where("b <= k").select(F.col("b").alias("x"), F.col("k").alias("y"), "id", "l", "v").groupBy("x", "y")
-    right = rows.where("b >= k").select(F.col("k").alias("x"), F.col("b").alias("y"), "id", "l", "v").groupBy("x", "y")
-    sums = left.cogroup(right).applyInPandas(_distance_sums, "id long, l int, o int, s double, n long")
-    means = sums.groupBy("id", "l", "o").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("d"))
+    # names of its own: with shared ones Spark prunes columns of one side under a filter
+    right = rows.where("b >= k").select(F.col("k").alias("rx"), F.col("b").alias("ry"), F.col("id").alias("rid"), F.col("l").alias("rl"), F.col("v").alias("rv")).groupBy("rx", "ry")
+    return left.cogroup(right).applyInPandas(_distance_sums, "id long, l int, o int, s double, n long")
+
+
+def silhouette(df: DataFrame, id_col: str = "vec_id", label: str = "label", column: str = "embedding") -> DataFrame:
+    """Exact silhouette of given labels, by vector: mean distances to the own and the
+    nearest other class."""
+    means = class_distances(df, id_col, label, column).groupBy("id", "l", "o").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("d"))
     per = means.where("d is not null").groupBy("id", "l").agg(F.max(F.when(F.col("l") == F.col("o"), F.col("d"))).alias("own"), F.min(F.when(F.col("l") != F.col("o"), F.col("d"))).alias("other"))
     return per.select(F.col("id").alias(id_col), F.col("l").alias(label), F.coalesce(F.try_divide(F.col("other") - F.col("own"), F.greatest("own", "other")), F.lit(0.0)).alias("silhouette"))
 
 
+def class_cohesion(df: DataFrame, id_col: str = "vec_id", label: str = "label", column: str = "embedding") -> DataFrame:
+    """The mean distance of the pairs inside each class (null for a class of one) and of
+    its centroid to those of the other classes."""
+    inside = class_distances(df, id_col, label, column).where("l = o").groupBy("l").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("cohesion"))
+    c = centroids(df, label, column).select(F.col(label).cast("int").alias("l"), "centroid")
+    far = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda t, e: t + e))
+    pair = c.select("l", F.col("centroid").alias("x")).join(c.select(F.col("l").alias("m"), F.col("centroid").alias("y")), F.col("l") != F.col("m"))
+    apart = pair.groupBy("l").agg(F.avg(far).alias("separation"))
+    return inside.hint("merge").join(apart.hint("merge"), "l", "left").select(F.col("l").alias(label), "cohesion", "separation")
+
+
+def _partial_gramians(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the rows (k, v) of a partition and each k: Z'Z row by row, the sum and the number."""
+    parts: dict[int | None, list] = {}
+    for batch in batches:
+        frame = batch.to_pandas()
+        for k, rows in frame.groupby("k", dropna=False):
+            z = np.stack(rows["v"].to_numpy())
+            new = [z.T @ z, z.sum(0), len(z)]
+            key = None if pd.isna(k) else int(k)
+            parts[key] = [x + y for x, y in zip(parts[key], new)] if key in parts else new
+    for key, (g, total, n) in parts.items():
+        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([np.concatenate([g.reshape(-1), total, [n]])], pa.list_(pa.float64()))], ["k", "cells"])
+
+
+def gramians(df: DataFrame, column: str = "embedding", key: str | None = None) -> dict[int | None, tuple[np.ndarray, np.ndarray, int]]:
+    """Z'Z, sum and number of the vectors of each value of `key` (all under None without a
+    key): one product matrix a partition and key, summed on the executors by place. Only
+    d x d + d + 1 numbers a key reach the driver. Null vectors take no part."""
+    k = F.lit(None).cast("long") if key is None else F.col(key).cast("long")
+    parts = df.where(F.col(column).isNotNull()).select(k.alias("k"), F.col(column).alias("v")).mapInArrow(_partial_gramians, "k long, cells array<double>")
+    cells = parts.select("k", F.posexplode("cells").alias("i", "x")).groupBy("k", "i").agg(F.sum("x").alias("x"))
+    out = {}
+    for row in cells.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("x")).collect():
+        flat = np.array(row.x)
+        d = int((np.sqrt(4 * len(flat) - 3) - 1) / 2 + 0.5)
+        out[row.k] = (flat[: d * d].reshape(d, d), flat[d * d : -1], int(flat[-1]))
+    return out
+
+
 def gramian(df: DataFrame, column: str = "embedding", centre: bool = True) -> tuple[np.ndarray, int]:
-    """Z'Z of the (centred) vectors, summed by dimension pairs on the executors; only the
-    d x d result reaches the driver."""
-    cells = df.select(F.posexplode(column).alias("i", "x"), F.col(column).alias("v")).select("i", "x", F.posexplode("v").alias("j", "y"))
-    sums = cells.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("s")).collect()
-    mean = {r.i: r.m for r in df.select(F.posexplode(column).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).collect()}
-    n, d = df.count(), len(mean)
-    g = np.zeros((d, d))
-    for r in sums:
-        g[r.i, r.j] = r.s - (n * mean[r.i] * mean[r.j] if centre else 0.0)
-    return g, n
+    """Z'Z of the (centred) vectors, and their number."""
+    g, total, n = gramians(df, column)[None]
+    return (g - np.outer(total, total) / n if centre else g), n
 
 
 def effective_dimension(df: DataFrame, column: str = "embedding") -> float:
@@ -124,10 +196,26 @@ def effective_dimension(df: DataFrame, column: str = "embedding") -> float:
     return float(1 / np.sum((s / s.sum()) ** 2))
 
 
+def _rate(g: np.ndarray, n: int, eps: float) -> float:
+    return float(0.5 * np.linalg.slogdet(np.eye(len(g)) + len(g) / (n * eps**2) * g)[1])
+
+
 def coding_rate(df: DataFrame, column: str = "embedding", eps: float = 0.5) -> float:
     """Half the log determinant of I + d / (n eps^2) Z'Z."""
     g, n = gramian(df, column, centre=False)
-    return float(0.5 * np.linalg.slogdet(np.eye(len(g)) + len(g) / (n * eps**2) * g)[1])
+    return _rate(g, n, eps)
+
+
+def rate_reduction(df: DataFrame, key: str = "label", column: str = "embedding", eps: float = 0.5) -> DataFrame:
+    """The coding rate of all vectors, the mean of the rates of the clusters weighted by
+    their sizes, and the difference; one pass. Rows without a cluster take no part."""
+    parts = gramians(df.where(F.col(key).isNotNull()), column, key).values()
+    n = sum(p[2] for p in parts)
+    row = (n, None, None, None)
+    if n:
+        whole, within = _rate(sum(p[0] for p in parts), n, eps), sum(p[2] / n * _rate(p[0], p[2], eps) for p in parts)
+        row = (n, whole, within, whole - within)
+    return df.sparkSession.createDataFrame([row], "n long, whole double, within double, reduction double")
 
 
 def scaled(df: DataFrame, column: str = "embedding") -> DataFrame:
@@ -136,19 +224,28 @@ def scaled(df: DataFrame, column: str = "embedding") -> DataFrame:
 
 
 def cluster_sweep(df: DataFrame, ks: range = range(2, 11), column: str = "embedding", seed: int = 42) -> DataFrame:
-    """K-means of standardised vectors for each k, with its silhouette."""
+    """K-means of standardised vectors for each k, with its silhouette; best marks the
+    k of the largest, of equal ones the smallest."""
     z = scaled(df, column).cache()
     score = ClusteringEvaluator(featuresCol="z", predictionCol="prediction")
     rows = [(k, float(score.evaluate(KMeans(k=k, seed=seed, featuresCol="z").fit(z).transform(z)))) for k in ks]
     z.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, silhouette double")
-
-
-def pca_report(df: DataFrame, k: int = 10, column: str = "embedding") -> DataFrame:
-    """Explained share of each component, and the running share."""
-    z = scaled(df, column)
-    shares = PCA(k=k, inputCol="z", outputCol="pc").fit(z).explainedVariance.toArray()
-    return df.sparkSession.createDataFrame([(i + 1, float(x), float(y)) for i, (x, y) in enumerate(zip(shares, np.cumsum(shares)))], "component int, share double, running double")
+    best = max(rows, key=lambda r: (r[1], -r[0]))[0]
+    return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows], "k int, silhouette double, best boolean")
+
+
+def pca_report(df: DataFrame, k: int = 10, column: str = "embedding", shares: tuple[float, ...] = (0.9, 0.95)) -> DataFrame:
+    """Explained share of each of the first k components of the standardised vectors, the
+    running share, and how many components explain each of `shares` (n_90, n_95). The
+    shares are the eigenvalues of the d x d product matrix."""
+    g, _ = gramian(scaled(df, column).select(vector_to_array("z").alias("z")), "z")
+    values = np.clip(np.linalg.eigvalsh(g)[::-1], 0, None)
+    explained = values / values.sum()
+    running = np.cumsum(explained)
+    needed = [int(np.searchsorted(running, s - 1e-12)) + 1 for s in shares]
+    names = ", ".join(f"n_{round(100 * s)} int" for s in shares)
+    rows = [(i + 1, float(x), float(y), *needed) for i, (x, y) in enumerate(zip(explained[:k], running[:k]))]
+    return df.sparkSession.createDataFrame(rows, f"component int, share double, running double, {names}")
 
 
 def pca_projection(df: DataFrame, k: int = 2, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:

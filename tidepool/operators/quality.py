@@ -80,6 +80,14 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
     return per.agg(F.sum("n").alias("n"), (F.min("n") / F.max("n")).alias("ratio"), ((F.max("n") / F.sum("n") > 0.8) | (F.min("n") / F.max("n") < 0.1)).alias("severe"))
 
 
+def label_summary(labels: DataFrame, key: str = "token") -> DataFrame:
+    """Q9: of each token the labels (label, touch, weight; label null: not labelled), how far
+    off their touches are, and their mean weight."""
+    n = lambda x: F.count_if(F.col("label") == x)
+    touch = F.avg(F.when(F.col("label").isNotNull(), F.col("touch")))
+    return labels.groupBy(key).agg(F.count("*").alias("n"), F.count("label").alias("labelled"), n(1).alias("up"), n(-1).alias("down"), n(0).alias("none"), touch.alias("touch"), F.avg("weight").alias("weight"))
+
+
 def correlations(df: DataFrame, *columns: str) -> DataFrame:
     """The correlation of each pair of columns on complete rows, one pass."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]

@@ -719,9 +719,28 @@ def m5_nearest_centroid(t):  # noqa: ANN001, ANN201
     return rounded(embeddings.nearest_centroid(embeddings.doubles(t("embeddings"))))
 
 
-@query(_CENTROIDS + """ SELECT x.label AS a, y.label AS b, round(list_cosine_similarity(x.v, y.v), 6) AS cos FROM c x JOIN c y ON x.label < y.label""")
+_UNITS = _CENTROIDS.replace("unnest(embedding)::DOUBLE AS x FROM embeddings", "unnest(embedding)::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS x FROM embeddings")
+
+
+@query(_UNITS + """ SELECT x.label AS a, y.label AS b, round(list_cosine_similarity(x.v, y.v), 6) AS cos FROM c x JOIN c y ON x.label < y.label""")
 def m18_class_geometry(t):  # noqa: ANN001, ANN201
-    return rounded(embeddings.class_geometry(embeddings.doubles(t("embeddings"))))
+    return rounded(embeddings.class_geometry(embeddings.units(embeddings.doubles(t("embeddings")))))
+
+
+@query(_UNITS + """, n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT label, n, CASE WHEN n > 1 THEN round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) END AS alignment FROM c JOIN n USING (label)""")
+def m18_class_alignment(t):  # noqa: ANN001, ANN201
+    return rounded(embeddings.class_alignment(embeddings.doubles(t("embeddings"))))
+
+
+@query(f"""SELECT count(*) AS pairs, round(avg({_COS}), 6) AS mean, round(stddev_pop({_COS}), 6) AS std FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id""")
+def m10_cosines(t):  # noqa: ANN001, ANN201
+    return rounded(embeddings.cosine_stats(embeddings.doubles(t("embeddings"))))
+
+
+@query(_CENTROIDS + """, i AS (SELECT a.label, avg(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS cohesion FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1), o AS (SELECT x.label, avg(list_distance(x.v, y.v)) AS separation FROM c x JOIN c y ON x.label <> y.label GROUP BY 1)
+SELECT c.label, round(cohesion, 6) AS cohesion, round(separation, 6) AS separation FROM c LEFT JOIN i USING (label) LEFT JOIN o USING (label)""")
+def m17_cohesion(t):  # noqa: ANN001, ANN201
+    return rounded(embeddings.class_cohesion(embeddings.doubles(t("embeddings"))))
 
 
 @query("""WITH d AS (SELECT a.vec_id AS id, a.label AS l, b.label AS o, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), m AS (SELECT id, l, o, avg(d) AS d FROM d GROUP BY 1, 2, 3),
@@ -764,6 +783,11 @@ def m19_effective_dimension(t):  # noqa: ANN001, ANN201
     return e.limit(1).select(F.lit(dim).alias("effective_dimension"), F.lit(rate).alias("coding_rate"))
 
 
+@query()
+def m20_rate_reduction(t):  # noqa: ANN001, ANN201
+    return embeddings.rate_reduction(embeddings.doubles(t("embeddings")))
+
+
 # ---- quality ----
 
 
