@@ -289,3 +289,38 @@ def test_math_of_tau():
     rng = np.random.default_rng(12)
     assert series._tau(np.cumsum(rng.normal(size=500))) > series.TAU_5 > series._tau(rng.normal(size=500))
     assert math.isfinite(series._tau(np.arange(30.0) + rng.normal(size=30)))
+
+
+def test_embeddings_by_date(spark, tmp_path):
+    path = str(tmp_path / "embeddings")
+    day = lambda d, *ids: spark.createDataFrame([(i, [1.0, 2.0], 1, d) for i in ids], "id string, embedding array<float>, label int, trade_date string").withColumn("trade_date", F.to_date("trade_date"))
+    readers.write_embeddings(day("2024-01-01", "a", "b").unionByName(day("2024-01-02", "c")), path)
+    readers.write_embeddings(day("2024-01-02", "d"), path)  # replaces this date only
+    found = readers.read_embeddings(spark, path)
+    assert {(r.id, str(r.trade_date)) for r in found.collect()} == {("a", "2024-01-01"), ("b", "2024-01-01"), ("d", "2024-01-02")}
+    late = readers.read_embeddings(spark, path, "2024-01-02", "2024-01-02")
+    assert [r.id for r in late.collect()] == ["d"] and "PartitionFilters: [isnotnull(trade_date" in late._jdf.queryExecution().toString()
+
+
+def test_reference_prices_and_stage_sinks(spark, tmp_path):
+    rows = [("0xA", "2024-01-01 10:00:00", 1.0), ("0xa", "2024-01-02 23:59:59", 2.0), ("0xa", "2024-01-03 00:00:00", 3.0), ("0xb", "2024-01-02 00:00:00", 4.0)]
+    prices = spark.createDataFrame(rows, "token_address string, timestamp string, price_usd double").withColumn("timestamp", F.to_timestamp("timestamp"))
+    readers.write_stage(prices, str(tmp_path / "prices"))
+    got = readers.read_reference_prices(spark, str(tmp_path / "prices"), "0xA", "2024-01-01", "2024-01-02")
+    assert sorted(r.price_usd for r in got.collect()) == [1.0, 2.0]
+    assert readers.read_reference_prices(spark, str(tmp_path / "prices")).count() == 4
+    readers.write_tokens_json(prices.groupBy("token_address").agg(F.collect_list("price_usd").alias("prices")), str(tmp_path / "tokens"))
+    assert {r.token_address: len(r.prices) for r in spark.read.json(str(tmp_path / "tokens")).collect()} == {"0xA": 1, "0xa": 2, "0xb": 1}
+
+
+def test_token_view_takes_the_first_symbol(spark):
+    token = lambda a, s, d: (a, s, d, "eth")
+    rows = [("p1", "n", "usp3", "eth", "t", "0.003", 60, [token("0xA", "", "1"), token("0xb", "x", "2")]), ("p2", "n", "usp3", "eth", "t", None, None, [token("0xa", "abc", "3"), token("", "no", "4")]), ("p3", "n", "usp3", "eth", "t", "1", 1, [token("0xC", None, "5")])]
+    schema = "address string, name string, protocol string, blockchain string, type string, fee string, tickSpacing int, tokens array<struct<address:string,symbol:string,decimals:string,blockchain:string>>"
+    got = {r.token: (r.symbol, r.decimals, r.pool_count, [p.pool_address for p in r.pools]) for r in graph.token_view(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {"0xa": ("ABC", "3", 2, ["p1", "p2"]), "0xb": ("X", "2", 1, ["p1"]), "0xc": ("", "5", 1, ["p3"])}
+
+
+def test_time_blocks_are_equal(spark):
+    rows = folds.time_blocks(spark.range(10), 5, "id")
+    assert {r.block: r["count"] for r in rows.groupBy("block").count().collect()} == dict.fromkeys(range(5), 2)

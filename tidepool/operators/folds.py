@@ -38,6 +38,13 @@ def temporal_split(df: DataFrame, *order: str, train: float = 0.7, val: float =
     return rows.withColumn("split", F.when(F.col("row") < F.floor(F.col("_n") * F.lit(train)), "train").when(F.col("row") < F.floor(F.col("_n") * F.lit(train + val)), "val").otherwise("test")).drop("_n")
 
 
+def time_blocks(df: DataFrame, blocks: int, *order: str) -> DataFrame:
+    """Equal blocks of rows in order, numbered from 0: block."""
+    n = df.agg(F.count("*").alias("_n"))
+    rows = numbered(df, *order).crossJoin(F.broadcast(n))
+    return rows.withColumn("block", F.floor(F.col("row") * blocks / F.col("_n")).cast("int")).drop("_n", "row")
+
+
 def event_batches(df: DataFrame, size: int, *order: str) -> DataFrame:
     """Consecutive batches of `size` events."""
     return numbered(df, *order).withColumn("batch_id", F.floor(F.col("row") / size).cast("long"))

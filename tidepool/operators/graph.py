@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidepool.functions.numbers import buying_pressure, clip
+from tidepool.functions.numbers import clip
 
 # Pool defaults.
 DEFAULT_FEE, DEFAULT_TICK_SPACING = 0.003, 60
@@ -31,28 +31,77 @@ def node_updates(bars: DataFrame, features: dict[str, tuple[str, str]], *keep: s
     return exploded(bars, list(keep), node("src", 0), node("dest", 1))
 
 
-def bipartite_edges(bars: DataFrame, *keep: str) -> DataFrame:
-    """Four edges a bar between its pool and its two tokens, with scaled features."""
-    def edge(token: str, flow: str, into_pool: bool) -> Column:
-        ends = (F.col(token).alias("src"), F.col("pool_id").alias("dst")) if into_pool else (F.col("pool_id").alias("src"), F.col(token).alias("dst"))
-        return F.struct(*ends, F.lit(int(into_pool)).alias("into_pool"), clip(F.col(flow) / 1e6, -10, 10).alias("amount"), clip(F.col("tick_count") / 100, 0, 10).alias("ticks"))
+def _zero(c: Column) -> Column:
+    return F.coalesce(F.nanvl(c.cast("double"), F.lit(0.0)), F.lit(0.0))
 
-    pairs = (("src_token_id", "src_flow_usdc"), ("dest_token_id", "dest_flow_usdc"))
-    return exploded(bars, list(keep), *(edge(t, f, d) for t, f in pairs for d in (True, False)))
 
+def _scaled_flow(side: str) -> Column:
+    """A flow in millions, clipped."""
+    return clip(_zero(F.col(f"{side}_flow_usdc")) / 1e6, -10.0, 10.0)
 
-def pool_updates(bars: DataFrame, pools: DataFrame, *keep: str) -> DataFrame:
-    """Three node updates a bar; the pool's carries its fee, with a default."""
-    joined = bars.join(pools.select(F.col("address").alias("pool_id"), "fee"), "pool_id", "left")
-    node = lambda kind, c, v: F.struct(F.lit(kind).alias("kind"), F.col(c).cast("long").alias("node"), v.cast("double").alias("value"))
-    return exploded(joined, list(keep), node("src", "src_token_id", clip(F.col("src_flow_usdc") / 1e6, -10, 10)), node("dest", "dest_token_id", clip(F.col("dest_flow_usdc") / 1e6, -10, 10)), node("pool", "pool_id", F.coalesce("fee", F.lit(DEFAULT_FEE))))
 
+def bipartite_edges(bars: DataFrame, *keep: str) -> DataFrame:
+    """Four edges a bar between its pool and its two tokens: src, dst, direction (0 into
+    the pool, 1 out of it), amount (millions), ticks (hundreds) and delta (hours), clipped;
+    null and NaN are 0."""
+    def edge(side: str, out: bool) -> Column:
+        ends = [F.col(f"{side}_token_id"), F.col("pool_id")]
+        src, dst = reversed(ends) if out else ends
+        return F.struct(
+            src.alias("src"), dst.alias("dst"), F.lit(int(out)).alias("direction"), F.abs(_scaled_flow(side)).alias("amount"),
+            clip(_zero(F.col("tick_count")) / 100, 0.0, 10.0).alias("ticks"), clip(_zero(F.col("bar_time_delta_sec")) / 3600, 0.0, 24.0).alias("delta"),
+        )
+
+    return exploded(bars, list(keep), edge("src", False), edge("dest", True), edge("src", True), edge("dest", False))
 
-def batch_features(bars: DataFrame, batch: str, label: str, *order: str) -> DataFrame:
-    """Features of each token of a batch: means, and the last label."""
-    side = lambda r: bars.select(batch, F.col(f"{r}_token_id").alias("token"), F.col(f"{r}_flow_usdc").alias("flow"), buying_pressure(F.col("src_flow_usdc"), F.col("dest_flow_usdc")).alias("pressure"), F.col(label).alias("label"), *order)
-    both = side("src").unionByName(side("dest"))
-    return both.groupBy(batch, "token").agg(F.count("*").alias("events"), F.avg("flow").alias("mean_flow"), F.avg("pressure").alias("mean_pressure"), F.max_by("label", F.struct(*order)).alias("last_label"))
+
+def pool_updates(bars: DataFrame, pools: DataFrame, *keep: str) -> DataFrame:
+    """Three node updates a bar: kind, node and five features. Tokens: fractional
+    difference, volatility, flow, liquidity, tick movement; pools: fee, tick spacing (both
+    with a default), mean liquidity, mean flow, mean tick movement. pools: address, fee,
+    tick_spacing; null and NaN are 0."""
+    joined = bars.join(pools.select(F.col("address").alias("pool_id"), "fee", "tick_spacing"), "pool_id", "left")
+    liquidity = lambda side: F.log1p(F.abs(_zero(F.col(f"{side}_liquidity_close")))) / 20
+    movement = lambda side: clip(_zero(F.col(f"{side}_tick_delta")) / 1000, -10.0, 10.0)
+    mean = lambda f: (f("src") + f("dest")) / 2
+
+    def node(kind: str, c: str, *features: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.col(c).cast("long").alias("node"), *(f.alias(f"f{i}") for i, f in enumerate(features)))
+
+    token = lambda side: node(side, f"{side}_token_id", _zero(F.col(f"{side}_fracdiff")), _zero(F.col("rolling_volatility")), _scaled_flow(side), liquidity(side), movement(side))
+    pool = node(
+        "pool", "pool_id", F.coalesce("fee", F.lit(DEFAULT_FEE)) * 100, F.coalesce("tick_spacing", F.lit(DEFAULT_TICK_SPACING)) / 200,
+        mean(liquidity), mean(lambda side: F.abs(_scaled_flow(side))), mean(movement),
+    )
+    return exploded(joined, list(keep), token("src"), token("dest"), pool)
+
+
+def batch_features(bars: DataFrame, batch: str, *order: str) -> DataFrame:
+    """Of each token of a batch the means over the bars it is the source of (events):
+    fractional difference, volatility, log flow, buying pressure; and label (0 to 2) and
+    weight of the last of them that has a label. A token that is never the source has 0, the
+    label -1 and the weight 0; a missing or zero weight of a label is 1."""
+    has = F.col("label").isNotNull() & ~F.isnan("label")
+    src, dest = F.abs(F.coalesce("src_flow_usdc", F.lit(0.0))), F.abs(F.coalesce("dest_flow_usdc", F.lit(0.0)))
+    values = {"fracdiff": F.coalesce("src_fracdiff", F.lit(0.0)), "volatility": F.coalesce("rolling_volatility", F.lit(0.0)), "log_flow": F.log1p(src), "pressure": src / (src + dest + 1e-8)}
+    weight = F.coalesce(F.when(F.col("sample_weight") != 0, F.col("sample_weight")), F.lit(1.0))
+    last = F.struct((F.col("label").cast("int") + 1).alias("label"), weight.alias("weight"))
+    as_src = F.struct(F.col("src_token_id").alias("token"), *(v.alias(n) for n, v in values.items()), F.when(has, last).alias("last"), F.when(has, F.struct(*order)).alias("at"), F.lit(1).alias("event"))
+    as_dest = F.struct(F.col("dest_token_id").alias("token"), *(F.lit(None).cast("double").alias(n) for n in values), F.when(F.lit(False), last).alias("last"), F.when(F.lit(False), F.struct(*order)).alias("at"), F.lit(0).alias("event"))
+    per = exploded(bars, [batch], as_src, as_dest).groupBy(batch, "token").agg(F.sum("event").alias("events"), *(_zero(F.avg(n)).alias(n) for n in values), F.max_by("last", "at").alias("last"))
+    return per.select(batch, "token", "events", *values, F.coalesce("last.label", F.lit(-1)).alias("label"), F.coalesce("last.weight", F.lit(0.0)).alias("weight"))
+
+
+def batch_pool_features(bars: DataFrame, batch: str) -> DataFrame:
+    """Of each pool of a batch the means of log ticks, tick movement, log volume and log
+    volume over liquidity. Missing or zero ticks are 1, liquidity 1e12."""
+    or_default = lambda c, d: F.coalesce(F.when(F.col(c) != 0, F.col(c).cast("double")), F.lit(d))
+    volume = F.abs(F.coalesce("src_flow_usdc", F.lit(0.0))) + F.abs(F.coalesce("dest_flow_usdc", F.lit(0.0)))
+    values = {
+        "log_ticks": F.log1p(or_default("tick_count", 1.0)), "tick_delta": or_default("src_tick_delta", 0.0), "log_volume": F.log1p(volume),
+        "utilisation": F.log1p(volume / (or_default("src_liquidity_close", 1e12) + 1e-8)),
+    }
+    return bars.groupBy(batch, F.col("pool_id").alias("pool")).agg(F.count("*").alias("events"), *(_zero(F.avg(v)).alias(n) for n, v in values.items()))
 
 
 def batch_edges(bars: DataFrame, batch: str) -> DataFrame:
@@ -72,6 +121,23 @@ def tokens_from_pools(pools: DataFrame) -> DataFrame:
     return exploded(pools, ["address"], F.struct(F.col("token0").alias("token")), F.struct(F.col("token1").alias("token"))).groupBy("token").agg(F.array_sort(F.collect_set("address")).alias("pools")).select("token", "pools", F.size("pools").cast("long").alias("pool_count"))
 
 
+def token_view(pools: DataFrame, order: str = "address") -> DataFrame:
+    """For each token (lower case) symbol (upper case), decimals and chain of its first
+    place that has a symbol (of its last place if none has), and its pools, once each.
+    pools: as POOLS_JSON."""
+    info = F.struct(F.col("address").alias("pool_address"), F.col("name").alias("pool_name"), "blockchain", "protocol", "type", "fee", F.col("tickSpacing").alias("tick_spacing"))
+    places = pools.select(F.col(order).alias("_o"), info.alias("pool"), F.posexplode("tokens").alias("_p", "t"))
+    token = F.struct(F.upper(F.coalesce("t.symbol", F.lit(""))).alias("symbol"), F.col("t.decimals").alias("decimals"), F.col("t.blockchain").alias("blockchain"))
+    places = places.select(F.lower("t.address").alias("token"), token.alias("meta"), "pool", F.struct("_o", "_p").alias("at")).where("token <> ''")
+    named = F.when(F.col("meta.symbol") != "", F.col("at"))
+    # one row for each pool of a token before the lists are made
+    once = places.groupBy("token", "pool.pool_address").agg(
+        F.min_by("pool", "at").alias("pool"), F.min("at").alias("first"), F.min(named).alias("named"), F.min_by("meta", named).alias("meta"), F.max("at").alias("end"), F.max_by("meta", "at").alias("last"),
+    )
+    per = once.groupBy("token").agg(F.coalesce(F.min_by("meta", "named"), F.max_by("last", "end")).alias("meta"), F.array_sort(F.collect_list(F.struct("first", "pool"))).alias("pools"))
+    return per.select("token", "meta.*", F.size("pools").cast("long").alias("pool_count"), F.transform("pools", lambda p: p["pool"]).alias("pools"))
+
+
 def neighbour_mean(edges: DataFrame, features: DataFrame, value: str, *batch: str) -> DataFrame:
     """For each node the mean of its neighbours' feature, weighted by flow."""
     at = edges.join(features.withColumnRenamed("node", "src"), [*batch, "src"])

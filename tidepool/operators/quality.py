@@ -3,13 +3,22 @@ aggregates stacked into rows (Q1 to Q9), and the shared checks (A5 to A11, A21 t
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tidepool.functions import decode
+from tidepool.sources.readers import require
+
+
+#: (check, metric) to (aggregate, least, most)
+Rules = dict[tuple[str, str], tuple[Column, float | None, float | None]]
+
 
-def report(df: DataFrame, rules: dict[tuple[str, str], tuple[Column, float | None, float | None]]) -> DataFrame:
-    """rules: (check, metric) to (aggregate, least, most); a value outside is `fail`."""
+def report(df: DataFrame, rules: Rules) -> DataFrame:
+    """A row for each rule; a value outside its bounds is `fail`."""
     names = list(rules)
     one = df.agg(*(rules[n][0].cast("double").alias(f"v{i}") for i, n in enumerate(names)))
     rows = []
@@ -95,10 +104,125 @@ def correlations(df: DataFrame, *columns: str) -> DataFrame:
     return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)))).alias("e")).select("e.*")
 
 
-def bars_rules() -> dict[tuple[str, str], tuple[Column, float | None, float | None]]:
-    """Q3: rules for bars."""
-    return {
-        ("nulls", "src_price"): (F.count_if(F.col("src_price_usdc").isNull()), 0, 0), ("nulls", "dest_price"): (F.count_if(F.col("dest_price_usdc").isNull()), 0, 0),
-        ("range", "src_price_negative"): (F.count_if(F.col("src_price_usdc") < 0), 0, 0), ("range", "tick_count_least"): (F.min("tick_count"), 1, None),
-        ("flow", "zero_src"): (F.count_if(F.col("src_flow_usdc") == 0), 0, 0), ("flow", "mean_abs_src"): (F.avg(F.abs("src_flow_usdc")), 0, None), ("rows", "n"): (F.count("*"), 1, None),
+def nulls(*columns: str) -> Rules:
+    """A rule for each column: no nulls."""
+    return {("nulls", c): (F.count_if(F.col(c).isNull()), 0, 0) for c in columns}
+
+
+def spread(check: str, column: str, low: float | None = None, high: float | None = None) -> Rules:
+    """Least, mean, most and deviation of a column; least and most have bounds."""
+    return {(check, "least"): (F.min(column), low, None), (check, "mean"): (F.avg(column), None, None), (check, "most"): (F.max(column), None, high), (check, "std"): (F.stddev_samp(column), None, None)}
+
+
+def together(*reports: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, reports)
+
+
+def swaps_report(swaps: DataFrame, address_chars: int = 42, max_gap_s: float = 3600.0) -> DataFrame:
+    """Q1: duplicates, nulls, form of data and addresses, decimals, decodability of every
+    row, largest gap, concentration."""
+    d0, d1 = F.col("token0_decimals"), F.col("token1_decimals")
+    rules = nulls("block_timestamp", "transaction_hash", "pool", "token0", "token1", "data") | {
+        ("form", "not_hex"): (F.count_if(~decode.is_hex(F.col("data"))), 0, 0), ("form", "data_length"): (F.count_if(F.length("data") != 322), 0, 0),
+        ("form", "address_length"): (F.count_if((F.length("token0") != address_chars) | (F.length("token1") != address_chars)), 0, 0),
+        ("form", "same_tokens"): (F.count_if(F.col("token0") == F.col("token1")), 0, 0), ("decode", "failed"): (F.count_if(~F.col("data").rlike("^0x[0-9a-fA-F]{320}$")), 0, 0),
+        ("decimals", "out_of_range"): (F.count_if(~d0.between(0, 77) | ~d1.between(0, 77)), 0, 0), ("decimals", "least"): (F.min(F.least(d0, d1)), 0, None), ("decimals", "most"): (F.max(F.greatest(d0, d1)), None, 77),
+        ("rows", "n"): (F.count("*"), 1, None),
+    }
+    return together(
+        report(swaps, rules), report(duplicate_keys(swaps, "transaction_hash", "pool"), {("duplicates", "rows"): (F.max("rows"), 0, 0)}),
+        report(largest_gap(swaps, "block_timestamp"), {("order", "largest_gap_sec"): (F.max("gap_sec"), None, max_gap_s)}),
+        report(concentration(swaps, "pool", 1, 10), {("concentration", f"top{n}"): (F.max(f"top{n}"), None, None) for n in (1, 10)}),
+    )
+
+
+def prices_report(prices: DataFrame, max_gap_s: float = 3600.0, observed: int = 10) -> DataFrame:
+    """Q2: nulls, gap, price and volume statistics, prices out of range, tokens of extreme
+    variation (deviation over twice the mean), rows a token."""
+    p = F.col("price_in_usdc")
+    rules = nulls("block_timestamp", "pool", "token_address", "price_in_usdc", "usdc_volume") | spread("price", "price_in_usdc", 1e-6, 1e6) | spread("volume", "usdc_volume", 0) | {
+        ("price", "tiny"): (F.count_if(p < 1e-6), 0, 0), ("price", "huge"): (F.count_if(p > 1e6), 0, 0), ("price", "low"): (F.count_if(p < 1e-4), None, None),
+        ("volume", "total"): (F.sum("usdc_volume"), None, None), ("rows", "n"): (F.count("*"), 1, None),
+    }
+    per = prices.groupBy("token_address").agg(F.count("*").alias("n"), (F.stddev_samp(p) / F.avg(p)).alias("cv"), F.count_if(p < 1e-4).alias("low"))
+    tokens = {
+        ("tokens", "n"): (F.count("*"), 1, None), ("tokens", "extreme_variation"): (F.count_if((F.col("n") >= observed) & (F.col("cv") > 2.0)), 0, 0), ("tokens", "with_low_price"): (F.count_if(F.col("low") > 0), None, None),
+        ("tokens", "least_rows"): (F.min("n"), None, None), ("tokens", "most_rows"): (F.max("n"), None, None),
+    }
+    return together(report(prices, rules), report(largest_gap(prices, "block_timestamp"), {("order", "largest_gap_sec"): (F.max("gap_sec"), None, max_gap_s)}), report(per, tokens))
+
+
+def bars_report(bars: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], day_s: float = 86_400.0) -> DataFrame:
+    """Q3: duplicates of keys, nulls, time deltas, tick counts, flows, prices and their
+    jumps in order, liquidity, tick movement, rows a pool."""
+    count = lambda c: (F.count_if(c), None, None)
+    none = lambda c: (F.count_if(c), 0, 0)
+    late = F.col("bar_time_delta_sec") > day_s
+    rules = nulls("bar_close_timestamp", "pool_id", "src_token_id", "dest_token_id", "src_flow_usdc", "dest_flow_usdc", "src_price_usdc", "dest_price_usdc")
+    rules |= spread("delta", "bar_time_delta_sec", 0, day_s) | spread("ticks", "tick_count", 1) | spread("src_tick_delta", "src_tick_delta") | spread("dest_tick_delta", "dest_tick_delta")
+    rules |= {("delta", "over_a_day"): none(late), ("ticks", "single"): count(F.col("tick_count") == 1), ("rows", "n"): (F.count("*"), 1, None)}
+    for side in ("src", "dest"):
+        flow, price, liquidity = (F.col(f"{side}_{c}") for c in ("flow_usdc", "price_usdc", "liquidity_close"))
+        rules |= {
+            ("flow", f"zero_{side}"): none(flow == 0), ("flow", f"mean_abs_{side}"): (F.avg(F.abs(flow)), 0, None), ("price", f"negative_{side}"): none(price < 0),
+            ("liquidity", f"missing_{side}"): (F.avg(liquidity.isNull().cast("double")), None, None), ("liquidity", f"negative_{side}"): none(liquidity < 0),
+        }
+    jumps = price_jumps(bars, "pool_id", "src_price_usdc", *order)
+    per = bars.groupBy("pool_id").agg(F.count("*").alias("n"), F.avg(late.cast("double")).alias("late"))
+    pools = {("pools", "n"): (F.count("*"), 1, None), ("pools", "least_rows"): (F.min("n"), None, None), ("pools", "most_rows"): (F.max("n"), None, None), ("pools", "largest_late_share"): (F.max("late"), None, None)}
+    return together(
+        report(bars, rules), report(duplicate_keys(bars, *keys), {("duplicates", "rows"): (F.max("rows"), 0, 0)}), report(jumps, {("price", "jumps"): (F.sum("jumps"), None, None)}), report(per, pools),
+    )
+
+
+def stationary_report(bars: DataFrame) -> DataFrame:
+    """Q4: types and nulls of the required columns (an error if one is missing), statistics
+    of the differences, counts and days."""
+    columns = ("src_fracdiff", "dest_fracdiff")
+    require(bars, "bar_close_timestamp", "src_token_id", "dest_token_id", *columns)
+    types = dict(bars.dtypes)
+    rules: Rules = {("double", c): (F.max(F.lit(int(types[c] == "double"))), 1, 1) for c in columns}
+    rules |= {("missing", c): (F.avg(F.col(c).isNull().cast("double")), None, 0.5) for c in columns}
+    rules |= nulls("bar_close_timestamp", "src_token_id", "dest_token_id")
+    for c in columns:
+        rules |= spread(c, c)
+    day = F.datediff(F.to_date("bar_close_timestamp"), F.lit("1970-01-01").cast("date"))
+    rules |= {
+        ("rows", "n"): (F.count("*"), 1, None), ("tokens", "src"): (F.countDistinct("src_token_id"), 1, None), ("tokens", "dest"): (F.countDistinct("dest_token_id"), 1, None),
+        ("days", "first"): (F.min(day), None, None), ("days", "last"): (F.max(day), None, None),
     }
+    return report(bars, rules)
+
+
+# Expected range of each column of the training set.
+EXPECTED = {
+    "src_flow_usdc": (-1e8, 1e8), "dest_flow_usdc": (-1e5, 1e5), "src_fracdiff": (-5.0, 10.0), "dest_fracdiff": (-5.0, 10.0), "rolling_volatility": (0.0, 1.0), "bar_time_delta_sec": (0.0, 86400.0), "tick_count": (1, 10000),
+    "label": (-1.0, 1.0), "sample_weight": (0.0, 1.0), "src_liquidity_close": (10.0, 100.0), "dest_liquidity_close": (10.0, 100.0), "src_tick_delta": (-5.0, 5.0), "dest_tick_delta": (-5.0, 5.0),
+}
+
+
+def training_report(bars: DataFrame, keys: tuple[str, ...], max_gap_s: float = 3600.0) -> DataFrame:
+    """Q6: not finite and missing values, duplicates, expected ranges (ten times the upper
+    bound; ten times a negative and a tenth of a positive lower one), zero shares,
+    stationarity, negatives, z-scores, correlation, label quality, gaps and quiet days."""
+    rules: Rules = {}
+    for c, (low, high) in EXPECTED.items():
+        x = F.col(c).cast("double")
+        rules |= {
+            ("finite", c): (F.count_if(F.isnan(x) | (F.abs(x) == float("inf"))), 0, 0), ("missing", c): (F.avg(F.col(c).isNull().cast("double")), None, None),
+            ("least", c): (F.min(x), low * (10 if low < 0 else 0.1), None), ("most", c): (F.max(x), None, high * 10),
+        }
+    for c in ("src_flow_usdc", "dest_flow_usdc", "src_tick_delta", "dest_tick_delta"):
+        rules[("zero_share", c)] = (F.avg((F.col(c) == 0).cast("double")), None, 0.5)
+    rules[("zero_share", "rolling_volatility")] = (F.avg((F.col("rolling_volatility") < 1e-10).cast("double")), None, 0.1)
+    rules |= {("stationary", c): (F.abs(F.avg(c)), None, 2.0) for c in ("src_fracdiff", "dest_fracdiff")}
+    rules |= {("negatives", c): (F.count_if(F.col(c) < 0), 0, 0) for c in ("tick_count", "bar_time_delta_sec", "src_liquidity_close", "dest_liquidity_close")}
+    for c in ("src_tick_delta", "dest_tick_delta"):
+        rules |= {("z_mean", c): (F.abs(F.avg(c)), None, 0.1), ("z_std", c): (F.stddev_samp(c), 0.8, 1.2)}
+    rules |= {("correlation", "src_dest_fracdiff"): (F.abs(F.corr("src_fracdiff", "dest_fracdiff")), None, 0.5), ("labels", "coverage"): (F.count("label") / F.count("*"), 0.1, None), ("rows", "n"): (F.count("*"), 1, None)}
+    labels = bars.where("label is not null").groupBy("label").agg(F.count("*").alias("n"))
+    return together(
+        report(bars, rules), report(duplicate_keys(bars, *keys), {("duplicates", "rows"): (F.max("rows"), 0, 0)}), report(labels, {("labels", "balance"): (F.min("n") / F.max("n"), 0.1, None)}),
+        report(largest_gap(bars, "bar_close_timestamp"), {("time", "largest_gap_sec"): (F.max("gap_sec"), None, max_gap_s)}),
+        report(low_days(bars, "bar_close_timestamp"), {("time", "quiet_days"): (F.count("*"), 0, 0)}),
+    )

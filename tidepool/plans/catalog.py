@@ -585,24 +585,38 @@ def g2_node_updates(t):  # noqa: ANN001, ANN201
     return graph.node_updates(t("fx_bars"), features, "l_orderkey", "l_partkey")
 
 
-@query("""SELECT into_pool, count(*) AS n, round(sum(amount), 6) AS amount, round(sum(ticks), 6) AS ticks FROM (
-SELECT unnest([1, 0]) AS into_pool, greatest(-10, least(10, src_flow_usdc / 1e6)) AS amount, greatest(0, least(10, tick_count / 100.0)) AS ticks FROM fx_bars UNION ALL SELECT unnest([1, 0]), greatest(-10, least(10, dest_flow_usdc / 1e6)), greatest(0, least(10, tick_count / 100.0)) FROM fx_bars) GROUP BY 1""", "fx_bars")
+@query("""WITH s AS (SELECT *, least(10, tick_count / 100.0) AS ticks, least(24, bar_time_delta_sec / 3600) AS delta, unnest([0, 1]) AS direction FROM fx_labelled),
+e AS (SELECT direction, pool_id, src_token_id AS token, least(10, abs(src_flow_usdc) / 1e6) AS amount, ticks, delta FROM s UNION ALL SELECT direction, pool_id, dest_token_id, least(10, abs(dest_flow_usdc) / 1e6), ticks, delta FROM s)
+SELECT direction, CASE direction WHEN 0 THEN token ELSE pool_id END AS src, CASE direction WHEN 0 THEN pool_id ELSE token END AS dst, count(*) AS n, round(sum(amount), 6) AS amount, round(sum(ticks), 6) AS ticks, round(sum(delta), 6) AS delta FROM e GROUP BY 1, 2, 3""", "fx_labelled")
 def g3_bipartite_edges(t):  # noqa: ANN001, ANN201
-    return graph.bipartite_edges(t("fx_bars")).groupBy("into_pool").agg(F.count("*").alias("n"), r6(F.sum("amount")).alias("amount"), r6(F.sum("ticks")).alias("ticks"))
+    return graph.bipartite_edges(t("fx_labelled")).groupBy("direction", "src", "dst").agg(F.count("*").alias("n"), *(r6(F.sum(c)).alias(c) for c in ("amount", "ticks", "delta")))
 
 
-@query("""SELECT 'pool' AS kind, pool_id AS node, count(*) AS n, round(sum(coalesce(fee, 0.003)), 6) AS value FROM fx_bars LEFT JOIN fx_pools ON pool_id = address AND address % 4 <> 0 GROUP BY 2
-UNION ALL SELECT 'src', src_token_id, count(*), round(sum(greatest(-10, least(10, src_flow_usdc / 1e6))), 6) FROM fx_bars GROUP BY 2 UNION ALL SELECT 'dest', dest_token_id, count(*), round(sum(greatest(-10, least(10, dest_flow_usdc / 1e6))), 6) FROM fx_bars GROUP BY 2""", "fx_bars", "fx_pools")
+@query("""WITH b AS (SELECT *, coalesce(fee, 0.003) * 100 AS p0, coalesce(spacing, 60) / 200.0 AS p1, ln(1 + abs(coalesce(src_liquidity_close, 0))) / 20 AS ls, ln(1 + abs(coalesce(dest_liquidity_close, 0))) / 20 AS ld,
+greatest(-10, least(10, src_flow_usdc / 1e6)) AS fs, greatest(-10, least(10, dest_flow_usdc / 1e6)) AS fd, coalesce(src_tick_delta, 0) / 1000 AS ts, coalesce(dest_tick_delta, 0) / 1000 AS td
+FROM fx_labelled LEFT JOIN (SELECT address, fee, CASE WHEN address % 3 > 0 THEN 10 END AS spacing FROM fx_pools WHERE address % 4 <> 0) ON pool_id = address),
+n AS (SELECT 'src' AS kind, src_token_id AS node, coalesce(src_fracdiff, 0) AS f0, rolling_volatility AS f1, fs AS f2, ls AS f3, ts AS f4 FROM b UNION ALL SELECT 'dest', dest_token_id, coalesce(dest_fracdiff, 0), rolling_volatility, fd, ld, td FROM b
+UNION ALL SELECT 'pool', pool_id, p0, p1, (ls + ld) / 2, (abs(fs) + abs(fd)) / 2, (ts + td) / 2 FROM b)
+SELECT kind, node, count(*) AS n, round(sum(f0), 6) + 0 AS f0, round(sum(f1), 6) + 0 AS f1, round(sum(f2), 6) + 0 AS f2, round(sum(f3), 6) + 0 AS f3, round(sum(f4), 6) + 0 AS f4 FROM n GROUP BY 1, 2""", "fx_labelled", "fx_pools")
 def g4_pool_updates(t):  # noqa: ANN001, ANN201
-    return graph.pool_updates(t("fx_bars"), t("fx_pools").where("address % 4 <> 0")).groupBy("kind", "node").agg(F.count("*").alias("n"), r6(F.sum("value")).alias("value"))
+    pools = t("fx_pools").where("address % 4 <> 0").withColumn("tick_spacing", F.when(F.col("address") % 3 > 0, 10))
+    return graph.pool_updates(t("fx_labelled"), pools).groupBy("kind", "node").agg(F.count("*").alias("n"), *(r6(F.sum(f"f{i}")).alias(f"f{i}") for i in range(5)))
 
 
-@query("""SELECT batch, tok AS token, count(*) AS events, round(avg(flow), 6) AS mean_flow, round(avg(pressure), 6) AS mean_pressure, arg_max(label, (l_orderkey, l_partkey, label)) AS last_label FROM (
-SELECT pool_id % 10 AS batch, src_token_id AS tok, src_flow_usdc AS flow, abs(src_flow_usdc) / (abs(src_flow_usdc) + abs(dest_flow_usdc) + 1e-8) AS pressure, tick_count AS label, l_orderkey, l_partkey FROM fx_bars
-UNION ALL SELECT pool_id % 10, dest_token_id, dest_flow_usdc, abs(src_flow_usdc) / (abs(src_flow_usdc) + abs(dest_flow_usdc) + 1e-8), tick_count, l_orderkey, l_partkey FROM fx_bars) GROUP BY 1, 2""", "fx_bars")
+@query("""WITH b AS (SELECT *, pool_id % 10 AS batch, abs(src_flow_usdc) AS s, abs(dest_flow_usdc) AS d FROM fx_labelled), k AS (SELECT DISTINCT batch, src_token_id AS token FROM b UNION SELECT DISTINCT batch, dest_token_id FROM b),
+m AS (SELECT batch, src_token_id AS token, count(*) AS events, avg(coalesce(src_fracdiff, 0)) AS fracdiff, avg(rolling_volatility) AS volatility, avg(ln(1 + s)) AS log_flow, avg(s / (s + d + 1e-8)) AS pressure,
+arg_max(CAST(label AS INT) + 1, (bar_close_timestamp, l_orderkey, l_partkey, l_linenumber)) FILTER (WHERE label IS NOT NULL) AS label,
+arg_max(CASE WHEN sample_weight <> 0 THEN sample_weight ELSE 1.0 END, (bar_close_timestamp, l_orderkey, l_partkey, l_linenumber)) FILTER (WHERE label IS NOT NULL) AS weight FROM b GROUP BY 1, 2)
+SELECT batch, token, coalesce(events, 0) AS events, round(coalesce(fracdiff, 0), 6) + 0 AS fracdiff, round(coalesce(volatility, 0), 6) AS volatility, round(coalesce(log_flow, 0), 6) AS log_flow, round(coalesce(pressure, 0), 6) AS pressure,
+coalesce(label, -1) AS label, round(coalesce(weight, 0), 6) AS weight FROM k LEFT JOIN m USING (batch, token)""", "fx_labelled")
 def g5_batch_features(t):  # noqa: ANN001, ANN201
-    b = t("fx_bars").withColumn("batch", F.col("pool_id") % 10).withColumn("label", F.col("tick_count"))
-    return rounded(graph.batch_features(b.withColumn("tie", F.col("label")), "batch", "label", "l_orderkey", "l_partkey", "tie"))
+    return rounded(graph.batch_features(t("fx_labelled").withColumn("batch", F.col("pool_id") % 10), "batch", "bar_close_timestamp", "l_orderkey", "l_partkey", "l_linenumber"))
+
+
+@query("""WITH b AS (SELECT *, pool_id % 10 AS batch, abs(src_flow_usdc) + abs(dest_flow_usdc) AS v FROM fx_labelled)
+SELECT batch, pool_id AS pool, count(*) AS events, round(avg(ln(1 + tick_count)), 6) AS log_ticks, round(avg(coalesce(src_tick_delta, 0)), 6) + 0 AS tick_delta, round(avg(ln(1 + v)), 6) AS log_volume, round(avg(ln(1 + v / (coalesce(src_liquidity_close, 1e12) + 1e-8))), 6) AS utilisation FROM b GROUP BY 1, 2""", "fx_labelled")
+def g5_pool_features(t):  # noqa: ANN001, ANN201
+    return rounded(graph.batch_pool_features(t("fx_labelled").withColumn("batch", F.col("pool_id") % 10), "batch"))
 
 
 @query("""SELECT DISTINCT batch, tok AS token, pool_id AS pool FROM (SELECT tick_count AS batch, src_token_id AS tok, pool_id FROM fx_bars UNION ALL SELECT tick_count, dest_token_id, pool_id FROM fx_bars)""", "fx_bars")
@@ -620,6 +634,20 @@ def g8_tokens_from_pools(t):  # noqa: ANN001, ANN201
     return graph.tokens_from_pools(t("fx_pools")).withColumn("pools", F.array_join("pools", ","))
 
 
+@query("""WITH p AS (SELECT address, 0 AS i, token0 AS id FROM fx_pools UNION ALL SELECT address, 1, token1 FROM fx_pools),
+m AS (SELECT *, concat('T', CAST(id AS VARCHAR)) AS token, CASE WHEN address % 3 <> 0 THEN concat('S', CAST((address + i) % 4 AS VARCHAR)) ELSE '' END AS symbol, CAST(address % 18 AS VARCHAR) AS decimals, concat('c', CAST(i AS VARCHAR)) AS blockchain FROM p),
+f AS (SELECT token, arg_min((symbol, decimals, blockchain), (address, i)) FILTER (WHERE symbol <> '') AS a, arg_max((symbol, decimals, blockchain), (address, i)) AS z, count(DISTINCT address) AS pool_count, array_to_string(list_sort(list(DISTINCT address)), ',') AS pools FROM m GROUP BY 1)
+SELECT lower(token) AS token, coalesce(a, z)[1] AS symbol, coalesce(a, z)[2] AS decimals, coalesce(a, z)[3] AS blockchain, pool_count, pools FROM f""", "fx_pools")
+def g8_token_view(t):  # noqa: ANN001, ANN201
+    address, text = F.col("address"), lambda c: c.cast("string")
+    token = lambda i: F.struct(
+        F.concat(F.lit("T"), text(F.col(f"token{i}"))).alias("address"), F.when(address % 3 != 0, F.concat(F.lit("s"), text((address + i) % 4))).otherwise("").alias("symbol"),
+        text(address % 18).alias("decimals"), F.lit(f"c{i}").alias("blockchain"),
+    )
+    pools = t("fx_pools").select("address", F.lit("name").alias("name"), F.lit("c").alias("blockchain"), F.lit("usp3").alias("protocol"), F.lit("swap").alias("type"), text(F.col("fee")).alias("fee"), F.lit(60).alias("tickSpacing"), F.array(token(0), token(1)).alias("tokens"))
+    return graph.token_view(pools).withColumn("pools", F.array_join(F.transform("pools", lambda p: text(p["pool_address"])), ","))
+
+
 @query("""WITH e AS (SELECT src_token_id AS src, dest_token_id AS dst, abs(src_flow_usdc) AS weight FROM fx_bars UNION ALL SELECT dest_token_id, src_token_id, abs(dest_flow_usdc) FROM fx_bars), f AS (SELECT src_token_id AS src, avg(src_price_usdc) AS x FROM fx_bars GROUP BY 1)
 SELECT dst, round(sum(weight * x) / sum(weight), 6) AS message FROM e JOIN f USING (src) GROUP BY 1""", "fx_bars")
 def g10_neighbour_mean(t):  # noqa: ANN001, ANN201
@@ -791,28 +819,76 @@ def m20_rate_reduction(t):  # noqa: ANN001, ANN201
 # ---- quality ----
 
 
-@query("""WITH v AS (SELECT count(*) FILTER (WHERE src_price_usdc IS NULL) a, count(*) FILTER (WHERE dest_price_usdc IS NULL) b, count(*) FILTER (WHERE src_price_usdc < 0) c, min(tick_count) d, count(*) FILTER (WHERE src_flow_usdc = 0) e, avg(abs(src_flow_usdc)) f, count(*) g FROM fx_bars)
-SELECT "check", metric, round(value, 4) AS value, 'pass' AS status FROM (
-SELECT unnest(['nulls', 'nulls', 'range', 'range', 'flow', 'flow', 'rows']) AS "check", unnest(['src_price', 'dest_price', 'src_price_negative', 'tick_count_least', 'zero_src', 'mean_abs_src', 'n']) AS metric, unnest([a, b, c, d, e, f, g]::DOUBLE[]) AS value FROM v)""", "fx_bars")
-def q3_bars_report(t):  # noqa: ANN001, ANN201
-    return quality.report(t("fx_bars"), quality.bars_rules()).withColumn("value", F.round("value", 4))
+def report_sql(rules: list[tuple], digits: int = 6) -> str:
+    """SQL of a report; rules: (check, metric, aggregate, source, least, most)."""
+    bound = lambda v: "NULL" if v is None else repr(float(v))
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS \"check\", '{m}' AS metric, CAST({e} AS DOUBLE) AS value, CAST({bound(lo)} AS DOUBLE) AS low, CAST({bound(hi)} AS DOUBLE) AS high FROM {src}" for c, m, e, src, lo, hi in rules)
+    return f"""SELECT "check", metric, round(value, {digits}) AS value, CASE WHEN value IS NULL THEN 'none' WHEN value < low OR value > high THEN 'fail' ELSE 'pass' END AS status FROM ({rows})"""
+
+
+def nulls_sql(source: str, *columns: str) -> list[tuple]:
+    return [("nulls", c, f"count(*) FILTER (WHERE {c} IS NULL)", source, 0, 0) for c in columns]
+
+
+def spread_sql(check: str, column: str, source: str, low: float | None = None, high: float | None = None) -> list[tuple]:
+    return [(check, "least", f"min({column})", source, low, None), (check, "mean", f"avg({column})", source, None, None), (check, "most", f"max({column})", source, None, high), (check, "std", f"stddev_samp({column})", source, None, None)]
+
+
+def gap_sql(check: str, ts: str, source: str) -> tuple:
+    return (check, "largest_gap_sec", "max(g) / 1e6", f"(SELECT epoch_us({ts}) - epoch_us(lag({ts}) OVER (ORDER BY {ts})) AS g FROM {source})", None, 3600)
 
 
-@query("""SELECT 'swaps' AS "check", unnest(['bad_hex', 'bad_length', 'same_side', 'null_pool']) AS metric, unnest([count(*) FILTER (WHERE NOT starts_with(data, '0x')), count(*) FILTER (WHERE length(data) <> 322), count(*) FILTER (WHERE token0 = token1), count(*) FILTER (WHERE pool IS NULL)])::DOUBLE AS value, 'pass' AS status FROM fx_swaps""", "fx_swaps")
+def duplicates_sql(source: str, *keys: str) -> tuple:
+    return ("duplicates", "rows", "coalesce(sum(n), 0)", f"(SELECT count(*) AS n FROM {source} GROUP BY {', '.join(keys)} HAVING count(*) > 1)", 0, 0)
+
+
+_count = "count(*) FILTER (WHERE {})".format
+_POOL_SHARES = "(SELECT n, row_number() OVER (ORDER BY n DESC, pool) AS k FROM (SELECT pool, count(*) AS n FROM fx_swaps GROUP BY 1))"
+
+
+@query(report_sql([
+    *nulls_sql("fx_swaps", "block_timestamp", "transaction_hash", "pool", "token0", "token1", "data"), duplicates_sql("fx_swaps", "transaction_hash", "pool"), gap_sql("order", "block_timestamp", "fx_swaps"),
+    ("form", "not_hex", _count("NOT (starts_with(data, '0x') AND length(data) >= 10)"), "fx_swaps", 0, 0), ("form", "data_length", _count("length(data) <> 322"), "fx_swaps", 0, 0),
+    ("form", "address_length", _count("length(token0) <> 4 OR length(token1) <> 4"), "fx_swaps", 0, 0), ("form", "same_tokens", _count("token0 = token1"), "fx_swaps", 0, 0),
+    ("decode", "failed", _count("NOT regexp_full_match(data, '0x[0-9a-fA-F]{320}')"), "fx_swaps", 0, 0), ("decimals", "out_of_range", _count("token0_decimals NOT BETWEEN 0 AND 77 OR token1_decimals NOT BETWEEN 0 AND 77"), "fx_swaps", 0, 0),
+    ("decimals", "least", "min(least(token0_decimals, token1_decimals))", "fx_swaps", 0, None), ("decimals", "most", "max(greatest(token0_decimals, token1_decimals))", "fx_swaps", None, 77), ("rows", "n", "count(*)", "fx_swaps", 1, None),
+    *(("concentration", f"top{k}", f"sum(n) FILTER (WHERE k <= {k}) / sum(n)", _POOL_SHARES, None, None) for k in (1, 10)),
+]), "fx_swaps")
 def q1_swaps_report(t):  # noqa: ANN001, ANN201
-    rules = {
-        ("swaps", "bad_hex"): (F.count_if(~decode.is_hex(F.col("data"))), 0, 0), ("swaps", "bad_length"): (F.count_if(F.length("data") != 322), 0, 0),
-        ("swaps", "same_side"): (F.count_if(F.col("token0") == F.col("token1")), 0, 0), ("swaps", "null_pool"): (F.count_if(F.col("pool").isNull()), 0, 0),
-    }
-    return quality.report(t("fx_swaps"), rules)
+    return rounded(quality.swaps_report(t("fx_swaps"), address_chars=4))
+
+
+_BY_TOKEN = "(SELECT count(*) AS n, stddev_samp(price_in_usdc) / avg(price_in_usdc) AS cv, count(*) FILTER (WHERE price_in_usdc < 1e-4) AS low FROM fx_prices GROUP BY token_address)"
 
 
-@query("""SELECT 'prices' AS "check", unnest(['tiny', 'huge', 'mean', 'n']) AS metric, round(unnest([count(*) FILTER (WHERE price_in_usdc < 1e-6), count(*) FILTER (WHERE price_in_usdc > 1e6), avg(price_in_usdc), count(*)]::DOUBLE[]), 6) AS value,
-unnest([CASE WHEN count(*) FILTER (WHERE price_in_usdc < 1e-6) > 0 THEN 'fail' ELSE 'pass' END, 'pass', 'pass', 'pass']) AS status FROM fx_prices""", "fx_prices")
+@query(report_sql([
+    *nulls_sql("fx_prices", "block_timestamp", "pool", "token_address", "price_in_usdc", "usdc_volume"), gap_sql("order", "block_timestamp", "fx_prices"),
+    *spread_sql("price", "price_in_usdc", "fx_prices", 1e-6, 1e6), *spread_sql("volume", "usdc_volume", "fx_prices", 0), ("volume", "total", "sum(usdc_volume)", "fx_prices", None, None), ("rows", "n", "count(*)", "fx_prices", 1, None),
+    ("price", "tiny", _count("price_in_usdc < 1e-6"), "fx_prices", 0, 0), ("price", "huge", _count("price_in_usdc > 1e6"), "fx_prices", 0, 0), ("price", "low", _count("price_in_usdc < 1e-4"), "fx_prices", None, None),
+    ("tokens", "n", "count(*)", _BY_TOKEN, 1, None), ("tokens", "extreme_variation", _count("n >= 10 AND cv > 2"), _BY_TOKEN, 0, 0), ("tokens", "with_low_price", _count("low > 0"), _BY_TOKEN, None, None),
+    ("tokens", "least_rows", "min(n)", _BY_TOKEN, None, None), ("tokens", "most_rows", "max(n)", _BY_TOKEN, None, None),
+]), "fx_prices")
 def q2_prices_report(t):  # noqa: ANN001, ANN201
-    p = F.col("price_in_usdc")
-    rules = {("prices", "tiny"): (F.count_if(p < 1e-6), 0, 0), ("prices", "huge"): (F.count_if(p > 1e6), 0, 0), ("prices", "mean"): (F.avg(p), None, None), ("prices", "n"): (F.count("*"), 1, None)}
-    return rounded(quality.report(t("fx_prices"), rules))
+    return rounded(quality.prices_report(t("fx_prices")))
+
+
+_B = "fx_labelled"
+_JUMPS = "(SELECT src_price_usdc AS p, lag(src_price_usdc) OVER (PARTITION BY pool_id ORDER BY bar_close_timestamp, l_orderkey, l_partkey, l_linenumber) AS b FROM fx_labelled)"
+_BY_POOL = "(SELECT count(*) AS n, avg(CASE WHEN bar_time_delta_sec > 86400 THEN 1.0 ELSE 0.0 END) AS late FROM fx_labelled GROUP BY pool_id)"
+_SIDES = ("src", "dest")
+
+
+@query(report_sql([
+    *nulls_sql(_B, "bar_close_timestamp", "pool_id", "src_token_id", "dest_token_id", "src_flow_usdc", "dest_flow_usdc", "src_price_usdc", "dest_price_usdc"), duplicates_sql(_B, "pool_id", "bar_close_timestamp"),
+    *spread_sql("delta", "bar_time_delta_sec", _B, 0, 86400), *spread_sql("ticks", "tick_count", _B, 1), *spread_sql("src_tick_delta", "src_tick_delta", _B), *spread_sql("dest_tick_delta", "dest_tick_delta", _B),
+    ("delta", "over_a_day", _count("bar_time_delta_sec > 86400"), _B, 0, 0), ("ticks", "single", _count("tick_count = 1"), _B, None, None), ("rows", "n", "count(*)", _B, 1, None),
+    *(("flow", f"zero_{s}", _count(f"{s}_flow_usdc = 0"), _B, 0, 0) for s in _SIDES), *(("flow", f"mean_abs_{s}", f"avg(abs({s}_flow_usdc))", _B, 0, None) for s in _SIDES), *(("price", f"negative_{s}", _count(f"{s}_price_usdc < 0"), _B, 0, 0) for s in _SIDES),
+    *(("liquidity", f"missing_{s}", f"avg(CASE WHEN {s}_liquidity_close IS NULL THEN 1.0 ELSE 0.0 END)", _B, None, None) for s in _SIDES), *(("liquidity", f"negative_{s}", _count(f"{s}_liquidity_close < 0"), _B, 0, 0) for s in _SIDES),
+    ("price", "jumps", _count("abs(p - b) / (b + 1e-9) > 0.5"), _JUMPS, None, None), ("pools", "n", "count(*)", _BY_POOL, 1, None), ("pools", "least_rows", "min(n)", _BY_POOL, None, None), ("pools", "most_rows", "max(n)", _BY_POOL, None, None), ("pools", "largest_late_share", "max(late)", _BY_POOL, None, None),
+], 4), "fx_labelled")
+def q3_bars_report(t):  # noqa: ANN001, ANN201
+    order = ("bar_close_timestamp", "l_orderkey", "l_partkey", "l_linenumber")
+    return quality.bars_report(t("fx_labelled"), ("pool_id", "bar_close_timestamp"), order).withColumn("value", F.round("value", 4))
 
 
 # ---- planned extras ----

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidepool.functions import decode, numbers
-from tidepool.operators import bars, embeddings, folds, graph, pricing, quality, series
-from tidepool.plans.catalog import BARRIER, _bars, _pool_series, query, r6, rounded
+from tidepool.operators import bars, embeddings, features, folds, graph, pricing, quality, series
+from tidepool.plans.catalog import BAR_SQL, BARRIER, _bars, _pool_series, duplicates_sql, gap_sql, nulls_sql, query, r6, report_sql, rounded, spread_sql
 from tidepool.sources.readers import watch_list
 
 # ---- sources ----
@@ -225,48 +225,35 @@ def k3_top_n(t):  # noqa: ANN001, ANN201
 # ---- bars, graph, model tables ----
 
 
-@query()
+_ALL_BARS, _BAR_ROWS = BAR_SQL.rsplit("\nSELECT pool, ", 1)
+_LATE = "avg(CASE WHEN bar_time_delta_sec > 86400 THEN 1.0 ELSE 0 END) > 0.2"
+
+
+@query(f"""{_ALL_BARS}, z AS (SELECT pool, {_BAR_ROWS}), bad AS (SELECT src_token_id AS tok FROM z GROUP BY 1 HAVING {_LATE} UNION SELECT dest_token_id FROM z GROUP BY 1 HAVING {_LATE})
+SELECT * FROM z WHERE src_token_id NOT IN (SELECT tok FROM bad) AND dest_token_id NOT IN (SELECT tok FROM bad)""", "fx_prices")
 def t9_bars_filtered(t):  # noqa: ANN001, ANN201
     return rounded(bars.filter_illiquid(_bars(t)))
 
 
 @query("SELECT l_orderkey, l_partkey, src_token_id AS token, round(ln(1 + abs(src_flow_usdc)), 6) AS f0, round(src_price_usdc, 6) AS f1, CAST(tick_count AS DOUBLE) AS f2 FROM fx_bars", "fx_bars")
 def g9_event_features(t):  # noqa: ANN001, ANN201
-    features = F.array(F.log1p(F.abs("src_flow_usdc")), F.col("src_price_usdc"), F.col("tick_count").cast("double"))
-    b = t("fx_bars").select("l_orderkey", "l_partkey", F.col("src_token_id").alias("token"), features.alias("f"))
+    values = F.array(F.log1p(F.abs("src_flow_usdc")), F.col("src_price_usdc"), F.col("tick_count").cast("double"))
+    b = t("fx_bars").select("l_orderkey", "l_partkey", F.col("src_token_id").alias("token"), values.alias("f"))
     return rounded(b.select("l_orderkey", "l_partkey", "token", *(F.col("f")[i].alias(f"f{i}") for i in range(3))))
 
 
-FEATURES = ("src_flow", "dest_flow", "src_price", "dest_price", "pressure", "ticks", "tax")
-
-
-def _features(t) -> DataFrame:  # noqa: ANN001
-    """M1: the feature table of bars, in one projection."""
-    b = t("fx_bars")
-    return b.select(
-        "l_orderkey", "l_partkey", "bar_close_timestamp", F.log1p(F.abs("src_flow_usdc")).alias("src_flow"), F.log1p(F.abs("dest_flow_usdc")).alias("dest_flow"), F.log1p("src_price_usdc").alias("src_price"),
-        F.log1p("dest_price_usdc").alias("dest_price"), numbers.buying_pressure(F.col("src_flow_usdc"), F.col("dest_flow_usdc")).alias("pressure"), F.log1p("tick_count").alias("ticks"), F.col("l_tax").alias("tax"),
-        F.when(F.col("src_price_usdc") < 900, 0).when(F.col("src_price_usdc") < 1300, 1).otherwise(2).alias("label"),
-    )
-
-
-@query("""SELECT l_orderkey, l_partkey, round(ln(1 + abs(src_flow_usdc)), 6) AS src_flow, round(ln(1 + src_price_usdc), 6) AS src_price, round(abs(src_flow_usdc) / (abs(src_flow_usdc) + abs(dest_flow_usdc) + 1e-8), 6) AS pressure, round(ln(1 + tick_count), 6) AS ticks, CASE WHEN src_price_usdc < 900 THEN 0 WHEN src_price_usdc < 1300 THEN 1 ELSE 2 END AS label FROM fx_bars""", "fx_bars")
+@query("""SELECT l_orderkey, l_partkey, CAST(bar_close_timestamp AS DATE) AS trade_date, CAST(label AS INT) + 1 AS label_encoded, round(sample_weight, 6) AS sample_weight, round(coalesce(src_fracdiff, 0), 6) AS src_fracdiff, round(coalesce(dest_fracdiff, 0), 6) AS dest_fracdiff,
+round(rolling_volatility, 6) AS rolling_volatility, round(ln(1 + abs(src_flow_usdc)), 6) AS log_src_flow, round(ln(1 + abs(dest_flow_usdc)), 6) AS log_dest_flow, round(abs(src_flow_usdc) / (abs(src_flow_usdc) + abs(dest_flow_usdc) + 1e-8), 6) AS buying_pressure,
+round(bar_time_delta_sec, 6) AS bar_time_delta_sec, round(ln(1 + tick_count), 6) AS log_tick_count, round(coalesce(src_tick_delta, 0), 6) AS src_tick_delta, round(coalesce(dest_tick_delta, 0), 6) AS dest_tick_delta,
+round(ln(1 + coalesce(src_liquidity_close, 0)), 6) AS log_src_liquidity, round(ln(1 + coalesce(dest_liquidity_close, 0)), 6) AS log_dest_liquidity FROM fx_labelled WHERE label IS NOT NULL""", "fx_labelled", dates="trade_date")
 def m1_feature_table(t):  # noqa: ANN001, ANN201
-    return rounded(_features(t).select("l_orderkey", "l_partkey", "src_flow", "src_price", "pressure", "ticks", "label"))
+    return rounded(features.feature_table(t("fx_labelled"), "l_orderkey", "l_partkey"))
 
 
 @query()
 def m3_weighted_classifier(t):  # noqa: ANN001, ANN201
-    """Multinomial logistic regression with class weights of the first 70 % of the bars in
-    time; precision, recall and F1 by class on the last 15 %, which it has not seen."""
-    f = _features(t).fillna(0, list(FEATURES))
-    rows = folds.temporal_split(f, "bar_close_timestamp", "l_orderkey", "l_partkey")
-    train = rows.where("split = 'train'")
-    weights = folds.class_weights(train, "label").select("label", "weight")
-    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    model = LogisticRegression(weightCol="weight", maxIter=20, family="multinomial").fit(assembler.transform(train.join(F.broadcast(weights), "label")))
-    unseen = model.transform(assembler.transform(rows.where("split = 'test'")))
-    return rounded(folds.confusion(unseen.withColumn("p", F.col("prediction").cast("int")), "label", "p"))
+    order = ("bar_close_timestamp", "l_orderkey", "l_partkey", "l_linenumber")
+    return rounded(features.fold_scores(features.feature_table(t("fx_labelled"), *order), *order))
 
 
 @query()
@@ -327,10 +314,18 @@ def _labelled(t) -> DataFrame:  # noqa: ANN001
     return series.triple_barrier(_pool_series(t), 30, 0.5, 0.5, order=("ts", "event_id"))
 
 
-@query("""SELECT 'stationary' AS "check", unnest(['null_price', 'days', 'n']) AS metric, unnest([count(*) FILTER (WHERE price_in_usdc IS NULL), count(DISTINCT CAST(block_timestamp AS DATE)), count(*)])::DOUBLE AS value, 'pass' AS status FROM fx_prices""", "fx_prices")
+_B = "fx_labelled"
+_DIFFS = ("src_fracdiff", "dest_fracdiff")
+
+
+@query(report_sql([
+    *(("double", c, f"max(CASE WHEN typeof({c}) = 'DOUBLE' THEN 1 ELSE 0 END)", _B, 1, 1) for c in _DIFFS), *(("missing", c, f"avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END)", _B, None, 0.5) for c in _DIFFS),
+    *nulls_sql(_B, "bar_close_timestamp", "src_token_id", "dest_token_id"), *spread_sql(_DIFFS[0], _DIFFS[0], _B), *spread_sql(_DIFFS[1], _DIFFS[1], _B), ("rows", "n", "count(*)", _B, 1, None),
+    ("tokens", "src", "count(DISTINCT src_token_id)", _B, 1, None), ("tokens", "dest", "count(DISTINCT dest_token_id)", _B, 1, None),
+    ("days", "first", "min(date_diff('day', DATE '1970-01-01', CAST(bar_close_timestamp AS DATE)))", _B, None, None), ("days", "last", "max(date_diff('day', DATE '1970-01-01', CAST(bar_close_timestamp AS DATE)))", _B, None, None),
+]), "fx_labelled")
 def q4_stationary_report(t):  # noqa: ANN001, ANN201
-    rules = {("stationary", "null_price"): (F.count_if(F.col("price_in_usdc").isNull()), 0, 0), ("stationary", "days"): (F.countDistinct(F.to_date("block_timestamp")), 1, None), ("stationary", "n"): (F.count("*"), 1, None)}
-    return quality.report(t("fx_prices"), rules)
+    return rounded(quality.stationary_report(t("fx_labelled")))
 
 
 _WEIGHTS = BARRIER.replace("{N}", "30") + """, w AS (SELECT a.event_id, 1.0 / count(b.r) AS weight FROM l a JOIN l b ON a.tok = b.tok AND b.r <= a.r AND b.r >= a.r - 30 AND b.r + b.touch >= a.r WHERE a.touch IS NOT NULL AND b.touch IS NOT NULL GROUP BY 1)"""
@@ -349,6 +344,28 @@ def q5_label_report(t):  # noqa: ANN001, ANN201
     return rounded(quality.report(series.concurrency_weights(_labelled(t)), rules))
 
 
+# the bounds that hold for each column: ten times the expected range, a tenth of a lower bound above 0
+_BOUNDS = {
+    "src_flow_usdc": (-1e9, 1e9), "dest_flow_usdc": (-1e6, 1e6), "src_fracdiff": (-50, 100), "dest_fracdiff": (-50, 100), "rolling_volatility": (0, 10), "bar_time_delta_sec": (0, 864000), "tick_count": (0.1, 100000),
+    "label": (-10, 10), "sample_weight": (0, 10), "src_liquidity_close": (1, 1000), "dest_liquidity_close": (1, 1000), "src_tick_delta": (-50, 50), "dest_tick_delta": (-50, 50),
+}
+_TICKS = ("src_tick_delta", "dest_tick_delta")
+_QUIET = "(SELECT n, median(n) OVER () AS m FROM (SELECT CAST(bar_close_timestamp AS DATE) AS d, count(*) AS n FROM fx_labelled GROUP BY 1))"
+
+
+@query(report_sql([
+    *(("finite", c, f"count(*) FILTER (WHERE NOT isfinite(CAST({c} AS DOUBLE)))", _B, 0, 0) for c in _BOUNDS), *(("missing", c, f"avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END)", _B, None, None) for c in _BOUNDS),
+    *(("least", c, f"min({c})", _B, low, None) for c, (low, _) in _BOUNDS.items()), *(("most", c, f"max({c})", _B, None, high) for c, (_, high) in _BOUNDS.items()),
+    *(("zero_share", c, f"avg(CASE WHEN {c} = 0 THEN 1.0 WHEN {c} <> 0 THEN 0.0 END)", _B, None, 0.5) for c in ("src_flow_usdc", "dest_flow_usdc", *_TICKS)), ("zero_share", "rolling_volatility", "avg(CASE WHEN rolling_volatility < 1e-10 THEN 1.0 ELSE 0.0 END)", _B, None, 0.1),
+    *(("stationary", c, f"abs(avg({c}))", _B, None, 2) for c in _DIFFS), *(("negatives", c, f"count(*) FILTER (WHERE {c} < 0)", _B, 0, 0) for c in ("tick_count", "bar_time_delta_sec", "src_liquidity_close", "dest_liquidity_close")),
+    *(("z_mean", c, f"abs(avg({c}))", _B, None, 0.1) for c in _TICKS), *(("z_std", c, f"stddev_samp({c})", _B, 0.8, 1.2) for c in _TICKS), ("correlation", "src_dest_fracdiff", "abs(corr(src_fracdiff, dest_fracdiff))", _B, None, 0.5),
+    ("labels", "coverage", "count(label) / count(*)", _B, 0.1, None), ("labels", "balance", "min(n) / max(n)", "(SELECT count(*) AS n FROM fx_labelled WHERE label IS NOT NULL GROUP BY label)", 0.1, None), ("rows", "n", "count(*)", _B, 1, None),
+    duplicates_sql(_B, "l_orderkey", "l_linenumber"), gap_sql("time", "bar_close_timestamp", _B), ("time", "quiet_days", "count(*) FILTER (WHERE n < 0.1 * m)", _QUIET, 0, 0),
+], 4), "fx_labelled")
+def q6_training_report(t):  # noqa: ANN001, ANN201
+    return quality.training_report(t("fx_labelled"), ("l_orderkey", "l_linenumber")).withColumn("value", F.round("value", 4))
+
+
 @query("""SELECT metric, round(least, 4) AS least, round(most, 4) AS most, round(zeros, 6) AS zero_share, most <= expected * 10 AND least >= 0 AS in_range FROM (
 SELECT 'src_flow_usdc' AS metric, min(src_flow_usdc) AS least, max(src_flow_usdc) AS most, avg(CASE WHEN src_flow_usdc = 0 THEN 1.0 ELSE 0 END) AS zeros, 1e5 AS expected FROM fx_bars UNION ALL
 SELECT 'dest_price_usdc', min(dest_price_usdc), max(dest_price_usdc), avg(CASE WHEN dest_price_usdc = 0 THEN 1.0 ELSE 0 END), 1e3 FROM fx_bars)""", "fx_bars")

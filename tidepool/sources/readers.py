@@ -63,10 +63,32 @@ def write_swaps(df: DataFrame, path: str) -> None:
 
 
 def write_stage(df: DataFrame, path: str) -> None:
-    """A stage table."""
+    """A stage table."""
     df.write.mode("overwrite").parquet(path)
 
 
+def write_embeddings(df: DataFrame, path: str) -> None:
+    """Embeddings (id, embedding, label, trade_date), one folder a date; a new date
+    replaces its own folder only."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("trade_date").parquet(path)
+
+
+def read_embeddings(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """The embeddings of all dates, or of those from start to end; the date is a
+    partition column, so other folders are not read."""
+    found = spark.read.schema("id string, embedding array<float>, label int, trade_date date").parquet(path)
+    found = found if start is None else found.where(F.col("trade_date") >= F.lit(start).cast("date"))
+    return found if end is None else found.where(F.col("trade_date") <= F.lit(end).cast("date"))
+
+
+def read_reference_prices(spark: SparkSession, path: str, token: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Reference prices (token_address, timestamp, price_usd) of a token and a range
+    of days; addresses compare in lower case."""
+    found = spark.read.schema("token_address string, timestamp timestamp, price_usd double").parquet(path)
+    found = found if token is None else found.where(F.lower("token_address") == token.lower())
+    return in_dates(found, "timestamp", start, end)
+
+
 def write_tokens_json(df: DataFrame, path: str) -> None:
     """One JSON object for each token."""
     df.write.mode("overwrite").json(path)

@@ -35,6 +35,16 @@ SELECT event_id, ts AS block_timestamp, concat('pool', CAST(user_id % 20 AS {S})
 SELECT l_shipdate AS bar_close_timestamp, l_suppkey AS pool_id, l_partkey % 50 AS src_token_id, l_orderkey % 50 AS dest_token_id,
        l_extendedprice AS src_flow_usdc, -l_extendedprice * l_discount AS dest_flow_usdc, l_extendedprice / l_quantity AS src_price_usdc,
        o_totalprice AS dest_price_usdc, CAST(l_linenumber AS BIGINT) AS tick_count, l_orderkey, l_partkey, l_tax
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "fx_labelled": """
+SELECT l_shipdate AS bar_close_timestamp, l_suppkey AS pool_id, l_partkey % 50 AS src_token_id, l_orderkey % 50 AS dest_token_id, l_orderkey, l_partkey, l_linenumber,
+       l_extendedprice AS src_flow_usdc, -l_extendedprice * l_discount AS dest_flow_usdc, l_extendedprice / l_quantity AS src_price_usdc, o_totalprice AS dest_price_usdc,
+       CAST(l_linenumber AS BIGINT) AS tick_count, CAST(l_linenumber * 20000 AS DOUBLE) AS bar_time_delta_sec,
+       CASE WHEN l_orderkey % 10 <> 0 THEN ln(1 + l_extendedprice) END AS src_liquidity_close, ln(1 + o_totalprice) AS dest_liquidity_close,
+       (l_quantity - 25) / 10 AS src_tick_delta, CASE WHEN l_orderkey % 7 <> 0 THEN (l_discount - 0.05) * 20 END AS dest_tick_delta,
+       CASE WHEN l_orderkey % 11 <> 0 THEN l_discount - 0.05 END AS src_fracdiff, l_tax - 0.04 AS dest_fracdiff, l_tax AS rolling_volatility,
+       CAST(CASE WHEN l_partkey % 13 = 0 THEN NULL WHEN l_discount < 0.025 THEN -1 WHEN l_discount < 0.075 THEN 0 ELSE 1 END AS DOUBLE) AS label,
+       CAST(CASE WHEN l_linenumber < 7 THEN 1.0 / (1 + l_linenumber) ELSE 0 END AS DOUBLE) AS sample_weight
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "fx_pools": """
 SELECT s_suppkey AS address, s_nationkey AS token0, (s_nationkey + 1 + s_suppkey % 5) % 25 AS token1,
