@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, extract, language, maxscore, mixing, secrets, sharding, simhash, substrings
+from . import chat, decontaminate, extract, language, lexical, maxscore, merkle, mixing, quantise, secrets, sharding, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +55,61 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_maxscore, op3_substrings, op4_language, op5_extract, op6_mixing, op7_chat, op8_secrets, op9_sharding, op10_decontaminate)}
+def op11_quantise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantise.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash, op2_maxscore, op3_substrings, op4_language, op5_extract, op6_mixing, op7_chat, op8_secrets, op9_sharding, op10_decontaminate,
+        op11_quantise, op12_lexical, op13_merkle,
+    )
+}
+
+
+#: Levels in the SQL of op13: 16 million documents of a language, 512 languages.
+LEAF_LEVELS, TOP_LEVELS = 8, 3
+
+
+def _tree_sql(tree: str, source: str, key: str, order: str, steps: int) -> list[str]:
+    """Tables {tree}0 to {tree}<steps>, the levels of trees by key k: r, the c nodes of the level, h,
+    and x and y, the hashes of a node's run before and behind it."""
+    side = "coalesce(string_agg(h, '') OVER (PARTITION BY k, r // 8 ORDER BY r ROWS BETWEEN {}), '')".format
+    around = f"{side('UNBOUNDED PRECEDING AND 1 PRECEDING')} AS x, {side('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS y"
+    lowest = f"SELECT *, {key} AS k, row_number() OVER (PARTITION BY {key} ORDER BY {order}) - 1 AS r, count(*) OVER (PARTITION BY {key}) AS c FROM {source}"
+    up = "SELECT k, r // 8 AS r, (any_value(c) + 7) // 8 AS c, CASE WHEN any_value(c) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY r)) END AS h FROM {} GROUP BY k, r // 8"
+    return [f"{tree}{i} AS (SELECT *, {around} FROM ({up.format(f'{tree}{i - 1}') if i else lowest}))" for i in range(steps + 1)]
+
+
+def _merkle_sql() -> str:
+    levels = [("l", i) for i in range(LEAF_LEVELS)] + [("t", i) for i in range(TOP_LEVELS)]
+    sides = ", ".join(f"{t}{i}.x AS x{n}, {t}{i}.y AS y{n}, {t}{i}.c > 1 AS up{n}" for n, (t, i) in enumerate(levels))
+    joins = " ".join(f"JOIN {t}{i} ON {t}{i}.r = {'l0' if t == 'l' else 't0'}.r // {8**i}" + (f" AND {t}{i}.k = l0.k" if t == "l" else "") for t, i in levels if i)
+    path = " || ".join(f"CASE WHEN up{n} THEN x{n} || y{n} ELSE '' END" for n in range(len(levels)))
+    folds = [f"f{n + 1} AS (SELECT * EXCLUDE (shown), CASE WHEN up{n} THEN sha256(x{n} || shown || y{n}) ELSE shown END AS shown FROM f{n})" for n in range(len(levels))]
+    field = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || {0}, '-')".format
+    leaf = lambda text: "sha256(" + " || ".join([*map(field, ("doc_id", "source", "lang", "n_chars")), field(text)]) + ")"
+    low = "(CASE WHEN crc % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END)"
+    tables = [
+        "crc AS (SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(n)))",
+        "d AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)), lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1])), 4294967295) AS crc FROM documents, crc)",
+        f"h AS (SELECT doc_id, coalesce('+' || lang, '') AS own, {leaf('text')} AS h, {leaf(low)} AS shown FROM d)",
+        *_tree_sql("l", "h", "own", "doc_id NULLS FIRST, h", LEAF_LEVELS),
+        *_tree_sql("t", f"(SELECT k AS lang, h FROM l{LEAF_LEVELS})", "''", "lang", TOP_LEVELS),
+        f"f0 AS (SELECT l0.doc_id, l0.h AS leaf, l0.shown, t0.h AS subroot, t{TOP_LEVELS}.h AS root, {sides} FROM l0 JOIN t0 ON t0.lang = l0.k {joins} CROSS JOIN t{TOP_LEVELS})",
+        *folds,
+    ]
+    return "WITH " + ",\n".join(tables) + f"\nSELECT doc_id, leaf, subroot, root, sha256({path}) AS proof_sha256, shown AS folded_root, shown = root AS verified FROM f{len(levels)}"
+
 
 ORACLE_SQL = {
     "op2_maxscore": """
@@ -132,4 +186,26 @@ its AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_i
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (rid) LEFT JOIN its USING (rid)""",
+    "op11_quantise": """
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings),
+v AS (SELECT rid, vec_id, x, sqrt(list_dot_product(x, x)) AS norm FROM e
+      WHERE vec_id IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+p AS (SELECT a.rid AS a, b.rid AS b, b.vec_id FROM v a JOIN v b ON a.rid <> b.rid WHERE list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.9),
+n AS (SELECT a AS rid, count(*) AS n_links FROM p GROUP BY a),
+r AS (SELECT rid AS a, rid AS b FROM v UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT r.a AS rid, min(v.vec_id) AS component_id FROM r JOIN v ON v.rid = r.b GROUP BY r.a)
+SELECT e.vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, e.vec_id) AS component_id, coalesce(e.vec_id = coalesce(component_id, e.vec_id), true) AS kept
+FROM e LEFT JOIN n USING (rid) LEFT JOIN c USING (rid)""",
+    "op12_lexical": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT row_number() OVER () AS iid, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+g AS (SELECT CAST(count(*) FILTER (WHERE len(w) > 0) AS BIGINT) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d),
+tf AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) GROUP BY rid, term),
+q AS (SELECT iid, term, count(*) AS times FROM (SELECT iid, unnest(w) AS term FROM i) GROUP BY iid, term),
+df AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, g WHERE term IN (SELECT term FROM q) GROUP BY term),
+m AS (SELECT rid, doc_id, 100 - 75 + (75 * CAST(len(w) AS BIGINT) * n) // l AS m FROM d, g),
+s AS (SELECT iid, rid, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN tf USING (term) JOIN df USING (term) JOIN m USING (rid) GROUP BY iid, rid),
+k AS (SELECT iid, doc_id, score, CAST(row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM s JOIN m USING (rid) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k JOIN i USING (iid) WHERE rank <= 10""",
+    "op13_merkle": _merkle_sql(),
 }
