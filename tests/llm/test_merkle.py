@@ -51,9 +51,9 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-def run(spark, rows):
+def run(spark, rows, depth=merkle.DEPTH):
     docs = spark.createDataFrame([(*r, *["clash"] * 11) for r in rows], SCHEMA)
-    return sorted((tuple(r) for r in merkle.manifest(docs).collect()), key=str)
+    return sorted((tuple(r) for r in merkle.manifest(docs, depth).collect()), key=str)
 
 
 def many(n):
@@ -66,11 +66,10 @@ def test_sql(spark, sf_dir):
 
 
 @pytest.mark.parametrize("depth", [1, 2, 4])
-def test_brute_force(spark, monkeypatch, depth):
+def test_brute_force(spark, depth):
     """Small superblocks: several rounds up and down, languages of 1 to 220 leaves."""
-    monkeypatch.setattr(merkle, "DEPTH", depth)
     rows = many(650)
-    got = run(spark, rows)
+    got = run(spark, rows, depth)
     assert got == brute(rows)
     assert {r[6] for r in got} == {True, False}
 
@@ -85,8 +84,7 @@ def test_edges(spark):
     assert run(spark, [(big, "a", None, "s", 1), (None, "b", None, "s", 1)]) == brute([(big, "a", None, "s", 1), (None, "b", None, "s", 1)])
 
 
-def test_workers_see_the_depth():
-    """levels() goes DEPTH steps up, or to the top of the tree."""
-    assert [len(x) for x in merkle.levels(["a"] * 20, 20)] == [20, 3, 1]
-    assert [len(x) for x in merkle.levels(["a"], 5000)] == [1, 1, 1, 1, 1]
-    assert [len(x) for x in merkle.levels(["a"], 1)] == [1]
+def test_levels_end_at_the_depth_or_the_top():
+    assert [len(x) for x in merkle.levels(["a"] * 20, 20, 4)] == [20, 3, 1]
+    assert [len(x) for x in merkle.levels(["a"], 5000, 4)] == [1, 1, 1, 1, 1]
+    assert [len(x) for x in merkle.levels(["a"], 1, 4)] == [1]

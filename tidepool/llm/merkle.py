@@ -69,11 +69,11 @@ def digest(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def levels(nodes: list[str], n: int) -> list[list[str]]:
-    """The levels of a superblock, of a tree whose lowest level has n nodes, from below: DEPTH
+def levels(nodes: list[str], n: int, depth: int) -> list[list[str]]:
+    """The levels of a superblock, of a tree whose lowest level has n nodes, from below: depth
     steps up, or fewer if the tree ends before."""
     out = [nodes]
-    while len(out) <= DEPTH and n > 1:
+    while len(out) <= depth and n > 1:
         low = out[-1]
         out.append([digest("".join(low[i : i + FAN])) for i in range(0, len(low), FAN)])
         n = -(-n // FAN)
@@ -96,68 +96,75 @@ def fold(node: str, path: list[tuple[str, str]]) -> str:
     return node
 
 
-def _root(pdf: pd.DataFrame) -> pd.DataFrame:
-    built = levels(pdf.sort_values("r")["hash"].tolist(), int(pdf["n"].iloc[0]))
-    size = FAN**DEPTH
-    return pd.DataFrame({"key": [pdf["key"].iloc[0]], "r": [pdf["block"].iloc[0]], "n": [-(-int(pdf["n"].iloc[0]) // size)], "hash": [built[-1][0]]})
+def in_superblocks(nodes: DataFrame, depth: int) -> DataFrame:
+    return nodes.withColumn("block", F.floor(F.col("r") / FAN**depth).cast("long"))
 
 
-def in_superblocks(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.floor(F.col("r") / FAN**DEPTH).cast("long"))
+def rounds(nodes: DataFrame, depth: int) -> list[DataFrame]:
+    """nodes (key, r, n, hash) and the superblock roots above, up to one node a key."""
 
+    def root(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = int(pdf["n"].iloc[0])
+        top = levels(pdf.sort_values("r")["hash"].tolist(), n, depth)[-1][0]
+        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "r": [pdf["block"].iloc[0]], "n": [-(-n // FAN**depth)], "hash": [top]})
 
-def rounds(nodes: DataFrame) -> list[DataFrame]:
-    """nodes (key, r, n, hash) and the superblock roots above, up to one node a key."""
     out = [nodes]
     while (out[-1].agg(F.max("n")).first()[0] or 0) > 1:
-        roots = in_superblocks(out[-1]).groupBy("key", "block").applyInPandas(_root, "key string, r long, n long, hash string")
+        roots = in_superblocks(out[-1], depth).groupBy("key", "block").applyInPandas(root, "key string, r long, n long, hash string")
         out.append(written(roots, "roots"))
     return out
 
 
-_PATH = "path_before array<string>, path_behind array<string>, subroot string, root string"
-
-
-def _down(nodes: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
-    """The proofs of a superblock's nodes: their own levels, then those of the outer nodes."""
-    if not len(nodes):
-        return pd.DataFrame(columns=["key", "r", "path_before", "path_behind", "subroot", "root"])
-    nodes, above = nodes.sort_values("r"), outer.iloc[0]
-    built = levels(nodes["hash"].tolist(), int(nodes["n"].iloc[0]))
-    paths = [siblings(built, i) for i in range(len(nodes))]
-    return pd.DataFrame({
-        "key": nodes["key"].to_numpy(), "r": nodes["r"].to_numpy(), "path_before": [[*(a for a, _ in p), *above["path_before"]] for p in paths],
-        "path_behind": [[*(b for _, b in p), *above["path_behind"]] for p in paths], "subroot": above["subroot"], "root": above["root"],
-    })
-
-
-def proofs(levels_up: list[DataFrame], top: DataFrame) -> DataFrame:
+def proofs(levels_up: list[DataFrame], top: DataFrame, depth: int) -> DataFrame:
     """(key, r, path, subroot, root) of the nodes one round above the lowest, from those of the
     highest (top: one row a key)."""
+    names = ["key", "r", "path_before", "path_behind", "subroot", "root"]
+
+    def down(nodes: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
+        """A superblock's nodes: the siblings in it, then those of the outer nodes."""
+        if not len(nodes):
+            return pd.DataFrame(columns=names)
+        nodes, above = nodes.sort_values("r"), outer.iloc[0]
+        built = levels(nodes["hash"].tolist(), int(nodes["n"].iloc[0]), depth)
+        paths = [siblings(built, i) for i in range(len(nodes))]
+        return pd.DataFrame({
+            "key": nodes["key"].to_numpy(), "r": nodes["r"].to_numpy(), "path_before": [[*(a for a, _ in p), *above["path_before"]] for p in paths],
+            "path_behind": [[*(b for _, b in p), *above["path_behind"]] for p in paths], "subroot": above["subroot"], "root": above["root"],
+        })
+
     known = top
     for nodes in reversed(levels_up[1:-1]):
-        below = in_superblocks(nodes).groupBy("key", "block")
-        known = below.cogroup(known.withColumnRenamed("r", "block").groupBy("key", "block")).applyInPandas(_down, f"key string, r long, {_PATH}")
-        known = written(known, "proofs")
+        below = in_superblocks(nodes, depth).groupBy("key", "block")
+        found = below.cogroup(known.withColumnRenamed("r", "block").groupBy("key", "block")).applyInPandas(down, "key string, r long, path_before array<string>, path_behind array<string>, subroot string, root string")
+        known = written(found, "proofs")
     return known
 
 
-def _finish(rows: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
-    """A superblock of leaves: local levels, proofs, and the fold of what was tampered with."""
+def finished(leaves: DataFrame, outer: DataFrame, depth: int) -> DataFrame:
+    """Superblocks of leaves and their outer nodes: local levels, proofs, and the fold of what
+    was tampered with."""
     names = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
-    if not len(rows):
-        return pd.DataFrame(columns=names)
-    rows, above = rows.sort_values("r"), outer.iloc[0]
-    built = levels(rows["hash"].tolist(), int(rows["n"].iloc[0]))
-    up = [*zip(above["path_before"], above["path_behind"])]
-    proof, folded = [], []
-    for i, own in enumerate(rows["shown"]):
-        path = siblings(built, i) + up
-        proof.append(digest("".join(a + b for a, b in path)))
-        folded.append(fold(own, path))
-    out = pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "leaf": rows["hash"].to_numpy(), "subroot": above["subroot"], "root": above["root"], "proof_sha256": proof, "folded_root": folded})
-    out["verified"] = np.array(folded) == above["root"]
-    return out[names]
+
+    def finish(rows: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame(columns=names)
+        rows, above = rows.sort_values("r"), above.iloc[0]
+        built = levels(rows["hash"].tolist(), int(rows["n"].iloc[0]), depth)
+        up = [*zip(above["path_before"], above["path_behind"])]
+        proof, folded = [], []
+        for i, own in enumerate(rows["shown"]):
+            path = siblings(built, i) + up
+            proof.append(digest("".join(a + b for a, b in path)))
+            folded.append(fold(own, path))
+        out = pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "leaf": rows["hash"].to_numpy(), "subroot": above["subroot"], "root": above["root"], "proof_sha256": proof, "folded_root": folded})
+        out["verified"] = np.array(folded) == above["root"]
+        return out[names]
+
+    # an id with nulls would become a float in pandas
+    whole = in_superblocks(leaves, depth).select("key", "block", "r", "n", "hash", "shown", F.col("doc_id").cast("string").alias("doc_id")).groupBy("key", "block")
+    schema = "doc_id string, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
+    found = whole.cogroup(outer.withColumnRenamed("r", "block").groupBy("key", "block")).applyInPandas(finish, schema)
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
@@ -166,7 +173,7 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     return numbered_in_key(rows, "key", *order, ranges=ranges)
 
 
-def manifest(docs: DataFrame) -> DataFrame:
+def manifest(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified), a row a document."""
     lang = F.col("lang").cast("string")
     rows = docs.select(
@@ -175,21 +182,14 @@ def manifest(docs: DataFrame) -> DataFrame:
     )
     # both hashes are made once; from here on rows are narrow
     leaves = written(numbered(written(rows, "leaves"), "doc_id", "hash"), "leaves")
-    per_lang = rounds(leaves.select("key", "r", "n", "hash"))
-    subroots = per_lang[-1].select("key", F.col("hash").alias("subroot"))
-    langs = written(numbered(subroots.select(F.lit("").alias("key"), F.col("key").alias("lang"), F.col("subroot").alias("hash")), "lang"), "langs")
-    on_top = rounds(langs.select("key", "r", "n", "hash"))
+    per_lang = rounds(leaves.select("key", "r", "n", "hash"), depth)
+    subroots = per_lang[-1].select(F.lit("").alias("key"), F.col("key").alias("lang"), "hash")
+    langs = written(numbered(subroots, "lang"), "langs")
+    on_top = rounds(langs.select("key", "r", "n", "hash"), depth)
     none = F.array().cast("array<string>")
     peak = on_top[-1].select("key", "r", none.alias("path_before"), none.alias("path_behind"), F.col("hash").alias("subroot"), F.col("hash").alias("root"))
-    by_lang = _lowest(on_top, peak).withColumnRenamed("key", "tree").join(langs.select(F.col("lang").alias("key"), "r", F.col("hash").alias("own")).hint("merge"), "r")
-    top = by_lang.select("key", F.lit(0).cast("long").alias("r"), "path_before", "path_behind", F.col("own").alias("subroot"), "root")
-    outer = proofs(per_lang, top)
-    whole = in_superblocks(leaves).select("key", "block", "r", "n", "hash", "shown", F.col("doc_id").cast("string").alias("doc_id")).groupBy("key", "block")
-    # an id with nulls would become a float in pandas
-    schema = "doc_id string, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
-    return whole.cogroup(outer.withColumnRenamed("r", "block").groupBy("key", "block")).applyInPandas(_finish, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
-
-
-def _lowest(levels_up: list[DataFrame], top: DataFrame) -> DataFrame:
-    """The proofs of the nodes of the lowest round."""
-    return written(proofs([levels_up[0], *levels_up], top), "proofs")
+    # the proofs of the subroots are those of the lowest level of the tree on top
+    by_lang = proofs([langs, *on_top], peak, depth).select("r", "path_before", "path_behind", "root")
+    top = by_lang.join(langs.select(F.col("lang").alias("key"), "r", F.col("hash").alias("subroot")).hint("merge"), "r")
+    top = top.select("key", F.lit(0).cast("long").alias("r"), "path_before", "path_behind", "subroot", "root")
+    return finished(leaves, proofs(per_lang, top, depth), depth)
