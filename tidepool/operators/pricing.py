@@ -1,10 +1,7 @@
-"""Prices: direct, indirect with a time-limited cache, outliers, references."""
+"""Prices: direct, outliers, references; components of tokens."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -86,71 +83,6 @@ def components(edges: DataFrame) -> DataFrame:
             return label.select("token", "component")
 
 
-def _infer(ttl_s: float):  # noqa: ANN202
-    """The sequential part of T1 over rows sorted by (component, island, time)."""
-    ttl = int(ttl_s * 1e6)
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unit, cache = None, {}
-        for pdf in frames:
-            out = []
-            micros = pdf["micros"].to_numpy()
-            for at, key, direct, t0, t1, a0, a1, price, volume, event in zip(micros, zip(pdf["component"], pdf["island"]), pdf["direct"], pdf["token0"], pdf["token1"], pdf["amount0"], pdf["amount1"], pdf["price"], pdf["volume"], pdf["event_id"]):
-                if key != unit:
-                    unit, cache = key, {}
-                if direct:
-                    cache[t0] = (price, at)
-                    out.append((event, at, t0, price, volume, True))
-                    continue
-                if t0 not in cache or t1 not in cache or not a0 or not a1:
-                    continue
-                (p0, o0), (p1, o1) = cache[t0], cache[t1]
-                if at - o0 > ttl or at - o1 > ttl:
-                    continue
-                new1, new0 = a0 / a1 * p0, a1 / a0 * p1
-                if not (LEAST_PRICE <= new0 <= MOST_PRICE and LEAST_PRICE <= new1 <= MOST_PRICE) or a0 * new0 > MOST_VOLUME:
-                    continue
-                origin = min(o0, o1)
-                cache[t0], cache[t1] = (new0, origin), (new1, origin)
-                out += [(event, at, t0, new0, a0 * new0 / 2, False), (event, at, t1, new1, a0 * new0 / 2, False)]
-            yield pd.DataFrame(out, columns=["event_id", "micros", "token_address", "price_in_usdc", "usdc_volume", "direct"]).astype({"event_id": "int64", "micros": "int64", "price_in_usdc": "float64", "usdc_volume": "float64", "direct": "bool"})
-
-    return scan
-
-
-def indirect_prices(swaps: DataFrame, numeraire: str, ttl_s: float = 3600.0) -> DataFrame:
-    """Prices of swaps without the numeraire from a cache of recent prices.
-
-    Exact and parallel: tokens in different components of the indirect-swap graph never
-    meet, and after a silence of direct prices longer than the ttl nothing cached before
-    can be used; so (component, island of activity) is a unit of its own. Only tokens
-    that occur in an indirect swap enter; the others have their direct prices already.
-    """
-    direct = direct_prices(swaps, numeraire)
-    # only the token columns are read for the graph
-    cross = swaps.where((F.col("token0") != numeraire) & (F.col("token1") != numeraire))
-    label = components(cross.select(F.col("token0").alias("a"), F.col("token1").alias("b")))
-    own = lambda amount, dec: F.abs(F.col(amount)) / F.pow(F.lit(10.0), F.col(dec))
-    d = direct.join(label, direct.token_address == label.token).select(
-        "component", "block_timestamp", "block_number", "event_id", F.lit(True).alias("direct"), F.col("token_address").alias("token0"), F.lit("").alias("token1"),
-        F.lit(0.0).alias("amount0"), F.lit(0.0).alias("amount1"), F.col("price_in_usdc").alias("price"), F.col("usdc_volume").alias("volume"),
-    )
-    x = cross.join(label, cross.token0 == label.token).select(
-        "component", "block_timestamp", "block_number", "event_id", F.lit(False).alias("direct"), "token0", "token1",
-        own("amount0", "token0_decimals").alias("amount0"), own("amount1", "token1_decimals").alias("amount1"), F.lit(0.0).alias("price"), F.lit(0.0).alias("volume"),
-    )
-    rows = d.unionByName(x).withColumn("micros", F.unix_micros("block_timestamp"))
-    w = Window.partitionBy("component").orderBy("micros", "block_number", "event_id")
-    before = F.last(F.when(F.col("direct"), F.col("micros")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opens = (F.col("direct") & (F.coalesce(F.col("micros") - before, F.lit(1 << 60)) > int(ttl_s * 1e6))).cast("int")
-    rows = rows.withColumn("opens", opens).withColumn("island", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    units = rows.repartition("component", "island").sortWithinPartitions("component", "island", "micros", "block_number", "event_id")
-    out = units.select("component", "island", "micros", "event_id", "direct", "token0", "token1", "amount0", "amount1", "price", "volume").mapInPandas(
-        _infer(ttl_s), "event_id long, micros long, token_address string, price_in_usdc double, usdc_volume double, direct boolean"
-    )
-    return out.withColumn("block_timestamp", F.timestamp_micros("micros")).drop("micros")
-
-
 def against_reference(prices: DataFrame, reference: DataFrame, unit: str, ts: str = "block_timestamp") -> DataFrame:
     """Correlation and MAPE of mean prices against reference prices, by
     token, on hours or days."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidepool.functions import decode, numbers
-from tidepool.operators import bars, embeddings, folds, graph, pricing, quality, series
+from tidepool.operators import bars, embeddings, folds, graph, indirect, pricing, quality, series
 from tidepool.sources.readers import in_dates, preview, tokens_from_json, two_token_pools
 from tidepool.sources.views import oracle, table
 
@@ -161,7 +161,7 @@ def f6_direct_prices(t):  # noqa: ANN001, ANN201
 
 @query()
 def t1_indirect_prices(t):  # noqa: ANN001, ANN201
-    return pricing.indirect_prices(_decoded(t), "tok0", 6 * 3600.0)
+    return indirect.indirect_prices(_decoded(t), "tok0", 6 * 3600.0)
 
 
 @query("""SELECT event_id, price_in_usdc FROM fx_prices WHERE CAST(block_timestamp AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-09'""", "fx_prices")
