@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import decode, numbers
@@ -309,10 +310,81 @@ def test_sources_round_trip(spark, tmp_path):
         readers.require(logs, "chain", "nope")
 
 
+def slow_tau(y):
+    """The regressions themselves, over the whole series."""
+    y = (y - y.mean()) / (y.std() or 1.0)
+    dy = np.diff(y)
+    n = len(y)
+    most = max(0, min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 3))
+
+    def fitted(lags, skip):
+        rows = np.arange(skip, len(dy))
+        x = np.column_stack([y[rows], np.ones(len(rows)), rows / len(dy) - 0.5, *(dy[rows - i] for i in range(1, lags + 1))])
+        beta, _, rank, _ = np.linalg.lstsq(x, dy[rows], rcond=None)
+        return x, beta, dy[rows] - x @ beta, rank
+
+    def aic(lags):
+        res = fitted(lags, most)[2]
+        return len(res) * math.log(max(float(res @ res), 1e-300) / len(res)) + 2 * (3 + lags)
+
+    best = min(range(most + 1), key=aic)
+    x, beta, res, rank = fitted(best, best)
+    free = len(res) - x.shape[1]
+    if rank < x.shape[1] or free <= 0 or not res.any():
+        return 0.0
+    return float(beta[0] / math.sqrt(np.linalg.inv(x.T @ x)[0, 0] * float(res @ res) / free))
+
+
+def tau(y):
+    y = (y - y.mean()) / (y.std() or 1.0)
+    lags = series.most_lags(len(y))
+    z = series.lag_rows(y, lags, len(y) - 1, lags, 0, len(y))
+    return series.tau_of(z.T @ z, y[: lags + 1], len(y))
+
+
 def test_math_of_tau():
-    rng = np.random.default_rng(12)
-    assert series._tau(np.cumsum(rng.normal(size=500))) > series.TAU_5 > series._tau(rng.normal(size=500))
-    assert math.isfinite(series._tau(np.arange(30.0) + rng.normal(size=30)))
+    rng = np.random.default_rng(2)
+    assert tau(np.cumsum(rng.normal(size=500))) > series.TAU_5 > tau(rng.normal(size=500))
+    for n in (20, 21, 30, 77, 400):
+        for y in (rng.normal(size=n), np.cumsum(rng.normal(size=n)), np.arange(n) * 0.3 + rng.normal(size=n), 5 + np.cumsum(rng.normal(size=n)) * 1e-3):
+            assert math.isclose(tau(y), slow_tau(y), rel_tol=1e-6, abs_tol=1e-6)
+
+
+@pytest.mark.parametrize("block", [64, 100_000])
+def test_orders_from_blocks_equal_whole_series(spark, block):
+    """Blocks of a few rows: the decisions are those of whole series, for series of very
+    different kind and length, a constant and a short one."""
+    rng = np.random.default_rng(5)
+    walks = {"a": np.cumsum(rng.normal(size=900)) * 0.02 + 3, "b": np.cumsum(np.cumsum(rng.normal(size=600))) * 1e-4, "c": rng.normal(size=300), "d": np.zeros(200), "e": rng.normal(size=15), "f": np.cumsum(rng.normal(size=2000)) * 0.01}
+    rows = [(t, at(i), float(math.exp(v))) for t, x in walks.items() for i, v in enumerate(x)]
+    grid = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0, 1.0, 0.3, 0.5)
+    got = {r.token: r.d for r in series.minimum_d(spark.createDataFrame(rows, "token string, ts timestamp, price double"), grid, block).collect()}
+    want = {}
+    for t, x in walks.items():
+        for d in sorted(set(grid), key=grid.index):
+            y = np.convolve(x, series.frac_weights(d), "valid") if len(x) >= len(series.frac_weights(d)) else np.empty(0)
+            if t not in want and len(y) >= 20 and np.ptp(y) > 0 and slow_tau(y) < series.TAU_5:
+                want[t] = d
+    assert got == want and {"a", "c", "f"} <= set(got) and not {"d", "e"} & set(got)
+
+
+def test_running_values_of_a_hot_key(spark):
+    """The scan equals windows by key, with nulls in keys and values, and more than one range
+    for a key; no key at all is one key."""
+    from tidepool.operators import scans
+
+    rng = random.Random(8)
+    rows = [("hot" if rng.random() < 0.7 else rng.choice(["x", "y", None]), i // 2, i, None if rng.random() < 0.4 else rng.randint(-9, 9)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k string, t long, tie long, v long")
+    for keys in (["k"], []):
+        out = scans.carried(df, keys, ["t", "tie"], s=scans.total("v"), s0=scans.total("v", own=False), l=scans.latest("v"), l0=scans.latest("v", own=False), f=scans.first("v"), m=scans.most("v"), n=scans.least("v", own=False))
+        w = Window.partitionBy(*keys).orderBy("t", "tie")
+        upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+        want = df.select("*", F.sum("v").over(upto).alias("s"), F.sum("v").over(before).alias("s0"), F.last("v", True).over(upto).alias("l"), F.last("v", True).over(before).alias("l0"), F.first("v", True).over(upto).alias("f"), F.max("v").over(upto).alias("m"), F.min("v").over(before).alias("n"))
+        assert sorted(map(tuple, out.select(*want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+        at_range = ranges.with_range(df, *keys, "t", "tie").where("k = 'hot'").select("_range").distinct().count()
+        assert at_range > 10
+
 
 
 def test_embeddings_by_date(spark, tmp_path):

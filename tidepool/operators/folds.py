@@ -53,12 +53,13 @@ def event_batches(df: DataFrame, size: int, *order: str) -> DataFrame:
 def exit_returns(prices: DataFrame, keys: list[str], *order: str, stop: float = STOP, take: float = TAKE) -> DataFrame:
     """For each key the return of holding from the first price: stop or take at the
     first later price at or beyond them, else last / first - 1; 0 with under two prices or
-    no positive entry."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = prices.withColumn("_entry", F.first("price").over(w)).withColumn("_n", F.row_number().over(w))
-    hit = F.when(F.col("_n") > 1, F.when(F.col("price") <= (1 + stop) * F.col("_entry"), stop).when(F.col("price") >= (1 + take) * F.col("_entry"), take))
+    no positive entry. Two aggregations, no window: a key of any size is summed up in parts."""
+    at = F.struct(*order)
+    entries = prices.groupBy(*keys).agg(F.min_by("price", at).alias("_entry"), F.min(at).alias("_at"))
+    rows = prices.join(entries, keys)
+    hit = F.when(at > F.col("_at"), F.when(F.col("price") <= (1 + stop) * F.col("_entry"), stop).when(F.col("price") >= (1 + take) * F.col("_entry"), take))
     per = rows.withColumn("_hit", hit).groupBy(*keys).agg(
-        F.min_by("_hit", F.when(F.col("_hit").isNotNull(), F.col("_n"))).alias("_out"), F.max_by("price", "_n").alias("_last"), F.first("_entry").alias("_entry"), F.count("*").alias("_c")
+        F.min_by("_hit", F.when(F.col("_hit").isNotNull(), at)).alias("_out"), F.max_by("price", at).alias("_last"), F.first("_entry").alias("_entry"), F.count("*").alias("_c")
     )
     value = F.when((F.col("_c") < 2) | (F.col("_entry") <= 0), 0.0).otherwise(F.coalesce("_out", F.col("_last") / F.col("_entry") - 1))
     return per.select(*keys, value.alias("ret"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidepool.functions.numbers import clip
+from tidepool.operators.ranges import numbered
+from tidepool.operators.tables import written
 
 # Pool defaults.
 DEFAULT_FEE, DEFAULT_TICK_SPACING = 0.003, 60
@@ -145,7 +147,7 @@ def neighbour_mean(edges: DataFrame, features: DataFrame, value: str, *batch: st
 
 
 def encoded(df: DataFrame, column: str, out: str, offset: int = 0) -> DataFrame:
-    """0-based ids in order of the distinct values. The dictionary is numbered over
-    the distinct values alone and joined back."""
-    ids = df.select(column).distinct().withColumn(out, (F.row_number().over(Window.orderBy(column)) - 1 + offset).cast("long"))
+    """0-based ids in order of the distinct values. The dictionary is numbered by ranges
+    over the distinct values alone and joined back."""
+    ids = numbered(written(df.select(column).distinct(), "ids"), column, out=out).withColumn(out, F.col(out) + offset)
     return df.join(ids, column)

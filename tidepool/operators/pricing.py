@@ -8,6 +8,7 @@ from pyspark.sql import Window
 
 from tidepool.functions.numbers import direct_price
 from tidepool.operators.ranges import numbered_in_key
+from tidepool.operators.scans import carried, latest
 from tidepool.operators.tables import dropped, written
 
 LEAST_PRICE, MOST_PRICE, MOST_VOLUME = 1e-9, 1e7, 1e9
@@ -51,14 +52,13 @@ def filter_outliers(prices: DataFrame, k: float = 3.0) -> DataFrame:
 
 def last_known(events: DataFrame, lookups: DataFrame, key: str, ts: str, value: str, max_age_s: float) -> DataFrame:
     """For each lookup the last value of its key at or before its time, if not
-    older than max_age_s: a union and a running last, no join."""
+    older than max_age_s: a union and a running last."""
     both = events.select(F.col(key), F.col(ts), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("lookup_id"), F.col(ts).alias("seen"), F.col(value).alias("v")).unionByName(
         lookups.select(F.col(key), F.col(ts), F.lit(1).alias("kind"), F.col("lookup_id").cast("long").alias("lookup_id"), F.lit(None).cast("timestamp").alias("seen"), F.lit(None).cast("double").alias("v"))
     )
-    w = Window.partitionBy(key).orderBy(ts, "kind").rowsBetween(Window.unboundedPreceding, 0)
-    at = F.last(F.when(F.col("kind") == 0, F.struct("seen", "v")), ignorenulls=True).over(w)
+    at = carried(both, [key], [ts, "kind"], at=latest(F.when(F.col("kind") == 0, F.struct("seen", "v"))))
     fresh = F.unix_micros(ts) - F.unix_micros("at.seen") <= F.lit(int(max_age_s * 1e6))
-    return both.withColumn("at", at).where("kind = 1").select("lookup_id", key, ts, F.when(fresh, F.col("at.v")).alias(value))
+    return at.where("kind = 1").select("lookup_id", key, ts, F.when(fresh, F.col("at.v")).alias(value))
 
 
 def components(edges: DataFrame) -> DataFrame:

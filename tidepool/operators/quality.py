@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidepool.functions import decode
+from tidepool.operators.ranges import RANGES, with_range
+from tidepool.operators.scans import RANGE_ROWS
+from tidepool.operators.tables import written
 from tidepool.sources.readers import require
 
 
@@ -53,12 +56,13 @@ def stats(df: DataFrame, column: str) -> DataFrame:
 
 
 def largest_gap(df: DataFrame, ts: str) -> DataFrame:
-    """The largest time between consecutive rows. Gaps inside a day are found by a
-    window on the day, those between days from each day's first and last row."""
-    day = df.select(F.col(ts).alias("t"), F.to_date(ts).alias("d"))
-    inside = day.select((F.unix_micros("t") - F.unix_micros(F.lag("t").over(Window.partitionBy("d").orderBy("t")))).alias("g"))
-    ends = day.groupBy("d").agg(F.min("t").alias("a"), F.max("t").alias("z"))
-    between = ends.select((F.unix_micros("a") - F.unix_micros(F.lag("z").over(Window.orderBy("d")))).alias("g"))
+    """The largest time between consecutive rows. Gaps inside a range of times are found by
+    a window on the range, those between ranges from each range's first and last row."""
+    times = written(df.select(F.col(ts).alias("t")).where("t is not null").distinct(), "times")
+    parts = with_range(times, "t", ranges=max(RANGES, times.count() // RANGE_ROWS))
+    inside = parts.select((F.unix_micros("t") - F.unix_micros(F.lag("t").over(Window.partitionBy("_range").orderBy("t")))).alias("g"))
+    ends = parts.groupBy("_range").agg(F.min("t").alias("a"), F.max("t").alias("z"))
+    between = ends.select((F.unix_micros("a") - F.unix_micros(F.lag("z").over(Window.orderBy("_range")))).alias("g"))
     return inside.unionByName(between).agg((F.max("g") / 1e6).alias("gap_sec"))
 
 

@@ -6,17 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tidepool.operators.ranges import numbered
+from tidepool.operators.scans import carried, first, latest, most
+from tidepool.operators.tables import written
+
 
 def as_of(rows: DataFrame, other: DataFrame, ts: str, value: str, default: float) -> DataFrame:
-    """The last `value` of other (ts, value) at or before each row's time. Rows are
-    windowed by day; a day starts from the last value of the days before it."""
+    """The last `value` of other (ts, value) at or before each row's time."""
     mark = lambda df, kind, v: df.withColumn("_k", F.lit(kind)).withColumn(value, v)
-    both = mark(rows, 1, F.lit(None).cast("double")).unionByName(mark(other.select(ts, value), 0, F.col(value)), allowMissingColumns=True).withColumn("_d", F.to_date(ts))
-    w = Window.partitionBy("_d").orderBy(ts, "_k").rowsBetween(Window.unboundedPreceding, 0)
-    days = both.groupBy("_d").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(ts))).alias("_v"))
-    carried = days.select("_d", F.last("_v", ignorenulls=True).over(Window.orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)).alias("_c"))
-    filled = both.withColumn("_o", F.last(value, ignorenulls=True).over(w)).join(carried, "_d")
-    return filled.where("_k = 1").withColumn(value, F.coalesce("_o", "_c", F.lit(default))).drop("_k", "_d", "_o", "_c")
+    both = mark(rows, 1, F.lit(None).cast("double")).unionByName(mark(other.select(ts, value), 0, F.col(value)), allowMissingColumns=True)
+    return carried(both, [], [ts, "_k"], **{value: latest(value)}).where("_k = 1").withColumn(value, F.coalesce(value, F.lit(default))).drop("_k")
 
 
 def slippage(size: Column, tvl: Column, default: float = 0.1) -> Column:
@@ -47,12 +46,17 @@ def hourly(days: DataFrame, day: str) -> DataFrame:
 def trailing_stop(prices: DataFrame, keys: list[str], *order: str, arm: float = 0.2, drop: float = 0.3) -> DataFrame:
     """The exit price of each key: the first price `drop` below the running peak once
     the peak is `arm` above entry; else the last."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    run = prices.withColumn("_e", F.first("price").over(w)).withColumn("_p", F.max("price").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(w))
+    run = carried(prices, keys, list(order), _e=first("price"), _p=most("price"))
     hit = (F.col("_p") >= (1 + arm) * F.col("_e")) & (F.col("price") <= (1 - drop) * F.col("_p"))
-    return run.groupBy(*keys).agg(F.coalesce(F.min_by("price", F.when(hit, F.col("_n"))), F.max_by("price", "_n")).alias("exit_price"))
+    at = F.struct(*order)
+    return run.groupBy(*keys).agg(F.coalesce(F.min_by("price", F.when(hit, at)), F.max_by("price", at)).alias("exit_price"))
 
 
 def barrier_multiple(df: DataFrame, vol: str, *tie: str) -> DataFrame:
-    """1 + a quarter for each volatility quintile. One row a key is expected."""
-    return df.withColumn("multiple", 1 + (F.ntile(5).over(Window.orderBy(vol, *tie))) * 0.25)
+    """1 + a quarter for each volatility quintile. Quintiles come from row numbers by ranges:
+    the first ones have a row more where the rows don't divide by 5."""
+    rows = written(df, "quintiles")
+    size, more = divmod(rows.count(), 5)
+    at = F.col("_row")
+    quintile = F.when(at < more * (size + 1), F.floor(at / (size + 1))).otherwise(more + F.floor((at - more * (size + 1)) / max(size, 1))) + 1
+    return numbered(rows, vol, *tie, out="_row").withColumn("multiple", 1 + quintile * 0.25).drop("_row")

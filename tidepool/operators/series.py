@@ -4,6 +4,7 @@ weights (T3 to T8, W5 to W7)."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidepool.operators.ranges import BLOCK_ROWS, row_blocks
+from tidepool.operators.scans import carried, total
+from tidepool.operators.tables import written
 
 CUT = 1e-3
 D_GRID = tuple(round(0.05 * i, 2) for i in range(21))
@@ -59,66 +62,139 @@ def _convolved(series: DataFrame, w: list[float], frame, value: str, out: str) -
     return series.withColumn("_past", past).withColumn(out, F.when(F.size("_past") == len(w), dot)).drop("_past")
 
 
-def _tau(y: np.ndarray) -> float:
-    """t-ratio of the lagged level in the augmented Dickey-Fuller regression with
-    constant and trend; the number of lags by AIC on a common sample."""
-    y = (y - y.mean()) / (y.std() or 1.0)  # the ratio does not depend on scale
-    dy = np.diff(y)
-    n = len(y)
-    most = max(0, min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 3))
+#: Fixed value: the 5 % point of the unit-root distribution with constant and trend.
+TAU_5 = -3.41
 
-    def regressors(lags: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = np.arange(skip, len(dy))
-        return np.column_stack([y[rows], np.ones(len(rows)), rows / len(dy) - 0.5, *(dy[rows - i] for i in range(1, lags + 1))]), dy[rows]
 
-    # the lag is chosen on one sample, so one product matrix serves all candidates
-    x, target = regressors(most, most)
-    products, with_target, total = x.T @ x, x.T @ target, float(target @ target)
+def most_lags(n: int) -> int:
+    return max(0, min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 3))
 
-    def aic(lags: int) -> float:
-        k = 3 + lags
-        beta = np.linalg.lstsq(products[:k, :k], with_target[:k], rcond=None)[0]
-        ssr = total - float(beta @ with_target[:k])
-        return len(target) * math.log(max(ssr, 1e-300) / len(target)) + 2 * k
-
-    x, target = regressors(best := min(range(most + 1), key=aic), best)
-    beta, _, rank, _ = np.linalg.lstsq(x, target, rcond=None)
-    res = target - x @ beta
-    free = len(target) - x.shape[1]
-    if rank < x.shape[1] or free <= 0 or not res.any():
-        return 0.0
-    cov = np.linalg.inv(x.T @ x) * float(res @ res) / free
-    return float(beta[0] / math.sqrt(cov[0, 0]))
 
+#: Rows of a lag matrix that are multiplied at once.
+STEP = 8192
 
-#: Fixed value: the 5 % point of the unit-root distribution with constant and trend.
-TAU_5 = -3.41
 
+def lag_rows(y: np.ndarray, first: int, stop: int, lags: int, offset: int, n: int) -> np.ndarray:
+    """Rows first .. stop of the regression: target, lagged level, 1, trend, lagged differences.
+    Row t is about the step from y[t] to y[t + 1]; offset is the place of y[0] in a series of
+    n values."""
+    dy, rows = np.diff(y), np.arange(first, stop)
+    return np.column_stack([dy[rows], y[rows], np.ones(len(rows)), (rows + offset) / (n - 1) - 0.5, *(dy[rows - i] for i in range(1, lags + 1))])
 
-def _test(pdf: pd.DataFrame) -> pd.DataFrame:
-    y = pdf.sort_values("ts")["frac"].dropna().to_numpy()
-    good = len(y) >= LEAST_OBSERVATIONS and np.ptp(y) > 0 and _tau(y) < TAU_5
-    return pd.DataFrame({"token": [pdf["token"].iloc[0]], "d": [pdf["d"].iloc[0]], "stationary": [bool(good)], "n": [len(y)]})
 
+def tau_of(products: np.ndarray, head: np.ndarray, n: int) -> float:
+    """t-ratio of the lagged level in the augmented Dickey-Fuller regression with constant and
+    trend. products: of the columns of lag_rows over all rows from the greatest lag on; head:
+    the first values of the series, from which the rows before are made. The number of lags
+    is chosen by AIC on the common sample, then the rows it spares are added."""
+    most = products.shape[0] - 4
 
-def minimum_d(series: DataFrame, grid: tuple[float, ...] = D_GRID) -> DataFrame:
-    """(token, d): the least order of the grid whose difference of log prices is
-    stationary. One window holds the longest kernel, and all orders are products with its
-    end. One group for each token and order, so the search is parallel over both; a group
-    holds the series of one token."""
-    kernels = {d: frac_weights(d) for d in grid}
-    longest = max(map(len, kernels.values()))
-    past = F.collect_list("x").over(Window.partitionBy("token").orderBy("ts").rowsBetween(-(longest - 1), 0))
-    logs = series.select("token", "ts", F.log(F.greatest("price", F.lit(1e-18))).alias("x")).withColumn("_past", past)
-
-    def frac(w: list[float]) -> Column:
-        kernel = F.array(*(F.lit(v) for v in reversed(w)))
-        own = F.slice("_past", F.lit(-len(w)), F.lit(len(w)))
-        return F.when(F.size("_past") >= len(w), F.aggregate(F.zip_with(own, kernel, lambda x, y: x * y), F.lit(0.0), lambda t, v: t + v))
+    def solved(gram: np.ndarray, lags: int) -> tuple[np.ndarray, float, np.ndarray]:
+        x, with_target = gram[1 : 4 + lags, 1 : 4 + lags], gram[1 : 4 + lags, 0]
+        beta = np.linalg.lstsq(x, with_target, rcond=None)[0]
+        return beta, gram[0, 0] - float(beta @ with_target), x
 
-    orders = F.array(*(F.struct(F.lit(d).alias("d"), frac(w).alias("frac")) for d, w in kernels.items()))
-    tests = logs.select("token", "ts", F.inline(orders)).where("frac is not null").groupBy("token", "d").applyInPandas(_test, "token string, d double, stationary boolean, n long")
-    return tests.where("stationary").groupBy("token").agg(F.min("d").alias("d"))
+    def aic(lags: int) -> float:
+        rows = products[2, 2]
+        return rows * math.log(max(solved(products, lags)[1], 1e-300) / rows) + 2 * (3 + lags)
+
+    best = min(range(most + 1), key=aic)
+    early = lag_rows(head, best, most, best, 0, n) if best < most else np.empty((0, 4 + best))
+    gram = products[: 4 + best, : 4 + best] + early.T @ early
+    beta, ssr, x = solved(gram, best)
+    free = gram[2, 2] - x.shape[0]
+    if free <= 0 or ssr <= 1e-12 * max(gram[0, 0], 1e-300) or np.linalg.matrix_rank(x, hermitian=True) < x.shape[0]:
+        return 0.0
+    return float(beta[0] / math.sqrt(np.linalg.inv(x)[0, 0] * ssr / free))
+
+
+def _block_products(orders: dict[float, list[float]]):  # noqa: ANN202
+    """Of a block of a series: for each order the products of its own rows, the least and
+    greatest value, and the head of the series if it is here."""
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = ["token", "d", "n", "gram", "least", "most", "head"]
+        if not pdf["own"].any():
+            return pd.DataFrame(columns=names)
+        pdf = pdf.sort_values("r")
+        n, at, own, x = int(pdf["n"].iloc[0]), int(pdf["r"].iloc[0]), pdf["own"].to_numpy(), pdf["x"].to_numpy()
+        begin, end = at + int(own.argmax()), at + len(own) - int(own[::-1].argmax())  # own places in the series
+        out = []
+        for d, w in orders.items():
+            values, lost = n - len(w) + 1, len(w) - 1
+            if values < LEAST_OBSERVATIONS:
+                continue
+            lags = most_lags(values)
+            # y[0] is at place max(at, 0) of x; its number among the values of this order:
+            y, offset = np.convolve(x, w, "valid"), at
+            low, high = max(begin - lost, 0), min(end - lost, values)
+            first, stop = max(low - 1, lags), high - 1  # regression rows whose target is own
+            gram = np.zeros((4 + lags, 4 + lags))
+            for step in range(first, stop, STEP):
+                z = lag_rows(y, step - offset, min(step + STEP, stop) - offset, lags, offset, values)
+                gram += z.T @ z
+            mine = y[max(low - offset, 0) : high - offset]
+            head = y[: lags + 1] if at == 0 else np.empty(0)
+            out.append((pdf["token"].iloc[0], d, values, gram.ravel(), mine.min() if len(mine) else np.inf, mine.max() if len(mine) else -np.inf, head))
+        return pd.DataFrame(out, columns=names)
+
+    return products
+
+
+def _decided(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks sorted by (token, d): products are added up, one matrix at a time is held."""
+    key, n, gram, least, most, head = None, 0, None, 0.0, 0.0, None
+
+    def decision() -> tuple:
+        good = most > least and tau_of(gram, head, n) < TAU_5
+        return (*key, bool(good), n)
+
+    for pdf in frames:
+        out = []
+        for token, d, values, own, low, high, start in zip(*(pdf[c] for c in ("token", "d", "n", "gram", "least", "most", "head"))):
+            if (token, d) != key:
+                if key is not None:
+                    out.append(decision())
+                side = math.isqrt(len(own))
+                key, n, gram, least, most, head = (token, d), int(values), np.zeros((side, side)), math.inf, -math.inf, np.empty(0)
+            gram += np.asarray(own).reshape(gram.shape)
+            least, most, head = min(least, low), max(most, high), np.asarray(start) if len(start) else head
+        yield pd.DataFrame(out, columns=["token", "d", "stationary", "n"])
+    if key is not None:
+        yield pd.DataFrame([decision()], columns=["token", "d", "stationary", "n"])
+
+
+#: Orders that are tried in one round.
+ROUND = 7
+
+
+def minimum_d(series: DataFrame, grid: tuple[float, ...] = D_GRID, block: int = BLOCK_ROWS) -> DataFrame:
+    """(token, d): the least order of the grid whose difference of log prices is
+    stationary. The test is a least-squares fit, so all it needs of a series are the products
+    of its lagged columns, which are summed over blocks of rows (with margins for kernel and
+    lags): no task holds a series. Orders are tried in ascending rounds, tokens that are
+    stationary leave. Series are scaled by their token's mean and deviation first, which
+    leaves the test as it is."""
+    log = F.log(F.greatest("price", F.lit(1e-18)))
+    scale = series.groupBy("token").agg(F.avg(log).alias("_m"), F.stddev_pop(log).alias("_s"), F.count("*").alias("_n"))
+    longest = max(len(frac_weights(d)) for d in grid)
+    # one row a token: Spark knows its size from what is written
+    scale = written(scale, "scale")
+    lags = most_lags(scale.agg(F.max("_n")).first()[0] or 0)
+    scaled = series.join(scale, "token").select("token", "ts", ((log - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0)).alias("x"))
+    rows = written(row_blocks(written(scaled, "scaled"), "token", "ts", before=longest + lags + 1, size=block), "blocks")
+    found, left = None, scale.select("token")
+    for i in range(0, len(grid), ROUND):
+        orders = {d: frac_weights(d) for d in grid[i : i + ROUND]}
+        open_ = rows.join(left.hint("merge"), "token", "left_semi") if i else rows
+        parts = open_.groupBy("token", "block").applyInPandas(_block_products(orders), "token string, d double, n long, gram array<double>, least double, most double, head array<double>")
+        tests = parts.repartition("token", "d").sortWithinPartitions("token", "d").mapInPandas(_decided, "token string, d double, stationary boolean, n long")
+        best = written(tests.where("stationary").groupBy("token").agg(F.min("d").alias("d")), "orders")
+        found = best if found is None else found.unionByName(best)
+        left = written(left.join(best.hint("merge"), "token", "left_anti"), "left")
+        if i + ROUND < len(grid) and left.isEmpty():
+            break
+    return found
 
 
 def standardised(df: DataFrame, value: str, key: str = "token", out: str = "z", least: float = 1e-12) -> DataFrame:
@@ -193,8 +269,8 @@ def concurrency_weights(labels: DataFrame, key: str = "token") -> DataFrame:
     steps = ends.groupBy(key, "r").agg(F.sum("step").alias("step"))
     joined = labels.hint("merge").join(steps.hint("merge"), [key, "r"], "left")
     # ends behind the last row of a key have no row and open nothing
-    active = F.sum(F.coalesce("step", F.lit(0))).over(Window.partitionBy(key).orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
-    return joined.withColumn("active", active).drop("step").withColumn("weight", F.when(F.col("touch").isNotNull(), 1.0 / F.col("active")))
+    run = carried(joined, [key], ["r"], active=total(F.coalesce("step", F.lit(0)))).drop("step")
+    return run.withColumn("weight", F.when(F.col("touch").isNotNull(), 1.0 / F.col("active")))
 
 
 def with_labels(bars: DataFrame, labels: DataFrame) -> DataFrame:
