@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from tidepool.functions.numbers import bar_threshold
+from tidepool.operators.scans import carried, latest
 
 MICRO = 1_000_000
 
@@ -158,38 +158,54 @@ def assign_bars_in_chunks(rows: DataFrame, seconds: int = 86_400) -> DataFrame:
     return joined.repartition("pool", "chunk").sortWithinPartitions("pool", "chunk", "ts", "tie").select(*chunked.columns, "_bar", "_open").mapInArrow(_assign_chunk, schema)
 
 
+#: Rows of a pool beyond which its bars are numbered in chunks of a day.
+HOT_POOL_ROWS = 1_000_000
+
+
 def dollar_bars(prices: DataFrame, thresholds: DataFrame, chunk_seconds: int | None = None) -> DataFrame:
-    """Closed bars of each pool. prices: pool, block_timestamp,
+    """Closed bars of each pool. prices: pool, block_timestamp,
     event_id, token_address, price_in_usdc, usdc_volume, flow_sign; thresholds: pool,
     token_a, token_b, threshold. A bar without a price of a side is left out, but counts
-    for the number of the next and its time delta. chunk_seconds: number the bars in parallel
-    chunks of a pool."""
-    rows = prices.join(thresholds, "pool").select(
+    for the number of the next, its time delta and its liquidity. Where prices has tick and
+    liquidity, bars get, for both sides, the closing minus the opening tick and the log1p of
+    the liquidity last seen, in the bar or before it. chunk_seconds: number the bars in
+    parallel chunks of a pool; None: days, where a pool has over HOT_POOL_ROWS rows."""
+    state = {"tick", "liquidity"} <= set(prices.columns)
+    joined = prices.join(thresholds, "pool")
+    rows = joined.select(
         "pool", F.col("block_timestamp").alias("ts"), F.col("event_id").alias("tie"), F.round(F.col("usdc_volume") * MICRO).cast("long").alias("micro"),
         F.round(F.col("threshold") * MICRO).cast("long").alias("limit"), "token_address", F.col("price_in_usdc").alias("price"), (F.col("flow_sign") * F.col("usdc_volume")).alias("flow"), "token_a", "token_b",
+        *((F.col("tick").cast("double").alias("tick"), F.col("liquidity").cast("double").alias("liquidity")) if state else ()),
     )
+    if chunk_seconds is None and (prices.groupBy("pool").count().agg(F.max("count")).first()[0] or 0) > HOT_POOL_ROWS:
+        chunk_seconds = 86_400
     order = F.struct("ts", "tie")
     side = lambda t, e: F.when(F.col("token_address") == F.col(t), e)
+    known = lambda c: F.when(F.col(c).isNotNull(), order)
     assigned = assign_bars_in_chunks(rows, chunk_seconds) if chunk_seconds else assign_bars(rows)
     bars = assigned.groupBy("pool", "bar_no").agg(
         F.max("closes").alias("closed"), F.max("ts").alias("bar_close_timestamp"), F.first("token_a").alias("token_a"), F.first("token_b").alias("token_b"),
         F.countDistinct("ts", "tie").alias("tick_count"), F.sum("micro").alias("volume_micro"),
         F.sum(side("token_a", F.col("flow"))).alias("flow_a"), F.sum(side("token_b", F.col("flow"))).alias("flow_b"),
         F.max_by(F.col("price"), side("token_a", order)).alias("price_a"), F.max_by(F.col("price"), side("token_b", order)).alias("price_b"),
+        *((F.max_by("tick", known("tick")) - F.min_by("tick", known("tick"))).alias("tick_delta") for _ in range(state)), *(F.max_by("liquidity", known("liquidity")).alias("_l") for _ in range(state)),
     ).where("closed")
-    w = Window.partitionBy("pool").orderBy("bar_no")
-    delta = (F.unix_micros("bar_close_timestamp") - F.unix_micros(F.lag("bar_close_timestamp").over(w))) / 1e6
-    return directed(bars.withColumn("bar_time_delta_sec", F.coalesce(delta, F.lit(0.0))).where("price_a is not null and price_b is not null"))
+    # what goes from bar to bar is a scan: a pool's bars may be in many tasks
+    run = carried(bars, ["pool"], ["bar_no"], _before=latest("bar_close_timestamp", own=False), **({"_l": latest("_l")} if state else {}))
+    delta = (F.unix_micros("bar_close_timestamp") - F.unix_micros("_before")) / 1e6
+    out = run.withColumn("bar_time_delta_sec", F.coalesce(delta, F.lit(0.0))).where("price_a is not null and price_b is not null")
+    return directed(out.withColumn("liquidity_close", F.log1p("_l")) if state else out)
 
 
 def directed(bars: DataFrame) -> DataFrame:
     """The source is the token of larger net flow; on a tie token_b."""
     a = F.abs("flow_a") > F.abs("flow_b")
     pick = lambda x, y: F.when(a, F.col(x)).otherwise(F.col(y))
+    both = [F.col(c).alias(f"{s}_{c}") for c in ("liquidity_close", "tick_delta") if c in bars.columns for s in ("src", "dest")]
     return bars.select(
         "pool", "bar_no", "bar_close_timestamp", pick("token_a", "token_b").alias("src_token_id"), pick("token_b", "token_a").alias("dest_token_id"),
         pick("flow_a", "flow_b").alias("src_flow_usdc"), pick("flow_b", "flow_a").alias("dest_flow_usdc"), pick("price_a", "price_b").alias("src_price_usdc"), pick("price_b", "price_a").alias("dest_price_usdc"),
-        "bar_time_delta_sec", "tick_count", "volume_micro",
+        "bar_time_delta_sec", "tick_count", "volume_micro", *both,
     )
 
 
@@ -212,8 +228,7 @@ def tick_and_liquidity(rows: DataFrame) -> DataFrame:
     as log1p, carried on from earlier bars where a bar has none."""
     order = F.struct("ts", "tie")
     per = rows.groupBy("pool", "bar_no").agg((F.max_by("tick", order) - F.min_by("tick", order)).alias("tick_delta"), F.max_by(F.col("liquidity"), F.when(F.col("liquidity").isNotNull(), order)).alias("l"))
-    w = Window.partitionBy("pool").orderBy("bar_no").rowsBetween(Window.unboundedPreceding, 0)
-    return per.select("pool", "bar_no", "tick_delta", F.log1p(F.last("l", ignorenulls=True).over(w)).alias("liquidity_close"))
+    return carried(per, ["pool"], ["bar_no"], l=latest("l")).select("pool", "bar_no", "tick_delta", F.log1p("l").alias("liquidity_close"))
 
 
 def z_scored(df: DataFrame, column: str, out: str) -> DataFrame:

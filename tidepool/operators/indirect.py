@@ -164,13 +164,15 @@ def in_chunks(rows: DataFrame, ttl_s: float, chunk_s: float | None = None, repor
     return out.select("event_id", "token_address", "price_in_usdc", "usdc_volume", "direct", F.timestamp_micros("micros").alias("block_timestamp"))
 
 
-def graph_rows(swaps: DataFrame, numeraire: str) -> DataFrame:
+def graph_rows(swaps: DataFrame, numeraire: str, label: DataFrame | None = None, keep: str | None = None) -> DataFrame:
     """The rows of the inference: direct prices of tokens that occur in an indirect swap, and
-    the indirect swaps, each with its component."""
+    the indirect swaps, each with its component. label: (token, component) if it is known; keep:
+    a column that stays."""
     direct = direct_prices(swaps, numeraire)
     # only the token columns are read for the graph
     cross = swaps.where((F.col("token0") != numeraire) & (F.col("token1") != numeraire))
-    label = components(cross.select(F.col("token0").alias("a"), F.col("token1").alias("b")))
+    if label is None:
+        label = components(cross.select(F.col("token0").alias("a"), F.col("token1").alias("b")))
     own = lambda amount, dec: F.abs(F.col(amount)) / F.pow(F.lit(10.0), F.col(dec))
     # label is one row a token, written: Spark broadcasts it by its true size
     d = direct.join(label, direct.token_address == label.token).select(
@@ -181,7 +183,7 @@ def graph_rows(swaps: DataFrame, numeraire: str) -> DataFrame:
         "component", "block_timestamp", "block_number", "event_id", F.lit(False).alias("direct"), "token0", "token1",
         own("amount0", "token0_decimals").alias("amount0"), own("amount1", "token1_decimals").alias("amount1"), F.lit(0.0).alias("price"), F.lit(0.0).alias("volume"),
     )
-    return d.unionByName(x).withColumn("micros", F.unix_micros("block_timestamp")).drop("block_timestamp")
+    return d.unionByName(x).withColumn("micros", F.unix_micros("block_timestamp")).drop(*({"block_timestamp"} - {keep}))
 
 
 def indirect_prices(swaps: DataFrame, numeraire: str, ttl_s: float = 3600.0, chunk_s: float | None = None, report: list[int] | None = None) -> DataFrame:
