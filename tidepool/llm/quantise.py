@@ -319,7 +319,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     own = classes.select("k1", "k2", "c", "copies", "least").join(counts.hint("merge"), "c", "left").join(roots.select(F.col("node").alias("c"), "root").hint("merge"), "c", "left")
     own = written(own.select("k1", "k2", "least", F.coalesce("root", "c").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "own")
     # component ids are the least vec_id over the classes of a component
-    least = own.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that the join is a plain one and a large component is split in it
+    least = written(own.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = own.hint("merge").join(least.hint("merge"), "root").select("k1", "k2", "n_links", "component_id")
     members = rows.select("vec_id", "k1", "k2").hint("merge").join(named.hint("merge"), ["k1", "k2"]).select("vec_id", "n_links", "component_id")
     alone = unlinked(vectors, id_col, vec_col).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
