@@ -162,14 +162,15 @@ def assign_bars_in_chunks(rows: DataFrame, seconds: int = 86_400) -> DataFrame:
 HOT_POOL_ROWS = 1_000_000
 
 
-def dollar_bars(prices: DataFrame, thresholds: DataFrame, chunk_seconds: int | None = None) -> DataFrame:
+def dollar_bars(prices: DataFrame, thresholds: DataFrame, chunk_seconds: int | None = None, numeraire: str | None = None) -> DataFrame:
     """Closed bars of each pool. prices: pool, block_timestamp,
     event_id, token_address, price_in_usdc, usdc_volume, flow_sign; thresholds: pool,
     token_a, token_b, threshold. A bar without a price of a side is left out, but counts
     for the number of the next, its time delta and its liquidity. Where prices has tick and
     liquidity, bars get, for both sides, the closing minus the opening tick and the log1p of
     the liquidity last seen, in the bar or before it. chunk_seconds: number the bars in
-    parallel chunks of a pool; None: days, where a pool has over HOT_POOL_ROWS rows."""
+    parallel chunks of a pool; None: days, where a pool has over HOT_POOL_ROWS rows.
+    numeraire: a token whose price is always 1."""
     state = {"tick", "liquidity"} <= set(prices.columns)
     joined = prices.join(thresholds, "pool")
     rows = joined.select(
@@ -193,7 +194,9 @@ def dollar_bars(prices: DataFrame, thresholds: DataFrame, chunk_seconds: int | N
     # what goes from bar to bar is a scan: a pool's bars may be in many tasks
     run = carried(bars, ["pool"], ["bar_no"], _before=latest("bar_close_timestamp", own=False), **({"_l": latest("_l")} if state else {}))
     delta = (F.unix_micros("bar_close_timestamp") - F.unix_micros("_before")) / 1e6
-    out = run.withColumn("bar_time_delta_sec", F.coalesce(delta, F.lit(0.0))).where("price_a is not null and price_b is not null")
+    own = lambda s: F.when(F.col(f"token_{s}") == F.lit(numeraire), F.lit(1.0)).otherwise(F.col(f"price_{s}"))
+    flows = {f"flow_{s}": F.coalesce(f"flow_{s}", F.lit(0.0)) for s in "ab"}
+    out = run.withColumns({"bar_time_delta_sec": F.coalesce(delta, F.lit(0.0)), "price_a": own("a"), "price_b": own("b")} | flows).where("price_a is not null and price_b is not null")
     return directed(out.withColumn("liquidity_close", F.log1p("_l")) if state else out)
 
 

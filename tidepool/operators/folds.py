@@ -8,6 +8,7 @@ from pyspark.sql import Window
 
 from tidepool.functions.numbers import kelly
 from tidepool.operators.ranges import numbered
+from tidepool.operators.tables import written
 
 STOP, TAKE = -0.2, 2.0
 
@@ -17,25 +18,44 @@ def trade_days(df: DataFrame, ts: str) -> DataFrame:
     return df.select(F.to_date(ts).alias("trade_date")).distinct().withColumn("day_rank", F.row_number().over(Window.orderBy("trade_date")))
 
 
-def walk_forward(df: DataFrame, ts: str, train_days: int, open_hour: int = 9, close_hour: int = 17) -> DataFrame:
+def fold_days(days: DataFrame, train_days: int) -> DataFrame:
+    """(trade_date, fold): the folds that each day serves, its own and those of the next
+    `train_days` trade days. days: (trade_date, day_rank), one row a day."""
+    last = days.agg(F.max("day_rank").alias("_last"))
+    serves = days.crossJoin(F.broadcast(last)).select("trade_date", F.explode(F.sequence("day_rank", F.least(F.col("day_rank") + train_days, F.col("_last")))).alias("fold_rank")).where(F.col("fold_rank") > train_days)
+    named = days.select(F.col("day_rank").alias("fold_rank"), F.col("trade_date").alias("fold"))
+    return serves.hint("merge").join(named.hint("merge"), "fold_rank").select("trade_date", "fold")
+
+
+def walk_forward(df: DataFrame, ts: str, train_days: int, open_hour: int = 9, close_hour: int = 17, least_train: int = 0, fall_back: bool = False) -> DataFrame:
     """Df once for each fold it belongs to, with fold (the trade day) and split:
     train (the days before), morning (before open_hour) or trade. Each day explodes into
-    the folds it serves and meets its rows by equality; no theta join."""
+    the folds it serves and meets its rows by equality; no theta join. Folds of fewer than
+    least_train train rows are left out; fall_back: train rows stand for a missing morning."""
     days = trade_days(df, ts)
-    last = days.agg(F.max("day_rank").alias("_last"))
-    serves = days.crossJoin(F.broadcast(last)).select("trade_date", F.explode(F.sequence("day_rank", F.least(F.col("day_rank") + train_days, F.col("_last")))).alias("fold_rank"), "day_rank").where(F.col("fold_rank") > train_days)
-    folds = serves.join(days.select(F.col("day_rank").alias("fold_rank"), F.col("trade_date").alias("fold")), "fold_rank")
-    rows = df.withColumn("trade_date", F.to_date(ts)).join(folds.select("trade_date", "fold"), "trade_date")
+    rows = df.withColumn("trade_date", F.to_date(ts)).join(fold_days(days, train_days), "trade_date")
     hour = F.hour(ts)
     split = F.when(F.col("trade_date") < F.col("fold"), "train").when(hour < open_hour, "morning").when(hour < close_hour, "trade")
-    return rows.withColumn("split", split).where("split is not null")
-
-
-def temporal_split(df: DataFrame, *order: str, train: float = 0.7, val: float = 0.15) -> DataFrame:
-    """Split by place in time: train, val, test."""
+    out = rows.withColumn("split", split).where("split is not null")
+    if not least_train and not fall_back:
+        return out
+    # one row a fold
+    sizes = written(out.groupBy("fold").agg(F.count_if(F.col("split") == "train").alias("_train"), F.count_if(F.col("split") == "morning").alias("_morning")), "folds")
+    kept = out.join(sizes, "fold").where(F.col("_train") >= least_train)
+    if fall_back:
+        also = F.when((F.col("split") == "train") & (F.col("_morning") == 0), F.array(F.lit("train"), F.lit("morning"))).otherwise(F.array("split"))
+        kept = kept.withColumn("split", F.explode(also))
+    return kept.drop("_train", "_morning")
+
+
+def temporal_split(df: DataFrame, *order: str, train: float = 0.7, val: float = 0.15, by_size: bool = False) -> DataFrame:
+    """Split by place in time: train, val, test. The validation part ends at the share
+    train + val of the rows; by_size: it has the share val of them, rounded down on its own."""
     n = df.agg(F.count("*").alias("_n"))
     rows = numbered(df, *order).crossJoin(F.broadcast(n))
-    return rows.withColumn("split", F.when(F.col("row") < F.floor(F.col("_n") * F.lit(train)), "train").when(F.col("row") < F.floor(F.col("_n") * F.lit(train + val)), "val").otherwise("test")).drop("_n")
+    part = lambda share: F.floor(F.col("_n") * F.lit(share))
+    end = part(train) + part(val) if by_size else part(train + val)
+    return rows.withColumn("split", F.when(F.col("row") < part(train), "train").when(F.col("row") < end, "val").otherwise("test")).drop("_n")
 
 
 def time_blocks(df: DataFrame, blocks: int, *order: str) -> DataFrame:
@@ -94,11 +114,17 @@ def performance(daily: DataFrame, day: str = "trade_date", value: str = "ret") -
     )
 
 
-def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """Inverse frequency weights N / (K n_c)."""
+def class_weights(df: DataFrame, label: str, classes: list[int] | None = None, floored: bool = False) -> DataFrame:
+    """Inverse frequency weights N / (K n_c). classes: all K classes that there are; one
+    without rows has weight 1, or, floored, that of one row."""
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
+    if classes is not None:
+        kind = dict(df.dtypes)[label]
+        listed = df.sparkSession.createDataFrame([(c,) for c in classes], f"{label} {kind}")
+        counts = F.broadcast(listed).join(counts, label, "left").select(label, F.coalesce("n", F.lit(0)).alias("n"))
     all_ = counts.agg(F.sum("n").alias("_n"), F.count("*").alias("_k"))
-    return counts.crossJoin(F.broadcast(all_)).select(label, "n", (F.col("_n") / (F.col("_k") * F.col("n"))).alias("weight"))
+    weight = F.col("_n") / (F.col("_k") * F.greatest(F.col("n"), F.lit(1)))
+    return counts.crossJoin(F.broadcast(all_)).select(label, "n", (weight if floored else F.when(F.col("n") == 0, 1.0).otherwise(weight)).alias("weight"))
 
 
 def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:

@@ -198,10 +198,44 @@ def minimum_d(series: DataFrame, grid: tuple[float, ...] = D_GRID, block: int =
 
 
 def standardised(df: DataFrame, value: str, key: str = "token", out: str = "z", least: float = 1e-12) -> DataFrame:
-    """Mean 0, population deviation 1 by key; constant series become 0."""
-    w = Window.partitionBy(key)
-    s = F.stddev_pop(value).over(w)
-    return df.withColumn("_s", s).withColumn(out, F.when(F.col("_s") > least, (F.col(value) - F.avg(value).over(w)) / F.col("_s")).otherwise(F.when(F.col(value).isNotNull(), 0.0))).drop("_s")
+    """Mean 0, population deviation 1 by key; constant series become 0. The statistics are
+    one row a key and joined back, so a key is never in one window."""
+    stats = df.groupBy(F.col(key).alias("_key")).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+    scaled = F.when(F.col("_s") > least, (F.col(value) - F.col("_m")) / F.col("_s")).otherwise(F.when(F.col(value).isNotNull(), 0.0))
+    return df.join(stats, F.col(key).eqNullSafe(F.col("_key"))).withColumn(out, scaled).drop("_key", "_m", "_s")
+
+
+# Log prices of less deviation are constant, and the order that they report.
+CONSTANT_LOG, CONSTANT_D = 1e-6, 0.05
+
+
+def stationary_series(series: DataFrame, grid: tuple[float, ...] = D_GRID, block: int = BLOCK_ROWS) -> DataFrame:
+    """Series (token, ts, price) with d and fracdiff, the standardised fractional
+    difference of log prices of the token's least order; null until the kernel is full. A token
+    that is stationary at no order is left out; a constant one keeps its log prices,
+    standardised or 0, and reports CONSTANT_D."""
+    series = written(series, "series")
+    log = F.log(F.greatest("price", F.lit(1e-18)))
+    flat = series.groupBy("token").agg(F.stddev_pop(log).alias("_s")).where(F.col("_s") < CONSTANT_LOG)
+    flat = written(flat.select("token", F.lit(CONSTANT_D).alias("d"), F.lit(True).alias("_flat")), "flat")
+    moving = series.join(flat.hint("merge"), "token", "left_anti")
+    orders = minimum_d(moving, grid, block).withColumn("_flat", F.lit(False)).unionByName(flat)
+    rows = series.join(orders.hint("merge"), "token").withColumn("x", log)
+    kernels = {d: frac_weights(d) for d in grid}
+    longest = max(map(len, kernels.values()))
+    table = F.array(*(F.array(*(F.lit(v) for v in reversed(w))) for w in kernels.values()))
+    place = F.array_position(F.array(*(F.lit(d) for d in kernels)), F.col("d")).cast("int") - 1
+
+    def differenced(df: DataFrame, frame, _) -> DataFrame:  # noqa: ANN001
+        # a constant series is not differenced
+        df = df.withColumn("_k", F.when(F.col("_flat"), F.array(F.lit(1.0))).otherwise(F.get(table, place)))
+        df = df.withColumn("_past", F.collect_list("x").over(frame.rowsBetween(-(longest - 1), 0)))
+        own = F.slice("_past", -F.size("_k"), F.size("_k"))
+        dot = F.aggregate(F.zip_with(own, "_k", lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
+        return df.withColumn("_f", F.when(F.size("_past") >= F.size("_k"), dot)).drop("_past", "_k")
+
+    out = in_blocks(differenced, written(rows, "rows"), "token", ("ts",), before=longest - 1, size=block)
+    return standardised(out, "_f", out="fracdiff", least=1e-8).drop("_f", "x", "_flat")
 
 
 def log_return(price: Column, w) -> Column:  # noqa: ANN001
@@ -234,30 +268,37 @@ def vertical_barrier(series: DataFrame, fraction: float = 0.5, key: str = "token
 ARRAY_HORIZON = 256
 
 
-def triple_barrier(series: DataFrame, horizon: int, up: float = 2.0, low: float = 2.0, key: str = "token", order: tuple[str, ...] = ("ts",), width: int = WINDOW) -> DataFrame:
+def triple_barrier(series: DataFrame, horizon: int | str, up: float = 2.0, low: float = 2.0, key: str = "token", order: tuple[str, ...] = ("ts",), width: int = WINDOW, block: int = BLOCK_ROWS) -> DataFrame:
     """Series (key, order, price) plus r (row number), vol, label and touch: the
     first of the next `horizon` rows at or beyond a barrier of up or low volatilities;
-    0 with touch = horizon if none; null without volatility or a full horizon."""
-    w = Window.partitionBy(key).orderBy(*order)
-    df = series.withColumn("lp", F.log(F.greatest("price", F.lit(1e-18)))).withColumn("ret", log_return(F.col("price"), w))
-    df = rolling_volatility(df, "ret", key, order, width).withColumn("r", F.row_number().over(w).cast("long")).withColumn("n", F.count("*").over(Window.partitionBy(key)))
+    0 with touch = horizon if none; null without volatility or a full horizon. horizon: rows,
+    or a column that has them by key. Keys are dealt in blocks of rows with margins."""
+    far = isinstance(horizon, str) or horizon > ARRAY_HORIZON
+    h = F.col(horizon) if isinstance(horizon, str) else F.lit(horizon)
+    logs = written(series.withColumn("lp", F.log(F.greatest("price", F.lit(1e-18)))), "series")
+    rows = row_blocks(logs, key, *order, before=width + 1, after=0 if far else horizon, size=block)
+    w = Window.partitionBy(key, "block").orderBy("r")
+    df = rows.withColumn("ret", log_return(F.col("price"), w)).withColumn("r", F.col("r") + 1)
+    df = df.withColumn("vol", F.when(F.col("r") >= width, F.stddev_samp("ret").over(w.rowsBetween(-(width - 1), 0))))
     high, floor = F.col("lp") + up * F.col("vol"), F.col("lp") - low * F.col("vol")
-    valid = (F.col("vol") > 0) & (F.col("r") + horizon <= F.col("n")) & (F.col("n") >= width + horizon)
+    valid = (F.col("vol") > 0) & (F.col("r") + h <= F.col("n")) & (F.col("n") >= width + h)
     df = df.withColumn("high", F.when(valid, high)).withColumn("low", F.when(valid, floor))
-    if horizon <= ARRAY_HORIZON:
+    if not far:
         ahead = F.collect_list("lp").over(w.rowsBetween(1, horizon))
         # only the place of the first hit is looked for, then its side
         hits = F.filter(F.transform("_ahead", lambda x, i: F.when(x >= F.col("high"), (i + 1)).when(x <= F.col("low"), -(i + 1))), lambda x: x.isNotNull())
         df = df.withColumn("_ahead", ahead).withColumn("_hit", F.when(F.col("high").isNotNull(), F.coalesce(F.get(hits, F.lit(0)), F.lit(0)))).drop("_ahead")
+        df = df.where("own").drop("own", "block")
     else:
-        block = lambda c: F.floor(c / horizon)
-        # a row looks at its own block and the next
-        left = df.where("high is not null").select(F.col(key).alias("k"), F.col("r").alias("r0"), "high", "low", F.explode(F.array(block(F.col("r")), block(F.col("r")) + 1)).alias("b"))
-        right = df.select(F.col(key).alias("k"), F.col("r").alias("r1"), F.col("lp").alias("x"), block(F.col("r")).alias("b"))
-        near = left.hint("merge").join(right.hint("merge"), ["k", "b"]).where((F.col("r1") > F.col("r0")) & (F.col("r1") <= F.col("r0") + horizon) & ((F.col("x") >= F.col("high")) | (F.col("x") <= F.col("low"))))
+        df = written(df.where("own").drop("own", "block"), "barriers")
+        part = lambda c: F.floor(c / h)
+        # a row looks at its own part of the key and the next
+        left = df.where("high is not null").select(F.col(key).alias("k"), F.col("r").alias("r0"), "high", "low", h.alias("h"), F.explode(F.array(part(F.col("r")), part(F.col("r")) + 1)).alias("b"))
+        right = df.select(F.col(key).alias("k"), F.col("r").alias("r1"), F.col("lp").alias("x"), part(F.col("r")).alias("b"))
+        near = left.hint("merge").join(right.hint("merge"), ["k", "b"]).where((F.col("r1") > F.col("r0")) & (F.col("r1") <= F.col("r0") + F.col("h")) & ((F.col("x") >= F.col("high")) | (F.col("x") <= F.col("low"))))
         first = near.groupBy("k", "r0").agg(F.min_by(F.when(F.col("x") >= F.col("high"), F.col("r1") - F.col("r0")).otherwise(F.col("r0") - F.col("r1")), "r1").alias("_first"))
         df = df.hint("merge").join(first.hint("merge"), (df[key] == first.k) & (df.r == first.r0), "left").drop("k", "r0").withColumn("_hit", F.when(F.col("high").isNotNull(), F.coalesce("_first", F.lit(0)))).drop("_first")
-    return df.withColumn("label", F.signum(F.col("_hit")).cast("int")).withColumn("touch", F.when(F.col("_hit") == 0, F.lit(horizon)).otherwise(F.abs("_hit")).cast("long")).drop("_hit", "high", "low", "lp", "ret", "n")
+    return df.withColumn("label", F.signum(F.col("_hit")).cast("int")).withColumn("touch", F.when(F.col("_hit") == 0, h).otherwise(F.abs("_hit")).cast("long")).drop("_hit", "high", "low", "lp", "ret", "n")
 
 
 def concurrency_weights(labels: DataFrame, key: str = "token") -> DataFrame:

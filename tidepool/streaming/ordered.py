@@ -182,5 +182,5 @@ def stream_dollar_bars(prices: DataFrame, thresholds: DataFrame, late: str = "1
     found = rows.groupBy("pool").transformWithStateInPandas(
         Bars(), "pool string, bar_no long, close long, tick_count long, volume_micro long, flow_a double, flow_b double, price_a double, price_b double, delta double, tick_delta double, liquidity double", "Append", "EventTime"
     )
-    named = found.join(thresholds.select("pool", "token_a", "token_b"), "pool")
+    named = found.join(thresholds.select("pool", "token_a", "token_b"), "pool").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("flow_a", "flow_b")})
     return directed(named.select("*", F.timestamp_micros("close").alias("bar_close_timestamp"), F.col("delta").alias("bar_time_delta_sec"), F.log1p("liquidity").alias("liquidity_close")))
