@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.functions.decode import liquidity
 from tidepool.operators.bars import adaptive_thresholds, dollar_bars
 from tidepool.operators.indirect import indirect_prices
 from tidepool.operators.pricing import direct_prices
@@ -14,14 +13,14 @@ from tidepool.operators.tables import written
 
 
 def priced_swaps(swaps: DataFrame, numeraire: str, ttl_s: float = 3600.0) -> DataFrame:
-    """All price rows of decoded swaps, as dollar_bars takes them: direct ones and
+    """All price rows of decoded swaps (decode.decoded), as dollar_bars takes them: direct ones and
     those that are inferred, with the swap's pool, tick and liquidity and the sign of the
     token's amount."""
     direct = direct_prices(swaps, numeraire).select("event_id", "token_address", "price_in_usdc", "usdc_volume")
     inferred = indirect_prices(swaps, numeraire, ttl_s).where("not direct").select(*direct.columns)
     prices = written(direct.unionByName(inferred), "prices")
     own = F.when(F.col("token_address") == F.col("token0"), F.col("amount0")).otherwise(F.col("amount1"))
-    state = swaps.select("event_id", "block_timestamp", "pool", "token0", "token1", "amount0", "amount1", "tick", liquidity(F.col("data")).alias("liquidity"))
+    state = swaps.select("event_id", "block_timestamp", "pool", "token0", "token1", "amount0", "amount1", "tick", "liquidity")
     rows = prices.hint("merge").join(state.hint("merge"), "event_id").withColumn("flow_sign", F.signum(own).cast("int"))
     return rows.select("pool", "block_timestamp", "event_id", "token_address", "price_in_usdc", "usdc_volume", "flow_sign", "tick", "liquidity", "token0", "token1")
 

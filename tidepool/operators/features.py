@@ -1,16 +1,18 @@
-"""Feature tables of labelled bars and the models over them (M1, M3)."""
+"""Feature tables of labelled bars and the models over them."""
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from tidepool.functions.numbers import buying_pressure, finite
 from tidepool.operators import folds
+from tidepool.operators.tables import written
 
 # The columns of the feature table, in order.
 FEATURES = (
@@ -36,21 +38,100 @@ def feature_table(bars: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def fold_scores(table: DataFrame, *order: str, blocks: int = 5, first: int = 2) -> DataFrame:
-    """M3: a multinomial logistic regression for each block of the order from `first` on,
-    fitted on the blocks before it (row weight: sample weight x class weight) and scored on
-    the block itself: fold, label, support, precision, recall, f1. NaN and infinite
-    features become 0."""
-    known: dict[str, Column] = {c: F.when(finite(c), F.col(c)).otherwise(0.0) for c in FEATURES}
-    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(folds.time_blocks(table.withColumns(known), blocks, *order))
-    data = data.select("block", "label_encoded", "features", F.coalesce("sample_weight", F.lit(1.0)).alias("sample_weight"))
-    scores = []
-    for k in range(first, blocks):
-        train = data.where(F.col("block") < k)
-        # one row a class
-        weights = folds.class_weights(train, "label_encoded").select("label_encoded", F.col("weight").alias("class_weight"))
-        weighted = train.join(F.broadcast(weights), "label_encoded").withColumn("w", F.col("sample_weight") * F.col("class_weight"))
-        model = LogisticRegression(labelCol="label_encoded", weightCol="w", maxIter=20, family="multinomial").fit(weighted)
-        unseen = model.transform(data.where(F.col("block") == k)).withColumn("p", F.col("prediction").cast("int"))
-        scores.append(folds.confusion(unseen, "label_encoded", "p").select(F.lit(k).alias("fold"), "*"))
-    return reduce(DataFrame.unionByName, scores)
+#: A fold needs so many train rows.
+LEAST_TRAIN = 100
+
+
+def _moments() -> list[Column]:
+    """The sums that a discriminant needs: weights, weighted features, their products."""
+    w, x = F.col("w"), [F.col(c) for c in FEATURES]
+    return [F.count("*").alias("n"), F.sum(w).alias("w"), F.array(*(F.sum(w * a) for a in x)).alias("first"), F.array(*(F.sum(w * a * b) for i, a in enumerate(x) for b in x[i:])).alias("second")]
+
+
+def _fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One fold: a row a class with its moments becomes the model, softmax(bias + coef x).
+    Class weights N / (K n_c) multiply a class's moments."""
+    n, k = pdf["n"].sum(), len(FEATURES)
+    upper = np.triu_indices(k)
+    weights = n / (len(pdf) * pdf["n"].to_numpy())
+    mass = weights * pdf["w"].to_numpy()
+    means, spread = [], np.zeros((k, k))
+    for c, weight in enumerate(weights):
+        own, first = pdf["w"].iloc[c], np.asarray(pdf["first"].iloc[c])
+        second = np.zeros((k, k))
+        second[upper] = pdf["second"].iloc[c]
+        second = second + np.triu(second, 1).T
+        mean = first / own if own > 0 else first * 0
+        means.append(mean)
+        spread += weight * (second - own * np.outer(mean, mean))
+    spread /= max(mass.sum(), 1e-300)
+    # on one scale; features that do not vary count nothing
+    scale = np.sqrt(np.maximum(np.diag(spread), 0))
+    live = scale > 1e-9
+    unit = np.where(live, scale, 1.0)
+    inner = np.where(np.outer(live, live), spread / np.outer(unit, unit), 0.0) + np.diag(np.where(live, 1e-6, 1.0))
+    bias, coef = np.full(3, -1e30), np.zeros((3, k))
+    for label, mean, m in zip(pdf["label_encoded"], means, mass):
+        if m > 0:
+            beta = np.where(live, np.linalg.solve(inner, np.where(live, mean / unit, 0.0)) / unit, 0.0)
+            bias[label], coef[label] = math.log(m / mass.sum()) - 0.5 * float(beta @ mean), beta
+    return pd.DataFrame({"fold": [pdf["fold"].iloc[0]], "train_rows": [int(n)], "bias": [bias], "coef": [coef.ravel()]})
+
+
+def fold_models(table: DataFrame, train_days: int = 30, least_train: int = LEAST_TRAIN) -> DataFrame:
+    """M3 on the folds of M2: (fold, train_rows, bias, coef), a weighted multinomial linear
+    model (a discriminant with one covariance) for each trade day, of the `train_days` trade
+    days before it. All it needs of the rows are sums by day and class, made in one pass; a
+    fold's sums are those of its days, and the folds are solved side by side, so a row is read
+    once however many folds it serves. Folds of fewer than least_train rows are left out."""
+    known = {c: F.when(finite(c), F.col(c)).otherwise(0.0) for c in FEATURES} | {"w": F.coalesce("sample_weight", F.lit(1.0)).cast("double")}
+    by_day = written(table.withColumns(known).groupBy("trade_date", "label_encoded").agg(*_moments()), "moments")
+    days = by_day.select("trade_date").distinct().withColumn("day_rank", F.row_number().over(Window.orderBy("trade_date")))  # one row a day
+    serves = folds.fold_days(days, train_days).where("trade_date < fold")
+    width = len(FEATURES)
+    total = lambda c, size: F.array(*(F.sum(F.col(c)[i]) for i in range(size))).alias(c)
+    sums = serves.hint("merge").join(by_day.hint("merge"), "trade_date").groupBy("fold", "label_encoded").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), total("first", width), total("second", width * (width + 1) // 2))
+    models = sums.groupBy("fold").applyInPandas(_fitted, "fold date, train_rows long, bias array<double>, coef array<double>")
+    return written(models.where(F.col("train_rows") >= least_train), "models")
+
+
+def predicted(table: DataFrame, models: DataFrame) -> DataFrame:
+    """table's rows on the days that have a model, with p_down, p_none, p_up and prediction (0 to
+    2; ties to the smaller)."""
+    x = F.array(*(F.when(finite(c), F.col(c)).otherwise(0.0) for c in FEATURES))
+    width = len(FEATURES)
+    score = lambda c: F.get("bias", F.lit(c)) + F.aggregate(F.zip_with(F.slice("coef", c * width + 1, width), "_x", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    rows = table.withColumn("_x", x).join(models, F.col("trade_date") == F.col("fold")).withColumns({f"_s{c}": score(c) for c in range(3)})
+    top = F.greatest("_s0", "_s1", "_s2")
+    rows = rows.withColumns({f"_e{c}": F.exp(F.col(f"_s{c}") - top) for c in range(3)}).withColumn("_t", F.col("_e0") + F.col("_e1") + F.col("_e2"))
+    return rows.withColumn("prediction", F.when(F.col("_s0") == top, 0).when(F.col("_s1") == top, 1).otherwise(2)).select(*table.columns, "fold", *((F.col(f"_e{c}") / F.col("_t")).alias(n) for c, n in enumerate(("p_down", "p_none", "p_up"))), "prediction")
+
+
+def fold_scores(table: DataFrame, train_days: int = 30, least_train: int = LEAST_TRAIN) -> DataFrame:
+    """Precision, recall, F1 and support of each class on each trade day, by the model
+    of the days before it."""
+    return folds.confusion(predicted(table, fold_models(table, train_days, least_train)), "label_encoded", "prediction", "fold")
+
+
+def token_metrics(bars: DataFrame, tokens: DataFrame) -> DataFrame:
+    """For each token of tokens (token) what it did as a source: total and mean absolute
+    flow, population deviation of flow, mean and deviation of fracdiff, bars, and the shares of
+    bars labelled up and down (a missing label is none); 0 for tokens without bars."""
+    flow, diff, label = F.col("src_flow_usdc"), F.col("src_fracdiff"), F.coalesce("label", F.lit(0))
+    real = lambda c: F.when(~F.isnan(c), c)
+    per = bars.groupBy(F.col("src_token_id").alias("token")).agg(
+        F.sum(F.abs(real(flow))).alias("total_flow"), F.avg(F.abs(real(flow))).alias("mean_flow"), F.stddev_pop(real(flow)).alias("flow_volatility"), F.avg(real(diff)).alias("mean_fracdiff"),
+        F.stddev_pop(real(diff)).alias("fracdiff_volatility"), F.count("*").alias("num_swaps"), F.avg((label == 1).cast("double")).alias("up_ratio"), F.avg((label == -1).cast("double")).alias("down_ratio"),
+    )
+    names = [c for c in per.columns if c != "token"]
+    return tokens.select("token").join(per, "token", "left").select("token", *(F.coalesce(c, F.lit(0)).cast("long" if c == "num_swaps" else "double").alias(c) for c in names))
+
+
+def event_features(bars: DataFrame, ids: DataFrame, *keep: str) -> DataFrame:
+    """Keep, token_index (of the source in ids: token, token_index), label (0 to 2, -1 if it
+    is missing), weight (1 if missing) and the four features of an event as an array."""
+    zero = lambda c: F.coalesce(F.when(finite(c), F.col(c)), F.lit(0.0)).cast("double")
+    size, other = F.abs(zero("src_flow_usdc")), F.abs(zero("dest_flow_usdc"))
+    values = F.array(zero("src_fracdiff"), zero("rolling_volatility"), F.log1p(size), size / (size + other + 1e-8))
+    rows = bars.join(ids.select(F.col("token").alias("src_token_id"), "token_index"), "src_token_id")
+    return rows.select(*keep, "token_index", F.when(finite("label"), F.col("label").cast("int") + 1).otherwise(-1).alias("label"), F.when(finite("sample_weight"), F.col("sample_weight")).otherwise(1.0).alias("weight"), values.alias("features"))

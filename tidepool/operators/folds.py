@@ -127,14 +127,14 @@ def class_weights(df: DataFrame, label: str, classes: list[int] | None = None, f
     return counts.crossJoin(F.broadcast(all_)).select(label, "n", (weight if floored else F.when(F.col("n") == 0, 1.0).otherwise(weight)).alias("weight"))
 
 
-def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """Precision, recall, F1 and support of each class."""
-    cells = df.groupBy(F.col(label).alias("l"), F.col(prediction).alias("p")).agg(F.count("*").alias("n"))
-    sides = cells.select(F.explode(F.array(F.struct(F.col("l").alias("c"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"), F.when(F.col("l") == F.col("p"), F.col("n")).otherwise(0).alias("hit")), F.struct(F.col("p").alias("c"), F.lit(0).cast("long").alias("support"), F.col("n").alias("predicted"), F.lit(0).cast("long").alias("hit")))).alias("e")).select("e.*")
-    per = sides.groupBy("c").agg(F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("hit").alias("hit"))
+def confusion(df: DataFrame, label: str, prediction: str, *keys: str) -> DataFrame:
+    """Precision, recall, F1 and support of each class, by key if there are any."""
+    cells = df.groupBy(*keys, F.col(label).alias("l"), F.col(prediction).alias("p")).agg(F.count("*").alias("n"))
+    sides = cells.select(*keys, F.explode(F.array(F.struct(F.col("l").alias("c"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"), F.when(F.col("l") == F.col("p"), F.col("n")).otherwise(0).alias("hit")), F.struct(F.col("p").alias("c"), F.lit(0).cast("long").alias("support"), F.col("n").alias("predicted"), F.lit(0).cast("long").alias("hit")))).alias("e")).select(*keys, "e.*")
+    per = sides.groupBy(*keys, "c").agg(F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("hit").alias("hit"))
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
     per = per.withColumn("precision", ratio("hit", "predicted")).withColumn("recall", ratio("hit", "support"))
-    return per.select(F.col("c").alias("label"), "support", "precision", "recall", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)).alias("f1"))
+    return per.select(*keys, F.col("c").alias("label"), "support", "precision", "recall", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)).alias("f1"))
 
 
 def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:

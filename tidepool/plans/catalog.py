@@ -842,7 +842,17 @@ def duplicates_sql(source: str, *keys: str) -> tuple:
     return ("duplicates", "rows", "coalesce(sum(n), 0)", f"(SELECT count(*) AS n FROM {source} GROUP BY {', '.join(keys)} HAVING count(*) > 1)", 0, 0)
 
 
+def median_sql(check: str, column: str, source: str, metric: str = "median") -> tuple:
+    return (check, metric, f"median({column})", source, None, None)
+
+
+def order_sql(ts: str, source: str, *arrival: str, most: int | None = 0) -> tuple:
+    """Rows earlier than one that arrived before."""
+    return ("order", "rows", "count(*) FILTER (WHERE t < m)", f"(SELECT {ts} AS t, max({ts}) OVER (ORDER BY {', '.join(arrival)} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM {source})", most, most)
+
+
 _count = "count(*) FILTER (WHERE {})".format
+_OWN_SHARES = "(SELECT n, row_number() OVER (ORDER BY n DESC, sender) AS k FROM (SELECT sender, count(*) AS n FROM fx_swaps WHERE sender = recipient GROUP BY 1))"
 _POOL_SHARES = "(SELECT n, row_number() OVER (ORDER BY n DESC, pool) AS k FROM (SELECT pool, count(*) AS n FROM fx_swaps GROUP BY 1))"
 
 
@@ -852,13 +862,15 @@ _POOL_SHARES = "(SELECT n, row_number() OVER (ORDER BY n DESC, pool) AS k FROM (
     ("form", "address_length", _count("length(token0) <> 4 OR length(token1) <> 4"), "fx_swaps", 0, 0), ("form", "same_tokens", _count("token0 = token1"), "fx_swaps", 0, 0),
     ("decode", "failed", _count("NOT regexp_full_match(data, '0x[0-9a-fA-F]{320}')"), "fx_swaps", 0, 0), ("decimals", "out_of_range", _count("token0_decimals NOT BETWEEN 0 AND 77 OR token1_decimals NOT BETWEEN 0 AND 77"), "fx_swaps", 0, 0),
     ("decimals", "least", "min(least(token0_decimals, token1_decimals))", "fx_swaps", 0, None), ("decimals", "most", "max(greatest(token0_decimals, token1_decimals))", "fx_swaps", None, 77), ("rows", "n", "count(*)", "fx_swaps", 1, None),
-    *(("concentration", f"top{k}", f"sum(n) FILTER (WHERE k <= {k}) / sum(n)", _POOL_SHARES, None, None) for k in (1, 10)),
-]), "fx_swaps")
+    *(("concentration", f"top{k}", f"sum(n) FILTER (WHERE k <= {k}) / sum(n)", _POOL_SHARES, None, None) for k in (1, 10, 100)), order_sql("block_timestamp", "fx_swaps", "block_number", "event_id"),
+    ("own_recipient", "share", "avg(CASE WHEN sender = recipient THEN 1.0 ELSE 0.0 END)", "fx_swaps", None, None), ("own_recipient", "rows", _count("sender = recipient"), "fx_swaps", None, None), ("own_recipient", "senders", "count(DISTINCT sender) FILTER (WHERE sender = recipient)", "fx_swaps", None, None),
+    *(("own_recipient", f"top{k}", f"sum(n) FILTER (WHERE k <= {k}) / sum(n)", _OWN_SHARES, None, None) for k in (10, 100)),
+]) + "".join(f" UNION ALL SELECT 'decimals{i}', CAST(token{i}_decimals AS VARCHAR), CAST(count(*) AS DOUBLE), 'pass' FROM fx_swaps GROUP BY 2" for i in (0, 1)), "fx_swaps")
 def q1_swaps_report(t):  # noqa: ANN001, ANN201
     return rounded(quality.swaps_report(t("fx_swaps"), address_chars=4))
 
 
-_BY_TOKEN = "(SELECT count(*) AS n, stddev_samp(price_in_usdc) / avg(price_in_usdc) AS cv, count(*) FILTER (WHERE price_in_usdc < 1e-4) AS low FROM fx_prices GROUP BY token_address)"
+_BY_TOKEN = "(SELECT count(*) AS n, stddev_samp(price_in_usdc) / avg(price_in_usdc) AS cv, max(price_in_usdc) / min(price_in_usdc) AS ratio, count(*) FILTER (WHERE price_in_usdc < 1e-4) AS low, sum(usdc_volume) FILTER (WHERE price_in_usdc < 1e-4) AS low_volume FROM fx_prices GROUP BY token_address)"
 
 
 @query(report_sql([
@@ -866,7 +878,9 @@ _BY_TOKEN = "(SELECT count(*) AS n, stddev_samp(price_in_usdc) / avg(price_in_us
     *spread_sql("price", "price_in_usdc", "fx_prices", 1e-6, 1e6), *spread_sql("volume", "usdc_volume", "fx_prices", 0), ("volume", "total", "sum(usdc_volume)", "fx_prices", None, None), ("rows", "n", "count(*)", "fx_prices", 1, None),
     ("price", "tiny", _count("price_in_usdc < 1e-6"), "fx_prices", 0, 0), ("price", "huge", _count("price_in_usdc > 1e6"), "fx_prices", 0, 0), ("price", "low", _count("price_in_usdc < 1e-4"), "fx_prices", None, None),
     ("tokens", "n", "count(*)", _BY_TOKEN, 1, None), ("tokens", "extreme_variation", _count("n >= 10 AND cv > 2"), _BY_TOKEN, 0, 0), ("tokens", "with_low_price", _count("low > 0"), _BY_TOKEN, None, None),
-    ("tokens", "least_rows", "min(n)", _BY_TOKEN, None, None), ("tokens", "most_rows", "max(n)", _BY_TOKEN, None, None),
+    ("tokens", "least_rows", "min(n)", _BY_TOKEN, None, None), ("tokens", "most_rows", "max(n)", _BY_TOKEN, None, None), ("tokens", "low_price_volume", "coalesce(sum(low_volume), 0)", _BY_TOKEN, None, None),
+    ("tokens", "largest_cv", "max(cv) FILTER (WHERE n >= 10)", _BY_TOKEN, None, None), ("tokens", "largest_range_ratio", "max(ratio) FILTER (WHERE n >= 10)", _BY_TOKEN, None, None),
+    order_sql("block_timestamp", "fx_prices", "event_id"), median_sql("price", "price_in_usdc", "fx_prices"), median_sql("volume", "usdc_volume", "fx_prices"), median_sql("tokens", "n", _BY_TOKEN, "median_rows"),
 ]), "fx_prices")
 def q2_prices_report(t):  # noqa: ANN001, ANN201
     return rounded(quality.prices_report(t("fx_prices")))
@@ -885,7 +899,8 @@ _SIDES = ("src", "dest")
     *(("flow", f"zero_{s}", _count(f"{s}_flow_usdc = 0"), _B, 0, 0) for s in _SIDES), *(("flow", f"mean_abs_{s}", f"avg(abs({s}_flow_usdc))", _B, 0, None) for s in _SIDES), *(("price", f"negative_{s}", _count(f"{s}_price_usdc < 0"), _B, 0, 0) for s in _SIDES),
     *(("liquidity", f"missing_{s}", f"avg(CASE WHEN {s}_liquidity_close IS NULL THEN 1.0 ELSE 0.0 END)", _B, None, None) for s in _SIDES), *(("liquidity", f"negative_{s}", _count(f"{s}_liquidity_close < 0"), _B, 0, 0) for s in _SIDES),
     ("price", "jumps", _count("abs(p - b) / (b + 1e-9) > 0.5"), _JUMPS, None, None), ("pools", "n", "count(*)", _BY_POOL, 1, None), ("pools", "least_rows", "min(n)", _BY_POOL, None, None), ("pools", "most_rows", "max(n)", _BY_POOL, None, None), ("pools", "largest_late_share", "max(late)", _BY_POOL, None, None),
-], 4), "fx_labelled")
+    order_sql("bar_close_timestamp", _B, "l_orderkey", "l_partkey", "l_linenumber", most=None), median_sql("delta", "bar_time_delta_sec", _B), median_sql("ticks", "tick_count", _B), *(median_sql(f"{s}_tick_delta", f"{s}_tick_delta", _B) for s in _SIDES), median_sql("liquidity", "src_liquidity_close", _B), median_sql("pools", "n", _BY_POOL, "median_rows"),
+], 4) + f""" UNION ALL (SELECT 'late_pools', CAST(pool_id AS VARCHAR), round(avg(CASE WHEN bar_time_delta_sec > 86400 THEN 1.0 ELSE 0.0 END), 4) AS v, 'pass' FROM {_B} GROUP BY pool_id ORDER BY avg(CASE WHEN bar_time_delta_sec > 86400 THEN 1.0 ELSE 0.0 END) DESC, CAST(pool_id AS VARCHAR) LIMIT 5)""", "fx_labelled")
 def q3_bars_report(t):  # noqa: ANN001, ANN201
     order = ("bar_close_timestamp", "l_orderkey", "l_partkey", "l_linenumber")
     return quality.bars_report(t("fx_labelled"), ("pool_id", "bar_close_timestamp"), order).withColumn("value", F.round("value", 4))

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidepool.functions import decode, numbers
-from tidepool.operators import bars, embeddings, features, folds, graph, pricing, quality, series
-from tidepool.plans.catalog import BAR_SQL, BARRIER, _bars, _pool_series, duplicates_sql, gap_sql, nulls_sql, query, r6, report_sql, rounded, spread_sql
+from tidepool.operators import bars, chain, embeddings, features, folds, graph, pricing, quality, series
+from tidepool.plans.catalog import BAR_SQL, BARRIER, _bars, _pool_series, duplicates_sql, gap_sql, median_sql, nulls_sql, query, r6, report_sql, rounded, spread_sql
 from tidepool.sources.readers import watch_list
 
 # ---- sources ----
@@ -235,11 +235,14 @@ def t9_bars_filtered(t):  # noqa: ANN001, ANN201
     return rounded(bars.filter_illiquid(_bars(t)))
 
 
-@query("SELECT l_orderkey, l_partkey, src_token_id AS token, round(ln(1 + abs(src_flow_usdc)), 6) AS f0, round(src_price_usdc, 6) AS f1, CAST(tick_count AS DOUBLE) AS f2 FROM fx_bars", "fx_bars")
+@query("""WITH i AS (SELECT src_token_id, row_number() OVER (ORDER BY src_token_id) - 1 AS token_index FROM (SELECT DISTINCT src_token_id FROM fx_labelled))
+SELECT l_orderkey, l_linenumber, token_index, CASE WHEN label IS NULL THEN -1 ELSE CAST(label AS INTEGER) + 1 END AS label, round(coalesce(sample_weight, 1.0), 6) AS weight, round(coalesce(src_fracdiff, 0), 6) AS f0, round(rolling_volatility, 6) AS f1,
+round(ln(1 + abs(src_flow_usdc)), 6) AS f2, round(abs(src_flow_usdc) / (abs(src_flow_usdc) + abs(dest_flow_usdc) + 1e-8), 6) AS f3 FROM fx_labelled JOIN i USING (src_token_id)""", "fx_labelled")
 def g9_event_features(t):  # noqa: ANN001, ANN201
-    values = F.array(F.log1p(F.abs("src_flow_usdc")), F.col("src_price_usdc"), F.col("tick_count").cast("double"))
-    b = t("fx_bars").select("l_orderkey", "l_partkey", F.col("src_token_id").alias("token"), values.alias("f"))
-    return rounded(b.select("l_orderkey", "l_partkey", "token", *(F.col("f")[i].alias(f"f{i}") for i in range(3))))
+    b = t("fx_labelled")
+    ids = graph.encoded(b.select(F.col("src_token_id").alias("token")).distinct(), "token", "token_index")
+    f = features.event_features(b, ids, "l_orderkey", "l_linenumber")
+    return rounded(f.select("l_orderkey", "l_linenumber", "token_index", "label", "weight", *(F.col("features")[i].alias(f"f{i}") for i in range(4))))
 
 
 @query("""SELECT l_orderkey, l_partkey, CAST(bar_close_timestamp AS DATE) AS trade_date, CAST(label AS INT) + 1 AS label_encoded, round(sample_weight, 6) AS sample_weight, round(coalesce(src_fracdiff, 0), 6) AS src_fracdiff, round(coalesce(dest_fracdiff, 0), 6) AS dest_fracdiff,
@@ -250,10 +253,10 @@ def m1_feature_table(t):  # noqa: ANN001, ANN201
     return rounded(features.feature_table(t("fx_labelled"), "l_orderkey", "l_partkey"))
 
 
-@query()
+@query(dates="fold")
 def m3_weighted_classifier(t):  # noqa: ANN001, ANN201
-    order = ("bar_close_timestamp", "l_orderkey", "l_partkey", "l_linenumber")
-    return rounded(features.fold_scores(features.feature_table(t("fx_labelled"), *order), *order))
+    """A model for each trade day of the library's own labelled bars."""
+    return rounded(features.fold_scores(features.feature_table(_chain(t)), 5))
 
 
 @query()
@@ -314,6 +317,76 @@ def _labelled(t) -> DataFrame:  # noqa: ANN001
     return series.triple_barrier(_pool_series(t), 30, 0.5, 0.5, order=("ts", "event_id"))
 
 
+# ---- the chain: bars, differences, barriers, weights, labels of one table ----
+
+_TICKED = (
+    BAR_SQL.replace("flow_sign * usdc_volume AS flow,", "flow_sign * usdc_volume AS flow, CASE WHEN event_id % 3 > 0 THEN CAST(event_id % 201 - 100 AS DOUBLE) END AS tick, CASE WHEN event_id % 5 = 0 THEN usdc_volume * 1000 END AS liq,")
+    .replace("count(*) AS tick_count,", "count(*) AS tick_count, arg_max(tick, (ts, tie)) FILTER (WHERE tick IS NOT NULL) - arg_min(tick, (ts, tie)) FILTER (WHERE tick IS NOT NULL) AS tick_delta, arg_max(liq, (ts, tie)) FILTER (WHERE liq IS NOT NULL) AS liq,")
+    .replace("d AS (SELECT *,", "d AS (SELECT *, last_value(liq IGNORE NULLS) OVER (PARTITION BY pool ORDER BY bar_no ROWS UNBOUNDED PRECEDING) AS liquidity,")
+    .replace("tick_count, CAST(volume_micro", "tick_count, round(ln(1 + liquidity), 6) AS src_liquidity_close, round(ln(1 + liquidity), 6) AS dest_liquidity_close, tick_delta AS src_tick_delta, tick_delta AS dest_tick_delta, CAST(volume_micro")
+)
+_TICKED_BARS, _TICKED_ROWS = _TICKED.rsplit("\nSELECT pool, ", 1)
+_ON_BARS = (
+    BARRIER.replace("WITH a AS", "a AS").replace("SELECT pool AS tok, event_id,", "SELECT tok, ts,").replace("price_in_usdc", "price").replace("PARTITION BY pool", "PARTITION BY tok").replace("ORDER BY block_timestamp, event_id", "ORDER BY ts")
+    .replace("v.event_id", "v.ts, v.vol").replace("{N}", "20").replace("FROM fx_prices", "FROM s")
+)
+_KERNEL_ROWS = ", ".join(f"({k}, {w!r})" for k, w in enumerate(series.frac_weights(0.4)))
+_CHAIN = f"""{_TICKED_BARS}, z AS (SELECT pool, {_TICKED_ROWS}), s AS (SELECT tok, ts, avg(price) AS price FROM (SELECT src_token_id AS tok, bar_close_timestamp AS ts, src_price_usdc AS price FROM z UNION ALL SELECT dest_token_id, bar_close_timestamp, dest_price_usdc FROM z) GROUP BY 1, 2),
+{_ON_BARS},
+wt AS (SELECT x.tok, x.ts, 1.0 / count(y.r) AS weight FROM l x JOIN l y ON x.tok = y.tok AND y.r <= x.r AND y.r >= x.r - 20 AND y.r + y.touch >= x.r WHERE x.touch IS NOT NULL AND y.touch IS NOT NULL GROUP BY 1, 2),
+kw(k, w) AS (VALUES {_KERNEL_ROWS}),
+fr AS (SELECT x.tok, x.ts, CASE WHEN count(y.lp) = (SELECT count(*) FROM kw) THEN sum(kw.w * y.lp) END AS f FROM a x CROSS JOIN kw LEFT JOIN a y ON x.tok = y.tok AND y.r = x.r - kw.k GROUP BY 1, 2),
+st AS (SELECT tok, ts, (f - avg(f) OVER (PARTITION BY tok)) / stddev_pop(f) OVER (PARTITION BY tok) AS fracdiff FROM fr),
+kn AS (SELECT l.tok, l.ts, l.vol, CAST(l.label AS INTEGER) AS label, l.touch, wt.weight, st.fracdiff FROM l LEFT JOIN wt USING (tok, ts) LEFT JOIN st USING (tok, ts)),
+fx_chain AS (SELECT z.*, z.pool AS pool_id, x.fracdiff AS src_fracdiff, x.vol AS rolling_volatility, x.label, x.weight AS sample_weight, CAST(x.touch AS BIGINT) AS barrier_touch_bars, y.fracdiff AS dest_fracdiff, y.label AS dest_label, y.weight AS dest_sample_weight, CAST(y.touch AS BIGINT) AS dest_barrier_touch_bars
+FROM z LEFT JOIN kn x ON x.tok = z.src_token_id AND x.ts = z.bar_close_timestamp LEFT JOIN kn y ON y.tok = z.dest_token_id AND y.ts = z.bar_close_timestamp)"""
+
+
+def _ticked_bars(t) -> DataFrame:  # noqa: ANN001
+    e = F.col("event_id")
+    prices = t("fx_prices").withColumns({"tick": F.when(e % 3 > 0, (e % 201 - 100).cast("double")), "liquidity": F.when(e % 5 == 0, F.col("usdc_volume") * 1000)})
+    pools = prices.select("pool").distinct().select("pool", F.lit("click").alias("token_a"), F.lit("purchase").alias("token_b"))
+    return rounded(bars.dollar_bars(prices, bars.adaptive_thresholds(prices, pools, low=500.0)))
+
+
+def _chain(t) -> DataFrame:  # noqa: ANN001
+    return chain.labelled_bars(_ticked_bars(t), 0.4, 20, 0.5, 0.5).withColumn("pool_id", F.col("pool"))
+
+
+@query(_TICKED, "fx_prices")
+def t11_bars_with_pool_state(t):  # noqa: ANN001, ANN201
+    return _ticked_bars(t)
+
+
+@query(_CHAIN + "SELECT pool, bar_no, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("src_fracdiff", "dest_fracdiff", "rolling_volatility", "sample_weight", "dest_sample_weight", "src_liquidity_close", "src_tick_delta")) + ", label, dest_label, barrier_touch_bars, dest_barrier_touch_bars FROM fx_chain", "fx_prices")
+def c1_labelled_bars(t):  # noqa: ANN001, ANN201
+    return rounded(_chain(t).select("pool", "bar_no", "src_fracdiff", "dest_fracdiff", "rolling_volatility", "sample_weight", "dest_sample_weight", "src_liquidity_close", "src_tick_delta", "label", "dest_label", "barrier_touch_bars", "dest_barrier_touch_bars"))
+
+
+@query()
+def c2_swaps_to_training_table(t):  # noqa: ANN001, ANN201
+    """The whole chain on swaps: inferred prices, bars with the numeraire, the least order and
+    the vertical barrier of each token."""
+    return rounded(chain.training_table(decode.decoded(t("fx_swaps")), "tok0", 6 * 3600.0))
+
+
+@query(_CHAIN + """SELECT pool, bar_no, CAST(bar_close_timestamp AS DATE) AS trade_date, CAST(label AS INT) + 1 AS label_encoded, round(sample_weight, 6) AS sample_weight, round(coalesce(src_fracdiff, 0), 6) AS src_fracdiff, round(coalesce(dest_fracdiff, 0), 6) AS dest_fracdiff,
+round(rolling_volatility, 6) AS rolling_volatility, round(ln(1 + abs(src_flow_usdc)), 6) AS log_src_flow, round(ln(1 + abs(dest_flow_usdc)), 6) AS log_dest_flow, round(abs(src_flow_usdc) / (abs(src_flow_usdc) + abs(dest_flow_usdc) + 1e-8), 6) AS buying_pressure,
+round(bar_time_delta_sec, 6) AS bar_time_delta_sec, round(ln(1 + tick_count), 6) AS log_tick_count, round(coalesce(src_tick_delta, 0), 6) AS src_tick_delta, round(coalesce(dest_tick_delta, 0), 6) AS dest_tick_delta,
+round(ln(1 + coalesce(src_liquidity_close, 0)), 6) AS log_src_liquidity, round(ln(1 + coalesce(dest_liquidity_close, 0)), 6) AS log_dest_liquidity FROM fx_chain WHERE label IS NOT NULL""", "fx_prices", dates="trade_date")
+def m1_chain_features(t):  # noqa: ANN001, ANN201
+    return rounded(features.feature_table(_chain(t), "pool", "bar_no"))
+
+
+@query(_CHAIN + """SELECT token, coalesce(sum(abs(src_flow_usdc)), 0)::DECIMAL(38, 4)::DOUBLE AS total_flow, round(coalesce(avg(abs(src_flow_usdc)), 0), 4) AS mean_flow, round(coalesce(stddev_pop(src_flow_usdc), 0), 4) AS flow_volatility, round(coalesce(avg(src_fracdiff), 0), 6) AS mean_fracdiff,
+round(coalesce(stddev_pop(src_fracdiff), 0), 6) AS fracdiff_volatility, count(src_token_id) AS num_swaps, round(coalesce(avg(CASE WHEN src_token_id IS NULL THEN NULL WHEN label = 1 THEN 1.0 ELSE 0 END), 0), 6) AS up_ratio, round(coalesce(avg(CASE WHEN src_token_id IS NULL THEN NULL WHEN label = -1 THEN 1.0 ELSE 0 END), 0), 6) AS down_ratio
+FROM (SELECT DISTINCT event_type AS token FROM events) LEFT JOIN fx_chain ON src_token_id = token GROUP BY 1""", "fx_prices")
+def a18_token_behaviour(t):  # noqa: ANN001, ANN201
+    tokens = t("events").select(F.col("event_type").alias("token")).distinct()
+    m = features.token_metrics(_chain(t), tokens)
+    return rounded(m.withColumns({c: F.round(c, 4) for c in ("total_flow", "mean_flow", "flow_volatility")}))
+
+
 _B = "fx_labelled"
 _DIFFS = ("src_fracdiff", "dest_fracdiff")
 
@@ -331,37 +404,52 @@ def q4_stationary_report(t):  # noqa: ANN001, ANN201
 _WEIGHTS = BARRIER.replace("{N}", "30") + """, w AS (SELECT a.event_id, 1.0 / count(b.r) AS weight FROM l a JOIN l b ON a.tok = b.tok AND b.r <= a.r AND b.r >= a.r - 30 AND b.r + b.touch >= a.r WHERE a.touch IS NOT NULL AND b.touch IS NOT NULL GROUP BY 1)"""
 
 
-@query(_WEIGHTS + """, q AS (SELECT count(*) FILTER (WHERE label IS NULL) AS u, count(*) FILTER (WHERE label = 1) AS a, count(*) FILTER (WHERE label = -1) AS b, count(*) FILTER (WHERE label = 0) AS z, count(*) FILTER (WHERE label IS NOT NULL AND label NOT IN (-1, 0, 1)) AS o, count(*) FILTER (WHERE label IS NOT NULL AND weight IS NULL) AS m, min(weight) AS lo, max(weight) AS hi, count(label) / count(*)::DOUBLE AS c FROM l LEFT JOIN w USING (event_id)),
-e AS (SELECT unnest(['label', 'label', 'label', 'label', 'label', 'label', 'weight', 'weight', 'weight']) AS "check", unnest(['unlabelled', 'up', 'down', 'none', 'others', 'coverage', 'missing', 'least', 'most']) AS metric, unnest([u, a, b, z, o, c, m, lo, hi]::DOUBLE[]) AS value, unnest([NULL, 1, 1, NULL, 0, NULL, 0, 0, 0]::DOUBLE[]) AS low, unnest([NULL, NULL, NULL, NULL, 0, NULL, 0, 1, 1]::DOUBLE[]) AS high FROM q)
-SELECT "check", metric, round(value, 6) AS value, CASE WHEN value IS NULL THEN 'none' WHEN value < low OR value > high THEN 'fail' ELSE 'pass' END AS status FROM e""", "fx_prices")
+_L = "(SELECT l.*, w.weight FROM l LEFT JOIN w USING (event_id))"
+_OF = "count(*) FILTER (WHERE {})".format
+
+
+@query(_WEIGHTS.replace("v.event_id, v.r,", "v.event_id, v.r, v.vol, v.block_timestamp AS ts,").replace("SELECT pool AS tok, event_id,", "SELECT pool AS tok, event_id, block_timestamp,") + report_sql([
+    ("label", "unlabelled", _OF("label IS NULL"), _L, None, None), ("label", "up", _OF("label = 1"), _L, 1, None), ("label", "down", _OF("label = -1"), _L, 1, None), ("label", "none", _OF("label = 0"), _L, None, None),
+    ("label", "others", _OF("label NOT IN (-1, 0, 1)"), _L, 0, 0), ("label", "coverage", "count(label) / count(*)", _L, None, None),
+    ("label", "largest_share", "greatest(" + ", ".join(_OF(f"label = {v}") for v in (-1, 0, 1)) + ") / count(label)", _L, None, 0.8),
+    ("weight", "missing", _OF("label IS NOT NULL AND weight IS NULL"), _L, 0, 0), ("weight", "least", "min(weight)", _L, 0, 1), ("weight", "most", "max(weight)", _L, 0, 1), ("weight", "mean", "avg(weight)", _L, None, None),
+    ("volatility", "missing", _OF("label IS NOT NULL AND vol IS NULL"), _L, 0, 0), ("touch", "least", "min(touch)", _L, 1, None), ("touch", "most", "max(touch)", _L, None, None), ("touch", "mean", "avg(touch)", _L, None, None),
+    ("rows", "n", "count(*)", _L, 1, None), ("tokens", "n", "count(DISTINCT tok)", _L, 1, None), *(("days", m, f"{f}(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)))", _L, None, None) for m, f in (("first", "min"), ("last", "max"))),
+    median_sql("weight", "weight", _L), median_sql("touch", "touch", _L),
+]), "fx_prices")
 def q5_label_report(t):  # noqa: ANN001, ANN201
-    label = F.col("label")
-    rules = {
-        ("label", "unlabelled"): (F.count_if(label.isNull()), None, None), ("label", "up"): (F.count_if(label == 1), 1, None), ("label", "down"): (F.count_if(label == -1), 1, None),
-        ("label", "none"): (F.count_if(label == 0), None, None), ("label", "others"): (F.count_if(~label.isin(-1, 0, 1)), 0, 0), ("label", "coverage"): (F.count("label") / F.count("*"), None, None),
-        ("weight", "missing"): (F.count_if(label.isNotNull() & F.col("weight").isNull()), 0, 0), ("weight", "least"): (F.min("weight"), 0, 1), ("weight", "most"): (F.max("weight"), 0, 1),
-    }
-    return rounded(quality.report(series.concurrency_weights(_labelled(t)), rules))
+    return rounded(quality.label_report(series.concurrency_weights(_labelled(t))))
 
 
 # the bounds that hold for each column: ten times the expected range, a tenth of a lower bound above 0
-_BOUNDS = {
-    "src_flow_usdc": (-1e9, 1e9), "dest_flow_usdc": (-1e6, 1e6), "src_fracdiff": (-50, 100), "dest_fracdiff": (-50, 100), "rolling_volatility": (0, 10), "bar_time_delta_sec": (0, 864000), "tick_count": (0.1, 100000),
-    "label": (-10, 10), "sample_weight": (0, 10), "src_liquidity_close": (1, 1000), "dest_liquidity_close": (1, 1000), "src_tick_delta": (-50, 50), "dest_tick_delta": (-50, 50),
-}
+_BOUNDS = {c: (low * (10 if low < 0 else 0.1), high * 10) for c, (low, high) in quality.EXPECTED.items()}
 _TICKS = ("src_tick_delta", "dest_tick_delta")
-_QUIET = "(SELECT n, median(n) OVER () AS m FROM (SELECT CAST(bar_close_timestamp AS DATE) AS d, count(*) AS n FROM fx_labelled GROUP BY 1))"
 
 
-@query(report_sql([
-    *(("finite", c, f"count(*) FILTER (WHERE NOT isfinite(CAST({c} AS DOUBLE)))", _B, 0, 0) for c in _BOUNDS), *(("missing", c, f"avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END)", _B, None, None) for c in _BOUNDS),
-    *(("least", c, f"min({c})", _B, low, None) for c, (low, _) in _BOUNDS.items()), *(("most", c, f"max({c})", _B, None, high) for c, (_, high) in _BOUNDS.items()),
-    *(("zero_share", c, f"avg(CASE WHEN {c} = 0 THEN 1.0 WHEN {c} <> 0 THEN 0.0 END)", _B, None, 0.5) for c in ("src_flow_usdc", "dest_flow_usdc", *_TICKS)), ("zero_share", "rolling_volatility", "avg(CASE WHEN rolling_volatility < 1e-10 THEN 1.0 ELSE 0.0 END)", _B, None, 0.1),
-    *(("stationary", c, f"abs(avg({c}))", _B, None, 2) for c in _DIFFS), *(("negatives", c, f"count(*) FILTER (WHERE {c} < 0)", _B, 0, 0) for c in ("tick_count", "bar_time_delta_sec", "src_liquidity_close", "dest_liquidity_close")),
-    *(("z_mean", c, f"abs(avg({c}))", _B, None, 0.1) for c in _TICKS), *(("z_std", c, f"stddev_samp({c})", _B, 0.8, 1.2) for c in _TICKS), ("correlation", "src_dest_fracdiff", "abs(corr(src_fracdiff, dest_fracdiff))", _B, None, 0.5),
-    ("labels", "coverage", "count(label) / count(*)", _B, 0.1, None), ("labels", "balance", "min(n) / max(n)", "(SELECT count(*) AS n FROM fx_labelled WHERE label IS NOT NULL GROUP BY label)", 0.1, None), ("rows", "n", "count(*)", _B, 1, None),
-    duplicates_sql(_B, "l_orderkey", "l_linenumber"), gap_sql("time", "bar_close_timestamp", _B), ("time", "quiet_days", "count(*) FILTER (WHERE n < 0.1 * m)", _QUIET, 0, 0),
-], 4), "fx_labelled")
+def _training_sql(source: str, *keys: str) -> str:
+    whole = " AND ".join(f"isfinite(CAST({c} AS DOUBLE))" for c in quality.CORRELATED)
+    pairs = [(a, b) for i, a in enumerate(quality.CORRELATED) for b in quality.CORRELATED[i + 1 :]]
+    quiet = f"(SELECT n, median(n) OVER () AS m FROM (SELECT CAST(bar_close_timestamp AS DATE) AS d, count(*) AS n FROM {source} GROUP BY 1))"
+    return report_sql([
+        *(("finite", c, f"count(*) FILTER (WHERE NOT isfinite(CAST({c} AS DOUBLE)))", source, 0, 0) for c in _BOUNDS), *(("missing", c, f"avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END)", source, None, None) for c in _BOUNDS),
+        *(("least", c, f"min({c})", source, low, None) for c, (low, _) in _BOUNDS.items()), *(("most", c, f"max({c})", source, None, high) for c, (_, high) in _BOUNDS.items()),
+        *(("zero_share", c, f"avg(CASE WHEN {c} = 0 THEN 1.0 WHEN {c} <> 0 THEN 0.0 END)", source, None, 0.5) for c in ("src_flow_usdc", "dest_flow_usdc", *_TICKS)), ("zero_share", "rolling_volatility", "avg(CASE WHEN rolling_volatility < 1e-10 THEN 1.0 WHEN rolling_volatility >= 1e-10 THEN 0.0 END)", source, None, 0.1),
+        *(("stationary", c, f"abs(avg({c}))", source, None, 2) for c in _DIFFS), *(("negatives", c, f"count(*) FILTER (WHERE {c} < 0)", source, 0, 0) for c in ("tick_count", "bar_time_delta_sec", "src_liquidity_close", "dest_liquidity_close")),
+        *(("z_mean", c, f"abs(avg({c}))", source, None, 0.1) for c in _TICKS), *(("z_std", c, f"stddev_samp({c})", source, 0.8, 1.2) for c in _TICKS), ("correlation", "src_dest_fracdiff", "abs(corr(src_fracdiff, dest_fracdiff))", source, None, 0.5),
+        *(("correlation", f"{a}/{b}", f"CASE WHEN count(*) FILTER (WHERE {whole}) > 1000 THEN corr({a}, {b}) FILTER (WHERE {whole}) END", source, None, None) for a, b in pairs),
+        ("labels", "coverage", "count(label) / count(*)", source, 0.1, None), ("labels", "balance", "min(n) / max(n)", f"(SELECT count(*) AS n FROM {source} WHERE label IS NOT NULL GROUP BY label)", 0.1, None), ("rows", "n", "count(*)", source, 1, None),
+        duplicates_sql(source, *keys), gap_sql("time", "bar_close_timestamp", source), ("time", "quiet_days", "count(*) FILTER (WHERE n < 0.1 * m)", quiet, 0, 0),
+        *(("median", c, f"median({c})", source, None, None) for c in _BOUNDS if c != "label"),
+    ], 4)
+
+
+@query(_CHAIN + _training_sql("fx_chain", "pool", "bar_no"), "fx_prices")
+def q6_chain_report(t):  # noqa: ANN001, ANN201
+    """The report over the library's own labelled bars."""
+    return quality.training_report(_chain(t), ("pool", "bar_no")).withColumn("value", F.round("value", 4))
+
+
+@query(_training_sql(_B, "l_orderkey", "l_linenumber"), "fx_labelled")
 def q6_training_report(t):  # noqa: ANN001, ANN201
     return quality.training_report(t("fx_labelled"), ("l_orderkey", "l_linenumber")).withColumn("value", F.round("value", 4))
 

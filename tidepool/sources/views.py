@@ -17,7 +17,7 @@ VIEWS = {
     "fx_swaps": f"""
 SELECT event_id, block_timestamp, block_number, transaction_hash, concat(token0, '-', token1) AS pool, token0, token1,
        CASE WHEN token0 = 'tok0' THEN 6 ELSE 8 END AS token0_decimals, CASE WHEN token1 = 'tok0' THEN 6 ELSE 8 END AS token1_decimals,
-       amount0, amount1, tick, cents,
+       amount0, amount1, tick, cents, sender, recipient,
        concat('0x', {_word('amount0')}, {_word('amount1')}, lpad(lower({{hex}}(1000000 + event_id)), 64, '0'),
               lpad(lower({{hex}}(500000 + cents)), 64, '0'), {_word('tick')}) AS data
 FROM (SELECT event_id, ts AS block_timestamp, CAST(floor(event_id / 3) AS BIGINT) AS block_number,
@@ -26,7 +26,7 @@ FROM (SELECT event_id, ts AS block_timestamp, CAST(floor(event_id / 3) AS BIGINT
              CASE event_id % 4 WHEN 0 THEN concat('tok', CAST(1 + user_id % 4 AS {{S}})) WHEN 1 THEN 'tok0' ELSE concat('tok', CAST(3 + user_id % 2 AS {{S}})) END AS token1,
              cents, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END * cents * 10000 AS amount0,
              CASE WHEN event_id % 2 = 0 THEN -1 ELSE 1 END * cents * 10000 * (1 + user_id % 7) AS amount1,
-             CAST(cents - 5000 AS BIGINT) AS tick
+             CAST(cents - 5000 AS BIGINT) AS tick, concat('a', CAST(user_id % 150 AS {{S}})) AS sender, concat('a', CAST(CASE WHEN event_id % 5 = 0 THEN user_id ELSE event_id END % 150 AS {{S}})) AS recipient
       FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS cents FROM events) e) x""",
     "fx_prices": """
 SELECT event_id, ts AS block_timestamp, concat('pool', CAST(user_id % 20 AS {S})) AS pool, event_type AS token_address,
