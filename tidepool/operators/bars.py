@@ -15,6 +15,11 @@ from tidepool.operators.scans import carried, latest
 MICRO = 1_000_000
 
 
+def _order(rows: DataFrame) -> list[str]:
+    """Rows of one swap come in the order of `sub` where there is one."""
+    return ["ts", "tie", *(["sub"] if "sub" in rows.columns else [])]
+
+
 def daily_volume(prices: DataFrame) -> DataFrame:
     """A2: mean volume of the days a token is active."""
     days = prices.groupBy("token_address", F.to_date("block_timestamp").alias("day")).agg(F.sum("usdc_volume").alias("v"))
@@ -64,7 +69,7 @@ def assign_bars(rows: DataFrame) -> DataFrame:
     closes. A pool is a chain of constant state; its rows come sorted by Spark, so no pool
     is held in memory. Volumes are whole micro-dollars, so sums do not depend on order."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", bar_no long, closes boolean"
-    return rows.repartition("pool").sortWithinPartitions("pool", "ts", "tie").mapInArrow(_assign, schema)
+    return rows.repartition("pool").sortWithinPartitions("pool", *_order(rows)).mapInArrow(_assign, schema)
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,12 +155,12 @@ def assign_bars_in_chunks(rows: DataFrame, seconds: int = 86_400) -> DataFrame:
     pool; then all chunks are numbered on their own. For pools that hold a large share of
     all rows."""
     chunked = rows.withColumn("chunk", F.floor(F.unix_micros("ts") / (seconds * MICRO)).cast("long"))
-    own = chunked.select("pool", "chunk", "ts", "tie", "micro", "limit").repartition("pool", "chunk").sortWithinPartitions("pool", "chunk", "ts", "tie")
+    own = chunked.select("pool", "chunk", *_order(rows), "micro", "limit").repartition("pool", "chunk").sortWithinPartitions("pool", "chunk", *_order(rows))
     summaries = own.mapInArrow(_summaries, "pool string, chunk long, total long, need array<long>, bars array<long>, left array<long>")
     starts = summaries.repartition("pool").sortWithinPartitions("pool", "chunk").mapInArrow(_chain, "pool string, chunk long, _bar long, _open long")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", bar_no long, closes boolean"
     joined = chunked.hint("merge").join(starts.hint("merge"), ["pool", "chunk"])
-    return joined.repartition("pool", "chunk").sortWithinPartitions("pool", "chunk", "ts", "tie").select(*chunked.columns, "_bar", "_open").mapInArrow(_assign_chunk, schema)
+    return joined.repartition("pool", "chunk").sortWithinPartitions("pool", "chunk", *_order(rows)).select(*chunked.columns, "_bar", "_open").mapInArrow(_assign_chunk, schema)
 
 
 #: Rows of a pool beyond which its bars are numbered in chunks of a day.
@@ -176,6 +181,8 @@ def dollar_bars(prices: DataFrame, thresholds: DataFrame, chunk_seconds: int | N
     rows = joined.select(
         "pool", F.col("block_timestamp").alias("ts"), F.col("event_id").alias("tie"), F.round(F.col("usdc_volume") * MICRO).cast("long").alias("micro"),
         F.round(F.col("threshold") * MICRO).cast("long").alias("limit"), "token_address", F.col("price_in_usdc").alias("price"), (F.col("flow_sign") * F.col("usdc_volume")).alias("flow"), "token_a", "token_b",
+        # a swap between two tokens has a row for each, that of token_a first; a bar may end between them
+        F.when(F.col("token_address") == F.col("token_a"), 0).otherwise(1).alias("sub"),
         *((F.col("tick").cast("double").alias("tick"), F.col("liquidity").cast("double").alias("liquidity")) if state else ()),
     )
     if chunk_seconds is None and (prices.groupBy("pool").count().agg(F.max("count")).first()[0] or 0) > HOT_POOL_ROWS:

@@ -55,7 +55,7 @@ def _fitted(pdf: pd.DataFrame) -> pd.DataFrame:
     upper = np.triu_indices(k)
     weights = n / (len(pdf) * pdf["n"].to_numpy())
     mass = weights * pdf["w"].to_numpy()
-    means, spread = [], np.zeros((k, k))
+    means, spread, raw = [], np.zeros((k, k)), np.zeros(k)
     for c, weight in enumerate(weights):
         own, first = pdf["w"].iloc[c], np.asarray(pdf["first"].iloc[c])
         second = np.zeros((k, k))
@@ -64,10 +64,12 @@ def _fitted(pdf: pd.DataFrame) -> pd.DataFrame:
         mean = first / own if own > 0 else first * 0
         means.append(mean)
         spread += weight * (second - own * np.outer(mean, mean))
+        raw += weight * np.diag(second)
+    # less than the rounding of the products is no variation
+    live = np.diag(spread) > 1e-10 * raw
     spread /= max(mass.sum(), 1e-300)
     # on one scale; features that do not vary count nothing
     scale = np.sqrt(np.maximum(np.diag(spread), 0))
-    live = scale > 1e-9
     unit = np.where(live, scale, 1.0)
     inner = np.where(np.outer(live, live), spread / np.outer(unit, unit), 0.0) + np.diag(np.where(live, 1e-6, 1.0))
     bias, coef = np.full(3, -1e30), np.zeros((3, k))

@@ -132,8 +132,8 @@ class Bars(InTimeOrder):
     """The open bar of T2 by pool, and what goes on to the next: bar number, last close, and
     the liquidity last seen."""
 
-    schema = "micros long, tie long, micro long, limit long, side string, price double, flow double, tick double, liquidity double"
-    ranked = 2
+    schema = "micros long, tie long, side string, micro long, limit long, price double, flow double, tick double, liquidity double"
+    ranked = 3
     out = ("pool", "bar_no", "close", "tick_count", "volume_micro", "flow_a", "flow_b", "price_a", "price_b", "delta", "tick_delta", "liquidity")
     #: an open bar that nothing has been added to
     EMPTY = (0, 0, None, None, None, None, None, None, None, None)
@@ -147,7 +147,7 @@ class Bars(InTimeOrder):
             return []
         bar, close, liquidity, *own = self.open.get() if self.open.exists() else (0, None, None, *self.EMPTY)
         out = []
-        for at, tie, micro, limit, side, price, flow, tick, liq in due:
+        for at, tie, side, micro, limit, price, flow, tick, liq in due:
             volume, ticks, last_at, last_tie, flow_a, flow_b, price_a, price_b, tick_open, tick_close = own
             volume += micro
             ticks += (at, tie) != (last_at, last_tie)
@@ -176,7 +176,7 @@ def stream_dollar_bars(prices: DataFrame, thresholds: DataFrame, late: str = "1
     static table."""
     rows = prices.withWatermark("block_timestamp", late).join(thresholds, "pool").select(
         "pool", "block_timestamp", F.unix_micros("block_timestamp").alias("micros"), F.col("event_id").alias("tie"), F.round(F.col("usdc_volume") * MICRO).cast("long").alias("micro"),
-        F.round(F.col("threshold") * MICRO).cast("long").alias("limit"), F.when(F.col("token_address") == F.col("token_a"), "a").when(F.col("token_address") == F.col("token_b"), "b").alias("side"),
+        F.round(F.col("threshold") * MICRO).cast("long").alias("limit"), F.when(F.col("token_address") == F.col("token_a"), "a").when(F.col("token_address") == F.col("token_b"), "b").otherwise("c").alias("side"),
         F.col("price_in_usdc").alias("price"), (F.col("flow_sign") * F.col("usdc_volume")).alias("flow"), F.col("tick").cast("double").alias("tick"), F.col("liquidity").cast("double").alias("liquidity"),
     )
     found = rows.groupBy("pool").transformWithStateInPandas(
