@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidepool.functions.numbers import cosine, norm
+from tidepool.operators.pairs import similar_pairs
 
 
 def doubles(df: DataFrame, column: str = "embedding") -> DataFrame:
@@ -36,7 +37,8 @@ def units(df: DataFrame, column: str = "embedding") -> DataFrame:
 
 
 def cosine_stats(df: DataFrame, column: str = "embedding") -> DataFrame:
-    """Number, mean and population deviation of the cosines of all pairs, without pairs:
+    """Number, mean, population deviation, least and most of the cosines of all pairs. The
+    first three need no pairs:
     with U of unit rows, the cosines of all ordered pairs sum up to the square of the summed
     rows, and their squares to the squared entries of U'U. Vectors of norm 0 take no part."""
     found = gramians(units(df, column).where(norm(F.col(column)) > 0), column).get(None)
@@ -46,7 +48,11 @@ def cosine_stats(df: DataFrame, column: str = "embedding") -> DataFrame:
         pairs = n * (n - 1)
         mean = float(total @ total - n) / pairs
         row = (pairs // 2, mean, float(np.sqrt(max(0.0, (float((g * g).sum()) - n) / pairs - mean**2))))
-    return df.sparkSession.createDataFrame([row], "pairs long, mean double, std double")
+    one = df.sparkSession.createDataFrame([row], "pairs long, mean double, std double")
+    for name, most in (("least", False), ("most", True)):
+        # one row each
+        one = one.join(F.broadcast(similar_pairs(df, 1, most, column=column).agg(F.max("cos").alias(name))))
+    return one
 
 
 def blocked_pairs(df: DataFrame, id_col: str = "vec_id", blocks: int = 8) -> DataFrame:
@@ -63,12 +69,6 @@ def blocked_pairs(df: DataFrame, id_col: str = "vec_id", blocks: int = 8) -> Dat
     return pairs.select(F.when(swap, F.col("q")).otherwise(F.col("p")).alias("a"), F.when(swap, F.col("p")).otherwise(F.col("q")).alias("b"))
 
 
-def similar_pairs(df: DataFrame, k: int, most: bool = True, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """The k most (or least) similar pairs."""
-    pairs = blocked_pairs(df, id_col).select(F.col(f"a.{id_col}").alias("a"), F.col(f"b.{id_col}").alias("b"), cosine(F.col(f"a.{column}"), F.col(f"b.{column}")).alias("cos"))
-    return pairs.orderBy(F.desc("cos") if most else F.asc("cos"), "a", "b").limit(k)
-
-
 def centroids(df: DataFrame, label: str = "label", column: str = "embedding") -> DataFrame:
     """M5: the mean vector of each class, by dimension."""
     per = df.where(F.col(label).isNotNull()).select(label, F.posexplode(column).alias("d", "x")).groupBy(label, "d").agg(F.avg("x").alias("x"))
@@ -83,6 +83,16 @@ def nearest_centroid(df: DataFrame, id_col: str = "vec_id", label: str = "label"
     return scored.groupBy(id_col, label).agg(F.max_by("predicted", F.struct(F.round("cos", 9), -F.col("predicted"))).alias("predicted"), F.max("cos").alias("cos"))
 
 
+def centroid_signal(df: DataFrame, up: int, down: int, id_col: str = "vec_id", label: str = "label", column: str = "embedding") -> DataFrame:
+    """M5: of each vector the cosine to the normalised centroid of class up minus that to class
+    down, and the class of the most similar centroid (ties to the smaller label)."""
+    u = units(df, column)
+    c = centroids(u, label, column).select(F.col(label).alias("predicted"), "centroid")
+    scored = u.crossJoin(F.broadcast(c)).select(id_col, "predicted", cosine(F.col(column), F.col("centroid")).alias("cos"))  # one row a class
+    side = lambda v: F.max(F.when(F.col("predicted") == v, F.col("cos")))
+    return scored.groupBy(id_col).agg((side(up) - side(down)).alias("signal"), F.max_by("predicted", F.struct(F.round("cos", 9), -F.col("predicted"))).alias("predicted"))
+
+
 def class_geometry(df: DataFrame, label: str = "label", column: str = "embedding") -> DataFrame:
     """Cosine of the centroids of each pair of classes; give unit vectors for the
     directions of classes. There is one row a class."""

@@ -146,6 +146,24 @@ def neighbour_mean(edges: DataFrame, features: DataFrame, value: str, *batch: st
     return at.groupBy(*batch, "dst").agg((F.sum(F.col("weight") * F.col(value)) / F.sum("weight")).alias("message"))
 
 
+def temporal_messages(bars: DataFrame, batch: str, value: str, hops: int = 2, decay: float = 0.7, reach: int = 16) -> DataFrame:
+    """(batch, node, hop1, hop2, ...): G10 over time and more than one hop. In each batch a token
+    gets the flow-weighted mean of its neighbours' feature, hop by hop (a feature is the mean of
+    `value` over the batch's bars from the token); what reaches it in a batch counts for the
+    `reach` batches after it, less by `decay` with each, and never for its own."""
+    flow = lambda a, b: F.struct(F.col(f"{a}_token_id").alias("src"), F.col(f"{b}_token_id").alias("dst"), F.abs(F.coalesce("src_flow_usdc", F.lit(0.0))).alias("weight"))
+    edges = exploded(bars, [batch], flow("src", "dest"), flow("dest", "src")).where("weight > 0").groupBy(batch, "src", "dst").agg(F.sum("weight").alias("weight"))
+    edges = written(edges, "edges")
+    at = bars.groupBy(batch, F.col("src_token_id").alias("node")).agg(F.avg(F.coalesce(value, F.lit(0.0))).alias("x"))
+    found = None
+    for hop in range(1, hops + 1):
+        at = written(neighbour_mean(edges, at, "x", batch).select(batch, F.col("dst").alias("node"), F.col("message").alias("x")), "hop")
+        later = at.select("node", F.explode(F.sequence(F.col(batch) + 1, F.col(batch) + reach)).alias("_b"), batch, "x")
+        sums = later.groupBy(F.col("_b").alias(batch), "node").agg(F.sum(F.col("x") * F.pow(F.lit(decay), F.col("_b") - F.col(batch) - 1)).alias(f"hop{hop}"))
+        found = sums if found is None else found.hint("merge").join(sums.hint("merge"), [batch, "node"], "full")
+    return found
+
+
 def encoded(df: DataFrame, column: str, out: str, offset: int = 0) -> DataFrame:
     """0-based ids in order of the distinct values. The dictionary is numbered by ranges
     over the distinct values alone and joined back."""

@@ -119,6 +119,16 @@ def concentration(df: DataFrame, column: str, *tops: int) -> DataFrame:
     return most.crossJoin(F.broadcast(total)).agg(*((F.sum(F.when(F.col("k") <= t, F.col("n")).otherwise(0)) / F.max("total")).alias(f"top{t}") for t in tops))
 
 
+def coverage(swaps: DataFrame, numeraire: object, bars: DataFrame, token: object) -> DataFrame:
+    """One row of shares: swaps with the numeraire as token0, as token1, on a side, on
+    none; bars with a token as source, as destination, on a side; bars with a label."""
+    share = lambda c: F.avg(c.cast("double"))
+    t0, t1, src, dest = F.col("token0") == numeraire, F.col("token1") == numeraire, F.col("src_token_id") == token, F.col("dest_token_id") == token
+    of_swaps = swaps.agg(share(t0).alias("swaps_token0"), share(t1).alias("swaps_token1"), share(t0 | t1).alias("swaps_direct"), share(~(t0 | t1)).alias("swaps_indirect"))
+    of_bars = bars.agg(share(src).alias("bars_src"), share(dest).alias("bars_dest"), share(src | dest).alias("bars_either"), (F.count("label") / F.count("*")).alias("labels"))
+    return of_swaps.crossJoin(F.broadcast(of_bars))  # one row each
+
+
 def low_days(df: DataFrame, ts: str, share: float = 0.1) -> DataFrame:
     """Days with fewer rows than `share` of the median day."""
     per = df.groupBy(F.to_date(ts).alias("day")).agg(F.count("*").alias("n"))

@@ -11,10 +11,9 @@ from pyspark.sql import DataFrame
 _own: list[str] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to spark.checkpoint.dir and read back: the plan starts anew, lost executors
-    take nothing with them. Where the setting is unset and all runs in one process (tests), a
-    temporary folder is used."""
+def _path(df: DataFrame, name: str) -> str:
+    """A new path in spark.checkpoint.dir. Where the setting is unset and all runs in one process
+    (tests), a temporary folder is used."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -23,13 +22,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="spark-rounds-"))
         folder = _own[0]
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: the plan starts anew, lost executors take
+    nothing with them."""
+    path = _path(df, name)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out
 
 
+def stored(df: DataFrame, name: str, *partitions: str) -> DataFrame:
+    """df written to the shared folder by partition columns, each in one file, and read back."""
+    path = _path(df, name)
+    df.repartition(*partitions).write.partitionBy(*partitions).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
 def dropped(df: DataFrame) -> None:
     """Delete what written() wrote."""
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_path)

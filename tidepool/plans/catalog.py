@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidepool.functions import decode, numbers
-from tidepool.operators import bars, embeddings, folds, graph, indirect, pricing, quality, series
+from tidepool.operators import bars, embeddings, folds, graph, indirect, pairs, pricing, quality, series
 from tidepool.sources.readers import in_dates, preview, tokens_from_json, two_token_pools
 from tidepool.sources.views import oracle, table
 
@@ -374,6 +374,19 @@ def a21_concentration(t):  # noqa: ANN001, ANN201
     return rounded(quality.concentration(t("events"), "user_id", 10, 100))
 
 
+@query("""WITH k AS (SELECT n, row_number() OVER (ORDER BY n DESC, sender) AS k FROM (SELECT sender, count(*) AS n FROM fx_swaps WHERE sender = recipient GROUP BY 1))
+SELECT round(sum(CASE WHEN k <= 10 THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE), 6) AS top10, round(sum(CASE WHEN k <= 100 THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE), 6) AS top100 FROM k""", "fx_swaps")
+def a21_own_recipients(t):  # noqa: ANN001, ANN201
+    return rounded(quality.concentration(t("fx_swaps").where("sender = recipient"), "sender", 10, 100))
+
+
+@query("""WITH s AS (SELECT avg(CASE WHEN token0 = 'tok0' THEN 1.0 ELSE 0 END) AS token0, avg(CASE WHEN token1 = 'tok0' THEN 1.0 ELSE 0 END) AS token1, avg(CASE WHEN token0 = 'tok0' OR token1 = 'tok0' THEN 1.0 ELSE 0 END) AS direct, avg(CASE WHEN token0 <> 'tok0' AND token1 <> 'tok0' THEN 1.0 ELSE 0 END) AS indirect FROM fx_swaps),
+b AS (SELECT avg(CASE WHEN src_token_id = 7 THEN 1.0 ELSE 0 END) AS src, avg(CASE WHEN dest_token_id = 7 THEN 1.0 ELSE 0 END) AS dest, avg(CASE WHEN src_token_id = 7 OR dest_token_id = 7 THEN 1.0 ELSE 0 END) AS bars, count(label) / CAST(count(*) AS DOUBLE) AS labels FROM fx_labelled)
+SELECT round(token0, 6) AS swaps_token0, round(token1, 6) AS swaps_token1, round(direct, 6) AS swaps_direct, round(indirect, 6) AS swaps_indirect, round(src, 6) AS bars_src, round(dest, 6) AS bars_dest, round(bars, 6) AS bars_either, round(labels, 6) AS labels FROM s, b""", "fx_swaps", "fx_labelled")
+def a22_coverage_ratios(t):  # noqa: ANN001, ANN201
+    return rounded(quality.coverage(t("fx_swaps"), "tok0", t("fx_labelled"), 7))
+
+
 @query("""SELECT round(avg(CASE WHEN token0 = 'tok0' THEN 1.0 ELSE 0 END), 6) AS as_token0, round(avg(CASE WHEN token1 = 'tok0' THEN 1.0 ELSE 0 END), 6) AS as_token1 FROM fx_swaps""", "fx_swaps")
 def a22_coverage(t):  # noqa: ANN001, ANN201
     share = lambda c: r6(F.avg((F.col(c) == "tok0").cast("double"))).alias(f"as_{c}")
@@ -730,12 +743,12 @@ _COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding A
 
 @query(f"""SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 6) AS cos FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id ORDER BY {_COS} DESC, a.vec_id, b.vec_id LIMIT 20""")
 def k5_similar_pairs(t):  # noqa: ANN001, ANN201
-    return rounded(embeddings.similar_pairs(embeddings.doubles(t("embeddings")), 20))
+    return rounded(pairs.similar_pairs(embeddings.doubles(t("embeddings")), 20))
 
 
 @query(f"""SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 6) AS cos FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id ORDER BY {_COS}, a.vec_id, b.vec_id LIMIT 20""")
 def m11_dissimilar_pairs(t):  # noqa: ANN001, ANN201
-    return rounded(embeddings.similar_pairs(embeddings.doubles(t("embeddings")), 20, most=False))
+    return rounded(pairs.similar_pairs(embeddings.doubles(t("embeddings")), 20, most=False))
 
 
 _CENTROIDS = """WITH u AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, d, avg(x) AS x FROM u GROUP BY 1, 2), c AS (SELECT label, list(x ORDER BY d) AS v FROM m GROUP BY 1)"""
@@ -747,6 +760,12 @@ def m5_nearest_centroid(t):  # noqa: ANN001, ANN201
     return rounded(embeddings.nearest_centroid(embeddings.doubles(t("embeddings"))))
 
 
+@query(_CENTROIDS.replace("unnest(embedding)::DOUBLE AS x FROM embeddings", "unnest(embedding)::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS x FROM embeddings") + """, s AS (SELECT e.vec_id, c.label, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), c.v) AS cos FROM embeddings e, c)
+SELECT vec_id, round(max(cos) FILTER (WHERE label = 1) - max(cos) FILTER (WHERE label = 0), 6) AS signal, arg_max(label, (round(cos, 9), -label)) AS predicted FROM s GROUP BY 1""")
+def m5_centroid_signal(t):  # noqa: ANN001, ANN201
+    return rounded(embeddings.centroid_signal(embeddings.doubles(t("embeddings")), 1, 0))
+
+
 _UNITS = _CENTROIDS.replace("unnest(embedding)::DOUBLE AS x FROM embeddings", "unnest(embedding)::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS x FROM embeddings")
 
 
@@ -760,7 +779,7 @@ def m18_class_alignment(t):  # noqa: ANN001, ANN201
     return rounded(embeddings.class_alignment(embeddings.doubles(t("embeddings"))))
 
 
-@query(f"""SELECT count(*) AS pairs, round(avg({_COS}), 6) AS mean, round(stddev_pop({_COS}), 6) AS std FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id""")
+@query(f"""SELECT count(*) AS pairs, round(avg({_COS}), 6) AS mean, round(stddev_pop({_COS}), 6) AS std, round(min({_COS}), 6) AS least, round(max({_COS}), 6) AS most FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id""")
 def m10_cosines(t):  # noqa: ANN001, ANN201
     return rounded(embeddings.cosine_stats(embeddings.doubles(t("embeddings"))))
 

@@ -4,9 +4,7 @@ tables."""
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -14,7 +12,8 @@ from pyspark.sql import Window
 from tidepool.functions import decode, numbers
 from tidepool.operators import bars, chain, embeddings, features, folds, graph, pricing, quality, series
 from tidepool.plans.catalog import BAR_SQL, BARRIER, _bars, _pool_series, duplicates_sql, gap_sql, median_sql, nulls_sql, query, r6, report_sql, rounded, spread_sql
-from tidepool.sources.readers import watch_list
+from tidepool.operators.tables import stored, written
+from tidepool.sources.readers import of_chains, read_embeddings, watch_list
 
 # ---- sources ----
 
@@ -25,10 +24,14 @@ def s1_scan(t):  # noqa: ANN001, ANN201
     return t("events").where((F.col("ts") >= day) & (F.col("ts") < day + F.expr("INTERVAL 1 DAY"))).select("event_id", "ts", "value")
 
 
-@query("SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY 1")
+@query("""SELECT event_type AS chain, CAST(ts AS DATE) AS trade_date, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_type IN (SELECT event_type FROM events GROUP BY 1 HAVING avg(value) > (SELECT avg(value) FROM events)) GROUP BY 1, 2""", dates="trade_date")
 def s4_chain_route(t):  # noqa: ANN001, ANN201
-    # the chain is a partition column where logs are stored; here the event type stands for it
-    return t("events").where(F.col("event_type").isin("click", "view")).groupBy("event_type").agg(F.count("*").alias("n"))
+    """Logs stored by chain and date; which chains are read is decided at run time."""
+    e = t("events").select(F.col("event_type").alias("chain"), F.to_date("ts").alias("trade_date"), "value")
+    logs = stored(e, "logs", "chain", "trade_date")
+    means = e.groupBy("chain").agg(F.avg("value").alias("mean")).join(F.broadcast(e.agg(F.avg("value").alias("all"))))
+    busy = written(means, "chains").where("mean > all").select("chain")
+    return of_chains(logs, busy).groupBy("chain", "trade_date").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("SELECT event_type AS token_address, date_trunc('hour', ts) AS timestamp, round(avg(value), 6) AS price_usd FROM events GROUP BY 1, 2")
@@ -47,9 +50,14 @@ def s13_watch_list(t):  # noqa: ANN001, ANN201
     return watch_list(t("supplier").select(text.alias("j")), "j")
 
 
-@query("""SELECT vec_id % 4 AS day, count(*) AS n, count(DISTINCT label) AS labels FROM embeddings GROUP BY 1""")
+@query("""SELECT trade_date, count(*) AS n, count(DISTINCT label) AS labels FROM (SELECT *, DATE '2024-01-01' + CAST(vec_id % 4 AS INTEGER) AS trade_date FROM embeddings) WHERE trade_date BETWEEN DATE '2024-01-02' AND DATE '2024-01-03' GROUP BY 1""", dates="trade_date")
 def s14_dated_files(t):  # noqa: ANN001, ANN201
-    return t("embeddings").groupBy((F.col("vec_id") % 4).alias("day")).agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels"))
+    """Embeddings stored by date, and the report of a range of dates, which reads only these."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("vec_id") % 4).cast("int"))
+    dated = t("embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding", "label", day.alias("trade_date"))
+    path = stored(dated, "embeddings", "trade_date")._stored_path
+    found = read_embeddings(dated.sparkSession, path, "2024-01-02", "2024-01-03")
+    return found.groupBy("trade_date").agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels"))
 
 
 # ---- predicates and projections ----
@@ -259,15 +267,28 @@ def m3_weighted_classifier(t):  # noqa: ANN001, ANN201
     return rounded(features.fold_scores(features.feature_table(_chain(t)), 5))
 
 
+_BATCHED = "b AS (SELECT *, CAST((row_number() OVER (ORDER BY bar_close_timestamp, l_orderkey, l_partkey, l_linenumber) - 1) // 5000 AS BIGINT) AS batch FROM fx_labelled)"
+_HOP = "{to} AS (SELECT e.batch, e.dst AS node, sum(e.w * f.x) / sum(e.w) AS x FROM e JOIN {of} f ON f.batch = e.batch AND f.node = e.src GROUP BY 1, 2)"
+_LATER = "{to} AS (SELECT k AS batch, node, sum(x * pow(0.7, k - batch - 1)) AS x FROM (SELECT *, unnest(range(batch + 1, batch + 17)) AS k FROM {of}) GROUP BY 1, 2)"
+
+
+def _batched(t) -> DataFrame:  # noqa: ANN001
+    return folds.event_batches(t("fx_labelled"), 5000, "bar_close_timestamp", "l_orderkey", "l_partkey", "l_linenumber").withColumnRenamed("batch_id", "batch")
+
+
+@query(f"""WITH {_BATCHED}, e AS (SELECT batch, src, dst, sum(w) AS w FROM (SELECT batch, src_token_id AS src, dest_token_id AS dst, abs(src_flow_usdc) AS w FROM b UNION ALL SELECT batch, dest_token_id, src_token_id, abs(src_flow_usdc) FROM b) WHERE w > 0 GROUP BY 1, 2, 3),
+f0 AS (SELECT batch, src_token_id AS node, avg(coalesce(src_fracdiff, 0)) AS x FROM b GROUP BY 1, 2), {_HOP.format(to='f1', of='f0')}, {_HOP.format(to='f2', of='f1')}, {_LATER.format(to='g1', of='f1')}, {_LATER.format(to='g2', of='f2')}
+SELECT batch, node, round(g1.x, 6) + 0 AS hop1, round(g2.x, 6) + 0 AS hop2 FROM g1 FULL JOIN g2 USING (batch, node)""", "fx_labelled")
+def g10_temporal_messages(t):  # noqa: ANN001, ANN201
+    m = graph.temporal_messages(_batched(t), "batch", "src_fracdiff")
+    return m.select("batch", "node", *((r6(c) + 0).alias(c) for c in ("hop1", "hop2")))
+
+
 @query()
 def m9_huber_regression(t):  # noqa: ANN001, ANN201
-    """Next-volume regression with the Huber loss, fitted on the first 70 % in time and
-    scored on the last 15 %."""
-    w = Window.partitionBy("pool").orderBy("block_timestamp", "event_id")
-    rows = t("fx_prices").select("block_timestamp", "event_id", F.log1p("usdc_volume").alias("x0"), F.coalesce(F.log1p(F.lag("usdc_volume").over(w)), F.lit(0.0)).alias("x1"), F.log1p(F.abs(F.lead("usdc_volume").over(w))).alias("target")).where("target is not null")
-    data = VectorAssembler(inputCols=["x0", "x1"], outputCol="features").transform(folds.temporal_split(rows, "block_timestamp", "event_id"))
-    model = LinearRegression(labelCol="target", loss="huber", maxIter=30).fit(data.where("split = 'train'"))
-    return rounded(folds.regression_metrics(model.transform(data.where("split = 'test'")), "target", "prediction"))
+    """Next-bar log flow of a pool with the Huber loss, on node, edge and neighbour features;
+    fitted on the first 70 % in time and scored on the last 15 %."""
+    return rounded(features.flow_regression(_batched(t), "batch", "pool_id", "bar_close_timestamp", "l_orderkey", "l_partkey", "l_linenumber"))
 
 
 def _component_correlations(e: DataFrame) -> DataFrame:

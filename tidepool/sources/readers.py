@@ -81,6 +81,18 @@ def read_embeddings(spark: SparkSession, path: str, start: str | None = None, en
     return found if end is None else found.where(F.col("trade_date") <= F.lit(end).cast("date"))
 
 
+def write_partitioned(df: DataFrame, path: str, *columns: str) -> None:
+    """Df by partition columns (chain, date); only the partitions of df are replaced."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
+
+
+def of_chains(logs: DataFrame, chains: DataFrame) -> DataFrame:
+    """The rows of logs (partitioned by chain) whose chain is in chains (chain, ...), with
+    the columns of chains. The list is one row a chain, so Spark broadcasts it, and what is in
+    it decides at run time which folders are read."""
+    return logs.join(F.broadcast(chains), "chain")
+
+
 def read_reference_prices(spark: SparkSession, path: str, token: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
     """Reference prices (token_address, timestamp, price_usd) of a token and a range
     of days; addresses compare in lower case."""
