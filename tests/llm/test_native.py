@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepool.llm import chat, mixing, secrets, sharding
+from tidepool.llm.shared import written
 
 from .conftest import edge_rows
 
@@ -30,18 +31,42 @@ def test_round_trip_and_mask(spark):
     texts = ["", "<|end|>\n", "<~|", "<|", "<~~~|start|>", "a" * 1500 + "é" * 1500, "\\### Assistant: </turn> ok", "<", "~", "<|sep|>x<~|sep|>", None, "😀<|"]
     rows = [(c, i, None if i == 3 else ("user", "assistant", "<|sep|>")[i % 3], t) for c in (1, 2, None) for i, t in enumerate(texts)] + [(5, None, "assistant", "n"), (5, 1, "assistant", "m"), (5, 1, "assistant", "m")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit("clash")).withColumn("seq", F.lit("clash"))
-    out = chat.render(chat.fold(chat.from_messages(df))).withColumn("back", chat.read_back(F.col("formatted"))).collect()
+    made = written(chat.numbered(chat.render(chat.fold(chat.from_messages(df)))), "made")
+    out, back = made.collect(), collections.defaultdict(list)
+    for r in chat.read_back(made).orderBy("c", "n").collect():
+        back[r.c].append(r)
     by = collections.defaultdict(list)
     for c, i, role, t in rows:
         by[c].append((i if i is not None else -1, role or "", t or ""))
     assert len(out) == 4
     for r in out:
         want = [x[1:] for x in sorted(by[r.conv_id])]
-        assert [(x.role, x.text) for x in r.back] == want
+        assert [(x.role, x.text) for x in back[r.c]] == want
+        assert "".join(x.text for x in back[r.c] if x.masked) == "".join(t for role, t in want if role == "assistant")
         masked = "".join(r.formatted[s.start : s.start + s.length].replace("<~|", "<|").replace("<~~", "<~") for s in r.loss)
         assert masked == "".join(t for role, t in want if role == "assistant")
 
 
+def test_log_holds_what_the_fold_discards(spark):
+    """The log of a query has drafts, edits and regenerations; none of it is left."""
+    rows = [(1, i, "assistant", f"answer {i} " * (i % 200)) for i in range(300)]
+    log = chat.from_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert kinds["message"] == 300 and min(kinds["edit"], kinds["regenerate"]) > 60 and kinds["delta"] > 300
+    assert log.where("text = '(draft) '").count() > 120
+    assert sorted(tuple(r) for r in chat.fold(log).collect()) == sorted(rows)
+
+
+def test_long_conversation(spark):
+    """Work grows with the turns, not with their square."""
+    n = 40_000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("text <| "), F.col("id").cast("string")).alias("text"))
+    got = {r.conv_id: r for r in chat.report(rows).collect()}[1]
+    texts = [("user" if i % 2 == 0 else "assistant", f"text <| {i}") for i in range(n)]
+    assert got.n_turns == n and got.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in texts).encode()).hexdigest()
+    assert got.loss_sha256 == hashlib.sha256("".join(t for r, t in texts if r == "assistant").encode()).hexdigest()
+
+
 def test_chat_empty(spark):
     got = chat.report(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect()
     assert [(r.conv_id, r.n_turns, r.loss_chars) for r in got] == [(-7, 2, 26)]
