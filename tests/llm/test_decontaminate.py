@@ -66,3 +66,13 @@ def test_removal(spark):
     assert got[1].text.startswith("Start here, ! and") and got[1].n_chars == len(got[1].text)
     assert got[3].n_chars == 5 and got[4].text is None
     assert not re.search("ONE", got[1].text)
+
+
+def test_text_ids(spark):
+    """Ids that are no numbers stay as they are and are ordered as strings."""
+    text = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, "before " + text + " after")], "doc_id long, text string")
+    items = spark.createDataFrame([("q-10", text), ("q-9", text), ("10", text), (None, text)], "item_id string, text string")
+    r = d.report(docs, items).first()
+    assert r.n_items == 3 and r.items_sha256 == d.digest(["10", "q-10", "q-9"])
+    assert d.remove_overlaps(docs, items).count() == 0

@@ -50,7 +50,7 @@ class Automaton:
     """Suffix automaton of several word sequences. items: of each state that the
     streaming needs, the ids of the items that hold its strings."""
 
-    def __init__(self, items: list[tuple[int | None, list[bytes]]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW) -> None:
         self.window = window
         self.next: list[dict[bytes, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -166,10 +166,10 @@ def item_blocks(items: DataFrame, window: int = WINDOW, id_col: str = "item_id",
                     ids.append(item)
                     words.append(b" ".join(part))
                     sizes.append(len(part))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.binary()), pa.array(sizes, pa.int64())], ["item", "words", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(words, pa.binary()), pa.array(sizes, pa.int64())], ["item", "words", "n"])
 
-    cut_up = items.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).cast("binary").alias("text"))
-    cut_up = written(cut_up.mapInArrow(pieces, "item long, words binary, n long"), "items")
+    cut_up = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text"))
+    cut_up = written(cut_up.mapInArrow(pieces, "item string, words binary, n long"), "items")
     blocks = max(1, -(-(cut_up.agg(F.sum("n")).first()[0] or 0) // BLOCK_WORDS))
     block = F.pmod(F.xxhash64("item", "words"), F.lit(blocks))
     return [cut_up.where(block == b).select("item", "words") for b in range(blocks)]
@@ -211,8 +211,8 @@ def _found(shipped: Shipped, key: str, all_rows: bool):  # noqa: ANN202
                     rows.append(i)
                     counts.append(len(words))
                     spans.append(_spans(own))
-                    ids.append(sorted((x for x in hit if x is not None), key=str))
-            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(rows, pa.int64())), pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(ids, pa.list_(pa.int64()))], [key, "n_words", "spans", "items"])
+                    ids.append(sorted(x for x in hit if x is not None))
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(rows, pa.int64())), pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(ids, pa.list_(pa.string()))], [key, "n_words", "spans", "items"])
 
     return scan
 
@@ -221,16 +221,16 @@ def _hits(rows: DataFrame, blocks: list[Shipped]) -> DataFrame:
     """(n, spans, items) of the rows (n, text) that any block hits; spans not yet merged."""
     out = None
     for shipped in blocks:
-        one = written(rows.select("n", "text").mapInArrow(_found(shipped, "n", False), "n long, n_words long, spans array<struct<start:long,end:long>>, items array<long>"), "hits")
+        one = written(rows.select("n", "text").mapInArrow(_found(shipped, "n", False), "n long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"), "hits")
         out = one if out is None else out.unionByName(one)
     return written(out.groupBy("n").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")), "hits")
 
 
 def find_overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: doc_id, n_words, spans (array of word positions start, end
-    exclusive; merged) and items (ids, sorted as strings)."""
+    exclusive; merged) and items (ids as strings, sorted)."""
     blocks = [Shipped(b, window) for b in item_blocks(items, window)]
-    schema = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<long>"
+    schema = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     if len(blocks) == 1:
         return src.mapInArrow(_found(blocks[0], "doc_id", True), schema)
@@ -239,8 +239,8 @@ def find_overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         for batch in batches:
             counts = [len(words_of(t.as_py())) for t in batch.column("text")]
             spans = [_spans(merged([(x["start"], x["end"]) for x in own or ()])) for own in batch.column("spans").to_pylist()]
-            ids = [sorted(own or (), key=str) for own in batch.column("items").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "n_words", "spans", "items"])
+            ids = [sorted(own or ()) for own in batch.column("items").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(ids, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
 
     rows = written(src.withColumn("n", F.monotonically_increasing_id()), "rows")
     return rows.join(_hits(rows, blocks).hint("shuffle_hash"), "n", "left").mapInArrow(merge, schema)
