@@ -57,6 +57,22 @@ def test_counts_decide_where_names_say_nothing(spark):
     assert got == {**{i: f"Story {i}" for i in range(20)}, 99: "Y"}
 
 
+@pytest.mark.parametrize("words", [True, False])
+def test_a_page_does_not_depend_on_its_hosts_size(spark, monkeypatch, words):
+    """The same page on hosts of 11, 12 and 40 pages, with and without names: menus, adverts and
+    a tip inside the article recur and go, on small hosts the menus too."""
+    sizes, rows = (2, 3, 8, 11, 12, 40), []
+    mark = (lambda w: w) if words else (lambda w: f"q{len(w)}")  # class words that say nothing
+    for n in sizes:
+        for i in range(n):
+            rows.append((n * 100 + i, f"http://h{n}.example/{i}", f"<body><div class='{mark('menu')}'><i>Page {i}</i></div><article><h1>T {i}</h1><p>Body {i} of the page.</p><div><p>Always the same tip.</p></div></article><div class='{mark('advert')}'><p>Buy {i * 7}</p></div></body>"))
+    got = {r.page_id: r.text for r in extract.report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for n in sizes:
+        tip = "" if n >= extract.MIN_PAGES else "\nAlways the same tip."
+        for i in range(n):
+            assert got[n * 100 + i] == f"T {i}\nBody {i} of the page." + tip, n
+
+
 def test_long_and_deep_pages(spark):
     import time
 

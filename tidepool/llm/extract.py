@@ -8,14 +8,14 @@ pages:
 * Each container's subtree has two hashes, built bottom-up: `exact` (tag, attributes,
   text, children) and `shape` (tag, class words and the set of its children's shapes;
   no text). Spark counts on how many pages of different content a host has them.
-* On a host with at least HOST_PAGES such pages these subtrees are deleted: exact ones on
-  MIN_PAGES pages or more, wherever they are; shapes on LEAST_PAGES pages or more, if they
-  lie outside the content element (article, else main) or bear a name of boilerplate
-  (SKIP_WORDS, nav, footer, ...); and named shapes on MIN_PAGES pages of any hosts. Text
-  outside the content element and in no container goes by its tag likewise. An element
-  that holds the content element is never deleted.
-* On smaller hosts there is too little to count, and names decide: content element only,
-  without what is named.
+* These subtrees are deleted: exact ones on MIN_PAGES pages or more, wherever they are; shapes
+  on a quarter of the host's pages (at least 2, and no more than LEAST_PAGES are asked for),
+  if they lie outside the content element (article, else main) or bear a name of
+  boilerplate (SKIP_WORDS, nav, footer, ...); and named shapes on MIN_PAGES pages of any
+  hosts. Text outside the content element and in no container goes by its tag likewise. An
+  element that holds the content element is never deleted.
+* On a host whose pages all have one content nothing can recur, and names decide: content
+  element only, without what is named.
 
 Headings and text blocks as such are no containers: a passage that many articles quote
 stays.
@@ -45,9 +45,9 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-#: Pages of different content: of a host whose counts decide, that make an exact subtree a
-#: template, and that make a shape one.
-HOST_PAGES, MIN_PAGES, LEAST_PAGES = 12, 8, 3
+#: Pages of different content: of a host where something can recur, that make an exact subtree
+#: a template, and that make a shape one on hosts of many pages.
+HOST_PAGES, MIN_PAGES, LEAST_PAGES = 2, 8, 3
 #: Templates that may be broadcast; beyond, a merge join on keys salted SALTS-fold.
 BROADCAST_ROWS, SALTS = 50_000, 16
 
@@ -325,11 +325,15 @@ def signatures(marks: DataFrame) -> DataFrame:
 
 
 def templates(shown: DataFrame, min_pages: int | None = None) -> DataFrame:
-    """(host, hash) of what recurs on enough pages of different content. min_pages: for all
-    but the count of a host's pages."""
+    """(host, hash) of what recurs on enough pages of different content; what a shape needs
+    grows with the host's pages. min_pages: for all but the count of a host's pages."""
     pages = shown.groupBy("host", "hash", "least", "main").agg(F.lit(1).alias("one")).groupBy("host", "hash", "least").agg(F.count("*").alias("n"))
-    need = F.col("least") if min_pages is None else F.when(F.col("hash") == PAGE, F.col("least")).otherwise(F.lit(min_pages))
-    return pages.where(F.col("n") >= need).select("host", "hash").distinct()
+    pages = written(pages, "counts")
+    size = pages.where(F.col("hash") == PAGE).select("host", F.col("n").alias("host_pages"))
+    scaled = F.least(F.col("least"), F.greatest(F.lit(2), F.ceil(F.col("host_pages") / 4)))
+    least = F.when(F.col("least") == LEAST_PAGES, scaled).otherwise(F.col("least"))
+    need = least if min_pages is None else F.when(F.col("hash") == PAGE, F.col("least")).otherwise(F.lit(min_pages))
+    return pages.hint("merge").join(size.hint("merge"), "host", "left").where(F.col("n") >= need).select("host", "hash").distinct()
 
 
 def extract(pages: DataFrame, min_pages: int | None = None) -> DataFrame:
