@@ -73,3 +73,26 @@ def test_partitions_are_replaced_alone(spark, tmp_path):
     readers.write_partitioned(df, str(tmp_path / "t"), "chain", "day")
     readers.write_partitioned(spark.createDataFrame([("op", 1, 30), ("op", 2, 40)], "chain string, day int, v int"), str(tmp_path / "t"), "chain", "day")
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "t")).select("chain", "day", "v").collect()) == [("eth", 1, 10), ("op", 1, 30), ("op", 2, 40)]
+
+
+def test_components_against_numpy(spark):
+    """The correlations are those of NumPy's components; a flat metric is skipped."""
+    from tidepool.operators import embeddings
+
+    rng = np.random.default_rng(9)
+    n = 80
+    hidden = rng.normal(size=(n, 2))
+    x = hidden @ rng.normal(size=(2, 6)) + rng.normal(size=(n, 6)) * 0.1
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    metrics = np.column_stack([hidden[:, 0] + rng.normal(size=n) * 0.2, hidden[:, 1] * -3, np.ones(n)])
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    m = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(metrics)], "vec_id long, a double, b double, flat double")
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    axes = np.linalg.eigh(z.T @ z)[1][:, ::-1]
+    for r in embeddings.component_correlations(e, m, 2).collect():
+        want = {c: abs(np.corrcoef(z @ axes[:, r.component], metrics[:, j])[0, 1]) for j, c in enumerate("ab")}
+        assert r.metric == max(want, key=want.get) and abs(r.corr) == pytest.approx(want[r.metric], rel=1e-6)
+    score = embeddings.quality_score(e, m).first()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert score.cosine == pytest.approx((u @ u.T)[np.triu_indices(n, 1)].mean(), rel=1e-6) and score.n_90 == 2
+    assert score.score == (score.cosine < 0.8) + (score.n_90 <= 20) + (score.silhouette > 0.1) + (score["corr"] > 0.2)

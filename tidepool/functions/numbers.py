@@ -74,3 +74,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y, F.lit(2.0))), F.lit(0.0), lambda s, x: s + x))
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation of the rows that have both; null where one does not vary, which
+    the built-in aggregate takes for an error."""
+    x, y = F.when(b.isNotNull(), a.cast("double")), F.when(a.isNotNull(), b.cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions.numbers import bar_threshold
 from tidepool.operators.scans import carried, latest
+from tidepool.operators.tables import written
 
 MICRO = 1_000_000
 
@@ -229,7 +230,9 @@ def illiquid_tokens(bars: DataFrame, max_gap_s: float = 86_400.0, share: float =
 
 def filter_illiquid(bars: DataFrame, max_gap_s: float = 86_400.0, share: float = 0.2) -> DataFrame:
     """Bars with neither token illiquid."""
-    bad = illiquid_tokens(bars, max_gap_s, share)
+    bars = written(bars, "bars")
+    # written, so that Spark knows how few they are
+    bad = written(illiquid_tokens(bars, max_gap_s, share), "illiquid")
     return bars.join(bad, bars.src_token_id == bad.token, "left_anti").join(bad, bars.dest_token_id == bad.token, "left_anti")
 
 

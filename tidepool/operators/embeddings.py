@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidepool.functions.numbers import cosine, norm
+from tidepool.functions.numbers import correlation, cosine, norm
 from tidepool.operators.pairs import similar_pairs
 
 
@@ -36,7 +36,7 @@ def units(df: DataFrame, column: str = "embedding") -> DataFrame:
     return df.withColumn("_n", n).withColumn(column, F.when(F.col("_n") > 0, F.transform(column, lambda x: x / F.col("_n"))).otherwise(F.col(column))).drop("_n")
 
 
-def cosine_stats(df: DataFrame, column: str = "embedding") -> DataFrame:
+def cosine_stats(df: DataFrame, column: str = "embedding", id_col: str = "vec_id") -> DataFrame:
     """Number, mean, population deviation, least and most of the cosines of all pairs. The
     first three need no pairs:
     with U of unit rows, the cosines of all ordered pairs sum up to the square of the summed
@@ -51,7 +51,7 @@ def cosine_stats(df: DataFrame, column: str = "embedding") -> DataFrame:
     one = df.sparkSession.createDataFrame([row], "pairs long, mean double, std double")
     for name, most in (("least", False), ("most", True)):
         # one row each
-        one = one.join(F.broadcast(similar_pairs(df, 1, most, column=column).agg(F.max("cos").alias(name))))
+        one = one.join(F.broadcast(similar_pairs(df, 1, most, id_col, column).agg(F.max("cos").alias(name))))
     return one
 
 
@@ -64,7 +64,7 @@ def blocked_pairs(df: DataFrame, id_col: str = "vec_id", blocks: int = 8) -> Dat
     key = F.struct(F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"))
     left = rows.where("b <= o").select(key.alias("k"), F.col("row").alias("p"))
     right = rows.where("b >= o").select(key.alias("k"), F.col("row").alias("q"))
-    pairs = left.join(right, "k").where((F.col("k.x") != F.col("k.y")) | (F.col(f"p.{id_col}") < F.col(f"q.{id_col}")))
+    pairs = left.hint("merge").join(right.hint("merge"), "k").where((F.col("k.x") != F.col("k.y")) | (F.col(f"p.{id_col}") < F.col(f"q.{id_col}")))
     swap = F.col(f"p.{id_col}") > F.col(f"q.{id_col}")
     return pairs.select(F.when(swap, F.col("q")).otherwise(F.col("p")).alias("a"), F.when(swap, F.col("p")).otherwise(F.col("q")).alias("b"))
 
@@ -263,6 +263,34 @@ def pca_projection(df: DataFrame, k: int = 2, id_col: str = "vec_id", column: st
     return PCA(k=k, inputCol="z", outputCol="pc").fit(z).transform(z).select(id_col, vector_to_array("pc").alias("pc"))
 
 
+def component_correlations(df: DataFrame, metrics: DataFrame, k: int = 3, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """(component, metric, corr): of each of the first k principal components the metric
+    it follows most, by absolute correlation (ties to the first name). metrics: id_col and
+    columns of numbers; one without variance is skipped."""
+    names = [c for c in metrics.columns if c != id_col]
+    rows = pca_projection(df, k, id_col, column).join(metrics, id_col)
+    one = rows.agg(*(correlation(F.col("pc")[i], F.col(m)).alias(f"c{i}_{j}") for i in range(k) for j, m in enumerate(names)))
+    cells = F.array(*(F.struct(F.lit(i).alias("component"), F.lit(m).alias("metric"), F.col(f"c{i}_{j}").alias("corr")) for i in range(k) for j, m in enumerate(names)))
+    long = one.select(F.explode(cells).alias("r")).select("r.*").where("corr is not null and not isnan(corr)")
+    first = F.struct(F.abs("corr").alias("x"), -F.array_position(F.array(*map(F.lit, names)), F.col("metric")))
+    return long.groupBy("component").agg(F.max_by("metric", first).alias("metric"), F.max_by("corr", first).alias("corr"))
+
+
+def quality_score(df: DataFrame, metrics: DataFrame, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """One row: mean cosine, components for 90 %, best silhouette, strongest correlation
+    with a metric, and score, a point for each of: mean cosine under 0.8, at most 20
+    components, a silhouette over 0.1, a correlation over 0.2."""
+    row = cosine_stats(df, column, id_col).select(F.col("mean").alias("cosine"))
+    ks = range(2, min(11, df.count()))
+    for one in (
+        pca_report(df, 1, column).select("n_90"), cluster_sweep(df, ks, column).where("best").select("silhouette"),
+        component_correlations(df, metrics, 3, id_col, column).agg(F.max(F.abs("corr")).alias("corr")),
+    ):
+        row = row.crossJoin(F.broadcast(one))  # one row each
+    points = (F.col("cosine") < 0.8, F.col("n_90") <= 20, F.col("silhouette") > 0.1, F.col("corr") > 0.2)
+    return row.select("*", sum(F.coalesce(p.cast("int"), F.lit(0)) for p in points).alias("score"))
+
+
 def cluster_balance(df: DataFrame, assignment: str) -> DataFrame:
     """KL divergence from the uniform to the mean assignment (array of shares)."""
     per = df.select(F.posexplode(assignment).alias("i", "p")).groupBy("i").agg(F.avg("p").alias("p"))

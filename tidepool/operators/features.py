@@ -131,6 +131,14 @@ def token_metrics(bars: DataFrame, tokens: DataFrame) -> DataFrame:
     return tokens.select("token").join(per, "token", "left").select("token", *(F.coalesce(c, F.lit(0)).cast("long" if c == "num_swaps" else "double").alias(c) for c in names))
 
 
+def token_vectors(bars: DataFrame) -> DataFrame:
+    """(token, embedding): the mean of a token's features over its labelled bars as a source,
+    an embedding that the library makes itself."""
+    rows = feature_table(bars, "src_token_id")
+    means = rows.groupBy(F.col("src_token_id").alias("token")).agg(*(F.avg(c).alias(c) for c in FEATURES))
+    return means.select("token", F.array(*FEATURES).alias("embedding"))
+
+
 def event_features(bars: DataFrame, ids: DataFrame, *keep: str) -> DataFrame:
     """Keep, token_index (of the source in ids: token, token_index), label (0 to 2, -1 if it
     is missing), weight (1 if missing) and the four features of an event as an array."""

@@ -142,7 +142,7 @@ def token_view(pools: DataFrame, order: str = "address") -> DataFrame:
 
 def neighbour_mean(edges: DataFrame, features: DataFrame, value: str, *batch: str) -> DataFrame:
     """For each node the mean of its neighbours' feature, weighted by flow."""
-    at = edges.join(features.withColumnRenamed("node", "src"), [*batch, "src"])
+    at = edges.hint("merge").join(features.withColumnRenamed("node", "src").hint("merge"), [*batch, "src"])
     return at.groupBy(*batch, "dst").agg((F.sum(F.col("weight") * F.col(value)) / F.sum("weight")).alias("message"))
 
 

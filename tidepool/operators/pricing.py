@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidepool.functions.numbers import direct_price
+from tidepool.functions.numbers import correlation, direct_price
 from tidepool.operators.ranges import numbered_in_key
 from tidepool.operators.scans import carried, latest
 from tidepool.operators.tables import dropped, written
@@ -45,9 +45,9 @@ def outlier_bounds(prices: DataFrame, k: float = 3.0) -> DataFrame:
 
 
 def filter_outliers(prices: DataFrame, k: float = 3.0) -> DataFrame:
-    """Prices inside the fences of their token. The join is left to Spark: the
-    bounds are one row a token, so AQE broadcasts them while they are small."""
-    return prices.join(outlier_bounds(prices, k), "token_address").where(F.col("price_in_usdc").between(F.col("low"), F.col("high"))).drop("low", "high")
+    """Prices inside the fences of their token. The bounds are one row a token and
+    written, so Spark broadcasts them by their true size while they are small."""
+    return prices.join(written(outlier_bounds(prices, k), "fences"), "token_address").where(F.col("price_in_usdc").between(F.col("low"), F.col("high"))).drop("low", "high")
 
 
 def last_known(events: DataFrame, lookups: DataFrame, key: str, ts: str, value: str, max_age_s: float) -> DataFrame:
@@ -89,7 +89,7 @@ def against_reference(prices: DataFrame, reference: DataFrame, unit: str, ts: st
     mine = prices.groupBy("token_address", F.date_trunc(unit, ts).alias("at")).agg(F.avg("price_in_usdc").alias("price"))
     theirs = reference.groupBy("token_address", F.date_trunc(unit, "timestamp").alias("at")).agg(F.avg("price_usd").alias("ref"))
     both = mine.join(theirs, ["token_address", "at"])
-    return both.groupBy("token_address").agg(F.count("*").alias("n"), F.corr("price", "ref").alias("corr"), (F.avg(F.abs(F.col("price") - F.col("ref")) / (F.col("ref") + 1e-9)) * 100).alias("mape"))
+    return both.groupBy("token_address").agg(F.count("*").alias("n"), correlation(F.col("price"), F.col("ref")).alias("corr"), (F.avg(F.abs(F.col("price") - F.col("ref")) / (F.col("ref") + 1e-9)) * 100).alias("mape"))
 
 
 def connected_to(swaps: DataFrame, numeraire: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidepool.functions import decode
-from tidepool.functions.numbers import finite
+from tidepool.functions.numbers import correlation, finite
 from tidepool.operators.ranges import RANGES, with_range
 from tidepool.operators.quantiles import exact_quantiles
 from tidepool.operators.scans import RANGE_ROWS, carried, most
@@ -152,7 +152,7 @@ def label_summary(labels: DataFrame, key: str = "token") -> DataFrame:
 def correlations(df: DataFrame, *columns: str) -> DataFrame:
     """The correlation of each pair of columns on complete rows, one pass."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    one = df.dropna(subset=list(columns)).agg(*(F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)))
+    one = df.dropna(subset=list(columns)).agg(*(correlation(F.col(a), F.col(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)))
     return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)))).alias("e")).select("e.*")
 
 
@@ -317,8 +317,8 @@ def training_report(bars: DataFrame, keys: tuple[str, ...], max_gap_s: float = 3
         rules |= {("z_mean", c): (F.abs(F.avg(c)), None, 0.1), ("z_std", c): (F.stddev_samp(c), 0.8, 1.2)}
     # on rows where all four are finite, and only if there are over 1,000 of them
     whole = reduce(lambda a, b: a & b, (finite(c) for c in CORRELATED))
-    rules |= {("correlation", f"{a}/{b}"): (F.when(F.count_if(whole) > 1000, F.corr(F.when(whole, F.col(a).cast("double")), F.when(whole, F.col(b).cast("double")))), None, None) for i, a in enumerate(CORRELATED) for b in CORRELATED[i + 1 :]}
-    rules |= {("correlation", "src_dest_fracdiff"): (F.abs(F.corr("src_fracdiff", "dest_fracdiff")), None, 0.5), ("labels", "coverage"): (F.count("label") / F.count("*"), 0.1, None), ("rows", "n"): (F.count("*"), 1, None)}
+    rules |= {("correlation", f"{a}/{b}"): (F.when(F.count_if(whole) > 1000, correlation(F.when(whole, F.col(a)), F.when(whole, F.col(b)))), None, None) for i, a in enumerate(CORRELATED) for b in CORRELATED[i + 1 :]}
+    rules |= {("correlation", "src_dest_fracdiff"): (F.abs(correlation(F.col("src_fracdiff"), F.col("dest_fracdiff"))), None, 0.5), ("labels", "coverage"): (F.count("label") / F.count("*"), 0.1, None), ("rows", "n"): (F.count("*"), 1, None)}
     labels = bars.where("label is not null").groupBy("label").agg(F.count("*").alias("n"))
     return together(
         report(bars, rules), report(duplicate_keys(bars, *keys), {("duplicates", "rows"): (F.max("rows"), 0, 0)}), report(labels, {("labels", "balance"): (F.min("n") / F.max("n"), 0.1, None)}),

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tidepool.operators.tables import written
+
 RANGES = 64
 #: Sampled keys a range: with RANGES it bounds what the driver sorts.
 PER_RANGE = 32
@@ -17,7 +19,10 @@ BLOCK_ROWS = 100_000
 def with_range(df: DataFrame, *order: str, ranges: int = RANGES) -> DataFrame:
     """df with _range: which of about `ranges` ranges of the order a row is in. The splitters
     are constants from a sample by hash, so every use of the result sees the same ranges
-    (two range exchanges would sample anew)."""
+    (two range exchanges would sample anew). df is written first, if it is not read from what
+    was written: its count, its sample and its use must be of the same rows."""
+    if not hasattr(df, "_written_path"):
+        df = written(df, "ranged")
     n = df.count()
     drawn = F.shiftrightunsigned(F.xxhash64(*order, F.lit(17)), 11).cast("double") / float(1 << 53)
     sample = sorted({tuple(r) for r in df.select(*order).dropna().where(drawn < ranges * PER_RANGE / max(n, 1)).collect()})

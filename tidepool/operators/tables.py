@@ -6,9 +6,11 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+#: Paths of tables that nobody dropped yet.
+_made: list[tuple[SparkSession, str]] = []
 
 
 def _path(df: DataFrame, name: str) -> str:
@@ -22,7 +24,9 @@ def _path(df: DataFrame, name: str) -> str:
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="spark-rounds-"))
         folder = _own[0]
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -44,7 +48,20 @@ def stored(df: DataFrame, name: str, *partitions: str) -> DataFrame:
     return out
 
 
+def _deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete what written() wrote."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    _deleted(df.sparkSession, df._written_path)
+    _made[:] = [m for m in _made if m[1] != df._written_path]
+
+
+def clear() -> None:
+    """Delete all tables made so far. Call it when the results that read them are saved: the
+    operators can't know when that is."""
+    for spark, path in _made:
+        _deleted(spark, path)
+    _made.clear()

@@ -291,19 +291,18 @@ def m9_huber_regression(t):  # noqa: ANN001, ANN201
     return rounded(features.flow_regression(_batched(t), "batch", "pool_id", "bar_close_timestamp", "l_orderkey", "l_partkey", "l_linenumber"))
 
 
-def _component_correlations(e: DataFrame) -> DataFrame:
-    pcs = embeddings.pca_projection(e, 3).join(e.select("vec_id", numbers.norm(F.col("embedding")).alias("norm"), F.col("label").cast("double").alias("class"), F.col("embedding")[0].alias("first")), "vec_id")
-    metrics = ("norm", "class", "first")
-    one = pcs.agg(*(F.corr(F.col("pc")[k], m).alias(f"{k}_{m}") for k in range(3) for m in metrics))
-    rows = F.array(*(F.struct(F.lit(k).alias("component"), F.lit(m).alias("metric"), F.col(f"{k}_{m}").alias("corr")) for k in range(3) for m in metrics))
-    long = one.select(F.explode(rows).alias("r")).select("r.*").where("corr is not null and not isnan(corr)")
-    return long.groupBy("component").agg(F.max_by("metric", F.abs("corr")).alias("metric"), F.max_by("corr", F.abs("corr")).alias("corr"))
+def _token_space(t) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
+    """The library's own token vectors, and what the tokens did."""
+    b = t("fx_labelled")
+    vectors = written(features.token_vectors(b), "vectors")
+    return vectors, features.token_metrics(b, vectors.select("token"))
 
 
 @query()
 def m14_component_correlations(t):  # noqa: ANN001, ANN201
-    """The metric each principal component follows most, by absolute correlation."""
-    return rounded(_component_correlations(embeddings.doubles(t("embeddings"))))
+    """The token metric that each principal component of the token vectors follows most."""
+    vectors, metrics = _token_space(t)
+    return rounded(embeddings.component_correlations(vectors, metrics, 3, "token"))
 
 
 @query()
@@ -318,17 +317,8 @@ def m15_linear_probe(t):  # noqa: ANN001, ANN201
 
 @query()
 def m22_quality_score(t):  # noqa: ANN001, ANN201
-    """One point for each of: mean cosine under 0.8, 90 % in at most 20 components, a best
-    silhouette over 0.1, a component that correlates with a metric by over 0.2."""
-    e = embeddings.doubles(t("embeddings"))
-    row = embeddings.cosine_stats(e).select(F.col("mean").alias("cosine"))
-    for one in (
-        embeddings.pca_report(e, 1).select("n_90"), embeddings.cluster_sweep(e).where("best").select("silhouette"),
-        _component_correlations(e).agg(F.max(F.abs("corr")).alias("corr")),
-    ):
-        row = row.crossJoin(F.broadcast(one))  # one row each
-    points = (F.col("cosine") < 0.8, F.col("n_90") <= 20, F.col("silhouette") > 0.1, F.col("corr") > 0.2)
-    return rounded(row.select("*", sum(F.coalesce(p.cast("int"), F.lit(0)) for p in points).alias("score")))
+    vectors, metrics = _token_space(t)
+    return rounded(embeddings.quality_score(vectors, metrics, "token"))
 
 
 # ---- quality ----
