@@ -127,7 +127,7 @@ def token_metrics(bars: DataFrame, tokens: DataFrame) -> DataFrame:
         F.sum(F.abs(real(flow))).alias("total_flow"), F.avg(F.abs(real(flow))).alias("mean_flow"), F.stddev_pop(real(flow)).alias("flow_volatility"), F.avg(real(diff)).alias("mean_fracdiff"),
         F.stddev_pop(real(diff)).alias("fracdiff_volatility"), F.count("*").alias("num_swaps"), F.avg((label == 1).cast("double")).alias("up_ratio"), F.avg((label == -1).cast("double")).alias("down_ratio"),
     )
-    names = [c for c in per.columns if c != "token"]
+    names = [c for c in per.columns if c != "token"]  # fixed values: the names of the metrics
     return tokens.select("token").join(per, "token", "left").select("token", *(F.coalesce(c, F.lit(0)).cast("long" if c == "num_swaps" else "double").alias(c) for c in names))
 
 

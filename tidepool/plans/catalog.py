@@ -368,6 +368,12 @@ def a20_class_weights(t):  # noqa: ANN001, ANN201
     return rounded(folds.class_weights(t("embeddings"), "label"))
 
 
+@query("""WITH c AS (SELECT CAST(c AS INTEGER) AS label FROM range(12) t(c)), n AS (SELECT c.label, count(e.label) AS n FROM c LEFT JOIN embeddings e ON e.label = c.label GROUP BY 1)
+SELECT label, n, round(CASE WHEN n = 0 THEN 1.0 ELSE (SELECT sum(n) FROM n) / (12.0 * n) END, 6) AS weight FROM n""")
+def a20_weights_of_all_classes(t):  # noqa: ANN001, ANN201
+    return rounded(folds.class_weights(t("embeddings"), "label", list(range(12))))
+
+
 @query("""WITH n AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), k AS (SELECT n, row_number() OVER (ORDER BY n DESC, user_id) AS k FROM n)
 SELECT round(sum(CASE WHEN k <= 10 THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE), 6) AS top10, round(sum(CASE WHEN k <= 100 THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE), 6) AS top100 FROM k""")
 def a21_concentration(t):  # noqa: ANN001, ANN201
@@ -463,6 +469,11 @@ def w10_temporal_split(t):  # noqa: ANN001, ANN201
     return folds.temporal_split(t("events"), "ts").select("event_id", "split")
 
 
+@query("""WITH r AS (SELECT event_id, row_number() OVER (ORDER BY ts) - 1 AS row, count(*) OVER () AS n FROM events) SELECT event_id, CASE WHEN row < floor(n * 0.7) THEN 'train' WHEN row < floor(n * 0.7) + floor(n * 0.15) THEN 'val' ELSE 'test' END AS split FROM r""")
+def w10_split_by_size(t):  # noqa: ANN001, ANN201
+    return folds.temporal_split(t("events"), "ts", by_size=True).select("event_id", "split")
+
+
 @query("""SELECT CAST(floor((row_number() OVER (ORDER BY ts) - 1) / 256) AS BIGINT) AS batch_id, event_id FROM events""")
 def w11_event_batches(t):  # noqa: ANN001, ANN201
     return folds.event_batches(t("events"), 256, "ts").select("batch_id", "event_id")
@@ -684,6 +695,16 @@ def m2_walk_forward(t):  # noqa: ANN001, ANN201
     return folds.walk_forward(t("events"), "ts", 5).groupBy("fold", "split").agg(F.count("*").alias("n"))
 
 
+@query("""WITH d AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS k FROM (SELECT DISTINCT CAST(ts AS DATE) AS trade_date FROM events)),
+f AS (SELECT CAST(e.ts AS DATE) AS day, hour(e.ts) AS h, g.trade_date AS fold FROM events e JOIN d ON CAST(e.ts AS DATE) = d.trade_date JOIN d g ON g.k BETWEEN d.k AND d.k + 5 AND g.k > 5),
+s AS (SELECT fold, CASE WHEN day < fold THEN 'train' WHEN h < 1 THEN 'morning' ELSE 'trade' END AS split, count(*) AS n FROM f WHERE day < fold OR h < 17 GROUP BY 1, 2),
+z AS (SELECT fold, coalesce(sum(n) FILTER (WHERE split = 'train'), 0) AS t, coalesce(sum(n) FILTER (WHERE split = 'morning'), 0) AS m FROM s GROUP BY 1)
+SELECT fold, split, CAST(n AS BIGINT) AS n FROM s JOIN z USING (fold) WHERE t >= 100 UNION ALL SELECT fold, 'morning', CAST(t AS BIGINT) FROM z WHERE m = 0 AND t >= 100""", dates="fold")
+def m2_walk_forward_rules(t):  # noqa: ANN001, ANN201
+    """Small folds left out, train rows for a missing morning (before one o'clock)."""
+    return folds.walk_forward(t("events"), "ts", 5, open_hour=1, least_train=100, fall_back=True).groupBy("fold", "split").agg(F.count("*").alias("n"))
+
+
 def _predictions(t, scale: int = 500) -> DataFrame:  # noqa: ANN001
     e = t("events")
     return e.select(F.to_date("ts").alias("trade_date"), F.concat(F.lit("u"), (F.col("user_id") % 30).cast("string")).alias("token"), (F.col("value") / scale).alias("p_up"), ((F.col("event_id") % 100) / 150).alias("p_down"))
