@@ -64,7 +64,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], qs: list[float], keys: li
             *carry(),
             *(e.alias(f"{name}{i}") for i in every for name, e in (
                 ("below", F.count_if(x(i) < F.col(f"lo{i}"))), ("upto", F.count_if(x(i) <= F.col(f"lo{i}"))), ("before", F.count_if(x(i) < F.col(f"hi{i}"))),
-                ("through", F.count_if(x(i) <= F.col(f"hi{i}"))), ("after", F.min(F.when(x(i) > F.col(f"hi{i}"), x(i)))), ("cuts", _cuts(inside(i))),
+                ("through", F.count_if(x(i) <= F.col(f"hi{i}"))), ("after", F.min(F.when(x(i) > F.col(f"hi{i}"), x(i)))),
             )),
         )
         counts = written(counts, "counts")
@@ -73,7 +73,9 @@ def exact_quantiles(df: DataFrame, columns: list[str], qs: list[float], keys: li
         open_ = lambda i: (F.col(f"k{i}") >= F.col(f"upto{i}")) & (F.col(f"k{i}") < F.col(f"before{i}")) & (between(i) > FEW)
         if not counts.agg(*(F.coalesce(F.max(open_(i)), F.lit(False)).alias(f"o{i}") for i in every)).select(F.exists(F.array(*(f"o{i}" for i in every)), lambda o: o)).first()[0]:
             break
-        closer = []
+        # only where many values are left between the bounds are they sketched again
+        known, closer = counts, []
+        counts = beside().groupBy(*keys).agg(*carry(), *(_cuts(F.when(open_(i), inside(i))).alias(f"cuts{i}") for i in every))
         for i in every:
             low, high = _bounds(F.col(f"cuts{i}"), F.col(f"k{i}") - F.col(f"upto{i}"), between(i))
             closer += [f"size{i}", f"k{i}", F.when(open_(i), low).otherwise(F.col(f"lo{i}")).alias(f"lo{i}"), F.when(open_(i), high).otherwise(F.col(f"hi{i}")).alias(f"hi{i}")]
