@@ -76,6 +76,14 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y, F.lit(2.0))), F.lit(0.0), lambda s, x: s + x))
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b of doubles by IEEE 754: an infinity, or NaN for 0 / 0, where b is 0, for which Spark
+    raises an error."""
+    a, b = a.cast("double"), b.cast("double")
+    zero = F.when(F.isnan(a) | (a == 0), F.lit(float("nan"))).when(a > 0, F.lit(float("inf"))).when(a < 0, F.lit(float("-inf")))
+    return F.when(b == 0, zero).otherwise(F.try_divide(a, b))
+
+
 def correlation(a: Column, b: Column) -> Column:
     """Pearson correlation of the rows that have both; null where one does not vary, which
     the built-in aggregate takes for an error."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidepool.functions import decode
-from tidepool.functions.numbers import correlation, finite
+from tidepool.functions.numbers import correlation, finite, quotient
 from tidepool.operators.ranges import RANGES, with_range
 from tidepool.operators.quantiles import exact_quantiles
 from tidepool.operators.scans import RANGE_ROWS, carried, most
@@ -206,7 +206,7 @@ def prices_report(prices: DataFrame, max_gap_s: float = 3600.0, observed: int =
         ("price", "tiny"): (F.count_if(p < 1e-6), 0, 0), ("price", "huge"): (F.count_if(p > 1e6), 0, 0), ("price", "low"): (F.count_if(p < 1e-4), None, None),
         ("volume", "total"): (F.sum("usdc_volume"), None, None), ("rows", "n"): (F.count("*"), 1, None),
     }
-    per = prices.groupBy("token_address").agg(F.count("*").alias("n"), (F.stddev_samp(p) / F.avg(p)).alias("cv"), (F.max(p) / F.min(p)).alias("ratio"), F.count_if(p < 1e-4).alias("low"), F.sum(F.when(p < 1e-4, F.col("usdc_volume"))).alias("low_volume"))
+    per = prices.groupBy("token_address").agg(F.count("*").alias("n"), quotient(F.stddev_samp(p), F.avg(p)).alias("cv"), quotient(F.max(p), F.min(p)).alias("ratio"), F.count_if(p < 1e-4).alias("low"), F.sum(F.when(p < 1e-4, F.col("usdc_volume"))).alias("low_volume"))
     per = written(per, "tokens")
     tokens = {
         ("tokens", "n"): (F.count("*"), 1, None), ("tokens", "extreme_variation"): (F.count_if((F.col("n") >= observed) & (F.col("cv") > 2.0)), 0, 0), ("tokens", "with_low_price"): (F.count_if(F.col("low") > 0), None, None), ("tokens", "low_price_volume"): (F.coalesce(F.sum("low_volume"), F.lit(0.0)), None, None),
