@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidepool.operators.pricing import LEAST_PRICE, MOST_PRICE, MOST_VOLUME, components, direct_prices
+from tidepool.operators.pricing import LEAST_PRICE, MOST_PRICE, MOST_VOLUME, ORDER, components, direct_prices
 from tidepool.operators.tables import dropped, written
 
 #: A chunk's length in times to live: its warm-up repeats one part in so many.
@@ -100,7 +100,8 @@ def _run(ttl: int, length: int):  # noqa: ANN202
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     pdf = pd.DataFrame(rows, columns=[*_OWN, "before", "after"], dtype=object)
     for side in ("before", "after"):
-        pdf[side] = [None if s is None else [{"token": t, "price": p, "origin": o} for t, p, o in s] for s in pdf[side]]
+        # a batch of warm-up rows has no output: without its type an empty column would be of floats
+        pdf[side] = pd.Series([None if s is None else [{"token": t, "price": p, "origin": o} for t, p, o in s] for s in pdf[side]], dtype=object)
     return pdf.astype({"chunk": "int64", "event_id": "Int64", "micros": "Int64", "price_in_usdc": "Float64", "usdc_volume": "Float64", "direct": "boolean"})
 
 
@@ -190,4 +191,7 @@ def indirect_prices(swaps: DataFrame, numeraire: str, ttl_s: float = 3600.0, chu
     """(event_id, token_address, price_in_usdc, usdc_volume, direct, block_timestamp). Only
     tokens that occur in an indirect swap enter; the others have their direct prices already.
     Swaps with an amount of 0 or tokens without a fresh price give nothing."""
+    if not hasattr(swaps, "_written_path"):
+        # words are decoded once, not for the graph and the rows each
+        swaps = written(swaps.select(*ORDER, "pool", "token0", "token1", "amount0", "amount1", "token0_decimals", "token1_decimals"), "swaps")
     return in_chunks(graph_rows(swaps, numeraire), ttl_s, chunk_s, report)
