@@ -11,10 +11,11 @@ entry. A bucket emits its links if they are few, else spanning edges of them, ne
 pairs of a dense group.
 
 `representatives` is the form for a Jaccard similarity of word shingles, as the corpus
-pipeline needs. 4 bits reach down to a similarity of about 0.95; a pair at 0.8 differs in
-10 bits on average and in up to 20, for which segments would be of 6 bits and tell nothing
-apart. So there, buckets are the bands of minhash.py instead of segment variants; in a
-bucket fingerprints are compared as before, and every link is verified on the whole sets.
+pipeline needs. The variants find the pairs within 4 bits, which reach down to a similarity
+of about 0.95. A pair at 0.8 differs in 10 bits on average and in up to 20, for which segments
+would be of 6 bits and tell nothing apart; so for the pairs beyond 4 bits there are, beside the
+variants, the bands of minhash.py as buckets. Every link of either is verified on the whole
+sets.
 
 Defined cases: null text is an empty text; texts without words have fingerprint 0
 and link like any other; repeated rows share a component; a null doc_id takes
@@ -337,7 +338,10 @@ def representatives(docs: DataFrame, words: int = SET_WORDS, similar: tuple[int,
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
     nodes = signed.groupBy("node").agg(F.min(own).alias("least"), F.min("key").alias("any"), F.max("n").alias("n"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
     nodes = written(nodes, "nodes")
-    met = written(_met(nodes.where("n > 0").select("fp", "node", F.explode("bands").alias("key")), None).distinct(), "met")
+    some = nodes.where("n > 0")
+    near = links(some.select("fp", "node"))
+    met = near.unionByName(_met(some.select("fp", "node", F.explode("bands").alias("key")), None))
+    met = written(met.distinct(), "met")
     found = written(verified(met, nodes, src.select("key", "text"), words, similar), "links")
     roots = written(connected_components(found), "roots")
     placed = nodes.hint("merge").join(roots.hint("merge"), "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
