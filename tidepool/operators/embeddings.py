@@ -3,6 +3,7 @@ runs over blocks, linear algebra over the d x d Gramian."""
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,39 +110,98 @@ def class_alignment(df: DataFrame, label: str = "label", column: str = "embeddin
     return centroids(u, label, column).hint("merge").join(n.hint("merge"), label).select(label, "n", F.when(F.col("n") > 1, norm(F.col("centroid"))).alias("alignment"))
 
 
+#: Rows of a block, at least and at most, and blocks in all unless they would be larger: a row
+#: goes once to each block, so up to GRID * MOST_ROWS rows what is shuffled grows with the rows.
+BLOCK_ROWS, MOST_ROWS, GRID = 512, 65_536, 24
+#: Distances that are held at once.
+TILE = (128, 1024)
+#: Squares below this share of the norms are summed from differences.
+NEAR = 1e-4
+
+
+def grid(n: int) -> int:
+    """How many blocks n rows are dealt in."""
+    return max(1, min(GRID, -(-n // BLOCK_ROWS)), -(-n // MOST_ROWS))
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of a to those of b: one matrix product; where the expanded
+    square would cancel, or is not finite, the differences themselves."""
+    x, y = (a * a).sum(1), (b * b).sum(1)
+    d = np.matmul(np.c_[a * -2, x, np.ones(len(a))], np.c_[b, np.ones(len(b)), y].T)
+    if not d.min() >= NEAR * (x.max() + y.max()):
+        i, j = np.nonzero(~(d >= NEAR * (x[:, None] + y[None, :])))
+        for at in range(0, len(i), 65_536):
+            p, q = i[at : at + 65_536], j[at : at + 65_536]
+            d[p, q] = ((a[p] - b[q]) ** 2).sum(1)
+    return np.sqrt(d, out=d)
+
+
+def _by_class(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, vectors and class numbers of a block in order of class, and the classes; rows without a
+    class come last, with a number of their own."""
+    frame = frame.sort_values("l", kind="stable", na_position="last")
+    names = np.unique(frame["l"].dropna().to_numpy())
+    known = frame["l"].notna().to_numpy()
+    number = np.full(len(frame), len(names))
+    number[known] = np.searchsorted(names, frame["l"].to_numpy()[known])
+    return frame["id"].to_numpy(), np.stack(frame["v"].to_numpy()), number, names
+
+
+def _runs(number: np.ndarray) -> np.ndarray:
+    """Where the runs of equal numbers start."""
+    return np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+
+
 def _distance_sums(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """Of two blocks: for each vector of either the sum and number of distances to the
-    vectors of each class of the other block; a block with itself counts once."""
+    vectors of each class of the other block; a block with itself counts once. Equal ids
+    are in the same block."""
     empty = pd.DataFrame({"id": pd.Series([], dtype="int64"), "l": pd.Series([], dtype="int32"), "o": pd.Series([], dtype="int32"), "s": pd.Series([], dtype="float64"), "n": pd.Series([], dtype="int64")})
     if not len(left) or not len(right):
         return empty
-    right = right.rename(columns={"rid": "id", "rl": "l", "rv": "v"})
-    a, b = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-    # differences, not the expanded square: exact for close vectors; in slices of bounded size
-    d = np.concatenate([np.sqrt(((a[i : i + 64, None, :] - b[None, :, :]) ** 2).sum(2)) for i in range(0, len(a), 64)])
-    other = left["id"].to_numpy()[:, None] != right["id"].to_numpy()[None, :]
-    out = []
-    for own, far, dist, ok in ((left, right, d, other), (right, left, d.T, other.T))[: 1 if key[0] == key[1] else 2]:
-        for o in np.unique(far["l"]):
-            m = (far["l"] == o).to_numpy()
-            out.append(pd.DataFrame({"id": own["id"].to_numpy(), "l": own["l"].to_numpy(), "o": np.full(len(own), o, "int32"), "s": np.where(ok[:, m], dist[:, m], 0).sum(1), "n": ok[:, m].sum(1)}))
-    return pd.concat(out)
-
-
-#: Vectors of a block: bounds what a task of pairwise work holds.
-BLOCK_ROWS = 512
-
-
-def class_distances(df: DataFrame, id_col: str = "vec_id", label: str = "label", column: str = "embedding") -> DataFrame:
+    (a_id, a, a_no, a_names), (b_id, b, b_no, b_names) = _by_class(left), _by_class(right.rename(columns={"rid": "id", "rl": "l", "rv": "v"}))
+    itself = key[-2] == key[-1]
+    a_sum, b_sum = np.zeros((len(a), len(b_names) + 1)), np.zeros((len(b), len(a_names) + 1))
+    a_n = np.repeat(np.bincount(b_no, minlength=len(b_names) + 1)[None, :], len(a), 0)
+    b_n = np.repeat(np.bincount(a_no, minlength=len(a_names) + 1)[None, :], len(b), 0)
+    for i in range(0, len(a), TILE[0]):
+        p = slice(i, i + TILE[0])
+        rows = [(a_no[i + r[0]], slice(r[0], r[1])) for r in itertools.pairwise([*_runs(a_no[p]), len(a_no[p])])]
+        for j in range(0, len(b), TILE[1]):
+            q = slice(j, j + TILE[1])
+            d, runs = distances(a[p], b[q]), _runs(b_no[q])
+            if itself:
+                same = a_id[p, None] == b_id[None, q]
+                d[same] = 0
+                a_n[p, b_no[q][runs]] -= np.add.reduceat(same, runs, axis=1, dtype="int64")
+            else:
+                for c, r in rows:
+                    b_sum[q, c] += d[r].sum(0)
+            a_sum[p, b_no[q][runs]] += np.add.reduceat(d, runs, axis=1)
+    out = [empty]
+    for ids, number, names, far, sums, n in ((a_id, a_no, a_names, b_names, a_sum, a_n), (b_id, b_no, b_names, a_names, b_sum, b_n))[: 1 if itself else 2]:
+        own = pd.array(np.append(names, 0)[number].astype("int64"), dtype="Int32")
+        own[number == len(names)] = pd.NA
+        for c, o in enumerate(far):
+            out.append(pd.DataFrame({"id": ids, "l": own, "o": np.full(len(ids), o, "int32"), "s": sums[:, c], "n": n[:, c]}))
+    return pd.concat(out[1:] or out)
+
+
+def class_distances(df: DataFrame, id_col: str = "vec_id", label: str = "label", column: str = "embedding", inside: bool = False) -> DataFrame:
     """(id, l, o, s, n): of each vector of class l the sum and number of distances to the
-    vectors of class o, in parts. Vectors are dealt in blocks of about BLOCK_ROWS; each pair
-    of blocks is a task that sends sums, not pairs."""
-    blocks = max(1, -(-df.count() // BLOCK_ROWS))
+    vectors of class o, in parts; inside: only of its own class, and only vectors of one
+    class meet. Vectors are dealt in blocks; each pair of blocks is a task that sends sums,
+    not pairs."""
+    most = df.where(F.col(label).isNotNull()).groupBy(label).count().agg(F.max("count").alias("n")).first().n if inside else df.count()
+    blocks, by = grid(most or 0), ["l"] if inside else []
     own = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("l"), F.col(column).alias("v"), own.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("k"))
-    left = rows.where("b <= k").select(F.col("b").alias("x"), F.col("k").alias("y"), "id", "l", "v").groupBy("x", "y")
+    if inside:
+        rows = rows.where("l is not null")
+    left = rows.where("b <= k").select(F.col("b").alias("x"), F.col("k").alias("y"), "id", "l", "v").groupBy(*by, "x", "y")
     # names of its own: with shared ones Spark prunes columns of one side under a filter
-    right = rows.where("b >= k").select(F.col("k").alias("rx"), F.col("b").alias("ry"), F.col("id").alias("rid"), F.col("l").alias("rl"), F.col("v").alias("rv")).groupBy("rx", "ry")
+    right = rows.where("b >= k").select(F.col("k").alias("rx"), F.col("b").alias("ry"), F.col("id").alias("rid"), F.col("l").alias("rl"), F.col("v").alias("rv")).groupBy(*(f"r{c}" for c in by), "rx", "ry")
     return left.cogroup(right).applyInPandas(_distance_sums, "id long, l int, o int, s double, n long")
 
 
@@ -156,7 +216,7 @@ def silhouette(df: DataFrame, id_col: str = "vec_id", label: str = "label", colu
 def class_cohesion(df: DataFrame, id_col: str = "vec_id", label: str = "label", column: str = "embedding") -> DataFrame:
     """The mean distance of the pairs inside each class (null for a class of one) and of
     its centroid to those of the other classes."""
-    inside = class_distances(df, id_col, label, column).where("l = o").groupBy("l").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("cohesion"))
+    inside = class_distances(df, id_col, label, column, inside=True).groupBy("l").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("cohesion"))
     c = centroids(df, label, column).select(F.col(label).cast("int").alias("l"), "centroid")
     far = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda t, e: t + e))
     pair = c.select("l", F.col("centroid").alias("x")).join(c.select(F.col("l").alias("m"), F.col("centroid").alias("y")), F.col("l") != F.col("m"))
