@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidepool.functions.numbers import correlation, cosine, norm
-from tidepool.operators.pairs import similar_pairs
+from tidepool.operators.pairs import in_vector_blocks, similar_pairs
 
 
 def doubles(df: DataFrame, column: str = "embedding") -> DataFrame:
@@ -50,9 +50,10 @@ def cosine_stats(df: DataFrame, column: str = "embedding", id_col: str = "vec_id
         mean = float(total @ total - n) / pairs
         row = (pairs // 2, mean, float(np.sqrt(max(0.0, (float((g * g).sum()) - n) / pairs - mean**2))))
     one = df.sparkSession.createDataFrame([row], "pairs long, mean double, std double")
+    blocks = in_vector_blocks(df, id_col, column)
     for name, most in (("least", False), ("most", True)):
         # one row each
-        one = one.join(F.broadcast(similar_pairs(df, 1, most, id_col, column).agg(F.max("cos").alias(name))))
+        one = one.join(F.broadcast(similar_pairs(df, 1, most, id_col, column, blocks=blocks).agg(F.max("cos").alias(name))))
     return one
 
 
