@@ -42,6 +42,14 @@ def _scaled_flow(side: str) -> Column:
     return clip(_zero(F.col(f"{side}_flow_usdc")) / 1e6, -10.0, 10.0)
 
 
+def _pool_edge(side: str, *more: Column) -> Column:
+    """An edge of a bar between a token and its pool with its clipped features, after `more`."""
+    return F.struct(
+        *more, F.abs(_scaled_flow(side)).alias("amount"),
+        clip(_zero(F.col("tick_count")) / 100, 0.0, 10.0).alias("ticks"), clip(_zero(F.col("bar_time_delta_sec")) / 3600, 0.0, 24.0).alias("delta"),
+    )
+
+
 def bipartite_edges(bars: DataFrame, *keep: str) -> DataFrame:
     """Four edges a bar between its pool and its two tokens: src, dst, direction (0 into
     the pool, 1 out of it), amount (millions), ticks (hundreds) and delta (hours), clipped;
@@ -49,14 +57,22 @@ def bipartite_edges(bars: DataFrame, *keep: str) -> DataFrame:
     def edge(side: str, out: bool) -> Column:
         ends = [F.col(f"{side}_token_id"), F.col("pool_id")]
         src, dst = reversed(ends) if out else ends
-        return F.struct(
-            src.alias("src"), dst.alias("dst"), F.lit(int(out)).alias("direction"), F.abs(_scaled_flow(side)).alias("amount"),
-            clip(_zero(F.col("tick_count")) / 100, 0.0, 10.0).alias("ticks"), clip(_zero(F.col("bar_time_delta_sec")) / 3600, 0.0, 24.0).alias("delta"),
-        )
+        return _pool_edge(side, src.alias("src"), dst.alias("dst"), F.lit(int(out)).alias("direction"))
 
     return exploded(bars, list(keep), edge("src", False), edge("dest", True), edge("src", True), edge("dest", False))
 
 
+def bipartite_totals(bars: DataFrame) -> DataFrame:
+    """Number and sums of the edges of bipartite_edges by direction, src and dst. Both
+    directions of a token and pool have the same sums, which are made once. Edges are dealt by
+    token and pool first: sums that are begun before would hold most edges of a task."""
+    ends = lambda side: (F.col(f"{side}_token_id").alias("token"), F.col("pool_id").alias("pool"))
+    edges = exploded(bars, [], *(_pool_edge(side, *ends(side)) for side in ("src", "dest"))).repartition("token", "pool")
+    sums = edges.groupBy("token", "pool").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("amount", "ticks", "delta")))
+    to = lambda out, src, dst: F.struct(F.lit(out).alias("direction"), F.col(src).alias("src"), F.col(dst).alias("dst"))
+    return exploded(sums, ["n", "amount", "ticks", "delta"], to(0, "token", "pool"), to(1, "pool", "token")).select("direction", "src", "dst", "n", "amount", "ticks", "delta")
+
+
 def pool_updates(bars: DataFrame, pools: DataFrame, *keep: str) -> DataFrame:
     """Three node updates a bar: kind, node and five features. Tokens: fractional
     difference, volatility, flow, liquidity, tick movement; pools: fee, tick spacing (both
@@ -107,9 +123,10 @@ def batch_pool_features(bars: DataFrame, batch: str) -> DataFrame:
 
 
 def batch_edges(bars: DataFrame, batch: str) -> DataFrame:
-    """Distinct token to pool edges of each batch."""
+    """Distinct token to pool edges of each batch. Edges are dealt by what makes them
+    distinct first, so that no task holds more than its own."""
     pair = lambda r: F.struct(F.col(f"{r}_token_id").alias("token"), F.col("pool_id").alias("pool"))
-    return exploded(bars, [batch], pair("src"), pair("dest")).distinct()
+    return exploded(bars, [batch], pair("src"), pair("dest")).repartition(batch, "token", "pool").distinct()
 
 
 def adjacency(bars: DataFrame, *order: str) -> DataFrame:
