@@ -3,7 +3,7 @@ a bounded sample, row numbers from range offsets, and row blocks with margins.""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -30,10 +30,24 @@ def with_range(df: DataFrame, *order: str, ranges: int = RANGES) -> DataFrame:
     if not cuts:
         return df.withColumn("_range", F.lit(0))
     kinds = dict(df.dtypes)
-    table = F.array(*(F.struct(*(F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, cut))) for cut in cuts))
-    own = F.struct(*(F.col(c) for c in order))
-    steps = [1 << i for i in reversed(range(len(cuts).bit_length()))]
-    place = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: F.when(F.coalesce(own >= F.get(table, at + s - 1), F.lit(False)), at + s).otherwise(at))
+
+    def reached(cut: tuple) -> Column:
+        """Whether a row is not before cut; a null is before all values, and null here is no."""
+        out = None
+        for c, v in reversed(list(zip(order, cut))):
+            value = F.lit(v).cast(kinds[c])
+            out = F.col(c) >= value if out is None else (F.col(c) > value) | ((F.col(c) == value) & out)
+        return out
+
+    def search(low: int, high: int) -> Column:
+        """How many cuts a row has reached, known to be from low to high: halved by comparisons that
+        are compiled, not by a lambda over an array, which is interpreted row by row."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high + 1) // 2
+        return F.when(reached(cuts[middle - 1]), search(middle, high)).otherwise(search(low, middle - 1))
+
+    place = search(0, len(cuts))
     return df.withColumn("_range", place)
 
 
