@@ -5,10 +5,12 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
@@ -294,13 +296,27 @@ def scaled(df: DataFrame, column: str = "embedding") -> DataFrame:
     return StandardScaler(inputCol="features", outputCol="z", withMean=True, withStd=True).fit(v).transform(v)
 
 
+#: Values of k that are fitted at once: a fit is many short jobs in a row, which leave cores idle.
+FITS = 3
+
+
 def cluster_sweep(df: DataFrame, ks: range = range(2, 11), column: str = "embedding", seed: int = 42) -> DataFrame:
     """K-means of standardised vectors for each k, with its silhouette; best marks the
-    k of the largest, of equal ones the smallest."""
-    z = scaled(df, column).cache()
-    score = ClusteringEvaluator(featuresCol="z", predictionCol="prediction")
-    rows = [(k, float(score.evaluate(KMeans(k=k, seed=seed, featuresCol="z").fit(z).transform(z)))) for k in ks]
-    z.unpersist()
+    k of the largest, of equal ones the smallest. The vectors are scaled and cached once. A fit
+    keeps its points decoded over its passes only if its input is not what is cached, so it gets
+    a filter over that; else each pass decodes all vectors anew."""
+    z = scaled(df, column).select("z").cache()
+    points = z.where(F.col("z").isNotNull())
+
+    def swept(k: int) -> tuple[int, float]:
+        found = KMeans(k=k, seed=seed, featuresCol="z", solver="row").fit(points).transform(points)
+        return k, float(ClusteringEvaluator(featuresCol="z", predictionCol="prediction").evaluate(found))
+
+    try:
+        with ThreadPool(FITS) as pool:
+            rows = pool.map(inheritable_thread_target(df.sparkSession)(swept), ks, chunksize=1)
+    finally:
+        z.unpersist()
     best = max(rows, key=lambda r: (r[1], -r[0]))[0]
     return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows], "k int, silhouette double, best boolean")
 
