@@ -14,7 +14,8 @@ from pyspark.sql import Window
 
 from tidepool.functions.numbers import buying_pressure, finite
 from tidepool.operators import folds, graph
-from tidepool.operators.tables import written
+from tidepool.operators.ranges import RANGES
+from tidepool.operators.tables import settled, written
 
 # The columns of the feature table, in order.
 FEATURES = (
@@ -155,28 +156,50 @@ FLOW_FEATURES = (
     "src_hop1", "src_hop2", "dest_hop1", "dest_hop2",
 )
 
+#: What flow_table reads of the bars besides batch, pool and order.
+FLOW_INPUT = ("src_token_id", "dest_token_id", "src_flow_usdc", "src_liquidity_close", "src_fracdiff", "dest_fracdiff", "rolling_volatility", "src_tick_delta")
+
 
 def flow_table(bars: DataFrame, batch: str, pool: str, *order: str) -> DataFrame:
     """Order, FLOW_FEATURES and target, the log flow of the pool's next bar; last bars of
     pools have none and are left out. Liquidity is put to mean 0 and deviation 1 over all rows;
-    neighbour features are temporal messages of earlier batches; what is missing is 0."""
-    bars = written(bars, "flow_bars")
-    hops = written(graph.temporal_messages(bars, batch, "src_fracdiff"), "hops")
-    for side in ("src", "dest"):
-        own = hops.select(batch, F.col("node").alias(f"{side}_token_id"), F.col("hop1").alias(f"{side}_hop1"), F.col("hop2").alias(f"{side}_hop2"))
-        bars = bars.hint("merge").join(own.hint("merge"), [batch, f"{side}_token_id"], "left")
+    neighbour features are temporal messages of earlier batches; what is missing is 0. Batches
+    are whole numbers and follow each other in the order, as event_batches makes them.
+
+    Bars are shuffled once, by groups of consecutive batches. The messages of a batch and, behind
+    the last bar of a pool in a group, its first flow in a later one come as rows beside the bars;
+    windows within the group take them from there."""
+    if not hasattr(bars, "_written_path"):
+        bars = settled(bars.select(*dict.fromkeys((batch, pool, *order, *FLOW_INPUT))), "flow_bars")
+    hops = settled(graph.temporal_messages(bars, batch, "src_fracdiff"), "hops")
+    scale = bars.agg(F.min(batch).alias("_low"), F.max(batch).alias("_high"), F.avg("src_liquidity_close").alias("_m"), F.stddev_pop("src_liquidity_close").alias("_s")).first()  # one row
+    width = max(1, -(-((scale["_high"] or 0) - (scale["_low"] or 0) + 1) // RANGES))
+    group = F.floor((F.col(batch) - F.lit(scale["_low"])) / width).cast("long").alias("_group")
     flow = F.log1p(F.abs("src_flow_usdc"))
-    ahead = F.lead(flow).over(Window.partitionBy(pool).orderBy(*order))
-    scale = bars.agg(F.avg("src_liquidity_close").alias("_m"), F.stddev_pop("src_liquidity_close").alias("_s"))  # one row
-    rows = bars.withColumn("log_flow", flow).withColumn("target", ahead).where("target is not null").crossJoin(F.broadcast(scale))
-    rows = rows.withColumn("liquidity", F.when(F.col("_s") > 0, (F.col("src_liquidity_close") - F.col("_m")) / F.col("_s")))
-    return rows.select(*order, *(F.when(finite(c), F.col(c)).otherwise(0.0).cast("double").alias(c) for c in FLOW_FEATURES), "target")
+    liquidity = (F.col("src_liquidity_close") - F.lit(scale["_m"])) / F.lit(scale["_s"]) if (scale["_s"] or 0) > 0 else F.lit(None).cast("double")
+    own = [F.col(c) if c in FLOW_INPUT else {"log_flow": flow, "liquidity": liquidity}[c].alias(c) for c in FLOW_FEATURES if "hop" not in c]
+    rows = bars.select(group, F.lit(0).alias("_kind"), batch, pool, *order, "src_token_id", "dest_token_id", *own)
+
+    at = F.struct(*order)
+    first = bars.groupBy(pool, group).agg(F.min_by(flow, at).alias("log_flow"))
+    after = first.withColumn("log_flow", F.lead("log_flow").over(Window.partitionBy(pool).orderBy("_group")))
+    after = after.where("log_flow is not null").select("_group", F.lit(1).alias("_kind"), pool, "log_flow")
+    token = F.col("node")
+    told = hops.where("node is not null").select(group, F.lit(2).alias("_kind"), batch, token.alias("src_token_id"), token.alias("dest_token_id"), "hop1", "hop2")
+    rows = rows.unionByName(after, allowMissingColumns=True).unionByName(told, allowMissingColumns=True).repartition("_group")
+
+    ahead = F.lead("log_flow").over(Window.partitionBy("_group", pool, F.col("_kind") == 2).orderBy("_kind", *order))
+    rows = rows.withColumn("target", ahead).where("_kind = 2 or _kind = 0 and target is not null")
+    for side in ("src", "dest"):
+        near = Window.partitionBy("_group", batch, f"{side}_token_id")
+        rows = rows.withColumns({f"{side}_{hop}": F.max(hop).over(near) for hop in ("hop1", "hop2")})
+    return rows.where("_kind = 0").select(*order, *(F.when(finite(c), F.col(c)).otherwise(0.0).cast("double").alias(c) for c in FLOW_FEATURES), "target")
 
 
 def flow_regression(bars: DataFrame, batch: str, pool: str, *order: str) -> DataFrame:
     """M9, M8: MSE, MAE and R squared of a Huber regression on flow_table, fitted on the train
     part of a temporal split and scored on its test part."""
-    rows = folds.temporal_split(written(flow_table(bars, batch, pool, *order), "flows"), *order)
-    data = written(VectorAssembler(inputCols=list(FLOW_FEATURES), outputCol="features").transform(rows).select("split", "features", "target"), "flow_data")
+    rows = folds.split_in_place(settled(flow_table(bars, batch, pool, *order), "flows"), *order)
+    data = VectorAssembler(inputCols=list(FLOW_FEATURES), outputCol="features").transform(rows).select("split", "features", "target")
     model = LinearRegression(labelCol="target", loss="huber", maxIter=30).fit(data.where("split = 'train'"))
     return folds.regression_metrics(model.transform(data.where("split = 'test'")), "target", "prediction")

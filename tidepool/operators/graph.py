@@ -8,7 +8,7 @@ from pyspark.sql import Window
 
 from tidepool.functions.numbers import clip
 from tidepool.operators.ranges import numbered
-from tidepool.operators.tables import written
+from tidepool.operators.tables import settled, written
 
 # Pool defaults.
 DEFAULT_FEE, DEFAULT_TICK_SPACING = 0.003, 60
@@ -170,11 +170,11 @@ def temporal_messages(bars: DataFrame, batch: str, value: str, hops: int = 2, de
     `reach` batches after it, less by `decay` with each, and never for its own."""
     flow = lambda a, b: F.struct(F.col(f"{a}_token_id").alias("src"), F.col(f"{b}_token_id").alias("dst"), F.abs(F.coalesce("src_flow_usdc", F.lit(0.0))).alias("weight"))
     edges = exploded(bars, [batch], flow("src", "dest"), flow("dest", "src")).where("weight > 0").groupBy(batch, "src", "dst").agg(F.sum("weight").alias("weight"))
-    edges = written(edges, "edges")
+    edges = settled(edges, "edges")
     at = bars.groupBy(batch, F.col("src_token_id").alias("node")).agg(F.avg(F.coalesce(value, F.lit(0.0))).alias("x"))
     found = None
     for hop in range(1, hops + 1):
-        at = written(neighbour_mean(edges, at, "x", batch).select(batch, F.col("dst").alias("node"), F.col("message").alias("x")), "hop")
+        at = settled(neighbour_mean(edges, at, "x", batch).select(batch, F.col("dst").alias("node"), F.col("message").alias("x")), "hop")
         later = at.select("node", F.explode(F.sequence(F.col(batch) + 1, F.col(batch) + reach)).alias("_b"), batch, "x")
         sums = later.groupBy(F.col("_b").alias(batch), "node").agg(F.sum(F.col("x") * F.pow(F.lit(decay), F.col("_b") - F.col(batch) - 1)).alias(f"hop{hop}"))
         found = sums if found is None else found.hint("merge").join(sums.hint("merge"), [batch, "node"], "full")

@@ -16,6 +16,16 @@ PER_RANGE = 32
 BLOCK_ROWS = 100_000
 
 
+def reached(kinds: dict[str, str], order: tuple[str, ...], cut: tuple) -> Column:
+    """Whether a row is not before cut in the order, of columns of these kinds; a null is before
+    all values, and null here is no."""
+    out = None
+    for c, v in reversed(list(zip(order, cut))):
+        value = F.lit(v).cast(kinds[c])
+        out = F.col(c) >= value if out is None else (F.col(c) > value) | ((F.col(c) == value) & out)
+    return out
+
+
 def with_range(df: DataFrame, *order: str, ranges: int = RANGES) -> DataFrame:
     """df with _range: which of about `ranges` ranges of the order a row is in. The splitters
     are constants from a sample by hash, so every use of the result sees the same ranges
@@ -31,21 +41,13 @@ def with_range(df: DataFrame, *order: str, ranges: int = RANGES) -> DataFrame:
         return df.withColumn("_range", F.lit(0))
     kinds = dict(df.dtypes)
 
-    def reached(cut: tuple) -> Column:
-        """Whether a row is not before cut; a null is before all values, and null here is no."""
-        out = None
-        for c, v in reversed(list(zip(order, cut))):
-            value = F.lit(v).cast(kinds[c])
-            out = F.col(c) >= value if out is None else (F.col(c) > value) | ((F.col(c) == value) & out)
-        return out
-
     def search(low: int, high: int) -> Column:
         """How many cuts a row has reached, known to be from low to high: halved by comparisons that
         are compiled, not by a lambda over an array, which is interpreted row by row."""
         if low == high:
             return F.lit(low)
         middle = (low + high + 1) // 2
-        return F.when(reached(cuts[middle - 1]), search(middle, high)).otherwise(search(low, middle - 1))
+        return F.when(reached(kinds, order, cuts[middle - 1]), search(middle, high)).otherwise(search(low, middle - 1))
 
     place = search(0, len(cuts))
     return df.withColumn("_range", place)

@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from tidepool.functions import decode, numbers
 from tidepool.operators import bars, chain, embeddings, features, folds, graph, pricing, quality, series
 from tidepool.plans.catalog import BAR_SQL, BARRIER, _bars, _pool_series, duplicates_sql, gap_sql, median_sql, nulls_sql, query, r6, report_sql, rounded, spread_sql
-from tidepool.operators.tables import stored, written
+from tidepool.operators.tables import dropped, settled, stored, written
 from tidepool.sources.readers import of_chains, read_embeddings, watch_list
 
 # ---- sources ----
@@ -272,15 +272,20 @@ _HOP = "{to} AS (SELECT e.batch, e.dst AS node, sum(e.w * f.x) / sum(e.w) AS x F
 _LATER = "{to} AS (SELECT k AS batch, node, sum(x * pow(0.7, k - batch - 1)) AS x FROM (SELECT *, unnest(range(batch + 1, batch + 17)) AS k FROM {of}) GROUP BY 1, 2)"
 
 
-def _batched(t) -> DataFrame:  # noqa: ANN001
-    return folds.event_batches(t("fx_labelled"), 5000, "bar_close_timestamp", "l_orderkey", "l_partkey", "l_linenumber").withColumnRenamed("batch_id", "batch")
+def _batched(t, *columns: str) -> DataFrame:  # noqa: ANN001
+    """row, batch and columns of the labelled bars; only these are shuffled for the numbers."""
+    order = ("bar_close_timestamp", "l_orderkey", "l_partkey", "l_linenumber")
+    rows = settled(t("fx_labelled").select(*order, *columns), "rows")
+    out = settled(folds.event_batches(rows, 5000, *order).select("row", F.col("batch_id").alias("batch"), *columns), "batched")
+    dropped(rows)
+    return out
 
 
 @query(f"""WITH {_BATCHED}, e AS (SELECT batch, src, dst, sum(w) AS w FROM (SELECT batch, src_token_id AS src, dest_token_id AS dst, abs(src_flow_usdc) AS w FROM b UNION ALL SELECT batch, dest_token_id, src_token_id, abs(src_flow_usdc) FROM b) WHERE w > 0 GROUP BY 1, 2, 3),
 f0 AS (SELECT batch, src_token_id AS node, avg(coalesce(src_fracdiff, 0)) AS x FROM b GROUP BY 1, 2), {_HOP.format(to='f1', of='f0')}, {_HOP.format(to='f2', of='f1')}, {_LATER.format(to='g1', of='f1')}, {_LATER.format(to='g2', of='f2')}
 SELECT batch, node, round(g1.x, 6) + 0 AS hop1, round(g2.x, 6) + 0 AS hop2 FROM g1 FULL JOIN g2 USING (batch, node)""", "fx_labelled")
 def g10_temporal_messages(t):  # noqa: ANN001, ANN201
-    m = graph.temporal_messages(_batched(t), "batch", "src_fracdiff")
+    m = graph.temporal_messages(_batched(t, "src_token_id", "dest_token_id", "src_flow_usdc", "src_fracdiff"), "batch", "src_fracdiff")
     return m.select("batch", "node", *((r6(c) + 0).alias(c) for c in ("hop1", "hop2")))
 
 
@@ -288,7 +293,7 @@ def g10_temporal_messages(t):  # noqa: ANN001, ANN201
 def m9_huber_regression(t):  # noqa: ANN001, ANN201
     """Next-bar log flow of a pool with the Huber loss, on node, edge and neighbour features;
     fitted on the first 70 % in time and scored on the last 15 %."""
-    return rounded(features.flow_regression(_batched(t), "batch", "pool_id", "bar_close_timestamp", "l_orderkey", "l_partkey", "l_linenumber"))
+    return rounded(features.flow_regression(_batched(t, "pool_id", *features.FLOW_INPUT), "batch", "pool_id", "row"))
 
 
 def _token_space(t) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
