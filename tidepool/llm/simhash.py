@@ -15,7 +15,10 @@ pipeline needs. The variants find the pairs within 4 bits, which reach down to a
 of about 0.95. A pair at 0.8 differs in 10 bits on average and in up to 20, for which segments
 would be of 6 bits and tell nothing apart; so for the pairs beyond 4 bits there are, beside the
 variants, the bands of minhash.py as buckets. Every link of either is verified on the whole
-sets.
+sets. Spanning edges span groups of near fingerprints; of sets some of them are no links, and
+others that a bucket did not send are. So buckets that sent spanning edges are looked at again
+where their members are in more than one component after that: all their pairs of different
+components are verified, but for those that sizes or sketches exclude (`open_pairs`).
 
 Defined cases: null text is an empty text; texts without words have fingerprint 0
 and link like any other; repeated rows share a component; a null doc_id takes
@@ -33,6 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .minhash import BANDS, bands
 from .shared import connected_components, written
@@ -44,6 +48,8 @@ SET_WORDS, SIMILAR, SET_BITS = 5, (4, 5), (9, 20)
 #: A bucket with more links than this for each member emits spanning edges, over runs of at
 #: most CUT members.
 DENSE, CUT = 8, 4096
+#: Members of a block of a bucket whose pairs are looked through, and bits of a set's sketch.
+BLOCK, SKETCH = 1024, 2048
 _LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 _PAIR = np.uint64(0x0000000100000001)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -119,10 +125,15 @@ def bucket_edges(f: np.ndarray, most: int = MAX_BITS, seed: int = 0) -> tuple[np
     if there are over DENSE for each member, edges that span the same groups. A bucket with
     many members is first cut by exact pieces: of most + 1 pieces of the 64 bits one is
     equal in linked ones."""
+    return _edges(f, most, seed)[:2]
+
+
+def _edges(f: np.ndarray, most: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """bucket_edges, and the places of the members of which not all links are there."""
     if len(f) <= CUT:
         found = _all(f, most)
-        return _tree(f, most, seed) if found is None else found
-    found = []
+        return (*_tree(f, most, seed), np.arange(len(f))) if found is None else (*found, np.empty(0, np.int64))
+    found, thin = [], [np.empty(0, np.int64)]
     for lo, hi in ((i * 64 // (most + 1), (i + 1) * 64 // (most + 1)) for i in range(most + 1)):
         piece = (f >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)
         order = np.argsort(piece, kind="stable")
@@ -131,7 +142,8 @@ def bucket_edges(f: np.ndarray, most: int = MAX_BITS, seed: int = 0) -> tuple[np
                 links_ = _all(f[part], most)
                 i, j = _tree(f[part], most, seed) if links_ is None else links_
                 found.append((part[i], part[j]))
-    return _joined(found)
+                thin += [part] if links_ is None else []
+    return (*_joined(found), np.unique(np.concatenate(thin)))
 
 
 def candidates(f: np.ndarray, most: tuple[int, ...] = SET_BITS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -186,9 +198,11 @@ def _tree(f: np.ndarray, most: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a), np.concatenate(b)
 
 
-def _links(most: int | None):  # noqa: ANN202
-    """most: bits of a link; None: `candidates`."""
-    meet = candidates if most is None else (lambda f, seed: bucket_edges(f, most, seed))
+def _links(most: int | None, thinned: bool):  # noqa: ANN202
+    """most: bits of a link; None: `candidates`. thinned: members of buckets that did not send
+    all their pairs follow as rows (node, null, key)."""
+    every = lambda f, seed: (*candidates(f, seed=seed), np.arange(len(f) if len(f) > 2 * DENSE + 1 else 0))
+    meet = every if most is None else (lambda f, seed: _edges(f, most, seed))
     lags = range(1, 8) if most is not None else ()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,14 +219,20 @@ def _links(most: int | None):  # noqa: ANN202
                 hit = np.flatnonzero((k[:-lag] == k[lag:]) & small[lag:] & (np.bitwise_count(f[:-lag] ^ f[lag:]) <= most))
                 a.append(node[hit])
                 b.append(node[hit + lag])
+            parts = [np.empty(0, np.int64)]
             for s, n in zip(starts[sizes > least].tolist(), sizes[sizes > least].tolist()):
-                i, j = meet(f[s : s + n], seed=int(k[s]) & 0xFFFFFFFF)
+                i, j, part = meet(f[s : s + n], seed=int(k[s]) & 0xFFFFFFFF)
                 a.append(node[s + i])
                 b.append(node[s + j])
+                parts += [s + part] if thinned else []
             # a link that many variants of this task found is sent once
             a_, b_ = (np.concatenate([np.empty(0, np.int64), *x]) for x in (a, b))
             e = np.unique(np.stack([np.minimum(a_, b_), np.maximum(a_, b_)], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], ["a", "b"])
+            at = np.concatenate(parts)
+            rest = [node[at], np.zeros(len(at), np.int64), k[at]]
+            is_link = np.arange(len(e) + len(at)) < len(e)
+            columns = [np.concatenate(x) for x in zip((e[:, 0], e[:, 1], np.zeros(len(e), np.int64)), rest)]
+            return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], mask=~is_link), pa.array(columns[2], mask=is_link)], ["a", "b", "thin"])
 
         held: list[list[np.ndarray]] = []
         rows, most_rows = 0, 200_000
@@ -236,11 +256,21 @@ def _links(most: int | None):  # noqa: ANN202
 
 def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(a, b) links that connect the nodes (node, fp)."""
-    return _met(nodes.select("fp", "node", F.explode(F.array(*variants(F.col("fp"), max_bits))).alias("key")), max_bits)
+    return _met(_varied(nodes, max_bits), max_bits).select("a", "b")
+
+
+def _varied(nodes: DataFrame, max_bits: int) -> DataFrame:
+    return nodes.select("fp", "node", F.explode(F.array(*variants(F.col("fp"), max_bits))).alias("key"))
 
 
 def _met(keyed: DataFrame, most: int | None) -> DataFrame:
-    return keyed.repartition("key").sortWithinPartitions("key", "node").select("key", "fp", "node").mapInArrow(_links(most), "a long, b long")
+    """(a, b, thin): links, where thin is null, and, for `candidates`, members of buckets that
+    did not send all their pairs: node, null and key."""
+    return _scanned(keyed, most, most is None)
+
+
+def _scanned(keyed: DataFrame, most: int | None, thinned: bool) -> DataFrame:
+    return keyed.repartition("key").sortWithinPartitions("key", "node").select("key", "fp", "node").mapInArrow(_links(most, thinned), "a long, b long, thin long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -328,6 +358,77 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int =
     return both.select("a", "b", "x", "y").mapInArrow(_similar(similar), "a long, b long")
 
 
+def unsettled(thin: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bits, key, node, root) of the buckets of thin (bits, key, node) whose members are in more
+    than one component of roots (node, root): a link between them may have been left out.
+    Buckets of equal members are there once."""
+    members = written(thin.hint("merge").join(roots.hint("merge"), "node"), "thin")
+    sums = members.groupBy("bits", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.min("node").alias("first"), F.bit_xor(F.xxhash64("node")).alias("sign"))
+    once = sums.where("low <> high").groupBy("bits", "n", "first", "sign").agg(F.min("key").alias("key")).select("bits", "key")
+    return members.hint("merge").join(once.hint("merge"), ["bits", "key"]).select("bits", "key", "node", "root")
+
+
+def open_pairs(left: DataFrame, nodes: DataFrame, texts: DataFrame, words: int = SET_WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """The pairs (a, b) of members of one bucket of left (see `unsettled`) that are in different
+    components, differ in at most bits of their fingerprints and can be similar enough by the
+    sizes and sketches of their sets (nodes, texts: see `verified`); none that is similar is
+    left out. Buckets are cut in blocks of BLOCK members that all meet each other, so a task
+    holds two blocks, however large the bucket is."""
+    need = left.select("node").distinct().hint("merge").join(nodes.select("node", F.col("any").alias("key"), "n", "fp").hint("merge"), "node")
+    one = texts.join(need.hint("shuffle_hash"), "key").groupBy("node").agg(F.first("text").alias("text"), F.first("n").alias("n"), F.first("fp").alias("fp"))
+    marks = written(one.mapInArrow(_sketches(words), "node long, n long, fp long, sketch binary"), "sketches")
+    place = F.row_number().over(Window.partitionBy("bits", "key").orderBy("root", "node")) - 1
+    rows = written(left.withColumn("block", F.floor(place / BLOCK)).hint("merge").join(marks.hint("merge"), "node"), "blocks")
+    blocks = rows.groupBy("bits", "key", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    other = blocks.select("bits", "key", F.col("block").alias("other"), F.col("low").alias("o_low"), F.col("high").alias("o_high"))
+    # two blocks of one component have nothing to settle
+    units = blocks.hint("merge").join(other.hint("merge"), ["bits", "key"]).where("least(low, o_low) <> greatest(high, o_high)").select("bits", "key", "block", "other")
+    sent = rows.hint("merge").join(units.hint("merge"), ["bits", "key", "block"]).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    pairs = sent.select("bits", "key", "i", "j", "block", "node", "root", "n", "fp", "sketch").groupBy("bits", "key", "i", "j").applyInArrow(_open(similar), "a long, b long")
+    return pairs.distinct()
+
+
+def _sketches(words: int):  # noqa: ANN202
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each of SKETCH residues whether an odd number of the set's hashes has it: sketches
+        differ in at most as many bits as sets in members."""
+        for batch in batches:
+            sets = (np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column("text"))
+            odd = [np.packbits(np.bincount((h % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).tobytes() for h in sets]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "n", "fp")), pa.array(odd, pa.binary())], ["node", "n", "fp", "sketch"])
+
+    return scan
+
+
+def _open(similar: tuple[int, int]):  # noqa: ANN202
+    part, whole = similar
+
+    def meet(rows: pa.Table) -> pa.Table:
+        bits, i, j = (rows.column(c)[0].as_py() for c in ("bits", "i", "j"))
+        node, root, n, fp, block = (rows.column(c).to_numpy() for c in ("node", "root", "n", "fp", "block"))
+        fp = fp.view(np.uint64)
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        found = [np.empty((0, 2), np.int64)]
+        for at in range(0, len(left), 64):
+            x, y = left[at : at + 64, None], right[None]
+            hit = (root[x] != root[y]) & (np.minimum(n[x], n[y]) * whole >= np.maximum(n[x], n[y]) * part) & (np.bitwise_count(fp[x] ^ fp[y]) <= bits)
+            if i == j:
+                hit &= x < y
+            x, y = (z[k] for z, k in zip((left[at : at + 64], right), np.nonzero(hit)))
+            for k in range(0, len(x), 1 << 14):
+                u, v = x[k : k + (1 << 14)], y[k : k + (1 << 14)]
+                apart = np.bitwise_count(sketch[u] ^ sketch[v]).sum(1, dtype=np.int64)
+                # of sets with s members together and d in only one of them the similarity is (s - d) / (s + d)
+                s = n[u] + n[v]
+                can = (s - apart) * whole >= part * (s + apart)
+                found.append(np.stack([np.minimum(node[u], node[v]), np.maximum(node[u], node[v])], 1)[can])
+        pairs = np.concatenate(found)
+        return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
+
+    return meet
+
+
 def representatives(docs: DataFrame, words: int = SET_WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """(key, rows): of each component of similar texts the row key of the least doc_id (of
     equal ones the least key; null comes last), and how many rows have it. Texts without
@@ -339,11 +440,21 @@ def representatives(docs: DataFrame, words: int = SET_WORDS, similar: tuple[int,
     nodes = signed.groupBy("node").agg(F.min(own).alias("least"), F.min("key").alias("any"), F.max("n").alias("n"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
     nodes = written(nodes, "nodes")
     some = nodes.where("n > 0")
-    near = links(some.select("fp", "node"))
-    met = near.unionByName(_met(some.select("fp", "node", F.explode("bands").alias("key")), None))
-    met = written(met.distinct(), "met")
-    found = written(verified(met, nodes, src.select("key", "text"), words, similar), "links")
+    near = _scanned(_varied(some, MAX_BITS), MAX_BITS, True).withColumn("bits", F.lit(MAX_BITS))
+    met = near.unionByName(_met(some.select("fp", "node", F.explode("bands").alias("key")), None).withColumn("bits", F.lit(64)))
+    met = written(met, "met")
+    texts = src.select("key", "text")
+    found = written(verified(met.where("thin is null").select("a", "b").distinct(), nodes, texts, words, similar), "links")
     roots = written(connected_components(found), "roots")
-    placed = nodes.hint("merge").join(roots.hint("merge"), "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
+    rooted = nodes.hint("merge").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    left = written(unsettled(met.where("thin is not null").select("bits", F.col("thin").alias("key"), F.col("a").alias("node")), rooted.select("node", "root")), "unsettled")
+    if not left.isEmpty():
+        rooted = written(rooted.select("node", "root", "least"), "rooted")
+        more = written(verified(open_pairs(left, nodes, texts, words, similar), nodes, texts, words, similar), "links")
+        root = lambda c: rooted.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")).hint("merge")
+        ends = more.hint("merge").join(root("a"), "a").hint("merge").join(root("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+        above = written(connected_components(ends), "roots").select(F.col("node").alias("root"), F.col("root").alias("above"))
+        rooted = rooted.hint("merge").join(above.hint("merge"), "root", "left").withColumn("root", F.coalesce("above", "root"))
+    placed = rooted.groupBy("root").agg(F.min("least").alias("least"))
     least = placed.select(F.col("least.key").alias("key"))
     return signed.select("key").hint("merge").join(least.hint("merge"), "key").groupBy("key").agg(F.count("*").alias("rows"))
